@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import INTEGRAL, quoted, render, strip, type_of
+from ..spec import MISSING_KEY
 
 NULL_KEY = "<NULL>"
 OVERVIEW = (
@@ -137,6 +138,6 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def rows_of_keys(df: DataFrame, side: str, plan: KeyPlan, mismatches: DataFrame) -> DataFrame:
     """The source rows whose key occurs in the mismatch table, with the key as ``row_key``."""
     key_column = "key_df1" if side == "a" else "key_df2"
-    bad = mismatches.select(F.col(key_column).alias("row_key")).where(F.col("row_key") != "<MISSING>").distinct()
+    bad = mismatches.select(F.col(key_column).alias("row_key")).where(F.col("row_key") != MISSING_KEY).distinct()
     shown = plan.slim(df, side, [quoted(c) for c in df.columns]).withColumn("row_key", plan.display)
     return shown.drop(*plan.names).join(bad, "row_key", "left_semi")

@@ -1,0 +1,111 @@
+"""Reader for a folder of workbooks (.xlsx): every file is one task's small job, rows come out as a table."""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import drop_null_tokens
+from .hygiene import clean_names, finish
+
+# XML names of the workbook format.
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+CELLS = "file string, sheet string, row int, cells array<string>"
+
+
+def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, sheet, row, cells)`` of all sheets of all workbooks under the path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    return files.mapInPandas(_rows_of_files, CELLS)
+
+
+def sheet_names(spark: SparkSession, path: str) -> DataFrame:
+    return workbook_cells(spark, path).select("file", "sheet").distinct()
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, keep_empty: bool = False) -> DataFrame:
+    """One sheet of the workbooks as a table of text columns; the first row of each file is its header.
+
+    Without a sheet name every file must have the same single sheet.
+    """
+    cells = workbook_cells(spark, path)
+    if sheet is None:
+        names = [r.sheet for r in cells.select("sheet").distinct().limit(2).collect()]
+        if len(names) != 1:
+            raise ValueError("name a sheet: the workbooks have several, or none")
+        sheet = names[0]
+    rows = cells.where(F.col("sheet") == sheet)
+    first = rows.where(F.col("row") == 0).orderBy("file").head(1)
+    if not first:
+        raise ValueError(f"no sheet {sheet!r} with a header row")
+    names = clean_names([n if n is not None else f"Unnamed: {i}" for i, n in enumerate(first[0]["cells"])])
+    body = rows.where(F.col("row") > 0).where(F.exists("cells", lambda x: x.isNotNull()))
+    table = body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return finish(drop_null_tokens(table.to(T.StructType([T.StructField(n, T.StringType()) for n in names]))), keep_empty)
+
+
+def _rows_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            for sheet, rows in _sheets(content):
+                yield pd.DataFrame({
+                    "file": path, "sheet": sheet, "row": range(len(rows)), "cells": rows,
+                })
+
+
+def _sheets(content: bytes) -> Iterator[tuple[str, list[list[str | None]]]]:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            items = ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")
+            shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in items]
+        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
+            target = links[sheet.get(RELATION)].lstrip("/")
+            target = target if target.startswith("xl/") else f"xl/{target}"
+            tree = ElementTree.fromstring(book.read(target))
+            yield sheet.get("name"), [_cells(row, shared) for row in tree.iter(f"{MAIN}row")]
+
+
+def _cells(row: ElementTree.Element, shared: list[str]) -> list[str | None]:
+    out: list[str | None] = []
+    for cell in row.iter(f"{MAIN}c"):
+        at = _column(cell.get("r"), len(out))
+        out += [None] * (at + 1 - len(out))
+        out[at] = _cell_text(cell, shared)
+    return out
+
+
+def _column(reference: str | None, following: int) -> int:
+    """``C7`` is column 2; without a reference the next column."""
+    letters = re.match(r"[A-Z]+", reference or "")
+    if not letters:
+        return following
+    number = 0
+    for letter in letters.group():
+        number = number * 26 + ord(letter) - ord("A") + 1
+    return number - 1
+
+
+def _cell_text(cell: ElementTree.Element, shared: list[str]) -> str | None:
+    kind = cell.get("t")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
+    value = cell.find(f"{MAIN}v")
+    if value is None or value.text is None:
+        return None
+    if kind == "s":
+        return shared[int(value.text)]
+    if kind == "b":
+        return "TRUE" if value.text == "1" else "FALSE"
+    return value.text
