@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def token_sorted(text: Column) -> Column:
@@ -35,7 +36,7 @@ def indel_percent(a: str, b: str) -> int:
     return round(200 * common_subsequence(a, b) / (len(a) + len(b)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _indel_scores(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         scores = [None if a is None or b is None else indel_percent(a, b) for a, b in zip(left, right)]

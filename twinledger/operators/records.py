@@ -14,7 +14,7 @@ from ..functions.similarity import similarity, similarity_bound, token_sorted
 from ..functions.text import normal_text, quoted, render, type_of
 from ..spec import MISSING_KEY, MISSING_ROW, Rule, check_columns, key_pairs, rules_from
 from .coercion import Modes, column_pairs, pair_types
-from .keys import KeyPlan
+from .keys import KeyPlan, key_overview, key_rows
 from .survey import Survey, modes_only, take_survey
 
 # How many parts each side of a hot key is cut into; every part of A meets every part of B in its own task.
@@ -48,6 +48,14 @@ class Comparison:
     rules: list[Rule]
     plan: KeyPlan
     survey: Survey
+    sources: tuple[DataFrame, DataFrame]
+
+    @property
+    def overview(self) -> DataFrame:
+        """One row of key and row counts: from the survey if one was taken, else counted when used."""
+        if self.survey.overview:
+            return self.mismatches.sparkSession.createDataFrame([self.survey.overview])
+        return key_overview(key_rows(*self.sources, self.plan))
 
 
 def compare_records(a: DataFrame, b: DataFrame, keys, columns, **options) -> Comparison:
@@ -115,7 +123,7 @@ def compare(
     if counted:
         shown = COLUMNS + [labels.column]
         found = found.groupBy(*shown).agg(F.sum("n_rows").cast(COUNT_TYPE).alias("n_rows"))
-    return Comparison(found, pair_types(a, b, pairs, plan), rules, plan, survey)
+    return Comparison(found, pair_types(a, b, pairs, plan), rules, plan, survey, (a, b))
 
 
 class _Engine:

@@ -73,7 +73,7 @@ def reconcile(
     result.mismatches = result.mismatches.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         spark = a.sparkSession
-        overview = spark.createDataFrame([result.survey.overview]) if result.survey.overview else _overview(a, b, result)
+        overview = result.overview
         summary = coverage_summary(result.mismatches, overview)
         weights = rule_weights(rules)
         if weights:
@@ -101,12 +101,6 @@ def reconcile(
     return RunResult(run_id, values, result)
 
 
-def _overview(a: DataFrame, b: DataFrame, result: Comparison) -> DataFrame:
-    from ..operators.keys import key_overview, key_rows
-
-    return key_overview(key_rows(a, b, result.plan))
-
-
 def reconcile_statistics(
     a: DataFrame, b: DataFrame, columns, outputs: Outputs | None = None, approximate_quartiles: bool = False
 ) -> RunResult:

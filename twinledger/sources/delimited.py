@@ -28,14 +28,17 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 
 def read_csv(
     spark: SparkSession, path: str, sep: str = ",", null_tokens: Sequence[str] = NULL_TOKENS,
-    encoding: str | None = None, keep_empty: bool = False,
+    encoding: str | None = None, multi_line: bool = False, keep_empty: bool = False,
 ) -> DataFrame:
-    """A CSV file or folder with a header line, all columns as text so that leading zeros survive."""
+    """A CSV file or folder with a header line, all columns as text so that leading zeros survive.
+
+    ``multi_line`` allows line breaks within quotes, at the price of one task per file.
+    """
     encoding = encoding or encoding_of(spark, path)
     names = clean_names(_split(_first_line(spark, path, encoding), sep, spark))
     raw = (
         spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", True)
-        .option("quote", '"').option("escape", '"').schema(_all_text(names)).csv(path)
+        .option("escape", '"').option("multiLine", multi_line).schema(_all_text(names)).csv(path)
     )
     return finish(drop_null_tokens(raw, null_tokens), keep_empty)
 

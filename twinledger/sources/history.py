@@ -7,31 +7,32 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SHOWN_RUNS, KEPT_RUNS = 20, 100
 
-RUNS = T.StructType.fromDDL(
-    "run_id string, ts timestamp, approach string, source_a_name string, source_b_name string, "
-    "key_cols_a array<string>, key_cols_b array<string>, score double, total_keys bigint, joined_count bigint, "
-    "missing_in_a bigint, missing_in_b bigint, mismatch_count bigint, column_pairs array<struct<a:string,b:string>>, "
-    "composite_pairs array<struct<a:string,bs:array<string>>>, results_path string"
-)
+RUN_FIELDS = {
+    "run_id": "string", "ts": "timestamp", "approach": "string", "source_a_name": "string", "source_b_name": "string",
+    "key_cols_a": "array<string>", "key_cols_b": "array<string>", "score": "double", "total_keys": "bigint",
+    "joined_count": "bigint", "missing_in_a": "bigint", "missing_in_b": "bigint", "mismatch_count": "bigint",
+    "column_pairs": "array<struct<a:string,b:string>>", "composite_pairs": "array<struct<a:string,bs:array<string>>>",
+    "results_path": "string",
+}
+RUNS = ", ".join(f"{name} {kind}" for name, kind in RUN_FIELDS.items())
 
 
 def save_run(spark: SparkSession, path: str, approach: str, **values) -> str:
     """Append a run and return its id. Counts default to 0, other values to NULL or an empty list."""
-    unknown = set(values) - set(RUNS.names)
+    unknown = set(values) - set(RUN_FIELDS)
     if unknown:
         raise ValueError(f"unknown run fields {sorted(unknown)}")
     defaults = {
         "missing_in_a": 0, "missing_in_b": 0, "mismatch_count": 0, "key_cols_a": [], "key_cols_b": [],
         "column_pairs": [], "composite_pairs": [],
     }
-    row = {n: None for n in RUNS.names} | defaults | {
+    row = {n: None for n in RUN_FIELDS} | defaults | {
         "run_id": uuid.uuid4().hex, "ts": datetime.now(timezone.utc), "approach": approach,
     } | values
-    run = spark.createDataFrame([tuple(row[n] for n in RUNS.names)], RUNS)
+    run = spark.createDataFrame([tuple(row[n] for n in RUN_FIELDS)], RUNS)
     run.withColumn("run_date", F.to_date("ts")).write.mode("append").partitionBy("run_date").parquet(path)
     return row["run_id"]
 

@@ -8,13 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..spec import AnyOf, Pair, Rule
 
 VERSION = "1"
 
-PRESET = T.StructType.fromDDL(
+PRESET = (
     "version string, key_col_pairs array<struct<a:string,b:string>>, "
     "col_pairs array<struct<a:string,b:string,threshold:int,weight:double>>, "
     "composite_map array<struct<a:string,bs:array<string>,weight:double>>"
