@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions.numbers import locale_number
-from .functions.text import drop_null_tokens, is_blank, normal_text, type_of
+from .functions.text import drop_null_tokens, is_blank, normal_text, present_text, type_of
 from .operators import coercion, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
 from .sources import history, hygiene
@@ -120,13 +120,12 @@ def type_overrides(spark, sf_dir):
 def normalise_text(spark, sf_dir):
     b = fx.derived(spark, sf_dir, "customer_b")
     text = type_of(b, "segment")
-    return b.select("cust_id", normal_text(F.col("segment"), text).alias("segment_text"),
-                    normal_text(F.col("cust_id"), text).alias("cust_text"))
+    return b.selectExpr("cust_id", f"{normal_text('segment', text)} AS segment_text", f"{present_text('segment', text)} AS segment_shown")
 
 
 def blank_values(spark, sf_dir):
     b = fx.derived(spark, sf_dir, "orders_b")
-    return b.agg(*[F.count_if(is_blank(F.col(c), type_of(b, c))).alias(f"{c}_blanks") for c in b.columns])
+    return b.agg(*[F.expr(f"count_if({is_blank(c, type_of(b, c))}) AS {c}_blanks") for c in b.columns])
 
 
 def null_tokens(spark, sf_dir):
@@ -135,12 +134,12 @@ def null_tokens(spark, sf_dir):
 
 def locale_numbers(spark, sf_dir):
     prices = fx.derived(spark, sf_dir, "european_prices")
-    return prices.select("l_orderkey", "l_linenumber", locale_number(F.col("price_text"), "EU").alias("price"))
+    return prices.selectExpr("l_orderkey", "l_linenumber", f"{locale_number('price_text', 'EU')} AS price")
 
 
 def fixed_width_field_table(spark, sf_dir):
     lines = fx.derived(spark, sf_dir, "customer_lines")
-    return drop_null_tokens(lines.select(*fixed_width_fields(F.col("value"), CUSTOMER_LAYOUT)))
+    return drop_null_tokens(lines.select(*fixed_width_fields("value", CUSTOMER_LAYOUT)))
 
 
 def drop_empty_columns(spark, sf_dir):

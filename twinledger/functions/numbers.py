@@ -1,9 +1,7 @@
-"""Number rules: guarded parsing, tolerance, identifiers, locale marks."""
+"""Number rules: guarded parsing, tolerance, identifiers, locale marks. Written as Spark SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import FLOATING, is_numeric, strip
@@ -12,50 +10,56 @@ RTOL = 1e-5
 ATOL = 1e-8
 
 # The accepted spellings of numbers and infinities, and the shape of identifiers.
-DECIMAL_SPELLING = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITE_SPELLING = r"(?i)^[+-]?inf(inity)?$"
-IDENTIFIER = r"^([A-Za-z]|0)\p{Nd}+$"
+NUMBER_SPELLING = r"r'^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$'"
+IDENTIFIER = r"r'^([A-Za-z]|0)\p{Nd}+$'"
 
+INFINITY = "double('Infinity')"
 
-def parse_number(text: Column) -> Column:
+
+def parse_number(x: str) -> str:
     """Text to DOUBLE, anything but a plainly written number to NULL (so is ``NaN``, and ``1e400``)."""
-    t = strip(text)
-    value = t.try_cast("double")
-    finite = F.when(F.abs(value) < F.lit(float("inf")), value)
-    return F.when(t.rlike(DECIMAL_SPELLING), finite).when(t.rlike(INFINITE_SPELLING), value)
+    return parse_stripped(strip(x))
+
 
+def parse_stripped(t: str) -> str:
+    """``parse_number`` of a text without white space at its ends. An infinity counts only if it is spelled out."""
+    value = f"try_cast({t} AS DOUBLE)"
+    return (
+        f"CASE WHEN NOT rlike({t}, {NUMBER_SPELLING}) THEN NULL "
+        f"WHEN abs({value}) < {INFINITY} OR contains(lower({t}), 'n') THEN {value} END"
+    )
 
-def as_number(c: Column, dtype: T.DataType) -> Column:
+
+def as_number(x: str, dtype: T.DataType) -> str:
     """Any column as DOUBLE for comparing; NULL where it is missing or no number."""
     if isinstance(dtype, FLOATING):
-        return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+        return f"nanvl(CAST({x} AS DOUBLE), NULL)"
     if is_numeric(dtype):
-        return c.cast("double")
-    if isinstance(dtype, T.StringType):
-        return parse_number(c)
-    return F.lit(None).cast("double")
+        return f"CAST({x} AS DOUBLE)"
+    return parse_number(x) if isinstance(dtype, T.StringType) else "CAST(NULL AS DOUBLE)"
 
 
-def is_identifier(text: Column) -> Column:
-    """Letter and digits (``A12345``) or a leading zero (``00123``): must be compared as text."""
-    return strip(text).rlike(IDENTIFIER)
+def is_identifier(t: str) -> str:
+    """Letter and digits (``A12345``) or a leading zero (``00123``): must be compared as text. Takes trimmed text."""
+    return f"rlike({t}, {IDENTIFIER})"
 
 
-def numbers_differ(a: Column, b: Column, rtol: float = RTOL, atol: float = ATOL) -> Column:
+def numbers_differ(a: str, b: str, rtol: float = RTOL, atol: float = ATOL) -> str:
     """True unless equal within ``atol + rtol*|b|`` or both missing; the tolerance scales with B.
 
-    Infinities equal only themselves: their difference is tested after plain equality.
+    Infinities equal only themselves, so the tolerance counts for finite numbers.
     """
-    infinite = F.lit(float("inf"))
-    near = (F.abs(a) < infinite) & (F.abs(b) < infinite) & (F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b))
-    return F.when(a.isNull() | b.isNull(), a.isNull() != b.isNull()).otherwise(~((a == b) | near))
+    near = f"abs({a}) < {INFINITY} AND abs({b}) < {INFINITY} AND abs({a} - {b}) <= double('{atol!r}') + double('{rtol!r}') * abs({b})"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN isnull({a}) <> isnull({b}) ELSE NOT ({a} = {b} OR ({near})) END"
 
 
-def texts_differ(a: Column, b: Column) -> Column:
-    return ~a.eqNullSafe(b)
+def texts_differ(a: str, b: str) -> str:
+    """For texts in normal form, in which no value is NULL."""
+    return f"{a} <> {b}"
 
 
-def locale_number(text: Column, locale: str = "US") -> Column:
+def locale_number(x: str, locale: str = "US") -> str:
     """Parse ``1,234.5`` (US) or ``1.234,5`` (EU)."""
     decimal, thousands = {"US": (".", ","), "EU": (",", ".")}[locale]
-    return parse_number(F.translate(F.translate(text, thousands, ""), decimal, "."))
+    return parse_number(f"translate(translate({x}, '{thousands}', ''), '{decimal}', '.')")
+

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def token_sorted(text: Column) -> Column:
-    """Lower case, words only, sorted, joined with a space."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " ")), " ")
-    return F.array_join(F.array_sort(words), " ")
+def token_sorted(x: str) -> str:
+    """SQL: lower case, words only, sorted, joined with a space."""
+    return rf"array_join(array_sort(split(trim(regexp_replace(lower({x}), r'(?U)\W+', ' ')), ' ')), ' ')"
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -48,17 +47,15 @@ def similarity(a: Column, b: Column) -> Column:
     return _indel_scores(a, b)
 
 
-def similarity_bound(a: Column, b: Column) -> Column:
-    """No pair scores above this: the shorter text may be contained in the longer one."""
-    la, lb = F.length(a), F.length(b)
-    return F.try_divide(F.lit(200.0) * F.least(la, lb), la + lb)
+def similarity_bound(a: str, b: str) -> str:
+    """SQL: no pair scores above this, as the shorter text may be contained in the longer one."""
+    return f"200.0D * least(length({a}), length({b})) / (length({a}) + length({b}))"
 
 
-def _dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+def cosine(a: str, b: str) -> str:
+    """SQL: cosine of two vectors; 0 if either has no length."""
+    return f"coalesce(try_divide({_dot(a, b)}, sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})), 0.0D)"
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; 0 if either has no length."""
-    return F.coalesce(F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))), F.lit(0.0))
+def _dot(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0.0D, (s, x) -> s + x)"

@@ -1,4 +1,7 @@
-"""Text rules: rendering to text, trimming, blanks, missing tokens."""
+"""Text rules: rendering to text, trimming, blanks, missing tokens.
+
+Rules are written as Spark SQL text and composed as text; ``F.expr`` turns the whole into one expression.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +17,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+_WHITESPACE_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
 
 # Texts that mean "missing" in files.
 NULL_TOKENS = ("", "NULL", "null", "NA", "N/A", "n/a", "None", "nan", "NaN", "#N/A")
@@ -31,53 +35,59 @@ def type_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def ident(name: str) -> str:
+    """A column name as SQL, dots and back-ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """A column by its exact name, dots and back-ticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its exact name."""
+    return F.col(ident(name))
+
+
+def literal(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def strip(c: Column) -> Column:
-    """Trim Unicode white space; SQL ``trim`` alone removes only U+0020."""
-    return F.trim(c, F.lit(WHITESPACE))
+def strip(x: str) -> str:
+    """Trim Unicode white space; plain ``trim`` removes only U+0020."""
+    return f"btrim({x}, {_WHITESPACE_SQL})"
 
 
-def render(c: Column, dtype: T.DataType) -> Column:
+def render(x: str, dtype: T.DataType) -> str:
     """A value as text: whole numbers without ``.0``, nested values as JSON, NaN as missing."""
     if isinstance(dtype, T.StringType):
-        return c
+        return x
+    text = f"CAST({x} AS STRING)"
     if isinstance(dtype, FLOATING):
-        as_text = c.cast("string")
-        whole = (F.abs(c) < F.lit(1e15)) & (c == F.floor(c))
-        plain = (F.abs(c) >= F.lit(1e7)) & (F.abs(c) < F.lit(1e15))
         return (
-            F.when(F.isnan(c), F.lit(None).cast("string"))
-            .when(whole, c.try_cast("bigint").cast("string"))
-            .when(plain, F.regexp_replace(as_text.try_cast("decimal(38,18)").cast("string"), "0+$", ""))
-            .otherwise(as_text)
+            f"CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) < 1e15 AND {x} = floor({x}) THEN CAST(try_cast({x} AS BIGINT) AS STRING) "
+            f"WHEN abs({x}) >= 1e7 AND abs({x}) < 1e15 THEN rtrim('0', CAST(try_cast({text} AS DECIMAL(38,18)) AS STRING)) "
+            f"ELSE {text} END"
         )
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(c)
-    return c.cast("string")
+        return f"to_json({x})"
+    return text
 
 
-def present_text(c: Column, dtype: T.DataType) -> Column:
+def present_text(x: str, dtype: T.DataType) -> str:
     """Trimmed text, blanks as NULL; case is kept."""
-    return F.nullif(strip(render(c, dtype)), F.lit(""))
+    return f"nullif({strip(render(x, dtype))}, '')"
 
 
-def normal_text(c: Column, dtype: T.DataType) -> Column:
-    """The form texts are compared in: trimmed, blank as NULL, upper case."""
-    return F.upper(present_text(c, dtype))
+def normal_text(x: str, dtype: T.DataType) -> str:
+    """The form texts are compared in: trimmed and upper case, with an empty text for blank and missing alike."""
+    return f"coalesce(upper({strip(render(x, dtype))}), '')"
 
 
-def is_blank(c: Column, dtype: T.DataType) -> Column:
+def is_blank(x: str, dtype: T.DataType) -> str:
     """True where a text is there but holds white space only."""
-    if not isinstance(dtype, T.StringType):
-        return F.lit(False)
-    return F.coalesce(strip(c) == F.lit(""), F.lit(False))
+    return f"coalesce({strip(x)} = '', false)" if isinstance(dtype, T.StringType) else "false"
 
 
 def drop_null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """Turn missing-value tokens in every text column into NULL."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({n: F.when(~quoted(n).isin(list(tokens)), quoted(n)) for n in texts})
+    listed = ", ".join(literal(t) for t in tokens)
+    return df.withColumns({n: F.expr(f"CASE WHEN {ident(n)} NOT IN ({listed}) THEN {ident(n)} END") for n in texts})

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import as_number, is_identifier, parse_number
-from ..functions.text import is_blank, is_numeric, present_text, quoted, render, type_of
+from ..functions.numbers import as_number, is_identifier, parse_number, parse_stripped
+from ..functions.text import INTEGRAL, ident, is_numeric, literal, present_text, quoted, render, strip, type_of
 from ..spec import Rule
 from .keys import KeyPlan
 from .rows import side_by_side
@@ -33,14 +33,33 @@ def column_pairs(rules: Sequence[Rule]) -> list[tuple[str, str]]:
     return [(r.a, t) for r in rules for t in r.targets]
 
 
-def _facts(df: DataFrame, name: str) -> list[Column]:
-    """Counts over a group of rows: filled values, identifiers, numbers, blanks."""
-    c, dtype = quoted(name), type_of(df, name)
-    number = F.count(as_number(c, dtype))
-    if is_numeric(dtype):
-        return [number, F.lit(0).cast("bigint"), number, F.lit(0).cast("bigint")]
-    text = present_text(c, dtype)
-    return [F.count(text), F.count_if(is_identifier(text)), number, F.count_if(is_blank(c, dtype))]
+def _with_values(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The columns as their trimmed text ``t0, t1, …`` and their number ``v0, v1, …``.
+
+    Two projections, so that every value is trimmed and parsed once, however many facts are taken from it.
+    """
+    first, second = [], {}
+    for i, name in enumerate(names):
+        x, dtype = ident(name), type_of(df, name)
+        if is_numeric(dtype):
+            first.append(f"{as_number(x, dtype)} AS v{i}")
+            continue
+        first.append(f"{strip(render(x, dtype))} AS t{i}")
+        second[f"v{i}"] = F.expr(parse_stripped(f"t{i}") if isinstance(dtype, T.StringType) else "CAST(NULL AS DOUBLE)")
+    values = df.selectExpr(*keep, *first)
+    return values.withColumns(second) if second else values
+
+
+def _facts(df: DataFrame, names: Sequence[str], side: str) -> list[Column]:
+    """Counts over a group of rows of ``_with_values``: filled values, identifiers, numbers, blanks."""
+    out = []
+    for i, name in enumerate(names):
+        if is_numeric(type_of(df, name)):
+            forms = (f"count(v{i})", "count_if(false)", f"count(v{i})", "count_if(false)")
+        else:
+            forms = (f"count_if(t{i} <> '')", f"count_if({is_identifier(f't{i}')})", f"count(v{i})", f"count_if(t{i} = '')")
+        out += [F.expr(f"{form} AS {side}{i}_{label}") for label, form in zip(_FACTS, forms)]
+    return out
 
 
 def key_facts(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]], plan: KeyPlan) -> DataFrame:
@@ -51,15 +70,11 @@ def key_facts(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]], plan
     """
     sides = []
     for frame, side, names in ((a, "a", _sources(pairs)), (b, "b", _targets(pairs))):
-        keyed = plan.slim(frame, side, [quoted(n).alias(f"v{i}") for i, n in enumerate(names)])
-        facts = [
-            fact.alias(f"{side}{i}_{label}")
-            for i in range(len(names))
-            for label, fact in zip(_FACTS, _facts(keyed, f"v{i}"))
-        ]
-        sides.append(keyed.groupBy(*plan.names).agg(F.count(F.lit(1)).alias(f"n_{side}"), *facts))
+        keyed = plan.slim(frame, side, [quoted(n) for n in names])
+        values = _with_values(keyed, names, plan.names)
+        sides.append(values.groupBy(*plan.names).agg(F.count(F.lit(1)).alias(f"n_{side}"), *_facts(frame, names, side)))
     joined = sides[0].join(sides[1], plan.names, "full_outer")
-    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(0).cast("bigint")) for n in ("n_a", "n_b")})
+    return joined.withColumns({n: F.expr(f"coalesce({n}, 0L)") for n in ("n_a", "n_b")})
 
 
 def _sources(pairs: Sequence[tuple[str, str]]) -> list[str]:
@@ -74,7 +89,7 @@ def matched_totals(pairs: Sequence[tuple[str, str]]) -> list[Column]:
     """Aggregates over ``key_facts``: every fact weighted by the other side's rows, as in the joined rows."""
     weights = (("a", _sources(pairs), "n_b"), ("b", _targets(pairs), "n_a"))
     return [
-        F.coalesce(F.sum(F.col(f"{side}{i}_{label}").cast("double") * F.col(other)), F.lit(0.0)).alias(f"{side}{i}_{label}")
+        F.expr(f"coalesce(sum(CAST({side}{i}_{label} AS DOUBLE) * {other}), 0.0D) AS {side}{i}_{label}")
         for side, names, other in weights
         for i in range(len(names))
         for label in _FACTS
@@ -89,14 +104,10 @@ def pair_types(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]], pla
     if plan is not None:
         totals = key_facts(a, b, pairs, plan).agg(*matched_totals(pairs))
     else:
-        whole = [
-            df.agg(*[
-                fact.cast("double").alias(f"{side}{i}_{label}")
-                for i, name in enumerate(names)
-                for label, fact in zip(_FACTS, _facts(df, name))
-            ])
-            for df, side, names in ((a, "a", _sources(pairs)), (b, "b", _targets(pairs)))
-        ]
+        whole = []
+        for df, side, names in ((a, "a", _sources(pairs)), (b, "b", _targets(pairs))):
+            counts = _with_values(df, names).agg(*_facts(df, names, side))
+            whole.append(counts.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in counts.columns]))
         totals = side_by_side(*whole)
     return with_decision(totals.select(pair_rows(pairs)))
 
@@ -104,38 +115,35 @@ def pair_types(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]], pla
 def pair_rows(pairs: Sequence[tuple[str, str]]) -> Column:
     """Generator: the one row of totals as one row per pair."""
     names_a, names_b = _sources(pairs), _targets(pairs)
-    return F.inline(F.array(*[_pair_struct(p, names_a.index(p[0]), names_b.index(p[1]), i) for i, p in enumerate(pairs)]))
-
-
-def _pair_struct(pair: tuple[str, str], ia: int, ib: int, position: int) -> Column:
-    def share(side: str, i: int, fact: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(f"{side}{i}_{fact}"), F.col(f"{side}{i}_filled")), F.lit(0.0))
-
-    return F.struct(
-        F.lit(position).alias("position"),
-        F.lit(pair[0]).alias("col_a"),
-        F.lit(pair[1]).alias("col_b"),
-        F.col(f"a{ia}_filled").try_cast("bigint").alias("n_a"),
-        F.col(f"b{ib}_filled").try_cast("bigint").alias("n_b"),
-        share("a", ia, "ids").alias("id_rate_a"),
-        share("b", ib, "ids").alias("id_rate_b"),
-        share("a", ia, "numbers").alias("num_rate_a"),
-        share("b", ib, "numbers").alias("num_rate_b"),
-        ((F.col(f"a{ia}_blanks") > 0) | (F.col(f"b{ib}_blanks") > 0)).alias("blanks_found"),
-        (F.col(f"a{ia}_filled") - F.col(f"a{ia}_numbers") + F.col(f"b{ib}_filled") - F.col(f"b{ib}_numbers"))
-        .try_cast("bigint").alias("n_unparseable"),
-    )
+    rows = [_pair_row(p, names_a.index(p[0]), names_b.index(p[1]), i) for i, p in enumerate(pairs)]
+    return F.expr(f"inline(array({', '.join(rows)}))")
+
+
+def _pair_row(pair: tuple[str, str], ia: int, ib: int, position: int) -> str:
+    def share(side: str, fact: str) -> str:
+        return f"coalesce(try_divide({side}_{fact}, {side}_filled), 0.0D)"
+
+    a, b = f"a{ia}", f"b{ib}"
+    lost = f"{a}_filled - {a}_numbers + {b}_filled - {b}_numbers"
+    fields = {
+        "position": str(position), "col_a": literal(pair[0]), "col_b": literal(pair[1]),
+        "n_a": f"try_cast({a}_filled AS BIGINT)", "n_b": f"try_cast({b}_filled AS BIGINT)",
+        "id_rate_a": share(a, "ids"), "id_rate_b": share(b, "ids"),
+        "num_rate_a": share(a, "numbers"), "num_rate_b": share(b, "numbers"),
+        "blanks_found": f"{a}_blanks > 0 OR {b}_blanks > 0", "n_unparseable": f"try_cast({lost} AS BIGINT)",
+    }
+    return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in fields.items()) + ")"
 
 
 def with_decision(shares: DataFrame) -> DataFrame:
-    is_id = (F.col("id_rate_a") > ID_SHARE) | (F.col("id_rate_b") > ID_SHARE)
-    is_number = (F.col("num_rate_a") > NUMERIC_SHARE) & (F.col("num_rate_b") > NUMERIC_SHARE)
-    note = F.when(is_id, F.lit(NOTE_ID)).when(is_number, F.lit(NOTE_NUMERIC)).otherwise(F.lit(NOTE_TEXT))
-    suffix = F.when(~F.col("blanks_found"), F.lit("")).when(is_id, F.lit(BLANKS_ID)).otherwise(F.lit(BLANKS_OTHER))
-    return shares.withColumns({
-        "mode": F.when(~is_id & is_number, F.lit("numeric")).otherwise(F.lit("text")),
-        "note": F.concat(note, suffix),
-    })
+    """Add ``mode`` and ``note`` to the shares of each pair."""
+    is_id = f"(id_rate_a > {ID_SHARE}D OR id_rate_b > {ID_SHARE}D)"
+    is_number = f"(num_rate_a > {NUMERIC_SHARE}D AND num_rate_b > {NUMERIC_SHARE}D)"
+    note = f"CASE WHEN {is_id} THEN {literal(NOTE_ID)} WHEN {is_number} THEN {literal(NOTE_NUMERIC)} ELSE {literal(NOTE_TEXT)} END"
+    suffix = f"CASE WHEN NOT blanks_found THEN '' WHEN {is_id} THEN {literal(BLANKS_ID)} ELSE {literal(BLANKS_OTHER)} END"
+    return shares.selectExpr(
+        "*", f"if(NOT {is_id} AND {is_number}, 'numeric', 'text') AS mode", f"concat({note}, {suffix}) AS note"
+    )
 
 
 def known_modes(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> Modes:
@@ -154,12 +162,9 @@ def convert_numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = [c for c in columns if c in df.columns and not is_numeric(type_of(df, c))]
     if not names:
         return df
-    shares = df.agg(*[
-        F.try_divide(F.count(as_number(quoted(n), type_of(df, n))), F.count(F.lit(1))).alias(f"s{i}")
-        for i, n in enumerate(names)
-    ]).first()
-    passing = [n for i, n in enumerate(names) if (shares[f"s{i}"] or 0.0) > CONVERT_SHARE]
-    return df.withColumns({n: as_number(quoted(n), type_of(df, n)) for n in passing})
+    numbers = {n: as_number(ident(n), type_of(df, n)) for n in names}
+    shares = df.agg(*[F.expr(f"coalesce(try_divide(count({x}), count(1)), 0.0D)") for x in numbers.values()]).first()
+    return df.withColumns({n: F.expr(x) for share, (n, x) in zip(shares, numbers.items()) if share > CONVERT_SHARE})
 
 
 # Date and time patterns tried in turn by the Datetime override.
@@ -174,38 +179,35 @@ def apply_overrides(df: DataFrame, overrides: Mapping[str, str]) -> DataFrame:
 
     Integer keeps a column as it is if it holds fractions, as a failing conversion leaves the column alone.
     """
-    changed: dict[str, Column] = {}
+    changed: dict[str, str] = {}
     for name, target in overrides.items():
         if name not in df.columns or target == "Auto":
             continue
-        c, dtype = quoted(name), type_of(df, name)
+        x, dtype = ident(name), type_of(df, name)
         if target == "Numeric":
-            changed[name] = c if is_numeric(dtype) else as_number(c, dtype)
+            changed[name] = x if is_numeric(dtype) else as_number(x, dtype)
         elif target == "String":
-            changed[name] = render(c, dtype)
+            changed[name] = render(x, dtype)
         elif target == "Integer":
-            number = as_number(c, dtype)
-            if isinstance(dtype, T.IntegralType):
-                changed[name] = c.cast("bigint")
-            elif df.where(number != F.floor(number)).isEmpty():
-                changed[name] = number.try_cast("bigint")
+            number = as_number(x, dtype)
+            if isinstance(dtype, INTEGRAL):
+                changed[name] = f"CAST({x} AS BIGINT)"
+            elif df.where(f"{number} <> floor({number})").isEmpty():
+                changed[name] = f"try_cast({number} AS BIGINT)"
         elif target == "Datetime":
-            if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-                continue
             if isinstance(dtype, T.DateType):
-                changed[name] = c.cast("timestamp_ntz")
-            else:
-                text = present_text(c, dtype)
-                tries = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATETIME_PATTERNS]
-                changed[name] = F.coalesce(*tries)
+                changed[name] = f"CAST({x} AS TIMESTAMP_NTZ)"
+            elif not isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+                text = present_text(x, dtype)
+                tries = [f"CAST(try_to_timestamp({text}, {literal(p)}) AS TIMESTAMP_NTZ)" for p in DATETIME_PATTERNS]
+                changed[name] = f"coalesce({', '.join(tries)})"
         else:
             raise ValueError(f"unknown type override {target!r}")
-    return df.withColumns(changed) if changed else df
+    return df.withColumns({n: F.expr(x) for n, x in changed.items()}) if changed else df
 
 
-def is_mixed(c: Column, dtype: T.DataType) -> Column:
+def is_mixed(x: str, dtype: T.DataType) -> str:
     """Aggregate: a text column where some values parse as numbers and some do not."""
     if not isinstance(dtype, T.StringType):
-        return F.lit(False)
-    parsed = F.count(parse_number(c))
-    return (parsed > 0) & (parsed < F.count(c))
+        return "false"
+    return f"count({parse_number(x)}) > 0 AND count({parse_number(x)}) < count({x})"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import INTEGRAL, quoted, render, strip, type_of
+from ..functions.text import INTEGRAL, ident, quoted, render, strip, type_of
 from ..spec import MISSING_KEY
 
 NULL_KEY = "<NULL>"
@@ -47,31 +47,31 @@ class KeyPlan:
     def display(self) -> Column:
         """The key as one text, parts joined with ``|``, from the equi-join columns."""
         shown = [
-            F.when(F.col(f"__key{i}_null"), F.lit(NULL_KEY)).otherwise(F.col(f"__key{i}").cast("string")) if whole else F.col(f"__key{i}")
+            f"if(__key{i}_null, '{NULL_KEY}', CAST(__key{i} AS STRING))" if whole else f"__key{i}"
             for i, whole in enumerate(self.integral)
         ]
-        return shown[0] if len(shown) == 1 else F.concat_ws("|", *shown)
+        return F.expr(shown[0] if len(shown) == 1 else f"concat_ws('|', {', '.join(shown)})")
 
     def columns(self, df: DataFrame, side: str) -> list[Column]:
         """The equi-join columns computed from one side's rows."""
         out = []
         for i, (pair, whole) in enumerate(zip(self.keys, self.integral)):
             name = pair[0] if side == "a" else pair[1]
-            c = quoted(name)
+            x = ident(name)
             if whole:
-                out.append(F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(f"__key{i}"))
-                out.append(c.isNull().alias(f"__key{i}_null"))
+                out.append(F.expr(f"coalesce(CAST({x} AS BIGINT), 0L) AS __key{i}"))
+                out.append(F.expr(f"isnull({x}) AS __key{i}_null"))
             else:
-                text = strip(render(c, type_of(df, name)))
-                text = text if self.case_sensitive else F.upper(text)
-                out.append(F.coalesce(text, F.lit(NULL_KEY)).alias(f"__key{i}"))
+                text = strip(render(x, type_of(df, name)))
+                text = text if self.case_sensitive else f"upper({text})"
+                out.append(F.expr(f"coalesce({text}, '{NULL_KEY}') AS __key{i}"))
         return out
 
     def slim(self, df: DataFrame, side: str, extra: Sequence[Column] = ()) -> DataFrame:
         """Key columns and the wanted expressions of one side; the caller's frame stays as it is."""
         if self.null_keys == "drop":
             names = [pair[0] if side == "a" else pair[1] for pair in self.keys]
-            df = df.where(" AND ".join(f"`{n.replace('`', '``')}` IS NOT NULL" for n in names))
+            df = df.where(" AND ".join(f"{ident(n)} IS NOT NULL" for n in names))
         return df.select(*self.columns(df, side), *extra)
 
 
@@ -85,24 +85,17 @@ def key_rows(a: DataFrame, b: DataFrame, plan: KeyPlan) -> DataFrame:
     count_a = plan.slim(a, "a").groupBy(*names).agg(F.count(F.lit(1)).alias("n_a"))
     count_b = plan.slim(b, "b").groupBy(*names).agg(F.count(F.lit(1)).alias("n_b"))
     joined = count_a.join(count_b, names, "full_outer")
-    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(0).cast("bigint")) for n in ("n_a", "n_b")})
+    return joined.withColumns({n: F.expr(f"coalesce({n}, 0L)") for n in ("n_a", "n_b")})
 
 
 def overview_totals() -> list[Column]:
     """Aggregates over per-key row counts: keys in all, in both, on one side only, and rows."""
-    on_a, on_b = F.col("n_a") > 0, F.col("n_b") > 0
-    product = F.col("n_a").cast("double") * F.col("n_b").cast("double")
-    return [
-        F.count(F.lit(1)).alias("total_keys"),
-        F.count_if(on_a & on_b).alias("joined_count"),
-        F.count_if(~on_a).alias("missing_in_a"),
-        F.count_if(~on_b).alias("missing_in_b"),
-        F.coalesce(F.sum("n_a"), F.lit(0).cast("bigint")).alias("rows_a"),
-        F.coalesce(F.sum("n_b"), F.lit(0).cast("bigint")).alias("rows_b"),
-        F.coalesce(F.sum(product), F.lit(0.0)).alias("joined_rows"),
-        F.coalesce(F.max("n_a"), F.lit(0).cast("bigint")).alias("largest_a"),
-        F.coalesce(F.max("n_b"), F.lit(0).cast("bigint")).alias("largest_b"),
-    ]
+    forms = (
+        "count(1)", "count_if(n_a > 0 AND n_b > 0)", "count_if(n_a = 0)", "count_if(n_b = 0)",
+        "coalesce(sum(n_a), 0L)", "coalesce(sum(n_b), 0L)", "coalesce(sum(CAST(n_a AS DOUBLE) * n_b), 0.0D)",
+        "coalesce(max(n_a), 0L)", "coalesce(max(n_b), 0L)",
+    )
+    return [F.expr(f"{form} AS {name}") for form, name in zip(forms, OVERVIEW)]
 
 
 def key_overview(rows: DataFrame) -> DataFrame:

@@ -60,10 +60,10 @@ def best_right_per_left(left: DataFrame, right: DataFrame, threshold: int) -> Da
     same = rest.join(letters, "letters").select(
         F.col("name").alias("left_name"), "right_name", F.lit(SAME_LETTERS).alias("score")
     )
-    open_names = rest.join(letters, "letters", "left_anti").select("name", token_sorted(F.col("name")).alias("words"))
+    open_names = rest.join(letters, "letters", "left_anti").select("name", F.expr(f"{token_sorted('name')} AS words"))
     open_names = open_names.where(F.col("words") != "")
     # The score depends on the sorted words only, so each wording is matched once and stands for all its names.
-    wordings = right.groupBy(token_sorted(F.col("name")).alias("words")).agg(
+    wordings = right.groupBy(F.expr(f"{token_sorted('name')} AS words")).agg(
         F.min(F.struct("place", "name")).alias("first")
     ).select("words", F.col("first.name").alias("name"), F.col("first.place").alias("place")).where(F.col("words") != "")
     fuzzy = _fuzzy(open_names, wordings, threshold)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quoted, render, type_of
+from ..functions.text import ident, literal, quoted, render, type_of
 from ..spec import MISSING_KEY, MISSING_ROW
 from .coercion import is_mixed
 from .keys import KeyPlan
@@ -18,9 +18,9 @@ MAX_CATEGORY_SHARE = 0.5
 HIGH_NULL_PCT = 50.0
 
 
-def _filled(df: DataFrame, name: str):
+def _filled(df: DataFrame, name: str) -> str:
     """The rendered value: NaN counts as missing."""
-    return render(quoted(name), type_of(df, name))
+    return render(ident(name), type_of(df, name))
 
 
 def profile_columns(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
@@ -29,37 +29,32 @@ def profile_columns(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     One pass for all columns. Distinct values come from a sketch; ``exact_distinct`` counts them by a second
     pass that groups (column, value). An empty table has no profile.
     """
-    names = df.columns
-    totals = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(_filled(df, c)).alias(f"filled{i}") for i, c in enumerate(names)],
-        *[is_mixed(quoted(c), type_of(df, c)).alias(f"mixed{i}") for i, c in enumerate(names)],
-        *([] if exact_distinct else [F.approx_count_distinct(_filled(df, c)).alias(f"distinct{i}") for i, c in enumerate(names)]),
-    )
-    null_pct = lambda i: F.try_divide((F.col("n") - F.col(f"filled{i}")).cast("double"), F.col("n").cast("double")) * 100
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(type_of(df, c).simpleString()).alias("type"),
-            null_pct(i).alias("null_pct"),
-            *([] if exact_distinct else [F.col(f"distinct{i}").alias("n_distinct")]),
-            F.col(f"mixed{i}").alias("is_mixed"),
-            (null_pct(i) > HIGH_NULL_PCT).alias("high_null"),
+    totals = ["count(1) AS n"]
+    rows = []
+    for i, name in enumerate(df.columns):
+        totals.append(f"count({_filled(df, name)}) AS filled{i}")
+        totals.append(f"{is_mixed(ident(name), type_of(df, name))} AS mixed{i}")
+        if not exact_distinct:
+            totals.append(f"approx_count_distinct({_filled(df, name)}) AS distinct{i}")
+        null_pct = f"try_divide(CAST(n - filled{i} AS DOUBLE), CAST(n AS DOUBLE)) * 100"
+        rows.append(
+            f"named_struct('column', {literal(name)}, 'type', {literal(type_of(df, name).simpleString())}, 'null_pct', {null_pct}, "
+            + ("" if exact_distinct else f"'n_distinct', distinct{i}, ")
+            + f"'is_mixed', mixed{i}, 'high_null', {null_pct} > {HIGH_NULL_PCT}D)"
         )
-        for i, c in enumerate(names)
-    ]
-    profile = totals.where(F.col("n") > 0).select(F.inline(F.array(*rows)))
+    profile = df.agg(*[F.expr(t) for t in totals]).where("n > 0").selectExpr(f"inline(array({', '.join(rows)}))")
     if exact_distinct:
-        counts = distinct_values(df, names)
-        profile = profile.join(counts, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint")))
+        profile = profile.join(distinct_values(df, df.columns), "column", "left")
+        profile = profile.withColumn("n_distinct", F.expr("coalesce(n_distinct, 0L)"))
     return profile.select("column", "type", "null_pct", "n_distinct", "is_mixed", "high_null")
 
 
 def distinct_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(column, n_filled, n_distinct)`` exactly, for columns with at least one value."""
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _filled(df, c).alias("value")) for c in names])))
-    values = cells.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return values.groupBy("column").agg(F.sum("n").alias("n_filled"), F.count(F.lit(1)).alias("n_distinct"))
+    cells = [f"named_struct('column', {literal(n)}, 'value', {_filled(df, n)})" for n in names]
+    values = df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
+    counts = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("column").agg(F.sum("n").alias("n_filled"), F.count(F.lit(1)).alias("n_distinct"))
 
 
 def profile_issues(profile: DataFrame) -> DataFrame:
@@ -80,8 +75,8 @@ def crosstab_candidates(df: DataFrame, key_columns: Sequence[str]) -> DataFrame:
     names = [c for c in df.columns if c not in key_columns]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, n_filled bigint, n_distinct bigint")
-    sketch = df.agg(*[F.approx_count_distinct(_filled(df, c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    likely = [c for i, c in enumerate(names) if sketch[f"c{i}"] <= 4 * MAX_CATEGORIES] or names[:1]
+    sketch = df.agg(*[F.expr(f"approx_count_distinct({_filled(df, c)})") for c in names]).first()
+    likely = [c for c, about in zip(names, sketch) if about <= 4 * MAX_CATEGORIES] or names[:1]
     counts = distinct_values(df, likely)
     few = (F.col("n_distinct") <= MAX_CATEGORIES) & (F.col("n_distinct") < F.col("n_filled") * F.lit(MAX_CATEGORY_SHARE))
     return counts.where(few)

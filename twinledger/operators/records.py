@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import ATOL, RTOL, as_number, numbers_differ, texts_differ
 from ..functions.similarity import similarity, similarity_bound, token_sorted
-from ..functions.text import normal_text, quoted, render, type_of
+from ..functions.text import ident, is_numeric, literal, normal_text, quoted, render, type_of
 from ..spec import MISSING_KEY, MISSING_ROW, Rule, check_columns, key_pairs, rules_from
 from .coercion import Modes, column_pairs, pair_types
 from .keys import KeyPlan, key_overview, key_rows
@@ -41,10 +41,9 @@ ANY_OF_LABELS = Labels("comparison_type", "missing_key", "missing_key")
 
 @dataclass
 class Comparison:
-    """Result of a comparison: the mismatch table, how each pair was handled, and what was found about the keys."""
+    """Result of a comparison: the mismatch table, and what was found about keys and types before it."""
 
     mismatches: DataFrame
-    coercion: DataFrame
     rules: list[Rule]
     plan: KeyPlan
     survey: Survey
@@ -57,6 +56,11 @@ class Comparison:
             return self.mismatches.sparkSession.createDataFrame([self.survey.overview])
         return key_overview(key_rows(*self.sources, self.plan))
 
+    @property
+    def coercion(self) -> DataFrame:
+        """How each pair was handled: value shares over the matched rows, mode and note."""
+        return pair_types(*self.sources, column_pairs(self.rules), self.plan)
+
 
 def compare_records(a: DataFrame, b: DataFrame, keys, columns, **options) -> Comparison:
     """Compare column pairs record by record on single or composite keys.
@@ -123,7 +127,7 @@ def compare(
     if counted:
         shown = COLUMNS + [labels.column]
         found = found.groupBy(*shown).agg(F.sum("n_rows").cast(COUNT_TYPE).alias("n_rows"))
-    return Comparison(found, pair_types(a, b, pairs, plan), rules, plan, survey, (a, b))
+    return Comparison(found, rules, plan, survey, (a, b))
 
 
 class _Engine:
@@ -137,104 +141,120 @@ class _Engine:
 
     def by_full_join(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """All rules in one pass over one join: rows without a finding go before anything is built for them."""
-        slim_a = self.plan.slim(a, "a", [quoted(r.a).alias(f"a{i}") for i, r in enumerate(self.rules)])
-        slim_b = self.plan.slim(
-            b, "b", [quoted(t).alias(f"b{i}_{j}") for i, r in enumerate(self.rules) for j, t in enumerate(r.targets)]
-        )
-        joined = slim_a.withColumn("in_a", F.lit(True)).join(
-            slim_b.withColumn("in_b", F.lit(True)), self.plan.names, "full_outer"
-        )
-        lone = F.col("in_a").isNull() | F.col("in_b").isNull()
-        failed = [self._failed(i) for i in range(len(self.rules))]
-        hit = lone
-        for f in failed:
-            hit = hit | f
+        numbers = range(len(self.rules))
+        slim_a = self.plan.slim(a, "a", [F.expr(c) for i in numbers for c in self._source_columns(i)] + [F.expr("true AS in_a")])
+        slim_b = self.plan.slim(b, "b", [F.expr(c) for i in numbers for c in self._target_columns(i)] + [F.expr("true AS in_b")])
+        joined = slim_a.join(slim_b, self.plan.names, "full_outer")
+        lone = "(in_a IS NULL OR in_b IS NULL)"
+        failed = [self._failed(i) for i in numbers]
         cells = [
-            F.when(failed[i], self._cell(i, j, F.col(f"a{i}"), F.col(f"b{i}_{j}")))
-            for i, r in enumerate(self.rules)
-            for j in range(len(r.targets))
+            f"CASE WHEN {failed[i]} THEN {self._cell(i, j, f'a{i}', f'b{i}_{j}')} END"
+            for i in numbers
+            for j in range(len(self.rules[i].targets))
         ]
-        absent = F.array(self._absent_row(F.col("in_a").isNull()))
-        findings = F.when(lone, absent).otherwise(F.array(*cells)) if cells else F.when(lone, absent)
-        rows = joined.where(hit).select(
-            F.when(F.col("in_a").isNull(), F.lit(MISSING_KEY)).otherwise(self.plan.display).alias("key_df1"),
-            F.when(F.col("in_b").isNull(), F.lit(MISSING_KEY)).otherwise(self.plan.display).alias("key_df2"),
-            F.explode(findings).alias("cell"),
+        findings = f"array({self._absent_row('in_a IS NULL')})"
+        if cells:
+            findings = f"CASE WHEN {lone} THEN {findings} ELSE array({', '.join(cells)}) END"
+        rows = joined.where(" OR ".join([lone, *(f"({f})" for f in failed)])).select(
+            F.when(F.expr("in_a IS NULL"), MISSING_KEY).otherwise(self.plan.display).alias("key_df1"),
+            F.when(F.expr("in_b IS NULL"), MISSING_KEY).otherwise(self.plan.display).alias("key_df2"),
+            F.expr(f"explode({findings}) AS cell"),
         )
-        return self._scored(rows.where(F.col("cell").isNotNull())).select(*self._output())
+        return self._scored(rows.where("cell IS NOT NULL")).selectExpr("key_df1", "key_df2", *self._output())
 
-    def _failed(self, i: int) -> Column:
+    def _numeric(self, i: int, j: int) -> bool:
+        return self.modes[(self.rules[i].a, self.rules[i].targets[j])] == "numeric"
+
+    def _type_a(self, i: int) -> T.DataType:
+        return type_of(self.a, self.rules[i].a)
+
+    def _type_b(self, i: int, j: int) -> T.DataType:
+        return type_of(self.b, self.rules[i].targets[j])
+
+    def _source_columns(self, i: int) -> list[str]:
+        """The raw source value; as a number too if it is a text to be parsed, so that it is parsed once."""
+        x, dtype = ident(self.rules[i].a), self._type_a(i)
+        out = [f"{x} AS a{i}"]
+        if not is_numeric(dtype) and any(self._numeric(i, j) for j in range(len(self.rules[i].targets))):
+            out.append(f"{as_number(x, dtype)} AS a{i}_number")
+        return out
+
+    def _target_columns(self, i: int) -> list[str]:
+        out = []
+        for j, target in enumerate(self.rules[i].targets):
+            x, dtype = ident(target), self._type_b(i, j)
+            out.append(f"{x} AS b{i}_{j}")
+            if not is_numeric(dtype) and self._numeric(i, j):
+                out.append(f"{as_number(x, dtype)} AS b{i}_{j}_number")
+        return out
+
+    def _failed(self, i: int) -> str:
         """True where no target of rule i equals the source value."""
-        rule = self.rules[i]
-        dtype = type_of(self.a, rule.a)
-        out = None
-        for j, target in enumerate(rule.targets):
-            a, b = F.col(f"a{i}"), F.col(f"b{i}_{j}")
-            if self.modes[(rule.a, target)] == "numeric":
-                bad = numbers_differ(as_number(a, dtype), as_number(b, type_of(self.b, target)), self.rtol, self.atol)
+        tests = []
+        type_a, a = self._type_a(i), f"a{i}"
+        for j in range(len(self.rules[i].targets)):
+            type_b, b = self._type_b(i, j), f"b{i}_{j}"
+            if self._numeric(i, j):
+                number_a = as_number(a, type_a) if is_numeric(type_a) else f"{a}_number"
+                number_b = as_number(b, type_b) if is_numeric(type_b) else f"{b}_number"
+                tests.append(numbers_differ(number_a, number_b, self.rtol, self.atol))
             else:
-                bad = texts_differ(normal_text(a, dtype), normal_text(b, type_of(self.b, target)))
-            out = bad if out is None else out & bad
-        return out
+                differ = texts_differ(normal_text(a, type_a), normal_text(b, type_b))
+                # equal as they are: no need to normalise
+                same = f"{a} <=> {b}" if type_a == type_b == T.StringType() else "false"
+                tests.append(f"NOT ({same}) AND {differ}")
+        return " AND ".join(f"({t})" for t in tests)
 
     def _is_fuzzy(self, i: int) -> bool:
-        rule = self.rules[i]
-        return rule.threshold < 100 and self.modes[(rule.a, rule.targets[0])] == "text"
-
-    def _cell(self, i: int, j: int, a: Column, b: Column) -> Column:
-        rule, target = self.rules[i], self.rules[i].targets[j]
-        type_a, type_b = type_of(self.a, rule.a), type_of(self.b, target)
-        fields = [
-            F.lit(rule.a).alias("col_df1"),
-            F.lit(target).alias("col_df2"),
-            render(a, type_a).alias("val_df1"),
-            render(b, type_b).alias("val_df2"),
-            self._label(rule.a, target, render(a, type_a).isNull() | render(b, type_b).isNull()).alias("label"),
-        ]
-        if self._any_fuzzy():
-            fields += self._fuzzy_fields(i, normal_text(a, type_a), normal_text(b, type_b))
-        return F.struct(*fields)
+        return self.rules[i].threshold < 100 and not self._numeric(i, 0)
+
+    def _cell(self, i: int, j: int, a: str, b: str) -> str:
+        type_a, type_b = self._type_a(i), self._type_b(i, j)
+        fuzzy = self._fuzzy_fields(i, normal_text(a, type_a), normal_text(b, type_b))
+        return self._struct(i, j, render(a, type_a), render(b, type_b), fuzzy)
 
-    def _label(self, source: str, target: str, is_missing: Column) -> Column:
+    def _struct(self, i: int, j: int, shown_a: str, shown_b: str, fuzzy: str) -> str:
+        source, target = self.rules[i].a, self.rules[i].targets[j]
+        label = literal(f"{source} vs {target}")
         if self.labels is RECORD_LABELS:
-            return F.when(is_missing, F.lit("Missing Value")).otherwise(F.lit("Value Mismatch"))
-        return F.lit(f"{source} vs {target}")
+            label = f"if(({shown_a}) IS NULL OR ({shown_b}) IS NULL, 'Missing Value', 'Value Mismatch')"
+        return (
+            f"named_struct('col_df1', {literal(source)}, 'col_df2', {literal(target)}, 'val_df1', {shown_a}, "
+            f"'val_df2', {shown_b}, 'label', {label}{fuzzy})"
+        )
 
-    def _absent_row(self, not_in_a: Column) -> Column:
-        label = F.when(not_in_a, F.lit(self.labels.missing_in_a)).otherwise(F.lit(self.labels.missing_in_b))
-        fields = [F.lit(MISSING_ROW).alias(n) for n in COLUMNS[2:]] + [label.alias("label")]
-        if self._any_fuzzy():
-            fields += _no_scoring()
-        return F.struct(*fields)
+    def _absent_row(self, not_in_a: str) -> str:
+        cells = ", ".join(f"'{n}', '{MISSING_ROW}'" for n in COLUMNS[2:])
+        label = f"if({not_in_a}, '{self.labels.missing_in_a}', '{self.labels.missing_in_b}')"
+        return f"named_struct({cells}, 'label', {label}{self._no_scoring()})"
 
     # -- similar texts: only cells that differ and might still pass are scored -------------------
 
     def _any_fuzzy(self) -> bool:
         return any(self._is_fuzzy(i) for i in range(len(self.rules)))
 
-    def _fuzzy_fields(self, i: int, a: Column, b: Column) -> list[Column]:
+    def _no_scoring(self) -> str:
+        nothing = "CAST(NULL AS STRING)"
+        return f", 'text_a', {nothing}, 'text_b', {nothing}, 'threshold', 100" if self._any_fuzzy() else ""
+
+    def _fuzzy_fields(self, i: int, a: str, b: str) -> str:
         if not self._is_fuzzy(i):
-            return _no_scoring()
-        ta, tb = token_sorted(a), token_sorted(b)
-        threshold = self.rules[i].threshold
+            return self._no_scoring()
+        words_a, words_b, threshold = token_sorted(a), token_sorted(b), self.rules[i].threshold
         # 0.5 below the threshold still rounds up to it
-        possible = a.isNotNull() & b.isNotNull() & (F.coalesce(similarity_bound(ta, tb), F.lit(100.0)) >= threshold - 0.5)
-        return [
-            F.when(possible, ta).alias("text_a"),
-            F.when(possible, tb).alias("text_b"),
-            F.lit(threshold).alias("threshold"),
-        ]
+        bound = f"coalesce({similarity_bound(words_a, words_b)} >= {threshold - 0.5}D, true)"
+        wordless = f"length({words_a}) + length({words_b}) = 0"
+        possible = f"{a} <> '' AND {b} <> '' AND ({wordless} OR {bound})"
+        return f", 'text_a', if({possible}, {words_a}, NULL), 'text_b', if({possible}, {words_b}, NULL), 'threshold', {threshold}"
 
     def _scored(self, rows: DataFrame) -> DataFrame:
         if not self._any_fuzzy():
             return rows
-        score = similarity(F.col("cell.text_a"), F.col("cell.text_b"))
-        passes = F.coalesce(F.col("score") >= F.col("cell.threshold"), F.lit(False))
-        return rows.withColumn("score", score).where(~passes).drop("score")
+        scored = rows.withColumn("score", similarity(F.col("cell.text_a"), F.col("cell.text_b")))
+        return scored.where("NOT coalesce(score >= cell.threshold, false)").drop("score")
 
-    def _output(self) -> list[Column]:
-        cells = [F.col(f"cell.{n}").alias(n) for n in COLUMNS[2:]]
-        return [F.col("key_df1"), F.col("key_df2"), *cells, F.col("cell.label").alias(self.labels.column)]
+    def _output(self) -> list[str]:
+        return [f"cell.{n} AS {n}" for n in COLUMNS[2:]] + [f"cell.label AS {self.labels.column}"]
 
     # -- plan 2: keys with very many rows apart --------------------------------------------------
 
@@ -262,107 +282,81 @@ class _Engine:
 
     def _hot_lone(self, keyed: DataFrame, hot: DataFrame, other_count: str, in_a: bool) -> DataFrame:
         """Rows of hot keys that the other side does not have at all."""
-        alone = F.broadcast(hot.where(F.col(other_count) == 0).select(*self.plan.names))
+        alone = F.broadcast(hot.where(f"{other_count} = 0").select(*self.plan.names))
         rows = keyed.join(alone, self.plan.names, "left_semi").select(
             (self.plan.display if in_a else F.lit(MISSING_KEY)).alias("key_df1"),
             (F.lit(MISSING_KEY) if in_a else self.plan.display).alias("key_df2"),
-            self._absent_row(F.lit(not in_a)).alias("cell"),
+            F.expr(f"{self._absent_row('false' if in_a else 'true')} AS cell"),
         )
-        return rows.select(*self._output())
+        return rows.selectExpr("key_df1", "key_df2", *self._output())
 
     def _hot_cells(self, keyed_a: DataFrame, keyed_b: DataFrame, keys: DataFrame, counted: bool) -> DataFrame:
         """Compare the distinct values of each rule within a hot key, and count what they stand for."""
-        names = self.plan.names
-        sources = F.array(*[self._source_struct(i) for i in range(len(self.rules))])
-        targets = F.array(*[self._target_struct(i) for i in range(len(self.rules))])
-        side_a = keyed_a.join(keys, names, "left_semi").select(*names, F.inline(sources))
-        side_b = keyed_b.join(keys, names, "left_semi").select(*names, F.inline(targets))
+        names, numbers = self.plan.names, range(len(self.rules))
+        sources = f"inline(array({', '.join(self._source_struct(i) for i in numbers)}))"
+        targets = f"inline(array({', '.join(self._target_struct(i) for i in numbers)}))"
+        side_a = keyed_a.join(keys, names, "left_semi").selectExpr(*names, sources)
+        side_b = keyed_b.join(keys, names, "left_semi").selectExpr(*names, targets)
         values_a = side_a.groupBy(*names, "rule", "raw_a", "text_a", "num_a").agg(F.count(F.lit(1)).alias("n_a"))
         values_b = side_b.groupBy(*names, "rule", "raw_b", "text_b", "num_b").agg(F.count(F.lit(1)).alias("n_b"))
 
-        numbers = F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))
-        part = lambda c: F.pmod(F.xxhash64(c), F.lit(HOT_PARTS)).cast("int")
-        cut_a = values_a.select("*", part("raw_a").alias("part_a"), F.explode(numbers).alias("part_b"))
-        cut_b = values_b.select("*", part("raw_b").alias("part_b"), F.explode(numbers).alias("part_a"))
+        every = f"explode(sequence(0, {HOT_PARTS - 1}))"
+        part = f"CAST(pmod(xxhash64({{}}), {HOT_PARTS}) AS INT)"
+        cut_a = values_a.selectExpr("*", f"{part.format('raw_a')} AS part_a", f"{every} AS part_b")
+        cut_b = values_b.selectExpr("*", f"{part.format('raw_b')} AS part_b", f"{every} AS part_a")
         met = cut_a.join(cut_b, [*names, "rule", "part_a", "part_b"], "inner")
 
-        failed, cells = F.lit(False), None
-        for i in range(len(self.rules)):
-            here = F.col("rule") == i
-            failed = F.when(here, self._hot_failed(i)).otherwise(failed)
-            made = F.array(*[self._hot_cell(i, j) for j in range(len(self.rules[i].targets))])
-            cells = F.when(here, made) if cells is None else cells.when(here, made)
-        rows = met.where(failed).select(
-            self.plan.display.alias("key_df1"), self.plan.display.alias("key_df2"),
-            "n_a", "n_b", F.explode(cells).alias("cell"),
+        failed = " ".join(f"WHEN rule = {i} THEN {self._hot_failed(i)}" for i in numbers)
+        cells = " ".join(
+            f"WHEN rule = {i} THEN array({', '.join(self._hot_cell(i, j) for j in range(len(self.rules[i].targets)))})"
+            for i in numbers
+        )
+        rows = met.where(f"CASE {failed} END").select(
+            self.plan.display.alias("key_df1"), self.plan.display.alias("key_df2"), "n_a", "n_b",
+            F.expr(f"explode(CASE {cells} END) AS cell"),
         )
         rows = self._scored(rows)
         if counted:
-            product = F.col("n_a").cast("decimal(18,0)") * F.col("n_b").cast("decimal(18,0)")
-            return rows.select(*self._output(), product.cast(COUNT_TYPE).alias("n_rows"))
-        repeated = rows.withColumn("again_a", F.explode(F.sequence(F.lit(1), F.col("n_a"))))
-        repeated = repeated.withColumn("again_b", F.explode(F.sequence(F.lit(1), F.col("n_b"))))
-        return repeated.select(*self._output())
-
-    def _source_struct(self, i: int) -> Column:
-        rule = self.rules[i]
-        c, dtype = quoted(rule.a), type_of(self.a, rule.a)
-        modes = {self.modes[(rule.a, t)] for t in rule.targets}
-        return F.struct(
-            F.lit(i).alias("rule"),
-            render(c, dtype).alias("raw_a"),
-            (normal_text(c, dtype) if "text" in modes else F.lit(None).cast(T.StringType())).alias("text_a"),
-            (as_number(c, dtype) if "numeric" in modes else F.lit(None).cast(T.DoubleType())).alias("num_a"),
-        )
-
-    def _target_struct(self, i: int) -> Column:
-        rule = self.rules[i]
-        raws, texts, nums = [], [], []
-        for t in rule.targets:
-            c, dtype = quoted(t), type_of(self.b, t)
-            numeric = self.modes[(rule.a, t)] == "numeric"
-            raws.append(render(c, dtype))
-            texts.append(F.lit(None).cast(T.StringType()) if numeric else normal_text(c, dtype))
-            nums.append(as_number(c, dtype) if numeric else F.lit(None).cast(T.DoubleType()))
-        return F.struct(
-            F.lit(i).alias("rule"), F.array(*raws).alias("raw_b"), F.array(*texts).alias("text_b"),
-            F.array(*nums).alias("num_b"),
-        )
-
-    def _hot_failed(self, i: int) -> Column:
-        rule, out = self.rules[i], None
-        for j, target in enumerate(rule.targets):
-            if self.modes[(rule.a, target)] == "numeric":
-                bad = numbers_differ(F.col("num_a"), F.col("num_b")[j], self.rtol, self.atol)
-            else:
-                bad = texts_differ(F.col("text_a"), F.col("text_b")[j])
-            out = bad if out is None else out & bad
-        return out
-
-    def _hot_cell(self, i: int, j: int) -> Column:
-        rule, target = self.rules[i], self.rules[i].targets[j]
-        raw_a, raw_b = F.col("raw_a"), F.col("raw_b")[j]
-        fields = [
-            F.lit(rule.a).alias("col_df1"),
-            F.lit(target).alias("col_df2"),
-            raw_a.alias("val_df1"),
-            raw_b.alias("val_df2"),
-            self._label(rule.a, target, raw_a.isNull() | raw_b.isNull()).alias("label"),
+            product = f"CAST(CAST(n_a AS DECIMAL(18,0)) * CAST(n_b AS DECIMAL(18,0)) AS {COUNT_TYPE}) AS n_rows"
+            return rows.selectExpr("key_df1", "key_df2", *self._output(), product)
+        repeated = rows.withColumn("again_a", F.expr("explode(sequence(1L, n_a))"))
+        repeated = repeated.withColumn("again_b", F.expr("explode(sequence(1L, n_b))"))
+        return repeated.selectExpr("key_df1", "key_df2", *self._output())
+
+    def _source_struct(self, i: int) -> str:
+        x, dtype = ident(self.rules[i].a), self._type_a(i)
+        numeric = [self._numeric(i, j) for j in range(len(self.rules[i].targets))]
+        text = "CAST(NULL AS STRING)" if all(numeric) else normal_text(x, dtype)
+        number = as_number(x, dtype) if any(numeric) else "CAST(NULL AS DOUBLE)"
+        return f"named_struct('rule', {i}, 'raw_a', {render(x, dtype)}, 'text_a', {text}, 'num_a', {number})"
+
+    def _target_struct(self, i: int) -> str:
+        raws, texts, numbers = [], [], []
+        for j, target in enumerate(self.rules[i].targets):
+            x, dtype = ident(target), self._type_b(i, j)
+            raws.append(render(x, dtype))
+            texts.append("CAST(NULL AS STRING)" if self._numeric(i, j) else normal_text(x, dtype))
+            numbers.append(as_number(x, dtype) if self._numeric(i, j) else "CAST(NULL AS DOUBLE)")
+        lists = [f"array({', '.join(items)})" for items in (raws, texts, numbers)]
+        return f"named_struct('rule', {i}, 'raw_b', {lists[0]}, 'text_b', {lists[1]}, 'num_b', {lists[2]})"
+
+    def _hot_failed(self, i: int) -> str:
+        tests = [
+            numbers_differ("num_a", f"num_b[{j}]", self.rtol, self.atol) if self._numeric(i, j)
+            else texts_differ("text_a", f"text_b[{j}]")
+            for j in range(len(self.rules[i].targets))
         ]
-        if self._any_fuzzy():
-            fields += self._fuzzy_fields(i, F.col("text_a"), F.col("text_b")[j])
-        return F.struct(*fields)
+        return " AND ".join(f"({t})" for t in tests)
+
+    def _hot_cell(self, i: int, j: int) -> str:
+        fuzzy = self._fuzzy_fields(i, "text_a", f"text_b[{j}]")
+        return self._struct(i, j, "raw_a", f"raw_b[{j}]", fuzzy)
 
 
 def _once() -> Column:
     return F.lit(1).cast(COUNT_TYPE)
 
 
-def _no_scoring() -> list[Column]:
-    nothing = F.lit(None).cast(T.StringType())
-    return [nothing.alias("text_a"), nothing.alias("text_b"), F.lit(100).alias("threshold")]
-
-
 def matched_rows(a: DataFrame, b: DataFrame, keys, columns_a: Sequence[str], columns_b: Sequence[str], **key_options) -> DataFrame:
     """Rows found on both sides, with the wanted columns (B's get the suffix ``_b`` where the names clash)."""
     plan = KeyPlan.of(a, b, key_pairs(keys), **key_options)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_number
-from ..functions.text import quoted, type_of
+from ..functions.text import ident, literal, type_of
 from ..spec import rules_from
 from .coercion import column_pairs
 from .rows import side_by_side
@@ -17,15 +17,11 @@ from .survey import modes_only
 METRICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def _measures(number: Column, approximate: bool) -> list[Column]:
-    quartiles = [0.25, 0.5, 0.75]
-    if approximate:
-        parts = F.percentile_approx(number, quartiles, 100_000)
-    else:
-        parts = F.percentile(number, F.array(*[F.lit(q) for q in quartiles]))
+def _measures(x: str, approximate: bool) -> list[str]:
+    quartiles = f"percentile_approx({x}, array(0.25, 0.5, 0.75), 100000)" if approximate else f"percentile({x}, array(0.25, 0.5, 0.75))"
     return [
-        F.count(number).cast("double"), F.avg(number), F.stddev_samp(number), F.min(number),
-        parts[0], parts[1], parts[2], F.max(number),
+        f"CAST(count({x}) AS DOUBLE)", f"avg({x})", f"stddev_samp({x})", f"min({x})",
+        f"{quartiles}[0]", f"{quartiles}[1]", f"{quartiles}[2]", f"max({x})",
     ]
 
 
@@ -49,25 +45,20 @@ def compare_statistics(
             name = pair[0] if side == "a" else pair[1]
             if chosen[pair] != "numeric":
                 continue
-            number = as_number(quoted(name), type_of(frame, name))
-            aggregates += [m.alias(f"{side}{i}_{k}") for k, m in enumerate(_measures(number, approximate_quartiles))]
+            number = as_number(ident(name), type_of(frame, name))
+            aggregates += [F.expr(f"{m} AS {side}{i}_{k}") for k, m in enumerate(_measures(number, approximate_quartiles))]
         if aggregates:
             sides.append(frame.agg(*aggregates))
     rows = [_metric_row(chosen[p] == "numeric", p[0], i, k) for i, p in enumerate(pairs) for k in range(len(METRICS))]
     base = side_by_side(*sides) if sides else a.sparkSession.range(1)
-    return base.select(F.inline(F.array(*rows)))
+    return base.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _metric_row(numeric: bool, column: str, i: int, k: int) -> Column:
-    nothing = F.lit(None).cast("double")
-    value_a, value_b = (F.col(f"a{i}_{k}"), F.col(f"b{i}_{k}")) if numeric else (nothing, nothing)
-    return F.struct(
-        F.lit(column).alias("column"),
-        F.lit(METRICS[k]).alias("metric"),
-        value_a.alias("a"),
-        value_b.alias("b"),
-        (value_a - value_b).alias("abs_diff"),
-        F.try_divide(value_a - value_b, value_b).alias("rel_diff"),
+def _metric_row(numeric: bool, column: str, i: int, k: int) -> str:
+    a, b = (f"a{i}_{k}", f"b{i}_{k}") if numeric else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
+    return (
+        f"named_struct('column', {literal(column)}, 'metric', '{METRICS[k]}', 'a', {a}, 'b', {b}, "
+        f"'abs_diff', {a} - {b}, 'rel_diff', try_divide({a} - {b}, {b}))"
     )
 
 

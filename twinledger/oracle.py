@@ -225,8 +225,8 @@ ORACLE: dict[str, str] = {
                                "TRY_CAST(nation AS DOUBLE) AS nation FROM customer_b",
     "type_overrides": f"{with_sql('orders_a')} SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_custkey, o_totalprice, "
                       "CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM orders_a",
-    "normalise_text": f"{with_sql('customer_b')} SELECT cust_id, upper({text('segment')}) AS segment_text, "
-                      f"upper({text('cust_id')}) AS cust_text FROM customer_b",
+    "normalise_text": f"{with_sql('customer_b')} SELECT cust_id, coalesce(upper({text('segment')}), '') AS segment_text, "
+                      f"{text('segment')} AS segment_shown FROM customer_b",
     "blank_values": f"{with_sql('orders_b')} SELECT " + ", ".join(
         f"count(*) FILTER ({strip(c)} = '') AS {c}_blanks" for c in ("order_id", "customer", "status", "total", "priority"))
         + " FROM orders_b",

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import locale_number
-from ..functions.text import NULL_TOKENS, drop_null_tokens, quoted, strip
+from ..functions.text import NULL_TOKENS, drop_null_tokens, ident, literal, strip
 from .hygiene import clean_names, finish
 
 # The delimiters tried in turn, the lines looked at for a header, the most rows left out.
@@ -51,16 +51,21 @@ def _all_text(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _decoded(encoding: str) -> Column:
-    value = F.col("value")
-    return value if encoding == UTF8 else F.decode(value.cast("binary"), encoding)
+def decoded_lines(spark: SparkSession, path: str, encoding: str, *more: str) -> DataFrame:
+    """The lines of the files as text. Spark reads lines as bytes, so other encodings are decoded here."""
+    value = "value" if encoding == UTF8 else f"decode(CAST(value AS BINARY), '{encoding}') AS value"
+    return spark.read.text(path).selectExpr(*more, value)
 
 
 def _first_line(spark: SparkSession, path: str, encoding: str) -> str:
-    lines = spark.read.text(path).select(_decoded(encoding).alias("value")).where(strip(F.col("value")) != "").head(1)
+    lines = decoded_lines(spark, path, encoding).where(f"{strip('value')} <> ''").head(1)
     if not lines:
         raise ValueError(f"no header line in {path}")
-    return lines[0]["value"].removeprefix("﻿").rstrip("\r")
+    return _clean_header(lines[0]["value"])
+
+
+def _clean_header(line: str) -> str:
+    return line.removeprefix("\ufeff").rstrip("\r")
 
 
 def _split(line: str, sep: str, spark: SparkSession) -> list[str]:
@@ -75,10 +80,9 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = UTF8) -> Data
     A file is read in blocks by many tasks. Within a block lines keep their order; counting the lines of each
     block gives the number of its first line. Only block counts are gathered, never lines.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        _decoded(encoding).alias("value"),
-    ).where(strip(F.col("value")) != "").withColumn("at", F.monotonically_increasing_id())
+    lines = decoded_lines(
+        spark, path, encoding, "_metadata.file_path AS file", "_metadata.file_block_start AS block"
+    ).where(f"{strip('value')} <> ''").withColumn("at", F.monotonically_increasing_id())
     blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
     of_file = Window.partitionBy("file")
     before = F.sum("n").over(of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
@@ -94,10 +98,8 @@ def header_search(lines: DataFrame) -> DataFrame:
 
     ``lines`` is ``(line_no, value)`` of one file; the delimiter of a line is the one that gives most fields.
     """
-    counts = [
-        F.size(F.filter(F.split("value", "\\Q" + d + "\\E"), lambda x: strip(x) != "")) for d in DELIMITERS
-    ]
-    filled = lines.where(F.col("line_no") < HEADER_SEARCH_LINES).select("line_no", F.greatest(*counts).alias("fields"))
+    counts = [f"size(filter(split(value, {literal(chr(92) + 'Q' + d + chr(92) + 'E')}), x -> {strip('x')} <> ''))" for d in DELIMITERS]
+    filled = lines.where(f"line_no < {HEADER_SEARCH_LINES}").selectExpr("line_no", f"greatest({', '.join(counts)}) AS fields")
     return filled.agg(
         F.max_by("line_no", F.struct(F.col("fields"), -F.col("line_no"))).alias("header_row"), F.max("fields").alias("fields")
     )
@@ -128,7 +130,7 @@ def read_text(
     found = top.where(F.col("line_no") == int(header_row)).select("value").head(1)
     if not found:
         raise ValueError(f"{path} has no line {header_row}")
-    header = found[0]["value"].removeprefix("﻿").rstrip("\r")
+    header = _clean_header(found[0]["value"])
     splits = [(d, _split(header, d, spark)) for d in DELIMITERS]
     sep, fields = next(((d, f) for d, f in splits if len(f) > 1), splits[1])
     names = clean_names(fields)
@@ -141,23 +143,19 @@ def read_text(
 
 
 def _ddl(names: Sequence[str]) -> str:
-    return ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
+    return ", ".join(f"{ident(n)} STRING" for n in names)
 
 
 def _typed(rows: DataFrame, locale: str, type_hint: str) -> DataFrame:
     if type_hint == "text":
         return rows
     if type_hint == "numeric":
-        return rows.withColumns({c: locale_number(quoted(c), locale) for c in rows.columns})
+        return rows.withColumns({c: F.expr(locale_number(ident(c), locale)) for c in rows.columns})
     # Leading zeros mark identifiers: such a column stays text.
     counts = rows.agg(*[
-        F.struct(
-            F.count(quoted(c)).alias("filled"), F.count(locale_number(quoted(c), locale)).alias("numbers"),
-            F.count_if(strip(quoted(c)).rlike(r"^0\d")).alias("zeros"),
-        ).alias(f"c{i}") for i, c in enumerate(rows.columns)
+        F.expr(f"count({ident(c)}) > 0 AND count({ident(c)}) = count({locale_number(ident(c), locale)}) "
+               f"AND NOT bool_or(coalesce(rlike({strip(ident(c))}, r'^0[0-9]'), false))")
+        for c in rows.columns
     ]).first()
-    numeric = [
-        c for i, c in enumerate(rows.columns)
-        if counts[i]["filled"] > 0 and counts[i]["filled"] == counts[i]["numbers"] and counts[i]["zeros"] == 0
-    ]
-    return rows.withColumns({c: locale_number(quoted(c), locale) for c in numeric}) if numeric else rows
+    numeric = [c for c, yes in zip(rows.columns, counts) if yes]
+    return rows.withColumns({c: F.expr(locale_number(ident(c), locale)) for c in numeric}) if numeric else rows

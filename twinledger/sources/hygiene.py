@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITESPACE, quoted, render, type_of
+from ..functions.text import WHITESPACE, ident, quoted, render, type_of
 
 
 def clean_names(names: Sequence) -> list[str]:
@@ -26,13 +26,9 @@ def trim_names(df: DataFrame) -> DataFrame:
 
 def empty_columns(df: DataFrame) -> list[str]:
     """Columns without any value, found in one pass over all columns (an empty table has none)."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(render(quoted(c), type_of(df, c))).alias(f"c{i}") for i, c in enumerate(df.columns)],
-    ).first()
-    if counts["rows"] == 0:
-        return []
-    return [c for i, c in enumerate(df.columns) if counts[f"c{i}"] == 0]
+    filled = [F.expr(f"count({render(ident(c), type_of(df, c))})") for c in df.columns]
+    rows, *counts = df.agg(F.count(F.lit(1)), *filled).first()
+    return [c for c, n in zip(df.columns, counts) if n == 0] if rows else []
 
 
 def drop_empty_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
