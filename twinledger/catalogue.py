@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .functions.numbers import locale_number
+from .functions.numbers import locale_text, with_parsed
 from .functions.text import drop_null_tokens, is_blank, normal_text, present_text, type_of
 from .operators import coercion, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
@@ -134,7 +134,7 @@ def null_tokens(spark, sf_dir):
 
 def locale_numbers(spark, sf_dir):
     prices = fx.derived(spark, sf_dir, "european_prices")
-    return prices.selectExpr("l_orderkey", "l_linenumber", f"{locale_number('price_text', 'EU')} AS price")
+    return with_parsed(prices, {"price": locale_text("price_text", "EU")}).select("l_orderkey", "l_linenumber", "price")
 
 
 def fixed_width_field_table(spark, sf_dir):

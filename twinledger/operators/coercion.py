@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import as_number, is_identifier, parse_number, parse_stripped
-from ..functions.text import INTEGRAL, ident, is_numeric, literal, present_text, quoted, render, strip, type_of
+from ..functions.text import INTEGRAL, ident, is_numeric, literal, present_text, quoted, render, stripped, type_of
 from ..spec import Rule
 from .keys import KeyPlan
 from .rows import side_by_side
@@ -33,7 +33,7 @@ def column_pairs(rules: Sequence[Rule]) -> list[tuple[str, str]]:
     return [(r.a, t) for r in rules for t in r.targets]
 
 
-def _with_values(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def with_values(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The columns as their trimmed text ``t0, t1, …`` and their number ``v0, v1, …``.
 
     Two projections, so that every value is trimmed and parsed once, however many facts are taken from it.
@@ -44,14 +44,14 @@ def _with_values(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ())
         if is_numeric(dtype):
             first.append(f"{as_number(x, dtype)} AS v{i}")
             continue
-        first.append(f"{strip(render(x, dtype))} AS t{i}")
+        first.append(f"{stripped(x, dtype)} AS t{i}")
         second[f"v{i}"] = F.expr(parse_stripped(f"t{i}") if isinstance(dtype, T.StringType) else "CAST(NULL AS DOUBLE)")
     values = df.selectExpr(*keep, *first)
     return values.withColumns(second) if second else values
 
 
 def _facts(df: DataFrame, names: Sequence[str], side: str) -> list[Column]:
-    """Counts over a group of rows of ``_with_values``: filled values, identifiers, numbers, blanks."""
+    """Counts over a group of rows of ``with_values``: filled values, identifiers, numbers, blanks."""
     out = []
     for i, name in enumerate(names):
         if is_numeric(type_of(df, name)):
@@ -71,7 +71,7 @@ def key_facts(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]], plan
     sides = []
     for frame, side, names in ((a, "a", _sources(pairs)), (b, "b", _targets(pairs))):
         keyed = plan.slim(frame, side, [quoted(n) for n in names])
-        values = _with_values(keyed, names, plan.names)
+        values = with_values(keyed, names, plan.names)
         sides.append(values.groupBy(*plan.names).agg(F.count(F.lit(1)).alias(f"n_{side}"), *_facts(frame, names, side)))
     joined = sides[0].join(sides[1], plan.names, "full_outer")
     return joined.withColumns({n: F.expr(f"coalesce({n}, 0L)") for n in ("n_a", "n_b")})
@@ -106,7 +106,7 @@ def pair_types(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]], pla
     else:
         whole = []
         for df, side, names in ((a, "a", _sources(pairs)), (b, "b", _targets(pairs))):
-            counts = _with_values(df, names).agg(*_facts(df, names, side))
+            counts = with_values(df, names).agg(*_facts(df, names, side))
             whole.append(counts.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in counts.columns]))
         totals = side_by_side(*whole)
     return with_decision(totals.select(pair_rows(pairs)))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import INTEGRAL, ident, quoted, render, strip, type_of
+from ..functions.text import INTEGRAL, ident, quoted, stripped, type_of
 from ..spec import MISSING_KEY
 
 NULL_KEY = "<NULL>"
@@ -62,7 +62,7 @@ class KeyPlan:
                 out.append(F.expr(f"coalesce(CAST({x} AS BIGINT), 0L) AS __key{i}"))
                 out.append(F.expr(f"isnull({x}) AS __key{i}_null"))
             else:
-                text = strip(render(x, type_of(df, name)))
+                text = stripped(x, type_of(df, name))
                 text = text if self.case_sensitive else f"upper({text})"
                 out.append(F.expr(f"coalesce({text}, '{NULL_KEY}') AS __key{i}"))
         return out

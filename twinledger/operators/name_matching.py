@@ -105,7 +105,8 @@ def _against_list(open_names: DataFrame, wordings: DataFrame, threshold: int) ->
                     found.append((name, top_name, top))
             yield pd.DataFrame(found, columns=["left_name", "right_name", "score"])
 
-    return open_names.mapInPandas(best, BEST)
+    # scoring is slow per name, so names are dealt out to all cores
+    return open_names.repartition(open_names.sparkSession.sparkContext.defaultParallelism).mapInPandas(best, BEST)
 
 
 def _against_table(open_names: DataFrame, wordings: DataFrame, threshold: int) -> DataFrame:

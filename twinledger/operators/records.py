@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import ATOL, RTOL, as_number, numbers_differ, texts_differ
+from ..functions.numbers import ATOL, RTOL, as_number, numbers_differ, texts_differ, with_parsed
 from ..functions.similarity import similarity, similarity_bound, token_sorted
-from ..functions.text import ident, is_numeric, literal, normal_text, quoted, render, type_of
+from ..functions.text import ident, is_missing, is_numeric, literal, normal_text, quoted, render, stripped, type_of
 from ..spec import MISSING_KEY, MISSING_ROW, Rule, check_columns, key_pairs, rules_from
 from .coercion import Modes, column_pairs, pair_types
 from .keys import KeyPlan, key_overview, key_rows
@@ -142,8 +142,10 @@ class _Engine:
     def by_full_join(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """All rules in one pass over one join: rows without a finding go before anything is built for them."""
         numbers = range(len(self.rules))
-        slim_a = self.plan.slim(a, "a", [F.expr(c) for i in numbers for c in self._source_columns(i)] + [F.expr("true AS in_a")])
-        slim_b = self.plan.slim(b, "b", [F.expr(c) for i in numbers for c in self._target_columns(i)] + [F.expr("true AS in_b")])
+        slim_a = self.plan.slim(a, "a", [F.expr(f"{ident(r.a)} AS a{i}") for i, r in enumerate(self.rules)])
+        slim_b = self.plan.slim(b, "b", [F.expr(f"{ident(t)} AS b{i}_{j}") for i, r in enumerate(self.rules) for j, t in enumerate(r.targets)])
+        slim_a = with_parsed(slim_a, self._texts_to_parse_a()).withColumn("in_a", F.lit(True))
+        slim_b = with_parsed(slim_b, self._texts_to_parse_b()).withColumn("in_b", F.lit(True))
         joined = slim_a.join(slim_b, self.plan.names, "full_outer")
         lone = "(in_a IS NULL OR in_b IS NULL)"
         failed = [self._failed(i) for i in numbers]
@@ -171,22 +173,21 @@ class _Engine:
     def _type_b(self, i: int, j: int) -> T.DataType:
         return type_of(self.b, self.rules[i].targets[j])
 
-    def _source_columns(self, i: int) -> list[str]:
-        """The raw source value; as a number too if it is a text to be parsed, so that it is parsed once."""
-        x, dtype = ident(self.rules[i].a), self._type_a(i)
-        out = [f"{x} AS a{i}"]
-        if not is_numeric(dtype) and any(self._numeric(i, j) for j in range(len(self.rules[i].targets))):
-            out.append(f"{as_number(x, dtype)} AS a{i}_number")
-        return out
-
-    def _target_columns(self, i: int) -> list[str]:
-        out = []
-        for j, target in enumerate(self.rules[i].targets):
-            x, dtype = ident(target), self._type_b(i, j)
-            out.append(f"{x} AS b{i}_{j}")
-            if not is_numeric(dtype) and self._numeric(i, j):
-                out.append(f"{as_number(x, dtype)} AS b{i}_{j}_number")
-        return out
+    def _texts_to_parse_a(self) -> dict[str, str]:
+        """Text columns compared as numbers are parsed once per row, before the join multiplies rows."""
+        return {
+            f"a{i}_number": stripped(f"a{i}", self._type_a(i))
+            for i, rule in enumerate(self.rules)
+            if not is_numeric(self._type_a(i)) and any(self._numeric(i, j) for j in range(len(rule.targets)))
+        }
+
+    def _texts_to_parse_b(self) -> dict[str, str]:
+        return {
+            f"b{i}_{j}_number": stripped(f"b{i}_{j}", self._type_b(i, j))
+            for i, rule in enumerate(self.rules)
+            for j in range(len(rule.targets))
+            if not is_numeric(self._type_b(i, j)) and self._numeric(i, j)
+        }
 
     def _failed(self, i: int) -> str:
         """True where no target of rule i equals the source value."""
@@ -211,13 +212,14 @@ class _Engine:
     def _cell(self, i: int, j: int, a: str, b: str) -> str:
         type_a, type_b = self._type_a(i), self._type_b(i, j)
         fuzzy = self._fuzzy_fields(i, normal_text(a, type_a), normal_text(b, type_b))
-        return self._struct(i, j, render(a, type_a), render(b, type_b), fuzzy)
+        missing = f"{is_missing(a, type_a)} OR {is_missing(b, type_b)}"
+        return self._struct(i, j, render(a, type_a), render(b, type_b), missing, fuzzy)
 
-    def _struct(self, i: int, j: int, shown_a: str, shown_b: str, fuzzy: str) -> str:
+    def _struct(self, i: int, j: int, shown_a: str, shown_b: str, missing: str, fuzzy: str) -> str:
         source, target = self.rules[i].a, self.rules[i].targets[j]
         label = literal(f"{source} vs {target}")
         if self.labels is RECORD_LABELS:
-            label = f"if(({shown_a}) IS NULL OR ({shown_b}) IS NULL, 'Missing Value', 'Value Mismatch')"
+            label = f"if({missing}, 'Missing Value', 'Value Mismatch')"
         return (
             f"named_struct('col_df1', {literal(source)}, 'col_df2', {literal(target)}, 'val_df1', {shown_a}, "
             f"'val_df2', {shown_b}, 'label', {label}{fuzzy})"
@@ -350,7 +352,7 @@ class _Engine:
 
     def _hot_cell(self, i: int, j: int) -> str:
         fuzzy = self._fuzzy_fields(i, "text_a", f"text_b[{j}]")
-        return self._struct(i, j, "raw_a", f"raw_b[{j}]", fuzzy)
+        return self._struct(i, j, "raw_a", f"raw_b[{j}]", f"raw_a IS NULL OR raw_b[{j}] IS NULL", fuzzy)
 
 
 def _once() -> Column:

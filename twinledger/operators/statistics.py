@@ -2,64 +2,156 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import as_number
-from ..functions.text import ident, literal, type_of
 from ..spec import rules_from
-from .coercion import column_pairs
-from .rows import side_by_side
+from .coercion import column_pairs, with_values
 from .survey import modes_only
 
 METRICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
+QUARTILES = (0.25, 0.5, 0.75)
 
+# Relative rank error of the sketch that brackets a quartile, and the values a bracket may hold when it is sorted.
+SKETCH_ACCURACY = 10_000
+BRACKET_VALUES = 100_000
+MAX_ROUNDS = 10
 
-def _measures(x: str, approximate: bool) -> list[str]:
-    quartiles = f"percentile_approx({x}, array(0.25, 0.5, 0.75), 100000)" if approximate else f"percentile({x}, array(0.25, 0.5, 0.75))"
-    return [
-        f"CAST(count({x}) AS DOUBLE)", f"avg({x})", f"stddev_samp({x})", f"min({x})",
-        f"{quartiles}[0]", f"{quartiles}[1]", f"{quartiles}[2]", f"max({x})",
-    ]
+STATISTICS = "column string, metric string, a double, b double, abs_diff double, rel_diff double"
 
 
 def compare_statistics(
-    a: DataFrame, b: DataFrame, columns, modes: Mapping | None = None, approximate_quartiles: bool = False
+    a: DataFrame, b: DataFrame, columns, modes: Mapping | None = None, bracket_values: int = BRACKET_VALUES
 ) -> DataFrame:
     """``(column, metric, a, b, abs_diff, rel_diff)``: differences A - B, and relative to B as a fraction.
 
-    Pairs that do not compare as numbers have NULLs. Each side is read once for all pairs. Exact quartiles
-    keep every distinct value in one aggregation buffer per column; ``approximate_quartiles`` bounds it.
+    Pairs that do not compare as numbers have NULLs. Each pass reads a side once for all pairs, and the driver
+    gets single numbers only.
     """
-    rules = rules_from(columns)
-    pairs = column_pairs(rules)
+    pairs = column_pairs(rules_from(columns))
     _check(a, b, pairs)
     open_pairs = [p for p in pairs if p not in (modes or {})]
     chosen = {**modes_only(a, b, None, open_pairs), **dict(modes or {})}
-    sides = []
-    for frame, side in ((a, "a"), (b, "b")):
-        aggregates = []
-        for i, pair in enumerate(pairs):
-            name = pair[0] if side == "a" else pair[1]
-            if chosen[pair] != "numeric":
-                continue
-            number = as_number(ident(name), type_of(frame, name))
-            aggregates += [F.expr(f"{m} AS {side}{i}_{k}") for k, m in enumerate(_measures(number, approximate_quartiles))]
-        if aggregates:
-            sides.append(frame.agg(*aggregates))
-    rows = [_metric_row(chosen[p] == "numeric", p[0], i, k) for i, p in enumerate(pairs) for k in range(len(METRICS))]
-    base = side_by_side(*sides) if sides else a.sparkSession.range(1)
-    return base.selectExpr(f"inline(array({', '.join(rows)}))")
-
-
-def _metric_row(numeric: bool, column: str, i: int, k: int) -> str:
-    a, b = (f"a{i}_{k}", f"b{i}_{k}") if numeric else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
-    return (
-        f"named_struct('column', {literal(column)}, 'metric', '{METRICS[k]}', 'a', {a}, 'b', {b}, "
-        f"'abs_diff', {a} - {b}, 'rel_diff', try_divide({a} - {b}, {b}))"
+    numeric = [p for p in pairs if chosen[p] == "numeric"]
+    described_a = describe_numbers(a, [p for p, _ in numeric], bracket_values)
+    described_b = describe_numbers(b, [q for _, q in numeric], bracket_values)
+    rows = []
+    for pair in pairs:
+        values_a = described_a.get(pair[0]) if pair in numeric else None
+        values_b = described_b.get(pair[1]) if pair in numeric else None
+        for k, metric in enumerate(METRICS):
+            x, y = (values_a[k], values_b[k]) if values_a and values_b else (None, None)
+            gap = None if x is None or y is None else x - y
+            rows.append((pair[0], metric, x, y, gap, None if gap is None or y == 0 else gap / y))
+    return a.sparkSession.createDataFrame(rows, STATISTICS)
+
+
+def describe_numbers(df: DataFrame, names: Sequence[str], bracket_values: int = BRACKET_VALUES) -> dict[str, tuple]:
+    """The metrics of every column as numbers: sample deviation, exact quartiles with linear interpolation."""
+    names = list(dict.fromkeys(names))
+    if not names:
+        return {}
+    values = with_values(df, names).select(*[f"v{i}" for i in range(len(names))])
+    around = [p for q in QUARTILES for p in (max(0.0, q - 2 / SKETCH_ACCURACY), min(1.0, q + 2 / SKETCH_ACCURACY))]
+    forms = ("count({v})", "avg({v})", "stddev_samp({v})", "min({v})", "max({v})",
+             f"percentile_approx({{v}}, array({', '.join(map(str, around))}), {SKETCH_ACCURACY})")
+    found = values.agg(*[F.expr(form.format(v=f"v{i}")) for i in range(len(names)) for form in forms]).first()
+    facts = {i: found[i * len(forms):(i + 1) * len(forms)] for i in range(len(names))}
+    brackets = {}
+    for i, (n, _, _, low, high, near) in facts.items():
+        for k, q in enumerate(QUARTILES):
+            if n:
+                brackets[(i, k)] = _Bracket(i, (n - 1) * q, near[2 * k], near[2 * k + 1], low, high)
+    _settle(values, list(brackets.values()), bracket_values)
+    return {
+        name: (
+            float(facts[i][0]), facts[i][1], facts[i][2], facts[i][3],
+            *[brackets[(i, k)].value if (i, k) in brackets else None for k in range(len(QUARTILES))], facts[i][4],
+        )
+        for i, name in enumerate(names)
+    }
+
+
+class _Bracket:
+    """Where one quantile is looked for: values from ``low`` to ``high``; ``below`` and ``inside`` are row counts."""
+
+    def __init__(self, column: int, position: float, low: float, high: float, least: float, most: float):
+        self.column, self.low, self.high, self.least, self.most = column, low, high, least, most
+        self.first, self.second, self.share = math.floor(position), math.ceil(position), position - math.floor(position)
+        self.below = self.inside = 0
+        self.value: float | None = None
+
+    @property
+    def within(self) -> str:
+        return f"v{self.column} BETWEEN double('{self.low!r}') AND double('{self.high!r}')"
+
+    @property
+    def holds(self) -> bool:
+        return self.below <= self.first and self.second < self.below + self.inside
+
+
+def _settle(values: DataFrame, brackets: list[_Bracket], bracket_values: int) -> None:
+    """Find the exact quantiles: sketches bracket them, counts prove the bracket, and only its values are sorted.
+
+    A bracket that is too wide is narrowed by a sketch of its own values. One that fails the proof starts again
+    from the whole range. Each round is one pass for all brackets of the table.
+    """
+    for _ in range(MAX_ROUNDS):
+        _count(values, brackets)
+        for b in brackets:
+            if not b.holds:
+                b.low, b.high = b.least, b.most
+        if not all(b.holds for b in brackets):
+            _count(values, [b for b in brackets if not b.holds])
+        wide = [b for b in brackets if b.inside > bracket_values and b.low < b.high]
+        if not wide or not _narrow(values, wide):
+            break
+    _pick(values, brackets)
+
+
+def _count(values: DataFrame, brackets: list[_Bracket]) -> None:
+    forms = [x for b in brackets for x in (f"count_if(v{b.column} < double('{b.low!r}'))", f"count_if({b.within})")]
+    if forms:
+        counts = values.agg(*[F.expr(x) for x in forms]).first()
+        for k, b in enumerate(brackets):
+            b.below, b.inside = counts[2 * k], counts[2 * k + 1]
+
+
+def _narrow(values: DataFrame, wide: list[_Bracket]) -> bool:
+    """Take the bracket of each quantile among the values inside; False if none got smaller."""
+    forms = []
+    for b in wide:
+        low = max(0.0, (b.first - b.below) / b.inside - 2 / SKETCH_ACCURACY)
+        high = min(1.0, (b.second - b.below) / b.inside + 2 / SKETCH_ACCURACY)
+        forms.append(f"percentile_approx(CASE WHEN {b.within} THEN v{b.column} END, array({low!r}, {high!r}), {SKETCH_ACCURACY})")
+    smaller = False
+    for b, near in zip(wide, values.agg(*[F.expr(x) for x in forms]).first()):
+        smaller = smaller or (near[0], near[1]) != (b.low, b.high)
+        b.low, b.high = near
+    return smaller
+
+
+def _pick(values: DataFrame, brackets: list[_Bracket]) -> None:
+    """Sort the different values of each bracket with their counts and take those at the wanted places."""
+    if not brackets:
+        return
+    cells = [
+        f"named_struct('slot', {s}, 'v', CASE WHEN {b.within} THEN v{b.column} END, 'first', {b.first - b.below}L, 'second', {b.second - b.below}L)"
+        for s, b in enumerate(brackets)
+    ]
+    inside = values.selectExpr(f"inline(array({', '.join(cells)}))").where("v IS NOT NULL")
+    counts = inside.groupBy("slot", "v", "first", "second").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    picked = counts.withColumn("upto", upto).groupBy("slot").agg(
+        F.expr("min(CASE WHEN upto > first THEN v END) AS lower"), F.expr("min(CASE WHEN upto > second THEN v END) AS upper")
     )
+    for row in picked.collect():
+        b = brackets[row["slot"]]
+        # equal ends (infinities too) need no interpolation
+        b.value = row["lower"] if row["lower"] == row["upper"] else row["lower"] + (row["upper"] - row["lower"]) * b.share
 
 
 def _check(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> None:

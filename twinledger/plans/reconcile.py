@@ -102,7 +102,7 @@ def reconcile(
 
 
 def reconcile_statistics(
-    a: DataFrame, b: DataFrame, columns, outputs: Outputs | None = None, approximate_quartiles: bool = False
+    a: DataFrame, b: DataFrame, columns, outputs: Outputs | None = None
 ) -> RunResult:
     """A descriptive run: text columns that are mostly numbers are converted, pairs that are not numeric skipped.
 
@@ -118,7 +118,7 @@ def reconcile_statistics(
     if not kept:
         raise ValueError("no numeric column pairs to compare")
     modes = {p: "numeric" for p in kept}
-    statistics = compare_statistics(a, b, [Pair(p, q) for p, q in kept], modes, approximate_quartiles)
+    statistics = compare_statistics(a, b, [Pair(p, q) for p, q in kept], modes)
     run_id = None
     if outputs and outputs.history:
         run_id = save_run(

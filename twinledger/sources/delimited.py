@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import locale_number
+from ..functions.numbers import locale_text, with_parsed
 from ..functions.text import NULL_TOKENS, drop_null_tokens, ident, literal, strip
 from .hygiene import clean_names, finish
 
@@ -149,13 +149,14 @@ def _ddl(names: Sequence[str]) -> str:
 def _typed(rows: DataFrame, locale: str, type_hint: str) -> DataFrame:
     if type_hint == "text":
         return rows
+    texts = {c: locale_text(ident(c), locale) for c in rows.columns}
     if type_hint == "numeric":
-        return rows.withColumns({c: F.expr(locale_number(ident(c), locale)) for c in rows.columns})
+        return with_parsed(rows, texts)
     # Leading zeros mark identifiers: such a column stays text.
-    counts = rows.agg(*[
-        F.expr(f"count({ident(c)}) > 0 AND count({ident(c)}) = count({locale_number(ident(c), locale)}) "
+    parsed = with_parsed(rows, {f"{c} parsed": x for c, x in texts.items()})
+    counts = parsed.agg(*[
+        F.expr(f"count({ident(c)}) > 0 AND count({ident(c)}) = count({ident(c + ' parsed')}) "
                f"AND NOT bool_or(coalesce(rlike({strip(ident(c))}, r'^0[0-9]'), false))")
         for c in rows.columns
     ]).first()
-    numeric = [c for c, yes in zip(rows.columns, counts) if yes]
-    return rows.withColumns({c: F.expr(locale_number(ident(c), locale)) for c in numeric}) if numeric else rows
+    return with_parsed(rows, {c: texts[c] for c, numeric in zip(rows.columns, counts) if numeric})
