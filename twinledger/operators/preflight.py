@@ -46,13 +46,13 @@ def sequence_share(df: DataFrame, key: str) -> DataFrame:
         exact = F.abs(value) < F.lit(2**62)
     else:
         value = value.cast("bigint")
-        exact = value < F.lit(2**63 - 1).cast("bigint")
+        exact = F.lit(True)
     values = df.select(value.alias("v"), F.when(exact, F.floor(value).cast("bigint")).alias("whole"))
     groups = values.groupBy("whole").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("v").alias("n"))
     both = F.array(
         F.struct(F.col("whole"), F.col("least"), F.lit(None).cast(groups.schema["most"].dataType).alias("before"), F.col("n")),
         F.struct(
-            (F.col("whole") + 1).alias("whole"), F.lit(None).cast(groups.schema["least"].dataType).alias("least"),
+            F.try_add("whole", F.lit(1)).cast("bigint").alias("whole"), F.lit(None).cast(groups.schema["least"].dataType).alias("least"),
             F.col("most").alias("before"), F.lit(0).cast("bigint").alias("n"),
         ),
     )
