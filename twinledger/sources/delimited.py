@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,7 +36,7 @@ def read_csv(
     ``multi_line`` allows line breaks within quotes, at the price of one task per file.
     """
     encoding = encoding or encoding_of(spark, path)
-    names = clean_names(_split(_first_line(spark, path, encoding), sep, spark))
+    names = clean_names(_split(_first_line(spark, path, encoding), sep))
     raw = (
         spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", True)
         .option("escape", '"').option("multiLine", multi_line).schema(_all_text(names)).csv(path)
@@ -68,10 +69,10 @@ def _clean_header(line: str) -> str:
     return line.removeprefix("\ufeff").rstrip("\r")
 
 
-def _split(line: str, sep: str, spark: SparkSession) -> list[str]:
-    """The fields of one line by Spark's own CSV reader."""
-    fields = spark.read.option("sep", sep).option("escape", '"').csv(spark.createDataFrame([(line,)], "value string")).first()
-    return [f if f is not None else f"Unnamed: {i}" for i, f in enumerate(fields or [])]
+def _split(line: str, sep: str) -> list[str]:
+    """The column names in a header line."""
+    fields = next(csv.reader([line], delimiter=sep), [])
+    return [f if f.strip() else f"Unnamed: {i}" for i, f in enumerate(fields)]
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = UTF8) -> DataFrame:
@@ -131,7 +132,7 @@ def read_text(
     if not found:
         raise ValueError(f"{path} has no line {header_row}")
     header = _clean_header(found[0]["value"])
-    splits = [(d, _split(header, d, spark)) for d in DELIMITERS]
+    splits = [(d, _split(header, d)) for d in DELIMITERS]
     sep, fields = next(((d, f) for d, f in splits if len(f) > 1), splits[1])
     names = clean_names(fields)
     body = lines.where(
