@@ -140,7 +140,7 @@ def test_fuzzy_equality(spark):
     assert {r.key_df1 for r in fuzzy.collect()} == {"3", "4", "6"}
     exact = compare_records(a, b, "k", [Pair("t", "u")]).mismatches
     assert {r.key_df1 for r in exact.collect()} == {"1", "2", "3", "4", "6"}
-    hot = compare_records(a, b, "k", [Pair("t", "u", threshold=90)], hot_share=0.0, hot_floor=0).mismatches
+    hot = compare_records(a, b, "k", [Pair("t", "u", threshold=90)], hot_share=1e-5, hot_floor=0).mismatches
     assert cells(hot) == cells(fuzzy)
 
 
@@ -163,13 +163,13 @@ def test_all_plans_agree(spark, seed):
     a, b = random_sides(spark, seed)
     expected = cells(compare_records(a, b, KEYS, MAP, skew="none").mismatches)
     for floor in (0, 3):
-        assert cells(compare_records(a, b, KEYS, MAP, hot_share=0.0, hot_floor=floor).mismatches) == expected
-    for options in ({}, {"hot_share": 0.0, "hot_floor": 2}):
+        assert cells(compare_records(a, b, KEYS, MAP, hot_share=1e-5, hot_floor=floor).mismatches) == expected
+    for options in ({}, {"hot_share": 1e-5, "hot_floor": 2}):
         counted = compare_records(a, b, KEYS, MAP, counted=True, **options).mismatches
         assert Counter({tuple(r)[:7]: int(r.n_rows) for r in counted.collect()}) == expected
     groups = {"t": ["t", "g"], "d": ["d"]}
     any_of = cells(compare_any_of(a, b, "k", groups, skew="none").mismatches)
-    assert cells(compare_any_of(a, b, "k", groups, hot_share=0.0, hot_floor=2).mismatches) == any_of
+    assert cells(compare_any_of(a, b, "k", groups, hot_share=1e-5, hot_floor=2).mismatches) == any_of
 
 
 def test_against_brute_force(spark):
@@ -236,8 +236,10 @@ def test_argument_checks(spark):
     for keys, columns in (("nope", {"v": "v"}), ("k", {"v": "nope"})):
         with pytest.raises(KeyError):
             compare_records(a, a, keys, columns)
-    with pytest.raises(ValueError):
-        compare_records(a, a, "k", [Pair("v", "v"), Pair("k", "v")])
+    for bad in ({"columns": [Pair("v", "v"), Pair("k", "v")]}, {"columns": {"v": "v"}, "hot_share": 0.0},
+                {"columns": {"v": "v"}, "skew": "x"}, {"columns": {"v": "v"}, "null_keys": "x"}):
+        with pytest.raises(ValueError):
+            compare_records(a, a, "k", **bad)
 
 
 def test_convert_numeric_columns(spark):

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import FLOATING, is_numeric, quoted, type_of
+from ..functions.text import FLOATING, ident, is_numeric, literal, quoted, type_of
 from ..spec import key_pairs
-from .keys import KeyPlan, key_overview, key_rows
+from .keys import KeyPlan
 from .rows import side_by_side
 
 # Limits of the checks.
@@ -18,16 +18,21 @@ SEQUENCE_SHARE = 0.95
 MAX_JOIN_ROWS = 10_000_000
 
 
+def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The different raw keys with their row count ``__n``.
+
+    All checks of a side start from this same grouping, so that Spark runs its scan and shuffle once.
+    """
+    return df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+
+
 def key_uniqueness(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     """One row ``(side, key_columns, n_rows, distinct_keys, ratio)``; a missing single key is not counted as a key."""
-    groups = df.groupBy(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
-    counted = F.count(F.lit(1)) if len(keys) > 1 else F.count_if(F.col("k0").isNotNull())
-    totals = groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n_rows"), counted.alias("distinct_keys")
-    )
-    return totals.select(
-        F.lit(side).alias("side"), F.lit("|".join(keys)).alias("key_columns"), "n_rows", "distinct_keys",
-        F.try_divide(F.col("distinct_keys").cast("double"), F.col("n_rows").cast("double")).alias("ratio"),
+    counted = "count(1)" if len(keys) > 1 else f"count({ident(keys[0])})"
+    totals = _grouped(df, keys).agg(F.expr("coalesce(sum(__n), 0L) AS n_rows"), F.expr(f"{counted} AS distinct_keys"))
+    return totals.selectExpr(
+        f"{literal(side)} AS side", f"{literal('|'.join(keys))} AS key_columns", "n_rows", "distinct_keys",
+        "try_divide(CAST(distinct_keys AS DOUBLE), CAST(n_rows AS DOUBLE)) AS ratio",
     )
 
 
@@ -35,67 +40,65 @@ def sequence_share(df: DataFrame, key: str) -> DataFrame:
     """One row ``(steps_of_one, neighbours, share)``: how often sorted neighbours differ by exactly 1.
 
     Without sorting: values are grouped by their whole part, keeping only the least and the greatest of each
-    group. A step of 1 is a group whose least value is the greatest of the group before, plus 1.
+    group. A step of 1 is a group whose least value is the greatest of the group before, plus 1. Equal values
+    are neighbours that differ by 0.
     """
     dtype = type_of(df, key)
-    value = quoted(key)
+    x, exact = f"CAST({ident(key)} AS BIGINT)", "true"
     if isinstance(dtype, FLOATING):
-        value = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
-        exact = F.abs(value) < F.lit(2.0**53)
+        x = f"nanvl(CAST({ident(key)} AS DOUBLE), NULL)"
+        # beyond this the next double is 2 away, so no neighbours differ by 1
+        exact = f"abs({x}) < {2.0**53!r}D"
     elif isinstance(dtype, T.DecimalType):
-        exact = F.abs(value) < F.lit(2**62)
-    else:
-        value = value.cast("bigint")
-        exact = F.lit(True)
-    values = df.select(value.alias("v"), F.when(exact, F.floor(value).cast("bigint")).alias("whole"))
-    groups = values.groupBy("whole").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("v").alias("n"))
-    both = F.array(
-        F.struct(F.col("whole"), F.col("least"), F.lit(None).cast(groups.schema["most"].dataType).alias("before"), F.col("n")),
-        F.struct(
-            F.try_add("whole", F.lit(1)).cast("bigint").alias("whole"), F.lit(None).cast(groups.schema["least"].dataType).alias("least"),
-            F.col("most").alias("before"), F.lit(0).cast("bigint").alias("n"),
-        ),
+        x = ident(key)
+        exact = f"abs({x}) < {2**62}"
+    values = _grouped(df, [key]).selectExpr("__n", f"{x} AS v", f"CASE WHEN {exact} THEN CAST(floor({x}) AS BIGINT) END AS whole")
+    groups = values.groupBy("whole").agg(
+        F.min("v").alias("least"), F.max("v").alias("most"), F.expr("sum(CASE WHEN v IS NOT NULL THEN __n END) AS n")
     )
-    met = groups.select(F.inline(both)).groupBy("whole").agg(
+    # each group also tells the next one its greatest value
+    here = "named_struct('whole', whole, 'least', least, 'before', NULL, 'n', n)"
+    after = "named_struct('whole', CAST(try_add(whole, 1L) AS BIGINT), 'least', NULL, 'before', most, 'n', NULL)"
+    met = groups.selectExpr(f"inline(array({here}, {after}))").groupBy("whole").agg(
         F.max("least").alias("least"), F.max("before").alias("before"), F.sum("n").alias("n")
     )
     totals = met.agg(
-        F.count_if(F.col("whole").isNotNull() & (F.col("least") - F.col("before") == 1)).alias("steps_of_one"),
-        F.greatest(F.coalesce(F.sum("n"), F.lit(0)) - 1, F.lit(0)).cast("bigint").alias("neighbours"),
+        F.expr("count_if(whole IS NOT NULL AND least - before = 1) AS steps_of_one"),
+        F.expr("greatest(coalesce(sum(n), 0L) - 1, 0L) AS neighbours"),
     )
-    share = F.try_divide(F.col("steps_of_one").cast("double"), F.col("neighbours").cast("double"))
-    return totals.select("steps_of_one", "neighbours", share.alias("share"))
+    return totals.selectExpr("*", "try_divide(CAST(steps_of_one AS DOUBLE), CAST(neighbours AS DOUBLE)) AS share")
 
 
 def row_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row ``(rows_a, rows_b, differ)``."""
-    sides = a.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
-    counts = sides.agg(
-        F.coalesce(F.sum("a"), F.lit(0)).alias("rows_a"), F.coalesce(F.sum("b"), F.lit(0)).alias("rows_b")
-    )
-    return counts.withColumn("differ", F.col("rows_a") != F.col("rows_b"))
+    counts = side_by_side(a.agg(F.count(F.lit(1)).alias("rows_a")), b.agg(F.count(F.lit(1)).alias("rows_b")))
+    return counts.selectExpr("*", "rows_a <> rows_b AS differ")
 
 
 def join_size(a: DataFrame, b: DataFrame, keys, **key_options) -> DataFrame:
     """One row: uniqueness of both sides, rows_a * rows_b, the exact size of the join, and whether it is refused."""
     pairs = key_pairs(keys)
     plan = KeyPlan.of(a, b, pairs, **key_options)
-    unique_a = key_uniqueness(a, [k for k, _ in pairs], "A").select(
-        F.col("n_rows").alias("rows_a"), F.col("ratio").alias("ratio_a"))
-    unique_b = key_uniqueness(b, [k for _, k in pairs], "B").select(
-        F.col("n_rows").alias("rows_b"), F.col("ratio").alias("ratio_b"))
-    exact = key_overview(key_rows(a, b, plan)).select("joined_rows")
-    row = side_by_side(unique_a, unique_b, exact)
-    product = F.col("rows_a").cast("double") * F.col("rows_b").cast("double")
-    loose = (F.col("ratio_a") < SAFE_UNIQUE) | (F.col("ratio_b") < SAFE_UNIQUE)
-    return row.select(
-        "rows_a", "rows_b", "ratio_a", "ratio_b", product.alias("estimated_rows"), "joined_rows",
-        F.coalesce(loose & (product > MAX_JOIN_ROWS), F.lit(False)).alias("refused"),
+    facts, sides = [], []
+    for df, side, names in ((a, "a", [k for k, _ in pairs]), (b, "b", [k for _, k in pairs])):
+        unique = key_uniqueness(df, names, side)
+        facts.append(unique.selectExpr(f"n_rows AS rows_{side}", f"ratio AS ratio_{side}"))
+        normal = plan.slim(_grouped(df, names), side, [F.col("__n")])
+        sides.append(normal.groupBy(*plan.names).agg(F.sum("__n").alias(f"n_{side}")))
+    joined = sides[0].join(sides[1], plan.names, "inner")
+    exact = joined.agg(F.expr("coalesce(sum(CAST(n_a AS DOUBLE) * n_b), 0.0D) AS joined_rows"))
+    return side_by_side(*facts, exact).selectExpr(
+        "rows_a", "rows_b", "ratio_a", "ratio_b", "CAST(rows_a AS DOUBLE) * rows_b AS estimated_rows", "joined_rows",
+    ).selectExpr(
+        "*", f"coalesce((ratio_a < {SAFE_UNIQUE}D OR ratio_b < {SAFE_UNIQUE}D) AND estimated_rows > {MAX_JOIN_ROWS}, false) AS refused"
     )
 
 
 def run_preflight(a: DataFrame, b: DataFrame, keys, **key_options) -> DataFrame:
-    """``(check, severity, subject, observed, message)``: one row per finding. No ``error`` row means safe to run."""
+    """``(check, severity, subject, observed, message)``: one row per finding. No ``error`` row means safe to run.
+
+    One query: its parts share one grouping of the keys per side, which Spark computes once.
+    """
     pairs = key_pairs(keys)
     keys_a, keys_b = [k for k, _ in pairs], [k for _, k in pairs]
     findings = [_uniqueness_findings(key_uniqueness(df, ks, side)) for df, ks, side in ((a, keys_a, "A"), (b, keys_b, "B"))]
@@ -107,14 +110,13 @@ def run_preflight(a: DataFrame, b: DataFrame, keys, **key_options) -> DataFrame:
                     share, "sequence_key", "warning", F.lit(key), F.col("share"),
                     F.lit(f"key column '{key}' counts up by one: an offset in one source would mispair every record"),
                 ))
-    counts = row_counts(a, b).where("differ")
+    size = join_size(a, b, pairs, **key_options)
     findings.append(_finding(
-        counts, "row_counts", "warning", F.lit("rows"), (F.col("rows_a") - F.col("rows_b")).cast("double"),
+        size.where("rows_a <> rows_b"), "row_counts", "warning", F.lit("rows"), F.expr("CAST(rows_a - rows_b AS DOUBLE)"),
         F.format_string("source A has %d rows and source B has %d", F.col("rows_a"), F.col("rows_b")),
     ))
-    size = join_size(a, b, pairs, **key_options).where("refused")
     findings.append(_finding(
-        size, "join_size", "error", F.lit("|".join(keys_a)), F.col("joined_rows"),
+        size.where("refused"), "join_size", "error", F.lit("|".join(keys_a)), F.col("joined_rows"),
         F.format_string("keys are not unique enough: up to %.0f joined rows, %.0f exactly",
                         F.col("estimated_rows"), F.col("joined_rows")),
     ))

@@ -59,6 +59,8 @@ class Comparison:
     @property
     def coercion(self) -> DataFrame:
         """How each pair was handled: value shares over the matched rows, mode and note."""
+        if self.survey.types is not None:
+            return self.survey.types
         return pair_types(*self.sources, column_pairs(self.rules), self.plan)
 
 

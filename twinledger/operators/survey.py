@@ -14,14 +14,19 @@ from .keys import OVERVIEW, KeyPlan, key_rows, overview_totals
 # A key is hot if it holds more than this share of a side's rows, so a side has at most 1/HOT_SHARE of them.
 HOT_SHARE = 1e-4
 HOT_FLOOR = 10_000
+MIN_HOT_SHARE = 1e-5
 
 
 @dataclass
 class Survey:
-    """What a comparison needs to know first. ``hot`` is a small table of keys to treat apart, or None."""
+    """What a comparison needs to know first.
+
+    ``types`` is the decision table if one was made; ``hot`` a small table of keys to treat apart, or None.
+    """
 
     modes: Modes
     overview: dict = field(default_factory=dict)
+    types: DataFrame | None = None
     hot: DataFrame | None = None
 
 
@@ -34,13 +39,20 @@ def take_survey(
     hot_share: float = HOT_SHARE,
     hot_floor: int = HOT_FLOOR,
 ) -> Survey:
-    """Decide modes and find hot keys. The driver gets one row per open pair, and the hot keys if there are any."""
+    """Decide modes and find hot keys. The driver gets one row per pair, and the hot keys if there are any.
+
+    At most ``1 / hot_share`` keys of a side can be hot, so their list stays small however large the tables are.
+    """
+    if hot_share < MIN_HOT_SHARE:
+        raise ValueError(f"hot_share is at least {MIN_HOT_SHARE}: the list of hot keys must stay small")
     modes: Modes = {**known_modes(a, b, pairs), **dict(given or {})}
-    open_pairs = [p for p in pairs if p not in modes]
-    if open_pairs:
-        totals = key_facts(a, b, open_pairs, plan).agg(*overview_totals(), *matched_totals(open_pairs))
-        found = with_decision(totals.select(*OVERVIEW, pair_rows(open_pairs))).collect()
-        modes.update({(r.col_a, r.col_b): r["mode"] for r in found})
+    types = None
+    if any(p not in modes for p in pairs):
+        totals = key_facts(a, b, pairs, plan).agg(*overview_totals(), *matched_totals(pairs))
+        decided = with_decision(totals.select(*OVERVIEW, pair_rows(pairs)))
+        found = decided.collect()
+        types = a.sparkSession.createDataFrame(found, decided.schema).drop(*OVERVIEW)
+        modes = {(r.col_a, r.col_b): r["mode"] for r in found} | modes
         overview = {c: found[0][c] for c in OVERVIEW}
     else:
         overview = key_rows(a, b, plan).agg(*overview_totals()).first().asDict()
@@ -50,7 +62,7 @@ def take_survey(
     if overview["largest_a"] > limit_a or overview["largest_b"] > limit_b:
         rows = key_rows(a, b, plan).where((F.col("n_a") > limit_a) | (F.col("n_b") > limit_b))
         hot = a.sparkSession.createDataFrame(rows.collect(), rows.schema)
-    return Survey(modes, overview, hot)
+    return Survey(modes, overview, types, hot)
 
 
 def modes_only(a: DataFrame, b: DataFrame, plan: KeyPlan | None, pairs: Sequence[tuple[str, str]]) -> Modes:

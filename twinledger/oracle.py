@@ -201,7 +201,39 @@ s AS (SELECT round(greatest(0.0, (1.0 - CAST(bad_keys AS DOUBLE) / total_keys) *
   found.missing_in_a, found.missing_in_b, mismatch_count, joined_count - mismatch_count AS fully_matched FROM found, ov)
 SELECT *, {ladder("score", BADGES)} AS band, {ladder("score", NARRATIVES)} AS narrative FROM s"""
 
+def words(x: str) -> str:
+    return rf"array_to_string(list_sort(string_split(trim(regexp_replace(lower({x}), '\W+', ' ', 'g')), ' ')), ' ')"
+
+
+def similar(a: str, b: str) -> str:
+    """Percent similarity of two texts by the table of common subsequences, one row per character of ``a``."""
+    cell = (f"list_append(line, greatest(line[-1], CASE WHEN string_split({b}, '')[j] = c THEN above[j] + 1 ELSE above[j + 1] END))")
+    line = f"list_reduce(range(1, length({b}) + 1), lambda line, j: {cell}, [0])"
+    last = f"list_reduce(string_split({a}, ''), lambda above, c: {line}, list_resize([0], length({b}) + 1, 0))[-1]"
+    return f"round_even(200.0 * {last} / (length({a}) + length({b})), 0)"
+
+
+SUPPLIER = f"""{with_sql("supplier_a", "supplier_b")},
+j AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_name, name, {words("s_name")} AS wa, {words("name")} AS wb
+  FROM supplier_a JOIN supplier_b ON s_suppkey = supp_id),
+s AS (SELECT *, {similar("wa", "wb")} AS score FROM j)
+SELECT k AS key_df1, k AS key_df2, 's_name' AS col_df1, 'name' AS col_df2, s_name AS val_df1, name AS val_df2,
+  'Value Mismatch' AS match_type FROM s WHERE score < 80"""
+
+BEST_NAMES = f"""{with_sql("supplier_a", "supplier_b")},
+l AS (SELECT s_name AS name, min(s_suppkey) AS place, {words("s_name")} AS wl FROM supplier_a GROUP BY s_name),
+r AS (SELECT name, min(supp_id) AS place, {words("name")} AS wr FROM supplier_b GROUP BY name),
+p AS (SELECT l.name AS left_name, l.place AS left_place, r.name AS right_name, r.place AS right_place,
+  CASE WHEN l.name = r.name THEN 2 WHEN lower(l.name) = lower(r.name) THEN 1 ELSE 0 END AS step,
+  CASE WHEN l.name = r.name THEN 100 WHEN lower(l.name) = lower(r.name) THEN 99 ELSE CAST({similar("wl", "wr")} AS INTEGER) END AS score
+  FROM l, r),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY left_name ORDER BY step DESC, score DESC, right_place) = 1)
+SELECT left_name, right_name, score FROM b WHERE score >= 60
+QUALIFY row_number() OVER (PARTITION BY right_name ORDER BY score DESC, left_place) = 1"""
+
 ORACLE: dict[str, str] = {
+    "fuzzy_record_mismatches": SUPPLIER,
+    "fuzzy_best_match": BEST_NAMES,
     "orders_record_mismatches": f"{ORDERS} SELECT * FROM mm",
     "lineitem_composite_key_mismatches": f"{LINEITEM} SELECT * FROM mm",
     "lineitem_mismatches_counted": f"{LINEITEM} {COUNTED}",

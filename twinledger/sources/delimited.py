@@ -18,6 +18,9 @@ DELIMITERS = ("\t", ",", "|")
 HEADER_SEARCH_LINES = 10
 MAX_SKIP = 20
 
+# Blocks that lose lines, at most this many, are sent to every task (some 20 MB).
+BROADCAST_BLOCKS = 100_000
+
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 
 
@@ -75,23 +78,53 @@ def _split(line: str, sep: str) -> list[str]:
     return [f if f.strip() else f"Unnamed: {i}" for i, f in enumerate(fields)]
 
 
-def numbered_lines(spark: SparkSession, path: str, encoding: str = UTF8) -> DataFrame:
-    """``(file, line_no, lines_in_file, value)`` of all lines that are not blank, numbered from 0 in each file.
+def _placed_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """``(file, block, at, value)`` of all lines that are not blank; ``at`` counts up within a block without gaps."""
+    lines = decoded_lines(spark, path, encoding, "_metadata.file_path AS file", "_metadata.file_block_start AS block")
+    return lines.where(f"{strip('value')} <> ''").withColumn("at", F.monotonically_increasing_id())
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """One row per block: where its lines start, how many it has, how many its file has before it and in all.
 
-    A file is read in blocks by many tasks. Within a block lines keep their order; counting the lines of each
-    block gives the number of its first line. Only block counts are gathered, never lines.
+    A file is read in blocks by many tasks. Only block counts are gathered, never lines.
     """
-    lines = decoded_lines(
-        spark, path, encoding, "_metadata.file_path AS file", "_metadata.file_block_start AS block"
-    ).where(f"{strip('value')} <> ''").withColumn("at", F.monotonically_increasing_id())
-    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
+    counts = lines.groupBy("file", "block").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
     of_file = Window.partitionBy("file")
     before = F.sum("n").over(of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.select(
-        "file", "block", "first_at", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(of_file).alias("lines_in_file")
-    )
-    joined = lines.join(starts, ["file", "block"])
-    return joined.select("file", (F.col("before") + F.col("at") - F.col("first_at")).alias("line_no"), "lines_in_file", "value")
+    return counts.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("lines_in_file", F.sum("n").over(of_file))
+
+
+def numbered_lines(spark: SparkSession, path: str, encoding: str = UTF8) -> DataFrame:
+    """``(file, line_no, lines_in_file, value)`` of all lines that are not blank, numbered from 0 in each file."""
+    lines = _placed_lines(spark, path, encoding)
+    return lines.join(_blocks(lines), ["file", "block"]).selectExpr("file", "before + at - first_at AS line_no", "lines_in_file", "value")
+
+
+def body_lines(spark: SparkSession, path: str, skip_top: int, skip_bottom: int, encoding: str = UTF8) -> DataFrame:
+    """The lines of every file without its first and last ones (blank lines do not count).
+
+    Only the few blocks that lose lines are joined, as a small table, so the lines themselves are not shuffled.
+    """
+    lines = _placed_lines(spark, path, encoding)
+    cuts = _blocks(lines).selectExpr(
+        "file", "block", "first_at", "n",
+        f"greatest(0L, least(n, {skip_top} - before)) AS top",
+        f"greatest(0L, least(n, before + n - lines_in_file + {skip_bottom})) AS bottom",
+    ).where("top > 0 OR bottom > 0")
+    if cuts.count() <= BROADCAST_BLOCKS:
+        cuts = F.broadcast(cuts)
+    kept = lines.join(cuts, ["file", "block"], "left").where("top IS NULL OR at - first_at >= top AND at - first_at < n - bottom")
+    return kept.select("value")
+
+
+def _first_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """``(line_no, value)`` of the first lines of one of the files."""
+    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").head(1)
+    if not files:
+        raise ValueError(f"no files in {path}")
+    lines = decoded_lines(spark, files[0]["path"], encoding).where(f"{strip('value')} <> ''").limit(MAX_SKIP + 1).collect()
+    return spark.createDataFrame([(i, r["value"]) for i, r in enumerate(lines)], "line_no bigint, value string")
 
 
 def header_search(lines: DataFrame) -> DataFrame:
@@ -121,11 +154,7 @@ def read_text(
     if not 0 <= skip_footer <= MAX_SKIP or (header_row != "search" and not 0 <= int(header_row) <= MAX_SKIP):
         raise ValueError(f"header_row and skip_footer lie between 0 and {MAX_SKIP}")
     encoding = encoding_of(spark, path)
-    lines = numbered_lines(spark, path, encoding)
-    first_file = lines.agg(F.min("file").alias("file")).first()["file"]
-    if first_file is None:
-        raise ValueError(f"no lines in {path}")
-    top = lines.where((F.col("file") == first_file) & (F.col("line_no") <= MAX_SKIP))
+    top = _first_lines(spark, path, encoding)
     if header_row == "search":
         header_row = header_search(top).first()["header_row"]
     found = top.where(F.col("line_no") == int(header_row)).select("value").head(1)
@@ -135,9 +164,7 @@ def read_text(
     splits = [(d, _split(header, d)) for d in DELIMITERS]
     sep, fields = next(((d, f) for d, f in splits if len(f) > 1), splits[1])
     names = clean_names(fields)
-    body = lines.where(
-        (F.col("line_no") > int(header_row)) & (F.col("line_no") < F.col("lines_in_file") - F.lit(skip_footer))
-    )
+    body = body_lines(spark, path, int(header_row) + 1, skip_footer, encoding)
     parsed = F.from_csv(F.col("value"), _ddl(names), {"sep": sep, "escape": '"', "mode": "PERMISSIVE"})
     rows = drop_null_tokens(body.select(parsed.alias("r")).select("r.*"), null_tokens)
     return finish(_typed(rows, locale, type_hint), keep_empty)
