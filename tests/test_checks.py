@@ -3,7 +3,6 @@ import random
 import pandas as pd
 import pytest
 
-from twinledger.operators.keys import KeyPlan
 from twinledger.operators.preflight import join_size, key_uniqueness, row_counts, run_preflight, sequence_share
 from twinledger.operators.profile import (
     crosstab, crosstab_candidates, first_rows, mixed_type_columns, profile_columns, profile_issues, review_sample,

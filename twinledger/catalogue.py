@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions.numbers import locale_text, with_parsed
+from .functions.similarity import cosine
 from .functions.text import drop_null_tokens, is_blank, normal_text, present_text, type_of
 from .operators import coercion, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
@@ -86,6 +87,11 @@ def matched_rows(spark, sf_dir):
     return records.matched_rows(a, b, fx.KEYS["orders"], ["o_custkey", "o_orderstatus"], ["customer", "status"])
 
 
+def outer_rows(spark, sf_dir):
+    a, b = fx.side_pair(spark, sf_dir, "lineitem")
+    return records.outer_rows(a, b, fx.KEYS["lineitem"], ["l_quantity"], ["qty"])
+
+
 def rows_of_mismatched_keys(spark, sf_dir):
     a, b = fx.side_pair(spark, sf_dir, "orders")
     found = _compare(spark, sf_dir, "orders")
@@ -272,6 +278,13 @@ def cosine_best_match(spark, sf_dir):
     return best.withColumn("cosine", F.round("cosine", 4))
 
 
+def cosine_of_neighbours(spark, sf_dir):
+    a, b = fx.side_pair(spark, sf_dir, "embeddings")
+    pairs = a.withColumnRenamed("vec_id", "left_id").join(
+        b.selectExpr("vec_id AS right_id", "vec_id - 1 AS left_id", "embedding AS other"), "left_id")
+    return pairs.selectExpr("left_id", "right_id", f"round({cosine('embedding', 'other')}, 4) AS cosine")
+
+
 def fuzzy_record_mismatches(spark, sf_dir):
     a, b = fx.side_pair(spark, sf_dir, "supplier")
     return records.compare_records(a, b, fx.KEYS["supplier"], [Pair("s_name", "name", threshold=80)]).mismatches
@@ -299,12 +312,12 @@ QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         orders_record_mismatches, lineitem_composite_key_mismatches, lineitem_mismatches_counted, lineitem_mismatches_hot_keys,
         customer_record_mismatches, customer_case_sensitive_keys, any_of_mismatches, missing_in_b, missing_in_a,
-        documents_without_labels, matched_rows, rows_of_mismatched_keys, pair_type_decision, orders_pair_types,
+        documents_without_labels, matched_rows, outer_rows, rows_of_mismatched_keys, pair_type_decision, orders_pair_types,
         numeric_pair_filter, convert_numeric_columns, type_overrides, normalise_text, blank_values, null_tokens,
         locale_numbers, fixed_width_field_table, drop_empty_columns, descriptive_stats_orders, union_key_count,
         joined_key_count, key_counts, coverage_summary, match_score, weighted_score, column_scores, score_bands,
         clean_columns, mismatch_frequency, crosstab_candidates, crosstab_by_priority, column_profile, mixed_type_columns,
         preflight_uniqueness, preflight_sequence, preflight_row_counts, preflight_join_size, latest_per_key, first_n_rows,
-        review_sample, cosine_best_match, fuzzy_record_mismatches, fuzzy_best_match, recent_runs, runs_retention, run_by_id,
+        review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, recent_runs, runs_retention, run_by_id,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,14 @@ MAX_NAME = 1_000
 # Similarity levels searched in turn: most names are settled at a high level, where candidates are few.
 LEVELS = (94, 85, 72)
 
+# Letters in a signature by level: (common letters needed at least, letters). More letters make fewer candidates but
+# more signatures, the more so the less similar or the longer the texts are.
+SIGNATURE_SIZES = {
+    94: ((64, 3), (32, 4), (8, 6), (2, 2), (1, 1)),
+    85: ((48, 2), (20, 3), (8, 4), (2, 2), (1, 1)),
+    72: ((24, 2), (8, 3), (2, 2), (1, 1)),
+}
+
 BEST = "left_name string, right_name string, score int"
 
 
@@ -146,22 +155,33 @@ def _ranked_letters(words: DataFrame, letters: DataFrame) -> DataFrame:
     return listed.select("words", F.length("words").alias("size"), F.col("ranked.letter").alias("ranked"))
 
 
+def _letters_in_common(needed: int, level: int) -> int:
+    """How many letters a signature has, from the number of common letters that a pair needs."""
+    return next(size for least, size in SIGNATURE_SIZES[min(LEVELS, key=lambda n: abs(n - level))] if needed >= least)
+
+
 def _signatures(ranked: DataFrame, level: int) -> DataFrame:
-    """Pairs of rare letters of which two texts reaching the level share at least one (prefix filtering).
+    """``(words, size, signature)``: sets of rare letters of which two texts reaching the level share at least one.
 
-    Reaching share t of ``2*LCS/(la+lb)`` needs a common subsequence of at least ``t*la/(2-t)`` characters, so
-    at least as many common letters. Among the ``la - need + 2`` rarest letters of either text two are common.
-    Texts so short that one common letter may do also give their single letters.
+    Reaching share t of ``2*LCS/(la+lb)`` needs at least ``t*la/(2-t)`` common characters, so common letters. Two texts
+    that need k of them share l letters among the ``la - k + l`` rarest of each (prefix filtering), for any l up to k. A
+    text does not know k, only its range, and gives the sets of every l that belongs to it.
     """
     t = (level - 0.5) / 100
-    need = F.greatest(F.lit(1), F.ceil(F.col("size") * (t / (2 - t)) - 1e-9)).cast("int")
-    width = F.least(F.col("size"), F.col("size") - need + 2)
-    rare = F.slice("ranked", F.lit(1), width)
-    pairs = F.flatten(F.transform(rare, lambda x, i: F.transform(
-        F.slice(rare, i + 2, F.greatest(F.size(rare) - i - 1, F.lit(0))), lambda y: F.concat_ws("\x1f", x, y))))
-    short = F.col("size") <= math.floor(2 / t)
-    singles = F.when(short, F.col("ranked")).otherwise(F.array().cast("array<string>"))
-    return ranked.select("words", "size", F.explode(F.concat(pairs, singles)).alias("signature"))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for words, size, letters in zip(batch["words"], batch["size"], batch["ranked"]):
+                need = max(1, math.ceil(size * t / (2 - t) - 1e-9))
+                for l in {_letters_in_common(k, level) for k in range(need, size + 1)}:
+                    rows += [(words, size, "\x1f".join(chosen)) for chosen in combinations(letters[:size - need + l], l)]
+                if len(rows) > 100_000:
+                    yield pd.DataFrame(rows, columns=["words", "size", "signature"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["words", "size", "signature"])
+
+    return ranked.mapInPandas(sign, "words string, size int, signature string")
 
 
 def _reaching(lefts: DataFrame, ranked_right: DataFrame, rights: DataFrame, level: int) -> DataFrame:

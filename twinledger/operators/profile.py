@@ -99,11 +99,11 @@ def crosstab(df: DataFrame, side: str, plan: KeyPlan, mismatches: DataFrame, gro
 def review_sample(mismatches: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
     """A random but repeatable sample of n cell mismatches, the same on any partitioning.
 
-    Rows are ranked by a hash of their content; each task keeps only its first n.
+    Rows are ranked by a digest of their content and the seed; each task keeps only its first n.
     """
     cells = mismatches.where(F.col("col_df1") != MISSING_ROW)
-    rank = F.xxhash64(*[F.col(c) for c in mismatches.columns], F.lit(seed))
-    return cells.withColumn("draw", rank).orderBy("draw", *mismatches.columns).limit(n).drop("draw")
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in mismatches.columns], F.lit(str(seed))))
+    return cells.withColumn("draw", digest).orderBy("draw", *mismatches.columns).limit(n).drop("draw")
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:

@@ -361,12 +361,24 @@ def _once() -> Column:
     return F.lit(1).cast(COUNT_TYPE)
 
 
+def outer_rows(a: DataFrame, b: DataFrame, keys, columns_a: Sequence[str], columns_b: Sequence[str], **key_options) -> DataFrame:
+    """All rows of both sides joined on their keys, with ``found_in`` saying ``both``, ``a`` or ``b``."""
+    joined = _joined(a, b, keys, columns_a, columns_b, "full_outer", key_options)
+    return joined.selectExpr("*", "CASE WHEN in_b IS NULL THEN 'a' WHEN in_a IS NULL THEN 'b' ELSE 'both' END AS found_in").drop("in_a", "in_b")
+
+
 def matched_rows(a: DataFrame, b: DataFrame, keys, columns_a: Sequence[str], columns_b: Sequence[str], **key_options) -> DataFrame:
     """Rows found on both sides, with the wanted columns (B's get the suffix ``_b`` where the names clash)."""
+    return _joined(a, b, keys, columns_a, columns_b, "inner", key_options).drop("in_a", "in_b")
+
+
+def _joined(a: DataFrame, b: DataFrame, keys, columns_a, columns_b, how: str, key_options: dict) -> DataFrame:
     plan = KeyPlan.of(a, b, key_pairs(keys), **key_options)
-    slim_a = plan.slim(a, "a", [quoted(c) for c in columns_a])
-    slim_b = plan.slim(b, "b", [quoted(c).alias(f"{c}_b" if c in columns_a else c) for c in columns_b])
-    joined = slim_a.join(slim_b, plan.names, "inner")
+    slim_a = plan.slim(a, "a", [quoted(c) for c in columns_a] + [F.lit(True).alias("in_a")])
+    slim_b = plan.slim(
+        b, "b", [quoted(c).alias(f"{c}_b" if c in columns_a else c) for c in columns_b] + [F.lit(True).alias("in_b")]
+    )
+    joined = slim_a.join(slim_b, plan.names, how)
     return joined.select(plan.display.alias("row_key"), *[quoted(c) for c in joined.columns if c not in plan.names])
 
 

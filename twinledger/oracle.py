@@ -246,6 +246,8 @@ ORACLE: dict[str, str] = {
     "documents_without_labels":
         "SELECT CAST(doc_id AS VARCHAR) AS row_key FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "matched_rows": f"{ORDERS} SELECT ka AS row_key, o_custkey, o_orderstatus, customer, status FROM j WHERE ka = kb",
+    "outer_rows": f"""{LINEITEM} SELECT coalesce(ka, kb) AS row_key, l_quantity, qty,
+  CASE WHEN kb IS NULL THEN 'a' WHEN ka IS NULL THEN 'b' ELSE 'both' END AS found_in FROM j""",
     "rows_of_mismatched_keys":
         f"{ORDERS} SELECT ka AS row_key, o_orderkey, o_orderstatus FROM ka WHERE ka IN (SELECT key_df1 FROM mm)",
     "pair_type_decision":
@@ -330,6 +332,12 @@ s AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id,
   list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cosine FROM embeddings_a a, embeddings_b b)
 SELECT left_id, right_id, round(cosine, 4) AS cosine FROM s WHERE cosine >= {COSINE_THRESHOLD}
 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY cosine DESC, right_id) = 1""",
+    "cosine_of_neighbours": f"""{with_sql("embeddings_a", "embeddings_b")}
+SELECT a.vec_id AS left_id, b.vec_id AS right_id,
+  round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine
+FROM embeddings_a a JOIN embeddings_b b ON b.vec_id = a.vec_id + 1""",
+    "review_sample": f"""{ORDERS} SELECT * FROM mm WHERE col_df1 <> '<ROW MISSING>'
+ORDER BY md5(concat_ws('|', key_df1, key_df2, col_df1, col_df2, val_df1, val_df2, match_type, '42')) LIMIT 20""",
     "recent_runs": f"{with_sql('run_rows')} SELECT * FROM run_rows ORDER BY ts DESC, run_id DESC LIMIT 20",
     "runs_retention": f"{with_sql('run_rows')} SELECT * FROM run_rows ORDER BY ts DESC, run_id DESC LIMIT 100",
     "run_by_id": f"{with_sql('run_rows')} SELECT * FROM run_rows WHERE run_id = '1997-01-15'",
