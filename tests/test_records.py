@@ -270,3 +270,21 @@ def test_latest_per_key(spark):
     df = frame(spark, [("a", 1, 1), ("a", 3, 2), ("a", 3, 9), ("b", 0, 5)], "k string, term int, tie int")
     got = latest_per_key(df, ["k"], ["term", "tie"]).orderBy("k").collect()
     assert [tuple(r) for r in got] == [("a", 3, 9), ("b", 0, 5)]
+
+
+def test_a_third_of_all_rows_on_one_key(spark):
+    """100 million matched rows of one key are counted without being built."""
+    rows = spark.range(30_000, numPartitions=4)
+    a = rows.selectExpr("IF(id % 3 = 0, 0, id) AS k", "id % 7 AS v")
+    b = rows.selectExpr("IF(id % 3 = 0, 0, id) AS k", "IF(id % 10 = 0, 8, id % 7) AS v")
+    result = compare_records(a, b, "k", {"v": "v"}, counted=True, hot_floor=1_000)
+    assert [r["__key0"] for r in result.survey.hot.collect()] == [0]
+    hot_a, hot_b = (Counter(r.v for r in f.where("k = 0").collect()) for f in (a, b))
+    want = sum(n * m for x, n in hot_a.items() for y, m in hot_b.items() if x != y)
+    got = {r.key_df1: 0 for r in result.mismatches.collect()}
+    for r in result.mismatches.collect():
+        got[r.key_df1] += int(r.n_rows)
+    assert got["0"] == want
+    assert set(got) == {"0"} | {str(r.k) for r in b.where("k <> 0 AND v = 8").collect()}
+    lone = compare_records(a, b.where("k <> 0"), "k", {"v": "v"}, hot_floor=1_000).mismatches
+    assert lone.where("match_type = 'Missing in Source B'").count() == 10_000

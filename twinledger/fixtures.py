@@ -69,7 +69,7 @@ SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 1""",
     # one history row per order day, a fixed-width line per customer, and prices written the European way
     "run_rows": """
 SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS run_id, o_orderdate AS ts, 'record' AS approach,
-  count(*) AS total_keys, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS mismatch_count
+  count(*) AS total_keys, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS mismatch_count
 FROM orders GROUP BY o_orderdate""",
     "customer_lines": """
 SELECT concat(lpad(CAST(c_custkey AS STRING), 8, '0'), rpad(CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_mktsegment END, 12, ' '),

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quoted
 
-# A right side up to this many vector elements goes to every task whole (64 MB of doubles), checked by a count.
-SMALL_ELEMENTS = 8_000_000
+# A right side up to this many vector elements goes to every task whole (16 MB of doubles), checked by a count.
+SMALL_ELEMENTS = 2_000_000
 # Rows of one block of either side in the blocked form, and the number of centres right vectors gather around.
 BLOCK_ROWS = 4_096
 CENTRES = 256
