@@ -72,11 +72,14 @@ def crosstab_candidates(df: DataFrame, key_columns: Sequence[str]) -> DataFrame:
 
     A sketch discards clearly wide columns in one pass (the driver gets one row); the rest are counted exactly.
     """
+    nothing = df.sparkSession.createDataFrame([], "column string, n_filled bigint, n_distinct bigint")
     names = [c for c in df.columns if c not in key_columns]
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, n_filled bigint, n_distinct bigint")
+        return nothing
     sketch = df.agg(*[F.expr(f"approx_count_distinct({_filled(df, c)})") for c in names]).first()
-    likely = [c for c, about in zip(names, sketch) if about <= 4 * MAX_CATEGORIES] or names[:1]
+    likely = [c for c, about in zip(names, sketch) if about <= 4 * MAX_CATEGORIES]
+    if not likely:
+        return nothing
     counts = distinct_values(df, likely)
     few = (F.col("n_distinct") <= MAX_CATEGORIES) & (F.col("n_distinct") < F.col("n_filled") * F.lit(MAX_CATEGORY_SHARE))
     return counts.where(few)

@@ -25,7 +25,10 @@ UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is valid, else latin-1. The search ends at the first bad line."""
+    """UTF-8 if every line is valid, else latin-1. The search ends at the first bad line.
+
+    Valid files are read once in full for this; readers given an ``encoding`` skip it.
+    """
     bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return UTF8 if bad.isEmpty() else LATIN1
 
@@ -141,7 +144,7 @@ def header_search(lines: DataFrame) -> DataFrame:
 
 def read_text(
     spark: SparkSession, path: str, header_row: int | str = 0, skip_footer: int = 0, locale: str = "US",
-    type_hint: str = "auto", null_tokens: Sequence[str] = NULL_TOKENS, keep_empty: bool = False,
+    type_hint: str = "auto", null_tokens: Sequence[str] = NULL_TOKENS, encoding: str | None = None, keep_empty: bool = False,
 ) -> DataFrame:
     """Delimited text with title lines above the header and total lines below, in every file of the path.
 
@@ -153,7 +156,7 @@ def read_text(
         raise ValueError("type_hint is 'auto', 'text' or 'numeric'")
     if not 0 <= skip_footer <= MAX_SKIP or (header_row != "search" and not 0 <= int(header_row) <= MAX_SKIP):
         raise ValueError(f"header_row and skip_footer lie between 0 and {MAX_SKIP}")
-    encoding = encoding_of(spark, path)
+    encoding = encoding or encoding_of(spark, path)
     top = _first_lines(spark, path, encoding)
     if header_row == "search":
         header_row = header_search(top).first()["header_row"]
