@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, neardup, packing, quality, tokenstore
+from . import langid, neardup, packing, quality, substring, tokenstore
 from .shared import scratch, table
 
 
@@ -32,7 +32,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_token_store, op4_quality_rules, op5_near_duplicates, op7_packing,
+    op9_substring_dedup,
 )}
 ORACLE: dict[str, str] = {"op4_quality_rules": quality.duckdb_sql()}
