@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, neardup, packing, quality, substring, tokenstore
+from . import langid, neardup, packing, quality, sitetree, substring, tokenstore
 from .shared import scratch, table
 
 
@@ -28,6 +28,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.with_lengths(sitetree.extract_main_text(table(spark, sf_dir, "pages")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents")))
 
@@ -37,7 +41,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_language_id, op2_token_store, op4_quality_rules, op5_near_duplicates, op7_packing,
+    op1_language_id, op2_token_store, op4_quality_rules, op5_near_duplicates, op6_site_tree, op7_packing,
     op9_substring_dedup,
 )}
 ORACLE: dict[str, str] = {"op4_quality_rules": quality.duckdb_sql()}
