@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, neardup, packing, quality, sitetree, substring, tokenstore
+from . import decontam, langid, neardup, packing, quality, sitetree, substring, tokenstore
 from .shared import scratch, table
 
 
@@ -20,6 +20,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.document_digests(tokenstore.read_store(spark, folder))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_language_id, op2_token_store, op4_quality_rules, op5_near_duplicates, op6_site_tree, op7_packing,
+    op1_language_id, op2_token_store, op3_benchmark_decontamination, op4_quality_rules, op5_near_duplicates, op6_site_tree, op7_packing,
     op9_substring_dedup,
 )}
 ORACLE: dict[str, str] = {"op4_quality_rules": quality.duckdb_sql()}

@@ -66,12 +66,13 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the first word of each document (with the word count at the end)."""
+def words(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the first word of each document (with the word count at the end).
+    gap says which bytes part words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~SPACE[data]
+    inside = ~gap[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     after = np.empty(n, bool)
