@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, packing, quality, sitetree, substring, tokenstore
+from . import decontam, langid, neardup, packing, quality, secret_scan, sitetree, substring, tokenstore
 from .shared import scratch, table
 
 
@@ -44,8 +44,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.fit(secret_scan.example_findings(spark))
+    return secret_scan.findings(secret_scan.scan_documents(table(spark, sf_dir, "documents"), model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_token_store, op3_benchmark_decontamination, op4_quality_rules, op5_near_duplicates, op6_site_tree, op7_packing,
     op9_substring_dedup,
+    op10_secret_scan,
 )}
 ORACLE: dict[str, str] = {"op4_quality_rules": quality.duckdb_sql()}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import kept_table, partitions, small_side, text_of
 
 #: Bytes of text whose fingerprints share a bucket, on average; and of the documents of one group.
-BUCKET_TEXT = 16 << 20
+BUCKET_TEXT = 8 << 20
 #: Documents up to which the list of concerned ids may be broadcast (8 bytes each).
 ID_LIST = 500_000
 TICKETS = "bucket int, hashes binary, checks binary, docs binary, places binary, groups binary, known binary"
