@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, packing, quality, secret_scan, sitetree, substring, tokenstore
+from . import decontam, langid, neardup, packing, quality, secret_scan, sitetree, substring, suffix_dedup, tokenstore
 from .shared import scratch, table
 
 
@@ -40,6 +40,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_token_store, op3_benchmark_decontamination, op4_quality_rules, op5_near_duplicates, op6_site_tree, op7_packing,
-    op9_substring_dedup,
-    op10_secret_scan,
+    op8_suffix_dedup, op9_substring_dedup, op10_secret_scan,
 )}
 ORACLE: dict[str, str] = {"op4_quality_rules": quality.duckdb_sql()}
