@@ -1,0 +1,222 @@
+"""Token store, packing, language id, decontamination, page text, secrets and the pipeline."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from small import AWKWARD, documents
+from twinledger.llm import decontam, langid, packing, secret_scan, sitetree, tokenstore
+from twinledger.llm.shared import scratch
+from twinledger.llm.tokenizing import Encoder, default_path
+
+SF_DIR = "/root/testdata/sf0.001"
+ODD_TEXTS = ["", " ", "  a", "a  b", "a \n b", "x\n y", "x\n\n y", " lead", "trail ", "tab\tx y", "é b c", "日本語 テキスト です", "a\x1cb c", "<|endoftext|> x y",
+             "don't 'll x's", "a\r\n b", "ÀÉ×÷ ñandú", "1st 22nd", "  x", "x 　 y", "🙂 🙂🙂 ok"]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(default_path())
+
+
+def test_ids_are_the_library_s_own(tokenizer):
+    encoder = Encoder.at(default_path())
+    for text in ODD_TEXTS + [t or "" for _, t, *_ in AWKWARD]:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_store_round_trip(spark, tokenizer):
+    rows = AWKWARD + [(None, "no id", "en", "s"), (1, "again one", "en", "s")]
+    folder = scratch(spark, "store")
+    tokenstore.write_store(documents(spark, rows), folder, shard_bytes=2000)
+    stored = tokenstore.read_store(spark, folder).collect()
+    want = [(d, tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for d, t, *_ in rows]
+    assert sorted((r.doc_id or 0, np.frombuffer(r.ids, "<u4").tolist()) for r in stored) == sorted((d or 0, ids) for d, ids in want)
+    at = 0
+    for r in sorted(stored, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id or 0 for r in sorted(stored, key=lambda r: r.start)] == sorted(d or 0 for d, _ in want)
+    assert tokenstore.read_document(spark, folder, 8) == [dict(want)[8]]
+    assert len(tokenstore.read_document(spark, folder, 1)) == 2 and tokenstore.read_document(spark, folder, 999) == []
+
+
+def test_empty_store(spark):
+    folder = scratch(spark, "store")
+    tokenstore.write_store(documents(spark, []), folder)
+    assert tokenstore.read_store(spark, folder).count() == 0
+
+
+def check_packing(pieces, want):
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in pieces:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == set(want)
+    for doc, ids in want.items():
+        at = 0
+        for r in sorted(by_doc[doc], key=lambda r: r.start):
+            assert r.start == at and r.length > 0 and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at:at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for held in by_sequence.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    return len(by_sequence)
+
+
+def test_packing(spark, tokenizer):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    rows = [(d + 100, *r) for d, *r in rows] + AWKWARD
+    want = {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for d, t, *_ in rows}
+    sequences = check_packing(packing.piece_digests(packing.pack_documents(documents(spark, rows).coalesce(1))).collect(), want)
+    assert sequences * 1024 < 1.03 * sum(map(len, want.values()))
+    assert packing.pack_documents(documents(spark, [])).count() == 0
+
+
+def test_differencing_balances():
+    bins = packing.difference_bins([8, 7, 6, 5, 4], 2)
+    assert sorted(sorted(b) for b in bins) == [[0, 2], [1, 3, 4]] or abs(sum((8, 7, 6, 5, 4)[i] for i in bins[0]) - 15) <= 1
+    assert all(sum((600, 600, 600)[i] for i in b) <= 1024 for b in packing.fitting_bins((600, 600, 600), 1024))
+    assert packing.fitting_bins([], 1024) == []
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = found[found.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.97
+    assert found.score.between(0, 1).all()
+    for r in docs.select("doc_id").limit(50).collect():
+        assert bool(found[found.doc_id == r.doc_id].held_out.iloc[0]) == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_language_id_of_awkward_texts(spark):
+    found = {r.doc_id: r for r in langid.identify_languages(documents(spark), langid.Network(epochs=1)).collect()}
+    assert len(found) == len(AWKWARD)
+    assert all(found[d].lang_pred == "und" and found[d].score == 0 for d in (5, 6, 7, 11, 16))
+    assert {found[d].lang_pred for d in (1, 4)} <= {"en", "fr"}
+    unlabelled = documents(spark, [(d, t, None, s) for d, t, _, s in AWKWARD])
+    assert {r.lang_pred for r in langid.identify_languages(unlabelled).collect()} == {"und"}
+    assert langid.identify_languages(documents(spark, [])).count() == 0
+
+
+def test_decontamination(spark):
+    docs, bench = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}
+    rows, items = docs.collect(), bench.collect()
+    want = {(d.doc_id, i.item_id) for d in rows for i in items if i.text in d.text}
+    assert want and found == want
+    assert decontam.clean_documents(docs, bench).count() == len(rows) - len({d for d, _ in want})
+    sharded = decontam.find_leaks(docs, bench, decontam.Search(shard_items=15))
+    assert {(r.doc_id, r.item_id) for r in sharded.collect()} == want
+
+
+def test_pruning_loses_nothing(spark):
+    """Every passage and item of at least the threshold, scored without any index."""
+    docs, bench = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "benchmark"))
+    index = decontam.Index.build([tuple(r) for r in bench.select("item_id", "text").collect()], decontam.Search(threshold=0.3))
+    index.prune({})
+    n = 0
+    for (text,) in docs.select("text").limit(60).collect():
+        hashes = decontam._hashed(text)
+        if not len(hashes):
+            continue
+        term, places = index.numbers(hashes), np.arange(len(hashes))
+        got = {(p, i) for _, p, i in index.retrieve(term, np.zeros(len(hashes), np.int64), places)}
+        for p in range(-(-len(hashes) // index.stride)):
+            held = set(term[p * index.stride:(p + 2) * index.stride].tolist()) - {-1}
+            for i, weights in enumerate(index.weights):
+                if sum(weights[t] for t in held & weights.keys()) >= 0.3:
+                    n += 1
+                    assert (p, i) in got
+    assert n
+
+
+def test_decontamination_of_awkward_tables(spark):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "the"), (None, "alpha1 beta1 of the gamma1 alpha2 beta2 of the gamma2")], "item_id long, text string")
+    found = decontam.find_leaks(documents(spark), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, None), (2, None), (3, None), (13, None)}
+    assert decontam.find_leaks(documents(spark, []), items).count() == decontam.find_leaks(documents(spark), items.limit(0)).count() == 0
+    assert decontam.clean_documents(documents(spark), items).columns == documents(spark).columns
+
+
+PAGES = [
+    (1, "http://h.example/a", "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/x>X</a></li></ul></nav><div class=ad>Buy</div>"
+     "<article><h1>Caf&eacute; &amp;\n bar</h1><p>One <b>bold</b><p>Two&nbsp;x<br>three<script>var t='</p>';</script></article><footer>&copy; f</footer>"),
+    (2, "http://h.example/b", "<div class='cookie-notice'>c</div><main><p>Main</p><section id=comments><p>nice!</p></section><form><p>f</p></form></main>"),
+    (3, None, None), (4, "no url", "plain text only"), (5, "http://h.example/c", "<p>cut <a href='x"), (5, "http://h.example/c", "<!-- <p>no</p> --><p>yes</p>"),
+]
+
+
+def test_page_text(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("host", sitetree.F.lit("clash"))
+    found = sitetree.with_lengths(sitetree.extract_main_text(pages)).collect()
+    assert sorted((r.page_id, r.text) for r in found) == [
+        (1, "Café & bar\nOne bold\nTwo x three"), (2, "Main"), (3, ""), (4, "plain text only"), (5, "cut"), (5, "yes")]
+    assert all(r.n_chars == len(r.text) for r in found)
+    assert sitetree.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_repeated_branches_go(spark):
+    rows = [(i, f"http://s.example/{i}", f"<body><div class=promoline>Follow us every day</div><div class=story>Story {i} tells {i * 7}</div></body>") for i in range(8)]
+    found = sitetree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in found} == {f"Story {i} tells {i * 7}" for i in range(8)}
+    copies = [(i, f"http://s.example/{i}", "<body><article><p>the same</p></article></body>") for i in range(8)]
+    assert {r.text for r in sitetree.extract_main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"the same"}
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.fit(secret_scan.example_findings(spark, 3000))
+
+
+def test_secrets_of_the_documents(spark, forest):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.doc_id for r in secret_scan.scan_documents(docs, forest).filter("is_secret").select("doc_id").distinct().collect()}
+    assert found == {r.doc_id for r in docs.filter("text RLIKE '(?i)token = \"[0-9a-f]{40}'").collect()}
+
+
+def test_secrets_of_awkward_texts(spark, forest):
+    key = "9f3b2c1d8e7a6b5c4d3e2f1a0b9c8d7e6f5a4b3c"
+    rows = AWKWARD + [(20, f'set token = "{key}"!! now', "en", None), (21, f"see commit {key} for this", "en", "s"), (None, f"api_key: {key}", "en", "s"),
+                      (22, "write to reader.55@mail3.example.com now", "en", "s"), (23, "password = your_token_here_5", "en", "s")]
+    frame = documents(spark, rows)
+    assert {r.doc_id for r in secret_scan.scan_documents(frame, forest).filter("is_secret").collect()} == {20, None}
+    masked = secret_scan.masked_documents(frame, forest)
+    assert masked.columns == frame.columns and masked.count() == len(rows)
+    texts = {r.doc_id: (r.text, r.n_chars) for r in masked.collect()}
+    assert texts[20] == ('set token = "<SECRET>"!! now', 28) and texts[None][0] == "api_key: <SECRET>"
+    assert all(texts[d][0] == t for d, t, *_ in rows if d not in (20, None))
+    assert secret_scan.scan_documents(documents(spark, []), forest).count() == 0
+
+
+def test_pipeline(spark):
+    """Each stage against what its operator is tested for; the last holds exactly the texts that are left."""
+    from small import near_groups
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    columns, counts = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        path = scratch(spark, "stage")
+        stage(spark, docs, SF_DIR).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns, name
+        after = {r.doc_id: r.text for r in docs.collect()}
+        assert set(after) <= set(before)
+        if name == "near duplicates":
+            assert set(after) == {d for d, (_, c) in near_groups(before.items(), 5, 80).items() if c == d}
+        counts.append(len(after))
+    tokenizer = Tokenizer.from_file(default_path())
+    want = {d: tokenizer.encode(t, add_special_tokens=False).ids + [0] for d, t in after.items()}
+    check_packing(corpus_pipeline.packing(spark, docs, SF_DIR).collect(), want)
+    assert 0 < counts[-1] < 200
