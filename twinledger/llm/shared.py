@@ -17,14 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session's spark.checkpoint.dir. Where it is unset, a folder of this machine serves a
+    """The shared folder of the session's spark.checkpoint.dir. Where none is set, a folder of this machine serves a
     local session, as in tests; a cluster has to name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="twinledger-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="twinledger-llm-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
