@@ -81,7 +81,7 @@ def test_crosstab(spark):
     a = spark.createDataFrame([(i, i % 3, i, "g1" if i < 6 else "g2" if i < 11 else None) for i in range(12)], "k int, v int, w int, g string")
     b = a.selectExpr("k", "CASE WHEN k IN (0, 1, 7, 11) THEN -1 ELSE v END AS v")
     found = compare_records(a, b, "k", {"v": "v"})
-    got = [tuple(r) for r in crosstab(a, "a", found.plan, found.mismatches, "g").collect()]
+    got = [tuple(r) for r in crosstab(a, "a", found.plan, found.findings, "g").collect()]
     assert got == [("g1", 2, 66.7), ("g2", 1, 33.3)]
     assert {r.column for r in crosstab_candidates(a, ["k"]).collect()} == {"v", "g"}
     # a share of exactly one half is too much

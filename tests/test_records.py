@@ -140,7 +140,7 @@ def test_fuzzy_equality(spark):
     assert {r.key_df1 for r in fuzzy.collect()} == {"3", "4", "6"}
     exact = compare_records(a, b, "k", [Pair("t", "u")]).mismatches
     assert {r.key_df1 for r in exact.collect()} == {"1", "2", "3", "4", "6"}
-    hot = compare_records(a, b, "k", [Pair("t", "u", threshold=90)], hot_share=1e-5, hot_floor=0).mismatches
+    hot = compare_records(a, b, "k", [Pair("t", "u", threshold=90)], hot_rows=0).mismatches
     assert cells(hot) == cells(fuzzy)
 
 
@@ -163,13 +163,13 @@ def test_all_plans_agree(spark, seed):
     a, b = random_sides(spark, seed)
     expected = cells(compare_records(a, b, KEYS, MAP, skew="none").mismatches)
     for floor in (0, 3):
-        assert cells(compare_records(a, b, KEYS, MAP, hot_share=1e-5, hot_floor=floor).mismatches) == expected
-    for options in ({}, {"hot_share": 1e-5, "hot_floor": 2}):
+        assert cells(compare_records(a, b, KEYS, MAP, hot_rows=floor).mismatches) == expected
+    for options in ({}, {"hot_rows": 2}):
         counted = compare_records(a, b, KEYS, MAP, counted=True, **options).mismatches
         assert Counter({tuple(r)[:7]: int(r.n_rows) for r in counted.collect()}) == expected
     groups = {"t": ["t", "g"], "d": ["d"]}
     any_of = cells(compare_any_of(a, b, "k", groups, skew="none").mismatches)
-    assert cells(compare_any_of(a, b, "k", groups, hot_share=1e-5, hot_floor=2).mismatches) == any_of
+    assert cells(compare_any_of(a, b, "k", groups, hot_rows=2).mismatches) == any_of
 
 
 def test_against_brute_force(spark):
@@ -236,7 +236,7 @@ def test_argument_checks(spark):
     for keys, columns in (("nope", {"v": "v"}), ("k", {"v": "nope"})):
         with pytest.raises(KeyError):
             compare_records(a, a, keys, columns)
-    for bad in ({"columns": [Pair("v", "v"), Pair("k", "v")]}, {"columns": {"v": "v"}, "hot_share": 0.0},
+    for bad in ({"columns": [Pair("v", "v"), Pair("k", "v")]}, {"columns": {"v": "v"}, "hot_rows": -1},
                 {"columns": {"v": "v"}, "skew": "x"}, {"columns": {"v": "v"}, "null_keys": "x"}):
         with pytest.raises(ValueError):
             compare_records(a, a, "k", **bad)
@@ -277,7 +277,7 @@ def test_a_third_of_all_rows_on_one_key(spark):
     rows = spark.range(30_000, numPartitions=4)
     a = rows.selectExpr("IF(id % 3 = 0, 0, id) AS k", "id % 7 AS v")
     b = rows.selectExpr("IF(id % 3 = 0, 0, id) AS k", "IF(id % 10 = 0, 8, id % 7) AS v")
-    result = compare_records(a, b, "k", {"v": "v"}, counted=True, hot_floor=1_000)
+    result = compare_records(a, b, "k", {"v": "v"}, counted=True, hot_rows=1_000)
     assert [r["__key0"] for r in result.survey.hot.collect()] == [0]
     hot_a, hot_b = (Counter(r.v for r in f.where("k = 0").collect()) for f in (a, b))
     want = sum(n * m for x, n in hot_a.items() for y, m in hot_b.items() if x != y)
@@ -286,5 +286,5 @@ def test_a_third_of_all_rows_on_one_key(spark):
         got[r.key_df1] += int(r.n_rows)
     assert got["0"] == want
     assert set(got) == {"0"} | {str(r.k) for r in b.where("k <> 0 AND v = 8").collect()}
-    lone = compare_records(a, b.where("k <> 0"), "k", {"v": "v"}, hot_floor=1_000).mismatches
+    lone = compare_records(a, b.where("k <> 0"), "k", {"v": "v"}, hot_rows=1_000).mismatches
     assert lone.where("match_type = 'Missing in Source B'").count() == 10_000

@@ -25,7 +25,7 @@ def test_history(spark, tmp_path):
     runs = read_runs(spark, path)
     assert [r.run_id for r in recent_runs(runs, 2).collect()] == [ids[3], ids[2]]
     row = run_by_id(runs, ids[1]).first()
-    assert (row.score, row.missing_in_a, row.key_cols_a, row.column_pairs[0].b, row.composite_pairs[0].bs) == (91.0, 0, [], "b", ["b", "c"])
+    assert (row.score, row.missing_in_a, row.key_cols_a, row.column_pairs[0].b, row.composite_pairs[0].bs) == (91.0, None, [], "b", ["b", "c"])
     delete_old_runs(spark, path, keep=3)
     assert {r.run_id for r in read_runs(spark, path).collect()} == set(ids[1:])
     save_run(spark, path, "statistics")

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinledger import Pair
+from twinledger.operators.keys import rows_of_keys
+from twinledger.operators.records import compare_records
 from twinledger.operators.scores import (
     clean_columns, column_scores, coverage_summary, match_score, mismatch_frequency, narrative, score_band, weighted_score,
 )
@@ -80,3 +82,23 @@ def test_counted_tables_give_the_same(spark, found):
 def test_bands(spark, score, band, words):
     row = spark.range(1).select(score_band(F.lit(score)), narrative(F.lit(score))).first()
     assert row[0].startswith(band) and row[1].startswith(words)
+
+
+def test_keys_are_told_apart_by_their_parts(spark):
+    """Composite keys that show as the same text, and texts that look like the markers."""
+    rows = "x string, y string, v int"
+    a = spark.createDataFrame([("x|y", "z", 1), ("x", "y|z", 1), ("<NULL>", "m", 1), (None, "m", 2), ("<MISSING>", "q", 5)], rows)
+    b = spark.createDataFrame([("x|y", "z", 2), ("x", "y|z", 3), ("<null>", "m", 1), ("k", "k", 1)], rows)
+    found = compare_records(a, b, (["x", "y"], ["x", "y"]), {"v": "v"})
+    summary = coverage_summary(found.findings, found.overview).first()
+    assert (summary.total_keys, summary.joined_count, summary.mismatch_count) == (6, 3, 2)
+    assert (summary.missing_in_a, summary.missing_in_b, summary.score) == (1, 2, round(100 * (1 - 5 / 6), 1))
+    assert column_scores(found.findings, found.overview).first().mismatches == 2
+    rows = rows_of_keys(a, "a", found.plan, found.findings).collect()
+    assert sorted((r.x or "", r.y) for r in rows) == [("", "m"), ("<MISSING>", "q"), ("x", "y|z"), ("x|y", "z")]
+    assert "key_parts" not in found.mismatches.columns
+
+
+def test_missing_keys_can_be_left_out(spark):
+    a = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (None, 3)], "k double, v int")
+    assert compare_records(a, a.where("v <> 1"), "k", {"v": "v"}, null_keys="drop").mismatches.count() == 1

@@ -13,6 +13,7 @@ from .functions.similarity import cosine
 from .functions.text import drop_null_tokens, is_blank, normal_text, present_text, type_of
 from .operators import coercion, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
+from .plans import reconcile
 from .sources import history, hygiene
 from .sources.fixed_width import fixed_width_fields, layout_from_text
 from .spec import Pair
@@ -53,8 +54,8 @@ def lineitem_mismatches_counted(spark, sf_dir):
 
 
 def lineitem_mismatches_hot_keys(spark, sf_dir):
-    """The same with keys taken apart that hold more than 1/20,000 of a side's rows."""
-    found = _compare(spark, sf_dir, "lineitem", counted=True, hot_share=5e-5, hot_floor=0).mismatches
+    """The same with keys of more than three rows on a side taken apart."""
+    found = _compare(spark, sf_dir, "lineitem", counted=True, hot_rows=3).mismatches
     return found.withColumn("n_rows", F.col("n_rows").cast("bigint"))
 
 
@@ -95,7 +96,7 @@ def outer_rows(spark, sf_dir):
 def rows_of_mismatched_keys(spark, sf_dir):
     a, b = fx.side_pair(spark, sf_dir, "orders")
     found = _compare(spark, sf_dir, "orders")
-    return keys.rows_of_keys(a.select("o_orderkey", "o_orderstatus"), "a", found.plan, found.mismatches)
+    return keys.rows_of_keys(a.select("o_orderkey", "o_orderstatus"), "a", found.plan, found.findings)
 
 
 def pair_type_decision(spark, sf_dir):
@@ -175,22 +176,22 @@ def key_counts(spark, sf_dir):
 
 def coverage_summary(spark, sf_dir):
     found = _compare(spark, sf_dir, "orders")
-    return scores.coverage_summary(found.mismatches, found.overview)
+    return scores.coverage_summary(found.findings, found.overview)
 
 
 def match_score(spark, sf_dir):
     found = _compare(spark, sf_dir, "lineitem", counted=True)
-    return scores.match_score(found.mismatches, found.overview)
+    return scores.match_score(found.findings, found.overview)
 
 
 def weighted_score(spark, sf_dir):
     found = _compare(spark, sf_dir, "orders")
-    return scores.weighted_score(found.mismatches, found.overview, WEIGHTS)
+    return scores.weighted_score(found.findings, found.overview, WEIGHTS)
 
 
 def column_scores(spark, sf_dir):
     found = _compare(spark, sf_dir, "orders")
-    return scores.column_scores(found.mismatches, found.overview)
+    return scores.column_scores(found.findings, found.overview)
 
 
 def score_bands(spark, sf_dir):
@@ -207,11 +208,11 @@ def score_bands(spark, sf_dir):
 
 def clean_columns(spark, sf_dir):
     found = _compare(spark, sf_dir, "orders")
-    return scores.clean_columns(found.mismatches, found.rules)
+    return scores.clean_columns(found.findings, found.rules)
 
 
 def mismatch_frequency(spark, sf_dir):
-    return scores.mismatch_frequency(_compare(spark, sf_dir, "orders").mismatches)
+    return scores.mismatch_frequency(_compare(spark, sf_dir, "orders").findings)
 
 
 def crosstab_candidates(spark, sf_dir):
@@ -220,7 +221,7 @@ def crosstab_candidates(spark, sf_dir):
 
 def crosstab_by_priority(spark, sf_dir):
     found = _compare(spark, sf_dir, "orders")
-    return profile.crosstab(fx.derived(spark, sf_dir, "orders_a"), "a", found.plan, found.mismatches, "o_orderpriority")
+    return profile.crosstab(fx.derived(spark, sf_dir, "orders_a"), "a", found.plan, found.findings, "o_orderpriority")
 
 
 def column_profile(spark, sf_dir):
@@ -296,6 +297,23 @@ def fuzzy_best_match(spark, sf_dir):
     return name_matching.best_fuzzy_match(left, right, 60)
 
 
+def run_history_row(spark, sf_dir):
+    """What the history records of a comparison, all fields but id and time; lists as text."""
+    found = _compare(spark, sf_dir, "orders")
+    row = reconcile.run_row(found, "records", source_a_name="orders", source_b_name="copy", results_path=None)
+    return row.selectExpr(
+        "approach", "source_a_name", "source_b_name", "concat_ws(',', key_cols_a) AS key_cols_a", "concat_ws(',', key_cols_b) AS key_cols_b",
+        "score", "total_keys", "joined_count", "missing_in_a", "missing_in_b", "mismatch_count",
+        "concat_ws(',', transform(column_pairs, p -> concat(p.a, '=', p.b))) AS column_pairs", "size(composite_pairs) AS n_composite_pairs")
+
+
+def coverage_of_like_keys(spark, sf_dir):
+    """Composite text keys that hold the separator and the markers: keys that show alike are counted apart."""
+    a, b = fx.derived(spark, sf_dir, "like_keys_a"), fx.derived(spark, sf_dir, "like_keys_b")
+    found = records.compare_records(a, b, (["k1", "k2"], ["k1", "k2"]), {"size": "size"})
+    return scores.coverage_summary(found.findings, found.overview)
+
+
 def recent_runs(spark, sf_dir):
     return history.recent_runs(fx.derived(spark, sf_dir, "run_rows"))
 
@@ -318,6 +336,7 @@ QUERIES: dict[str, Query] = {
         joined_key_count, key_counts, coverage_summary, match_score, weighted_score, column_scores, score_bands,
         clean_columns, mismatch_frequency, crosstab_candidates, crosstab_by_priority, column_profile, mixed_type_columns,
         preflight_uniqueness, preflight_sequence, preflight_row_counts, preflight_join_size, latest_per_key, first_n_rows,
-        review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, recent_runs, runs_retention, run_by_id,
+        review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, run_history_row, coverage_of_like_keys, recent_runs,
+        runs_retention, run_by_id,
     )
 }

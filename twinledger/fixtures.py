@@ -55,6 +55,15 @@ SELECT p_partkey AS part_id,
   CASE WHEN p_partkey % 3 = 2 AND p_partkey % 17 <> 0 THEN concat(p_type, ' ') ELSE '' END AS code3,
   CASE WHEN p_partkey % 19 = 0 THEN p_size + 1 ELSE p_size END AS size_b
 FROM part WHERE p_partkey % 29 <> 0""",
+    "like_keys_a": """
+SELECT CASE WHEN p_partkey % 10 = 8 THEN NULL WHEN p_partkey % 10 = 9 THEN '<NULL>' WHEN p_partkey % 2 = 0 THEN concat(q, '|y') ELSE q END AS k1,
+  CASE WHEN p_partkey % 10 >= 8 THEN q WHEN p_partkey % 2 = 0 THEN 'z' ELSE 'y|z' END AS k2, p_size AS size, p_partkey AS part
+FROM (SELECT p_partkey, p_size, CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS q FROM part) AS p""",
+    "like_keys_b": """
+SELECT CASE WHEN p_partkey % 10 = 8 THEN NULL WHEN p_partkey % 10 = 9 THEN '<NULL>' WHEN p_partkey % 2 = 0 THEN concat(q, '|y') ELSE q END AS k1,
+  CASE WHEN p_partkey % 10 >= 8 THEN q WHEN p_partkey % 2 = 0 THEN 'z' ELSE 'y|z' END AS k2,
+  CASE WHEN p_partkey % 7 < 2 THEN p_size + 1 ELSE p_size END AS size, p_partkey AS part
+FROM (SELECT p_partkey, p_size, CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS q FROM part WHERE p_partkey % 11 <> 0) AS p""",
     "supplier_a": """
 SELECT s_suppkey, s_name FROM supplier""",
     "supplier_b": """

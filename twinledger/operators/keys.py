@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import INTEGRAL, ident, quoted, stripped, type_of
-from ..spec import MISSING_KEY
+
+# What a table of findings holds beside the shown columns: the key itself, and the sides that have it (both, a, b).
+KEY_PARTS, FOUND_IN = "key_parts", "found_in"
 
 NULL_KEY = "<NULL>"
 OVERVIEW = (
@@ -21,9 +23,10 @@ OVERVIEW = (
 class KeyPlan:
     """How the key columns of both sides become plain equi-join columns.
 
-    Every part is joined on its own, so no two keys collide. Two integral columns keep their type (plus a
-    null flag); all other parts are compared as trimmed, by default upper-cased, text. Missing parts match
-    each other, or are left out with ``null_keys="drop"``.
+    Every part is joined on its own with a flag for a missing value, so no two keys collide and no text equals a
+    missing key. Two integral columns keep their type; all other parts are compared as trimmed, by default upper-cased,
+    text. Missing parts match each other, or are left out with ``null_keys="drop"``. The display is for readers only:
+    what counts or joins keys uses the columns ``names``.
     """
 
     keys: tuple[tuple[str, str], ...]
@@ -41,14 +44,18 @@ class KeyPlan:
     @property
     def names(self) -> list[str]:
         """The equi-join columns."""
-        return [n for i, whole in enumerate(self.integral) for n in ([f"__key{i}", f"__key{i}_null"] if whole else [f"__key{i}"])]
+        return [n for i in range(len(self.integral)) for n in (f"__key{i}", f"__key{i}_null")]
+
+    @property
+    def parts(self) -> Column:
+        """All of ``names`` as one column: what a key is."""
+        return F.struct(*self.names)
 
     @property
     def display(self) -> Column:
         """The key as one text, parts joined with ``|``, from the equi-join columns."""
         shown = [
-            f"if(__key{i}_null, '{NULL_KEY}', CAST(__key{i} AS STRING))" if whole else f"__key{i}"
-            for i, whole in enumerate(self.integral)
+            f"if(__key{i}_null, '{NULL_KEY}', CAST(__key{i} AS STRING))" for i in range(len(self.integral))
         ]
         return F.expr(shown[0] if len(shown) == 1 else f"concat_ws('|', {', '.join(shown)})")
 
@@ -64,15 +71,16 @@ class KeyPlan:
             else:
                 text = stripped(x, type_of(df, name))
                 text = text if self.case_sensitive else f"upper({text})"
-                out.append(F.expr(f"coalesce({text}, '{NULL_KEY}') AS __key{i}"))
+                out.append(F.expr(f"coalesce({text}, '') AS __key{i}"))
+                out.append(F.expr(f"isnull({text}) AS __key{i}_null"))
         return out
 
     def slim(self, df: DataFrame, side: str, extra: Sequence[Column] = ()) -> DataFrame:
         """Key columns and the wanted expressions of one side; the caller's frame stays as it is."""
+        slim = df.select(*self.columns(df, side), *extra)
         if self.null_keys == "drop":
-            names = [pair[0] if side == "a" else pair[1] for pair in self.keys]
-            df = df.where(" AND ".join(f"{ident(n)} IS NOT NULL" for n in names))
-        return df.select(*self.columns(df, side), *extra)
+            slim = slim.where(" AND ".join(f"NOT __key{i}_null" for i in range(len(self.integral))))
+        return slim
 
 
 def key_rows(a: DataFrame, b: DataFrame, plan: KeyPlan) -> DataFrame:
@@ -128,9 +136,13 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*[quoted(k) for k in keys]).agg(newest.alias("newest")).select("newest.*")
 
 
-def rows_of_keys(df: DataFrame, side: str, plan: KeyPlan, mismatches: DataFrame) -> DataFrame:
-    """The source rows whose key occurs in the mismatch table, with the key as ``row_key``."""
-    key_column = "key_df1" if side == "a" else "key_df2"
-    bad = mismatches.select(F.col(key_column).alias("row_key")).where(F.col("row_key") != MISSING_KEY).distinct()
-    shown = plan.slim(df, side, [quoted(c) for c in df.columns]).withColumn("row_key", plan.display)
-    return shown.drop(*plan.names).join(bad, "row_key", "left_semi")
+def mismatched_keys(side: str, plan: KeyPlan, findings: DataFrame) -> DataFrame:
+    """The equi-join columns of the keys of one side that occur in ``Comparison.findings``."""
+    return findings.where(F.col(FOUND_IN).isin("both", side)).select(f"{KEY_PARTS}.*").select(*plan.names).distinct()
+
+
+def rows_of_keys(df: DataFrame, side: str, plan: KeyPlan, findings: DataFrame) -> DataFrame:
+    """The source rows whose key occurs in ``Comparison.findings``, with the key as ``row_key``."""
+    keyed = plan.slim(df, side, [quoted(c) for c in df.columns])
+    rows = keyed.join(mismatched_keys(side, plan, findings), plan.names, "left_semi")
+    return rows.select(plan.display.alias("row_key"), *[quoted(c) for c in df.columns])

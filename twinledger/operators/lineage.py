@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the session's checkpoint folder and go on from there.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where none is set, as in tests, a
-    local one is made.
+    The folder is the one that ``spark.checkpoint.dir`` names, or was set on the context: it has to be shared by the
+    driver and all executors, so none is made up here. ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    lets Spark remove the files with the frames.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="twinledger-"))
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

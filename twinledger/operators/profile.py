@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ident, literal, quoted, render, type_of
-from ..spec import MISSING_KEY, MISSING_ROW
+from ..spec import MISSING_ROW
 from .coercion import is_mixed
-from .keys import KeyPlan
+from .keys import KeyPlan, mismatched_keys
 
 # Limits for a category column, and for a column that is mostly missing.
 MAX_CATEGORIES = 50
@@ -85,13 +85,11 @@ def crosstab_candidates(df: DataFrame, key_columns: Sequence[str]) -> DataFrame:
     return counts.where(few)
 
 
-def crosstab(df: DataFrame, side: str, plan: KeyPlan, mismatches: DataFrame, group_column: str) -> DataFrame:
+def crosstab(df: DataFrame, side: str, plan: KeyPlan, findings: DataFrame, group_column: str) -> DataFrame:
     """Mismatched keys per value of one column, with the share of the total in percent."""
-    key_column = "key_df1" if side == "a" else "key_df2"
-    bad = mismatches.select(F.col(key_column).alias("row_key")).where(F.col("row_key") != MISSING_KEY).distinct()
-    keyed = plan.slim(df, side, [quoted(group_column).alias("group_value")])
-    pairs = keyed.select(plan.display.alias("row_key"), "group_value").distinct().join(bad, "row_key", "left_semi")
-    groups = pairs.where(F.col("group_value").isNotNull()).groupBy("group_value").agg(F.count(F.lit(1)).alias("mismatches"))
+    keyed = plan.slim(df, side, [quoted(group_column).alias("group_value")]).where("group_value IS NOT NULL")
+    pairs = keyed.distinct().join(mismatched_keys(side, plan, findings), plan.names, "left_semi")
+    groups = pairs.groupBy("group_value").agg(F.count(F.lit(1)).alias("mismatches"))
     total = groups.agg(F.sum("mismatches").alias("total")).scalar()
     return groups.withColumn("total", total).select(
         "group_value", "mismatches",

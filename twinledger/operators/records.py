@@ -14,16 +14,21 @@ from ..functions.similarity import similarity, similarity_bound, token_sorted
 from ..functions.text import ident, is_missing, is_numeric, literal, normal_text, quoted, render, stripped, type_of
 from ..spec import MISSING_KEY, MISSING_ROW, Rule, check_columns, key_pairs, rules_from
 from .coercion import Modes, column_pairs, pair_types
-from .keys import KeyPlan, key_overview, key_rows
+from .keys import FOUND_IN, KEY_PARTS, KeyPlan, key_overview, key_rows
 from .survey import Survey, modes_only, take_survey
 
-# How many parts each side of a hot key is cut into; every part of A meets every part of B in its own task.
-HOT_PARTS = 16
+# Rows of a hot key that a part of one side stands for; every part of A meets every part of B on its own.
+PART_ROWS = 10_000
+# Repeated rows are written out in runs of at most this many.
+REPEAT_RUN = 10_000
+# Hot keys up to this many go to every task, more are joined.
+BROADCAST_KEYS = 100_000
 
 # Rows that a counted mismatch stands for: two large counts multiplied do not fit a BIGINT.
 COUNT_TYPE = "decimal(38,0)"
 
 COLUMNS = ["key_df1", "key_df2", "col_df1", "col_df2", "val_df1", "val_df2"]
+HEAD = [KEY_PARTS, FOUND_IN, "key_df1", "key_df2"]
 
 
 @dataclass(frozen=True)
@@ -43,17 +48,22 @@ ANY_OF_LABELS = Labels("comparison_type", "missing_key", "missing_key")
 class Comparison:
     """Result of a comparison: the mismatch table, and what was found about keys and types before it."""
 
-    mismatches: DataFrame
+    findings: DataFrame
     rules: list[Rule]
     plan: KeyPlan
     survey: Survey
     sources: tuple[DataFrame, DataFrame]
 
+    @property
+    def mismatches(self) -> DataFrame:
+        """The findings as they are shown; scores and look-ups use ``findings``, which also hold the key itself."""
+        return self.findings.drop(KEY_PARTS, FOUND_IN)
+
     @property
     def overview(self) -> DataFrame:
         """One row of key and row counts: from the survey if one was taken, else counted when used."""
         if self.survey.overview:
-            return self.mismatches.sparkSession.createDataFrame([self.survey.overview])
+            return self.findings.sparkSession.createDataFrame([self.survey.overview])
         return key_overview(key_rows(*self.sources, self.plan))
 
     @property
@@ -94,8 +104,8 @@ def compare(
     rtol: float = RTOL,
     atol: float = ATOL,
     counted: bool = False,
-    hot_share: float | None = None,
-    hot_floor: int | None = None,
+    hot_rows: int | None = None,
+    hot_pairs: int | None = None,
 ) -> Comparison:
     """Join on normalised keys and report every differing cell and every row without partner.
 
@@ -111,7 +121,7 @@ def compare(
     plan = KeyPlan.of(a, b, pairs_of_keys, case_sensitive, null_keys)
     pairs = column_pairs(rules)
     if skew == "auto":
-        limits = {k: v for k, v in (("hot_share", hot_share), ("hot_floor", hot_floor)) if v is not None}
+        limits = {k: v for k, v in (("hot_rows", hot_rows), ("hot_pairs", hot_pairs)) if v is not None}
         survey = take_survey(a, b, plan, pairs, modes, **limits)
     elif skew == "none":
         open_pairs = [p for p in pairs if p not in (modes or {})]
@@ -127,7 +137,7 @@ def compare(
     else:
         found = engine.with_hot_keys(survey.hot, counted)
     if counted:
-        shown = COLUMNS + [labels.column]
+        shown = [KEY_PARTS, FOUND_IN, *COLUMNS, labels.column]
         found = found.groupBy(*shown).agg(F.sum("n_rows").cast(COUNT_TYPE).alias("n_rows"))
     return Comparison(found, rules, plan, survey, (a, b))
 
@@ -160,11 +170,13 @@ class _Engine:
         if cells:
             findings = f"CASE WHEN {lone} THEN {findings} ELSE array({', '.join(cells)}) END"
         rows = joined.where(" OR ".join([lone, *(f"({f})" for f in failed)])).select(
+            self.plan.parts.alias(KEY_PARTS),
+            F.expr(f"CASE WHEN in_a IS NULL THEN 'b' WHEN in_b IS NULL THEN 'a' ELSE 'both' END AS {FOUND_IN}"),
             F.when(F.expr("in_a IS NULL"), MISSING_KEY).otherwise(self.plan.display).alias("key_df1"),
             F.when(F.expr("in_b IS NULL"), MISSING_KEY).otherwise(self.plan.display).alias("key_df2"),
             F.expr(f"explode({findings}) AS cell"),
         )
-        return self._scored(rows.where("cell IS NOT NULL")).selectExpr("key_df1", "key_df2", *self._output())
+        return self._scored(rows.where("cell IS NOT NULL")).selectExpr(*HEAD, *self._output())
 
     def _numeric(self, i: int, j: int) -> bool:
         return self.modes[(self.rules[i].a, self.rules[i].targets[j])] == "numeric"
@@ -265,9 +277,11 @@ class _Engine:
     def with_hot_keys(self, hot: DataFrame, counted: bool) -> DataFrame:
         """Full join for ordinary keys; hot keys by their distinct values, cut into parts.
 
-        ``hot`` is bounded by the share that makes a key hot, so it is safe to broadcast.
+        ``hot`` holds the keys with their counts; it goes to every task if it is short, and is joined by key if not.
         """
-        keys = F.broadcast(hot.select(*self.plan.names))
+        if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+            hot = F.broadcast(hot)
+        keys = hot.select(*self.plan.names)
         keyed_a = self.plan.slim(self.a, "a", [quoted(c) for c in self.a.columns])
         keyed_b = self.plan.slim(self.b, "b", [quoted(c) for c in self.b.columns])
         names = self.plan.names
@@ -276,7 +290,7 @@ class _Engine:
         )
         parts = [self._hot_lone(keyed_a, hot, "n_b", in_a=True), self._hot_lone(keyed_b, hot, "n_a", in_a=False)]
         if self.rules:
-            parts.append(self._hot_cells(keyed_a, keyed_b, keys, counted))
+            parts.append(self._hot_cells(keyed_a, keyed_b, hot, counted))
         if counted:
             cold = cold.withColumn("n_rows", _once())
             parts[:2] = [p.withColumn("n_rows", _once()) for p in parts[:2]]
@@ -286,28 +300,30 @@ class _Engine:
 
     def _hot_lone(self, keyed: DataFrame, hot: DataFrame, other_count: str, in_a: bool) -> DataFrame:
         """Rows of hot keys that the other side does not have at all."""
-        alone = F.broadcast(hot.where(f"{other_count} = 0").select(*self.plan.names))
+        alone = hot.where(f"{other_count} = 0").select(*self.plan.names)
         rows = keyed.join(alone, self.plan.names, "left_semi").select(
+            self.plan.parts.alias(KEY_PARTS), F.lit("a" if in_a else "b").alias(FOUND_IN),
             (self.plan.display if in_a else F.lit(MISSING_KEY)).alias("key_df1"),
             (F.lit(MISSING_KEY) if in_a else self.plan.display).alias("key_df2"),
             F.expr(f"{self._absent_row('false' if in_a else 'true')} AS cell"),
         )
-        return rows.selectExpr("key_df1", "key_df2", *self._output())
+        return rows.selectExpr(*HEAD, *self._output())
 
-    def _hot_cells(self, keyed_a: DataFrame, keyed_b: DataFrame, keys: DataFrame, counted: bool) -> DataFrame:
+    def _hot_cells(self, keyed_a: DataFrame, keyed_b: DataFrame, hot: DataFrame, counted: bool) -> DataFrame:
         """Compare the distinct values of each rule within a hot key, and count what they stand for."""
         names, numbers = self.plan.names, range(len(self.rules))
         sources = f"inline(array({', '.join(self._source_struct(i) for i in numbers)}))"
         targets = f"inline(array({', '.join(self._target_struct(i) for i in numbers)}))"
-        side_a = keyed_a.join(keys, names, "left_semi").selectExpr(*names, sources)
-        side_b = keyed_b.join(keys, names, "left_semi").selectExpr(*names, targets)
-        values_a = side_a.groupBy(*names, "rule", "raw_a", "text_a", "num_a").agg(F.count(F.lit(1)).alias("n_a"))
-        values_b = side_b.groupBy(*names, "rule", "raw_b", "text_b", "num_b").agg(F.count(F.lit(1)).alias("n_b"))
-
-        every = f"explode(sequence(0, {HOT_PARTS - 1}))"
-        part = f"CAST(pmod(xxhash64({{}}), {HOT_PARTS}) AS INT)"
-        cut_a = values_a.selectExpr("*", f"{part.format('raw_a')} AS part_a", f"{every} AS part_b")
-        cut_b = values_b.selectExpr("*", f"{part.format('raw_b')} AS part_b", f"{every} AS part_a")
+        # The parts of a key follow its rows on either side.
+        cut = ["parts_a", "parts_b"]
+        keys = hot.where("n_a > 0 AND n_b > 0").selectExpr(*names, *[f"(n_{x} + {PART_ROWS - 1}) DIV {PART_ROWS} AS parts_{x}" for x in "ab"])
+        side_a = keyed_a.join(keys, names, "inner").selectExpr(*names, *cut, sources)
+        side_b = keyed_b.join(keys, names, "inner").selectExpr(*names, *cut, targets)
+        values_a = side_a.groupBy(*names, *cut, "rule", "raw_a", "text_a", "num_a").agg(F.count(F.lit(1)).alias("n_a"))
+        values_b = side_b.groupBy(*names, *cut, "rule", "raw_b", "text_b", "num_b").agg(F.count(F.lit(1)).alias("n_b"))
+
+        cut_a = values_a.selectExpr("*", "pmod(xxhash64(raw_a), parts_a) AS part_a", "explode(sequence(0L, parts_b - 1)) AS part_b").drop(*cut)
+        cut_b = values_b.selectExpr("*", "pmod(xxhash64(raw_b), parts_b) AS part_b", "explode(sequence(0L, parts_a - 1)) AS part_a").drop(*cut)
         met = cut_a.join(cut_b, [*names, "rule", "part_a", "part_b"], "inner")
 
         failed = " ".join(f"WHEN rule = {i} THEN {self._hot_failed(i)}" for i in numbers)
@@ -316,16 +332,20 @@ class _Engine:
             for i in numbers
         )
         rows = met.where(f"CASE {failed} END").select(
+            self.plan.parts.alias(KEY_PARTS), F.lit("both").alias(FOUND_IN),
             self.plan.display.alias("key_df1"), self.plan.display.alias("key_df2"), "n_a", "n_b",
             F.expr(f"explode(CASE {cells} END) AS cell"),
         )
         rows = self._scored(rows)
         if counted:
             product = f"CAST(CAST(n_a AS DECIMAL(18,0)) * CAST(n_b AS DECIMAL(18,0)) AS {COUNT_TYPE}) AS n_rows"
-            return rows.selectExpr("key_df1", "key_df2", *self._output(), product)
-        repeated = rows.withColumn("again_a", F.expr("explode(sequence(1L, n_a))"))
-        repeated = repeated.withColumn("again_b", F.expr("explode(sequence(1L, n_b))"))
-        return repeated.selectExpr("key_df1", "key_df2", *self._output())
+            return rows.selectExpr(*HEAD, *self._output(), product)
+        repeated = rows
+        for n in ("n_a", "n_b"):
+            # In runs, so that no row ever holds an array as long as the count.
+            repeated = repeated.withColumn("run", F.expr(f"explode(sequence(0L, ({n} - 1) DIV {REPEAT_RUN}))"))
+            repeated = repeated.withColumn("again", F.expr(f"explode(sequence(1L, least({REPEAT_RUN}L, {n} - run * {REPEAT_RUN})))"))
+        return repeated.selectExpr(*HEAD, *self._output())
 
     def _source_struct(self, i: int) -> str:
         x, dtype = ident(self.rules[i].a), self._type_a(i)

@@ -1,4 +1,4 @@
-"""Scores and breakdowns of a mismatch table. All of them also accept counted mismatch tables."""
+"""Scores and breakdowns of findings (``Comparison.findings``), counted ones too. They count keys by their parts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import MISSING_KEY, MISSING_ROW, Rule
+from .keys import FOUND_IN, KEY_PARTS
 from .rows import side_by_side
 
 # Score limits with their badge, and with their narrative.
@@ -41,10 +42,19 @@ def narrative(score: Column) -> Column:
     return ladder(score, NARRATIVES)
 
 
-def _any_key() -> Column:
+def _any_key(findings: DataFrame) -> Column:
+    """What a finding's key is: its parts. A table without them, as written for readers, only has the shown text."""
+    if KEY_PARTS in findings.columns:
+        return F.col(KEY_PARTS)
     return F.when(F.col("key_df1") == MISSING_KEY, F.col("key_df2")).otherwise(F.col("key_df1"))
 
 
+def _only_in(findings: DataFrame, side: str) -> Column:
+    if FOUND_IN in findings.columns:
+        return F.col(FOUND_IN) == side
+    return ~_is_cell() & (F.col("key_df1" if side == "b" else "key_df2") == MISSING_KEY)
+
+
 def _is_cell() -> Column:
     return F.col("col_df1") != MISSING_ROW
 
@@ -54,10 +64,10 @@ def bad_key_counts(mismatches: DataFrame) -> DataFrame:
 
     Keys are reduced to one row each first, so the counts need no distinct aggregates.
     """
-    per_key = mismatches.groupBy(_any_key().alias("any_key")).agg(
+    per_key = mismatches.groupBy(_any_key(mismatches).alias("any_key")).agg(
         F.bool_or(_is_cell()).alias("cell"),
-        F.bool_or(~_is_cell() & (F.col("key_df1") == MISSING_KEY)).alias("not_in_a"),
-        F.bool_or(~_is_cell() & (F.col("key_df2") == MISSING_KEY)).alias("not_in_b"),
+        F.bool_or(_only_in(mismatches, "b")).alias("not_in_a"),
+        F.bool_or(_only_in(mismatches, "a")).alias("not_in_b"),
     )
     return per_key.agg(
         F.count(F.lit(1)).alias("bad_keys"),
@@ -87,7 +97,7 @@ def match_score(mismatches: DataFrame, overview: DataFrame) -> DataFrame:
 
 def _keys_per_column(mismatches: DataFrame) -> DataFrame:
     """Distinct bad keys of every column with a cell mismatch; two groupings, no distinct aggregate."""
-    cells = mismatches.where(_is_cell()).select("col_df1", _any_key().alias("any_key"))
+    cells = mismatches.where(_is_cell()).select("col_df1", _any_key(mismatches).alias("any_key"))
     return cells.groupBy("col_df1", "any_key").agg(F.lit(1)).groupBy("col_df1").agg(F.count(F.lit(1)).alias("mismatches"))
 
 
@@ -104,14 +114,18 @@ def rule_weights(rules: Iterable[Rule]) -> dict[str, float]:
 
 def weighted_score(mismatches: DataFrame, overview: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """A score over cell mismatches in which some columns count more."""
-    per_column = _keys_per_column(mismatches).withColumn("weight", _weight(weights))
+    # One grouping serves both: rows without partner form the group of no column.
+    column = F.when(_is_cell(), F.col("col_df1"))
+    keys = mismatches.select(column.alias("col_df1"), _any_key(mismatches).alias("any_key")).groupBy("col_df1", "any_key").agg(F.lit(1))
+    per_column = keys.groupBy("col_df1").agg(F.count(F.lit(1)).alias("mismatches")).withColumn("weight", _weight(weights))
+    named = F.col("col_df1").isNotNull()
     sums = per_column.agg(
-        F.coalesce(F.sum(F.col("mismatches") * F.col("weight")), F.lit(0.0)).alias("weighted"),
-        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weights"),
-        F.count(F.lit(1)).alias("bad_columns"),
+        F.coalesce(F.sum(F.when(named, F.col("mismatches") * F.col("weight"))), F.lit(0.0)).alias("weighted"),
+        F.coalesce(F.sum(F.when(named, F.col("weight"))), F.lit(0.0)).alias("weights"),
+        F.count_if(named).alias("bad_columns"),
+        F.coalesce(F.sum("mismatches"), F.lit(0)).alias("findings"),
     )
-    found = mismatches.agg(F.count(F.lit(1)).alias("findings"))
-    row = side_by_side(sums, found, overview.select("total_keys"))
+    row = side_by_side(sums, overview.select("total_keys"))
     mean_weight = F.greatest(F.lit(1.0), F.try_divide(F.col("weights"), F.col("bad_columns")))
     effective = F.try_divide(F.col("weighted"), mean_weight)
     total = F.col("total_keys").cast("double")

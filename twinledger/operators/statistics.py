@@ -18,7 +18,6 @@ QUARTILES = (0.25, 0.5, 0.75)
 # Relative rank error of the sketch that brackets a quartile, and the values a bracket may hold when it is sorted.
 SKETCH_ACCURACY = 10_000
 BRACKET_VALUES = 100_000
-MAX_ROUNDS = 10
 
 STATISTICS = "column string, metric string, a double, b double, abs_diff double, rel_diff double"
 
@@ -82,6 +81,7 @@ class _Bracket:
         self.column, self.low, self.high, self.least, self.most = column, low, high, least, most
         self.first, self.second, self.share = math.floor(position), math.ceil(position), position - math.floor(position)
         self.below = self.inside = 0
+        self.restarted = False
         self.value: float | None = None
 
     @property
@@ -97,18 +97,18 @@ def _settle(values: DataFrame, brackets: list[_Bracket], bracket_values: int) ->
     """Find the exact quantiles: sketches bracket them, counts prove the bracket, and only its values are sorted.
 
     A bracket that is too wide is narrowed by a sketch of its own values. One that fails the proof starts again
-    from the whole range. Each round is one pass for all brackets of the table.
+    from the whole range, which always holds. Each round is one pass for the brackets still open, and the rounds end when all are
+    proven and small, or hold values that no sketch parts (few different ones, which are counted and not sorted by row).
     """
-    for _ in range(MAX_ROUNDS):
-        _count(values, brackets)
-        for b in brackets:
-            if not b.holds:
-                b.low, b.high = b.least, b.most
-        if not all(b.holds for b in brackets):
-            _count(values, [b for b in brackets if not b.holds])
-        wide = [b for b in brackets if b.inside > bracket_values and b.low < b.high]
-        if not wide or not _narrow(values, wide):
-            break
+    unsettled = list(brackets)
+    while unsettled:
+        _count(values, unsettled)
+        failed = [b for b in unsettled if not b.holds]
+        for b in failed:
+            b.low, b.high = b.least, b.most
+        _count(values, failed)
+        wide = [b for b in unsettled if b.inside > bracket_values and b.low < b.high]
+        unsettled = _narrow(values, wide) if wide else []
     _pick(values, brackets)
 
 
@@ -120,17 +120,20 @@ def _count(values: DataFrame, brackets: list[_Bracket]) -> None:
             b.below, b.inside = counts[2 * k], counts[2 * k + 1]
 
 
-def _narrow(values: DataFrame, wide: list[_Bracket]) -> bool:
-    """Take the bracket of each quantile among the values inside; False if none got smaller."""
+def _narrow(values: DataFrame, wide: list[_Bracket]) -> list[_Bracket]:
+    """Take the bracket of each quantile among the values inside; those that got smaller, whose counts are open again."""
     forms = []
     for b in wide:
         low = max(0.0, (b.first - b.below) / b.inside - 2 / SKETCH_ACCURACY)
         high = min(1.0, (b.second - b.below) / b.inside + 2 / SKETCH_ACCURACY)
         forms.append(f"percentile_approx(CASE WHEN {b.within} THEN v{b.column} END, array({low!r}, {high!r}), {SKETCH_ACCURACY})")
-    smaller = False
+    smaller = []
     for b, near in zip(wide, values.agg(*[F.expr(x) for x in forms]).first()):
-        smaller = smaller or (near[0], near[1]) != (b.low, b.high)
-        b.low, b.high = near
+        # A proven bracket only ever shrinks; one that has been widened again isn't narrowed a second time.
+        if (near[0], near[1]) != (b.low, b.high) and not b.restarted:
+            b.restarted = (b.low, b.high) == (b.least, b.most)
+            b.low, b.high = near
+            smaller.append(b)
     return smaller
 
 

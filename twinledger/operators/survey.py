@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from .coercion import Modes, key_facts, known_modes, matched_totals, pair_rows, pair_types, with_decision
 from .keys import OVERVIEW, KeyPlan, key_rows, overview_totals
+from .lineage import cut
 
-# A key is hot if it holds more than this share of a side's rows, so a side has at most 1/HOT_SHARE of them.
-HOT_SHARE = 1e-4
-HOT_FLOOR = 10_000
-MIN_HOT_SHARE = 1e-5
+# A key is hot if it has more rows than this on a side, or makes more row pairs than this: what one task can take
+# doesn't depend on how large the tables are.
+HOT_ROWS = 1_000_000
+HOT_PAIRS = 100_000_000
 
 
 @dataclass
 class Survey:
     """What a comparison needs to know first.
 
-    ``types`` is the decision table if one was made; ``hot`` a small table of keys to treat apart, or None.
+    ``types`` is the decision table if one was made; ``hot`` the keys to treat apart with their row counts, or None.
     """
 
     modes: Modes
@@ -36,15 +37,12 @@ def take_survey(
     plan: KeyPlan,
     pairs: Sequence[tuple[str, str]],
     given: Mapping | None = None,
-    hot_share: float = HOT_SHARE,
-    hot_floor: int = HOT_FLOOR,
+    hot_rows: int = HOT_ROWS,
+    hot_pairs: int = HOT_PAIRS,
 ) -> Survey:
-    """Decide modes and find hot keys. The driver gets one row per pair, and the hot keys if there are any.
-
-    At most ``1 / hot_share`` keys of a side can be hot, so their list stays small however large the tables are.
-    """
-    if hot_share < MIN_HOT_SHARE:
-        raise ValueError(f"hot_share is at least {MIN_HOT_SHARE}: the list of hot keys must stay small")
+    """Decide modes and find hot keys, by the work that a key makes. The driver gets one row per pair of columns."""
+    if hot_rows < 0 or hot_pairs < 0:
+        raise ValueError("hot_rows and hot_pairs are not negative")
     modes: Modes = {**known_modes(a, b, pairs), **dict(given or {})}
     types = None
     if any(p not in modes for p in pairs):
@@ -56,12 +54,12 @@ def take_survey(
         overview = {c: found[0][c] for c in OVERVIEW}
     else:
         overview = key_rows(a, b, plan).agg(*overview_totals()).first().asDict()
-    limit_a = max(hot_floor, hot_share * overview["rows_a"])
-    limit_b = max(hot_floor, hot_share * overview["rows_b"])
     hot = None
-    if overview["largest_a"] > limit_a or overview["largest_b"] > limit_b:
-        rows = key_rows(a, b, plan).where((F.col("n_a") > limit_a) | (F.col("n_b") > limit_b))
-        hot = a.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    most_a, most_b = overview["largest_a"], overview["largest_b"]
+    if most_a > hot_rows or most_b > hot_rows or most_a * most_b > hot_pairs:
+        work = F.col("n_a").cast("double") * F.col("n_b")
+        hot = cut(key_rows(a, b, plan).where((F.col("n_a") > hot_rows) | (F.col("n_b") > hot_rows) | (work > hot_pairs)))
+        hot = None if hot.isEmpty() else hot
     return Survey(modes, overview, types, hot)
 
 

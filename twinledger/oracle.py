@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from .catalogue import COSINE_THRESHOLD, WEIGHTS
 from .fixtures import with_sql
-from .operators.scores import BADGES, NARRATIVES
+
+COSINE_THRESHOLD = 0.35
+WEIGHTS = {"o_totalprice": 3.0, "o_orderstatus": 2.0}
+BADGES = (
+    (95.0, "Excellent Match"), (80.0, "Review Recommended"), (50.0, "Significant Mismatches"),
+    (None, "Likely Column Mismatch — Check Mapping"),
+)
+NARRATIVES = (
+    (100.0, "All clear! Every record and value matched perfectly between sources."),
+    (95.0, "Mostly matched with limited issues. Data integrity is high with few discrepancies."),
+    (80.0, "Review recommended. Significant portions match, but some systematic issues may be present."),
+    (None, "Significant mismatch volume detected. Verify column mappings and source data consistency."),
+)
 
 
 def strip(x: str) -> str:
@@ -278,6 +289,18 @@ ORACLE: dict[str, str] = {
     "joined_key_count": f"{LINEITEM} SELECT joined_count FROM ov",
     "key_counts": f"{LINEITEM} SELECT * FROM ov",
     "coverage_summary": COVERAGE,
+    "run_history_row": f"""SELECT 'records' AS approach, 'orders' AS source_a_name, 'copy' AS source_b_name, 'o_orderkey' AS key_cols_a,
+  'order_id' AS key_cols_b, score, total_keys, joined_count, missing_in_a, missing_in_b, mismatch_count,
+  'o_custkey=customer,o_orderstatus=status,o_totalprice=total,o_orderpriority=priority' AS column_pairs, 0 AS n_composite_pairs
+FROM ({COVERAGE}) AS c""",
+    "coverage_of_like_keys": f"""{with_sql("like_keys_a", "like_keys_b")},
+j AS (SELECT a.part AS pa, b.part AS pb, a.size <> b.size AS differ FROM like_keys_a a FULL JOIN like_keys_b b
+  ON a.k1 IS NOT DISTINCT FROM b.k1 AND a.k2 = b.k2),
+c AS (SELECT count(*) AS total_keys, count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) AS joined_count, count(*) FILTER (pa IS NULL) AS missing_in_a,
+  count(*) FILTER (pb IS NULL) AS missing_in_b, count(*) FILTER (differ) AS mismatch_count FROM j),
+s AS (SELECT *, round((1.0 - CAST(missing_in_a + missing_in_b + mismatch_count AS DOUBLE) / total_keys) * 100, 1) AS score FROM c)
+SELECT score, total_keys, joined_count, missing_in_a, missing_in_b, mismatch_count, joined_count - mismatch_count AS fully_matched,
+  {ladder("score", BADGES)} AS band, {ladder("score", NARRATIVES)} AS narrative FROM s""",
     "match_score": f"""{LINEITEM}, s AS (SELECT total_keys, (SELECT count(DISTINCT {_ANY_KEY}) FROM mm) AS bad_keys FROM ov)
 SELECT total_keys, bad_keys, greatest(0.0, (1.0 - CAST(bad_keys AS DOUBLE) / total_keys) * 100.0) AS score,
   round(greatest(0.0, (1.0 - CAST(bad_keys AS DOUBLE) / total_keys) * 100.0), 1) AS score_rounded FROM s""",

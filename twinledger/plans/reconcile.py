@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators.coercion import apply_overrides, convert_numeric_columns, numeric_pairs
 from ..operators.preflight import run_preflight
-from ..operators.records import Comparison, compare_any_of, compare_records
+from ..operators.records import ANY_OF_LABELS, RECORD_LABELS, Comparison, compare_any_of, compare_records
 from ..operators.scores import column_scores, coverage_summary, rule_weights, weighted_score
 from ..operators.statistics import compare_statistics
-from ..sources.history import save_run
+from ..operators.rows import side_by_side
+from ..sources.history import RUN_FIELDS, save_run
 from ..sources.presets import load_presets
 from ..sources.sinks import write_mismatches, write_report
 from ..spec import AnyOf, Pair, Rule, key_pairs, rules_from, without_keys
@@ -29,6 +30,10 @@ class PreflightError(ValueError):
         super().__init__("; ".join(f"{r['check']} ({r['subject']}): {r['message']}" for r in findings))
 
 
+class NoNumericPairs(ValueError):
+    """A statistics run has nothing to compare."""
+
+
 @dataclass
 class Outputs:
     """Where a run writes; what is None is not written."""
@@ -70,37 +75,57 @@ def reconcile(
             raise PreflightError(errors)
     compare = compare_records if approach == "records" else compare_any_of
     result = compare(a, b, pairs, rules, **options)
-    result.mismatches = result.mismatches.persist(StorageLevel.MEMORY_AND_DISK)
+    result.findings = result.findings.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         spark = a.sparkSession
-        overview = result.overview
-        summary = coverage_summary(result.mismatches, overview)
-        weights = rule_weights(rules)
-        if weights:
-            weighted = weighted_score(result.mismatches, overview, weights).select("weighted_score_rounded").first()[0]
+        summary = run_summary(result, approach)
         values = summary.first().asDict()
-        values["weighted_score"] = weighted if weights else None
         path = None
         if outputs.mismatches and write_mismatches(result.mismatches, outputs.mismatches):
             path = outputs.mismatches
         if outputs.report:
-            scores = column_scores(result.mismatches, values["joined_count"])
-            write_report(outputs.report, summary, scores, result.coercion)
+            scores = column_scores(result.findings, values["joined_count"])
+            write_report(outputs.report, summary.withColumn("ts", F.current_timestamp()), scores, result.coercion)
         run_id = None
         if outputs.history:
             run_id = save_run(
-                spark, outputs.history, approach, results_path=path,
-                source_a_name=outputs.source_a_name, source_b_name=outputs.source_b_name,
-                key_cols_a=[k for k, _ in pairs], key_cols_b=[k for _, k in pairs],
-                column_pairs=[(r.a, r.b) for r in rules if isinstance(r, Pair)],
-                composite_pairs=[(r.a, list(r.bs)) for r in rules if isinstance(r, AnyOf)],
-                **{n: values[n] for n in ("score", "total_keys", "joined_count", "missing_in_a", "missing_in_b", "mismatch_count")},
-            )
+                spark, outputs.history, approach, results_path=path, source_a_name=outputs.source_a_name,
+                source_b_name=outputs.source_b_name, **_run_values(values, pairs, rules))
     finally:
-        result.mismatches.unpersist()
+        result.findings.unpersist()
     return RunResult(run_id, values, result)
 
 
+def run_summary(result: Comparison, approach: str) -> DataFrame:
+    """One row: the coverage summary of a comparison with its approach, and the weighted score where columns have weights."""
+    overview = result.overview
+    summary = coverage_summary(result.findings, overview)
+    weights = rule_weights(result.rules)
+    if weights:
+        summary = side_by_side(summary, weighted_score(result.findings, overview, weights).select(F.col("weighted_score_rounded").alias("weighted_score")))
+    else:
+        summary = summary.withColumn("weighted_score", F.lit(None).cast("double"))
+    return summary.select(F.lit(approach).alias("approach"), *summary.columns)
+
+
+def run_row(result: Comparison, approach: str, **names: str | None) -> DataFrame:
+    """The history row of a comparison, all fields but its id and time."""
+    values = run_summary(result, approach).first().asDict()
+    row = {n: None for n in RUN_FIELDS} | {"approach": approach} | names | _run_values(values, list(result.plan.keys), result.rules)
+    fields = [n for n in RUN_FIELDS if n not in ("run_id", "ts")]
+    return result.findings.sparkSession.createDataFrame(
+        [tuple(row[n] for n in fields)], ", ".join(f"{n} {RUN_FIELDS[n]}" for n in fields))
+
+
+def _run_values(values: dict, pairs, rules) -> dict:
+    return {
+        "key_cols_a": [k for k, _ in pairs], "key_cols_b": [k for _, k in pairs],
+        "column_pairs": [(r.a, r.b) for r in rules if isinstance(r, Pair)],
+        "composite_pairs": [(r.a, list(r.bs)) for r in rules if isinstance(r, AnyOf)],
+        **{n: values[n] for n in ("score", "total_keys", "joined_count", "missing_in_a", "missing_in_b", "mismatch_count")},
+    }
+
+
 def reconcile_statistics(
     a: DataFrame, b: DataFrame, columns, outputs: Outputs | None = None
 ) -> RunResult:
@@ -116,14 +141,14 @@ def reconcile_statistics(
     for row in numeric_pairs(a, b, pairs).collect():
         (kept if row["kept"] else skipped).append((row["col_a"], row["col_b"]))
     if not kept:
-        raise ValueError("no numeric column pairs to compare")
+        raise NoNumericPairs("no numeric column pairs to compare")
     modes = {p: "numeric" for p in kept}
     statistics = compare_statistics(a, b, [Pair(p, q) for p, q in kept], modes)
     run_id = None
     if outputs and outputs.history:
         run_id = save_run(
             a.sparkSession, outputs.history, "statistics", source_a_name=outputs.source_a_name,
-            source_b_name=outputs.source_b_name, column_pairs=kept, total_keys=0, joined_count=0,
+            source_b_name=outputs.source_b_name, column_pairs=kept,
         )
     return RunResult(run_id, {"kept": len(kept), "skipped": len(skipped)}, statistics=statistics, skipped=skipped)
 
@@ -131,7 +156,7 @@ def reconcile_statistics(
 def run_presets(
     spark: SparkSession, presets: str, a: DataFrame, b: DataFrame, results: str, history: str | None = None, **options
 ) -> dict[str, list[str]]:
-    """Run every saved mapping of a folder on two sources and append the findings to one table, by preset.
+    """Run every saved mapping of a folder on two sources and append findings and summaries to tables, by preset.
 
     Returns the parts run per preset. Each preset is a comparison of its own, so their Spark jobs follow one another.
     """
@@ -145,23 +170,24 @@ def run_presets(
             if not rules:
                 continue
             compare = compare_records if approach == "records" else compare_any_of
-            found = compare(a, b, list(preset.keys), rules, **options).mismatches
-            label = found.columns[6]
-            found.withColumnRenamed(label, "kind").withColumns(
+            found = compare(a, b, list(preset.keys), rules, **options)
+            found.findings = found.findings.persist(StorageLevel.MEMORY_AND_DISK)
+            label = ANY_OF_LABELS.column if approach == "any_of" else RECORD_LABELS.column
+            found.mismatches.withColumnRenamed(label, "kind").withColumns(
                 {"preset": F.lit(preset.name), "approach": F.lit(approach)}
             ).write.mode("append").partitionBy("preset", "approach").parquet(f"{results}/mismatches")
+            summary = run_summary(found, approach)
+            summary.withColumns({"preset": F.lit(preset.name), "ts": F.current_timestamp()}).write.mode("append").partitionBy(
+                "preset", "approach").parquet(f"{results}/summary")
+            values = summary.first().asDict()
+            found.findings.unpersist()
             done[preset.name].append(approach)
             if history:
-                save_run(
-                    spark, history, approach, results_path=f"{results}/mismatches",
-                    key_cols_a=[k for k, _ in preset.keys], key_cols_b=[k for _, k in preset.keys],
-                    column_pairs=[(r.a, r.b) for r in rules if isinstance(r, Pair)],
-                    composite_pairs=[(r.a, list(r.bs)) for r in rules if isinstance(r, AnyOf)],
-                )
+                save_run(spark, history, approach, results_path=f"{results}/mismatches", **_run_values(values, list(preset.keys), rules))
         if pairs:
             try:
                 statistics = reconcile_statistics(a, b, pairs, outputs)
-            except ValueError:
+            except NoNumericPairs:
                 continue
             statistics.statistics.withColumn("preset", F.lit(preset.name)).write.mode("append").partitionBy(
                 "preset").parquet(f"{results}/statistics")

@@ -21,14 +21,11 @@ RUNS = ", ".join(f"{name} {kind}" for name, kind in RUN_FIELDS.items())
 
 
 def save_run(spark: SparkSession, path: str, approach: str, **values) -> str:
-    """Append a run and return its id. Counts default to 0, other values to NULL or an empty list."""
+    """Append a run and return its id. Lists default to empty ones; what isn't known is NULL."""
     unknown = set(values) - set(RUN_FIELDS)
     if unknown:
         raise ValueError(f"unknown run fields {sorted(unknown)}")
-    defaults = {
-        "missing_in_a": 0, "missing_in_b": 0, "mismatch_count": 0, "key_cols_a": [], "key_cols_b": [],
-        "column_pairs": [], "composite_pairs": [],
-    }
+    defaults = {"key_cols_a": [], "key_cols_b": [], "column_pairs": [], "composite_pairs": []}
     row = {n: None for n in RUN_FIELDS} | defaults | {
         "run_id": uuid.uuid4().hex, "ts": datetime.now(timezone.utc), "approach": approach,
     } | values
@@ -55,17 +52,21 @@ def kept_runs(runs: DataFrame, keep: int = KEPT_RUNS) -> DataFrame:
     return runs.orderBy(F.desc("ts"), F.desc("run_id")).limit(keep)
 
 
-def delete_old_runs(spark: SparkSession, path: str, keep: int = KEPT_RUNS) -> None:
-    """Keep the newest runs only: they are written to a new folder, which then takes the place of the old one.
+def delete_old_runs(spark: SparkSession, path: str, keep: int = KEPT_RUNS) -> list[str]:
+    """Delete the days that hold none of the newest runs, and return them.
 
-    The old folder is moved aside first and removed last, so an interrupted call loses nothing.
+    Whole ``run_date`` folders go, one delete each; nothing is rewritten or moved, so runs appended meanwhile stay and an
+    interrupted call leaves a valid table. The oldest day kept may hold more than ``keep`` asks for; ``kept_runs`` cuts exactly.
     """
-    fresh, old = f"{path.rstrip('/')}-new-{uuid.uuid4().hex[:8]}", f"{path.rstrip('/')}-old-{uuid.uuid4().hex[:8]}"
-    kept = kept_runs(read_runs(spark, path), keep)
-    kept.withColumn("run_date", F.to_date("ts")).write.partitionBy("run_date").parquet(fresh)
+    oldest = kept_runs(read_runs(spark, path), keep).agg(F.date_format(F.min("ts"), "yyyy-MM-dd")).first()[0]
+    if oldest is None:
+        return []
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     files = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for source, target in ((path, old), (fresh, path)):
-        if not files.rename(path_of(source), path_of(target)):
-            raise OSError(f"could not move {source} to {target}")
-    files.delete(path_of(old), True)
+    gone = []
+    for status in files.listStatus(path_of(path)):
+        name = status.getPath().getName()
+        if name.startswith("run_date=") and name.removeprefix("run_date=") < oldest:
+            files.delete(status.getPath(), True)
+            gone.append(name.removeprefix("run_date="))
+    return sorted(gone)
