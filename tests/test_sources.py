@@ -204,3 +204,23 @@ def test_workbook(spark, tmp_path):
     assert read_workbook(spark, str(folder), "Data").count() == 4
     with pytest.raises(ValueError):
         read_workbook(spark, str(folder))
+
+
+def test_nothing_is_lost_unseen(spark, tmp_path):
+    path = tmp_path / "surplus.csv"
+    path.write_text("id,name\n1,ann,EXTRA\n2,bob\n3\n")
+    with pytest.raises(ValueError, match="1 lines"):
+        read_csv(spark, str(path))
+    rows = {r.id: (r.name, r.surplus_line) for r in read_csv(spark, str(path), surplus="keep").collect()}
+    assert rows == {"1": ("ann", "1,ann,EXTRA"), "2": ("bob", None), "3": (None, None)}
+    quoted = tmp_path / "breaks.csv"
+    quoted.write_text('id,name\n1,"a\nb"\n2,c\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        read_csv(spark, str(quoted))
+    assert read_csv(spark, str(quoted), multi_line=True).count() == 2
+    folder = tmp_path / "folder"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,name\n1,ann\n")
+    (folder / "b.csv").write_text("name,id\nbob,2\n")
+    with pytest.raises(ValueError, match="another header"):
+        read_csv(spark, str(folder))

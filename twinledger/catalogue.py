@@ -14,7 +14,7 @@ from .functions.text import drop_null_tokens, is_blank, normal_text, present_tex
 from .operators import coercion, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
 from .plans import reconcile
-from .sources import history, hygiene
+from .sources import delimited, history, hygiene
 from .sources.fixed_width import fixed_width_fields, layout_from_text
 from .spec import Pair
 
@@ -297,6 +297,20 @@ def fuzzy_best_match(spark, sf_dir):
     return name_matching.best_fuzzy_match(left, right, 60)
 
 
+def csv_lines(spark, sf_dir):
+    """CSV lines with quotes, commas, short and ragged records, back to columns."""
+    return delimited.table_of_lines(fx.derived(spark, sf_dir, "order_csv_lines"), ["o_orderkey", "note", "total"], ",", "keep")
+
+
+def tsv_lines(spark, sf_dir):
+    return delimited.table_of_lines(fx.derived(spark, sf_dir, "customer_tsv_lines"), ["c_custkey", "name", "segment"], "\t", "keep")
+
+
+def header_line(spark, sf_dir):
+    """The header row found among the first lines, titles above it."""
+    return delimited.header_search(fx.derived(spark, sf_dir, "titled_lines"))
+
+
 def run_history_row(spark, sf_dir):
     """What the history records of a comparison, all fields but id and time; lists as text."""
     found = _compare(spark, sf_dir, "orders")
@@ -336,7 +350,7 @@ QUERIES: dict[str, Query] = {
         joined_key_count, key_counts, coverage_summary, match_score, weighted_score, column_scores, score_bands,
         clean_columns, mismatch_frequency, crosstab_candidates, crosstab_by_priority, column_profile, mixed_type_columns,
         preflight_uniqueness, preflight_sequence, preflight_row_counts, preflight_join_size, latest_per_key, first_n_rows,
-        review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, run_history_row, coverage_of_like_keys, recent_runs,
+        review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
         runs_retention, run_by_id,
     )
 }

@@ -55,6 +55,17 @@ SELECT p_partkey AS part_id,
   CASE WHEN p_partkey % 3 = 2 AND p_partkey % 17 <> 0 THEN concat(p_type, ' ') ELSE '' END AS code3,
   CASE WHEN p_partkey % 19 = 0 THEN p_size + 1 ELSE p_size END AS size_b
 FROM part WHERE p_partkey % 29 <> 0""",
+    "order_csv_lines": """
+SELECT CASE WHEN o_orderkey % 50 = 0 THEN concat(CAST(o_orderkey AS STRING), ',x,1,EXTRA') WHEN o_orderkey % 60 = 7 THEN CAST(o_orderkey AS STRING)
+  ELSE concat(CAST(o_orderkey AS STRING), ',', chr(34), o_orderpriority, ', ', chr(34), chr(34), o_orderstatus, chr(34), chr(34), chr(34), ',', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) END AS value
+FROM orders""",
+    "customer_tsv_lines": """
+SELECT concat(CAST(c_custkey AS STRING), chr(9), c_name, chr(9), CASE WHEN c_custkey % 9 = 0 THEN concat(c_mktsegment, chr(9), 'more') ELSE c_mktsegment END) AS value
+FROM customer""",
+    "titled_lines": """
+SELECT CAST(n_nationkey AS BIGINT) AS line_no, CASE WHEN n_nationkey < 3 THEN 'A title, with a comma'
+  WHEN n_nationkey = 3 THEN 'key|name|region|' ELSE concat(CAST(n_nationkey AS STRING), '|', n_name, '|') END AS value
+FROM nation""",
     "like_keys_a": """
 SELECT CASE WHEN p_partkey % 10 = 8 THEN NULL WHEN p_partkey % 10 = 9 THEN '<NULL>' WHEN p_partkey % 2 = 0 THEN concat(q, '|y') ELSE q END AS k1,
   CASE WHEN p_partkey % 10 >= 8 THEN q WHEN p_partkey % 2 = 0 THEN 'z' ELSE 'y|z' END AS k2, p_size AS size, p_partkey AS part

@@ -289,6 +289,14 @@ ORACLE: dict[str, str] = {
     "joined_key_count": f"{LINEITEM} SELECT joined_count FROM ov",
     "key_counts": f"{LINEITEM} SELECT * FROM ov",
     "coverage_summary": COVERAGE,
+    "csv_lines": """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'x' WHEN o_orderkey % 60 <> 7 THEN concat(o_orderpriority, ', "', o_orderstatus, '"') END AS note,
+  CASE WHEN o_orderkey % 50 = 0 THEN '1' WHEN o_orderkey % 60 <> 7 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS total,
+  CASE WHEN o_orderkey % 50 = 0 THEN concat(o_orderkey, ',x,1,EXTRA') END AS surplus_line FROM orders""",
+    "tsv_lines": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name AS name, c_mktsegment AS segment,
+  CASE WHEN c_custkey % 9 = 0 THEN concat(c_custkey, chr(9), c_name, chr(9), c_mktsegment, chr(9), 'more') END AS surplus_line FROM customer""",
+    "header_line": """WITH f AS (SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 2 WHEN n_nationkey = 3 THEN 3 ELSE 2 END AS fields FROM nation WHERE n_nationkey < 10)
+SELECT CAST(arg_min(n_nationkey, -fields * 100 + n_nationkey) AS BIGINT) AS header_row, max(fields) AS fields FROM f""",
     "run_history_row": f"""SELECT 'records' AS approach, 'orders' AS source_a_name, 'copy' AS source_b_name, 'o_orderkey' AS key_cols_a,
   'order_id' AS key_cols_b, score, total_keys, joined_count, missing_in_a, missing_in_b, mismatch_count,
   'o_custkey=customer,o_orderstatus=status,o_totalprice=total,o_orderpriority=priority' AS column_pairs, 0 AS n_composite_pairs

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import locale_text, with_parsed
-from ..functions.text import NULL_TOKENS, drop_null_tokens, ident, literal, strip
+from ..functions.text import NULL_TOKENS, drop_null_tokens, ident, literal, quoted, strip
 from .hygiene import clean_names, finish
 
 # The delimiters tried in turn, the lines looked at for a header, the most rows left out.
@@ -18,6 +18,9 @@ DELIMITERS = ("\t", ",", "|")
 HEADER_SEARCH_LINES = 10
 MAX_SKIP = 20
 
+# Text beyond the header's columns: an error, or kept as the whole line in a column of its own.
+SURPLUS, SURPLUS_LINE = ("fail", "keep"), "surplus_line"
+
 # Blocks that lose lines, at most this many, are sent to every task (some 20 MB).
 BROADCAST_BLOCKS = 100_000
 
@@ -35,19 +38,67 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 
 def read_csv(
     spark: SparkSession, path: str, sep: str = ",", null_tokens: Sequence[str] = NULL_TOKENS,
-    encoding: str | None = None, multi_line: bool = False, keep_empty: bool = False,
+    encoding: str | None = None, multi_line: bool = False, keep_empty: bool = False, surplus: str = "fail",
 ) -> DataFrame:
     """A CSV file or folder with a header line, all columns as text so that leading zeros survive.
 
-    ``multi_line`` allows line breaks within quotes, at the price of one task per file.
+    ``multi_line`` allows line breaks within quotes, at the price of one task per file; without it a quote left open in
+    a line is an error, since its record would fall apart. All files of a folder need the same header. Rows with fewer
+    fields end in missing values; for rows with more see ``with_surplus``.
     """
     encoding = encoding or encoding_of(spark, path)
-    names = clean_names(_split(_first_line(spark, path, encoding), sep))
+    header = _first_line(spark, path, encoding)
+    names = clean_names(_split(header, sep))
+    _check_lines(spark, path, encoding, header, multi_line)
     raw = (
         spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", True)
-        .option("escape", '"').option("multiLine", multi_line).schema(_all_text(names)).csv(path)
+        .option("escape", '"').option("multiLine", multi_line).option("columnNameOfCorruptRecord", RAGGED).option("columnPruning", False)
+        .schema(_all_text([*names, RAGGED])).csv(path)
     )
-    return finish(drop_null_tokens(raw, null_tokens), keep_empty)
+    return finish(drop_null_tokens(with_surplus(raw, len(names), sep, surplus), null_tokens), keep_empty)
+
+
+# The column for lines that have more or fewer fields than the header, while a table is read.
+RAGGED = "__ragged_line"
+
+
+def _check_lines(spark: SparkSession, path: str, encoding: str, header: str, multi_line: bool) -> None:
+    """One aggregate over the lines: quotes left open, and files that start with another header."""
+    lines = decoded_lines(spark, path, encoding, "_metadata.file_path AS file", "_metadata.file_block_start AS block")
+    lines = lines.where(f"{strip('value')} <> ''").withColumn("at", F.monotonically_increasing_id())
+    facts = lines.groupBy("file", "block").agg(
+        F.count_if(F.expr("regexp_count(value, '\"') % 2 = 1")).alias("open_quotes"), F.min_by("value", "at").alias("first"))
+    first = F.regexp_replace(F.regexp_replace("first", "^\ufeff", ""), "\r$", "")
+    found = facts.agg(
+        F.coalesce(F.sum("open_quotes"), F.lit(0)).alias("open_quotes"),
+        F.coalesce(F.count_if((F.col("block") == 0) & (first != header)), F.lit(0)).alias("headers")).first()
+    if found["open_quotes"] and not multi_line:
+        raise ValueError(f"{found['open_quotes']} lines of {path} leave a quote open: read it with multi_line=True")
+    if found["headers"] and not multi_line:
+        raise ValueError(f"{found['headers']} files of {path} start with another header than {header!r}")
+
+
+def with_surplus(rows: DataFrame, n: int, sep: str, surplus: str = "fail") -> DataFrame:
+    """The rows without RAGGED. A line with more than n fields is an error that counts them, or with ``surplus="keep"`` stands
+    in the column ``surplus_line``, so that nothing is lost unseen."""
+    if surplus not in SURPLUS:
+        raise ValueError(f"surplus is one of {SURPLUS}")
+    mark = "\\Q" + sep + "\\E"
+    fields = F.size(F.split(F.col(RAGGED), mark + '(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    extra = F.col(RAGGED).isNotNull() & (fields > n)
+    if surplus == "keep":
+        return rows.withColumn(SURPLUS_LINE, F.when(extra, F.col(RAGGED))).drop(RAGGED)
+    count = rows.agg(F.count_if(extra), F.count(quoted(rows.columns[0]))).first()[0]
+    if count:
+        raise ValueError(f"{count} lines have more fields than the {n} of the header: surplus='keep' shows them")
+    return rows.drop(RAGGED)
+
+
+def table_of_lines(lines: DataFrame, names: Sequence[str], sep: str = ",", surplus: str = "fail") -> DataFrame:
+    """The records in a column ``value`` of lines, as text columns; the half of a reader that needs no file."""
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAGGED}
+    parsed = lines.select(F.from_csv(F.col("value"), _ddl([*names, RAGGED]), options).alias("r")).select("r.*")
+    return with_surplus(parsed, len(names), sep, surplus)
 
 
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -121,12 +172,12 @@ def body_lines(spark: SparkSession, path: str, skip_top: int, skip_bottom: int,
     return kept.select("value")
 
 
-def _first_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _first_lines(spark: SparkSession, path: str, encoding: str, n: int) -> DataFrame:
     """``(line_no, value)`` of the first lines of one of the files."""
     files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").head(1)
     if not files:
         raise ValueError(f"no files in {path}")
-    lines = decoded_lines(spark, files[0]["path"], encoding).where(f"{strip('value')} <> ''").limit(MAX_SKIP + 1).collect()
+    lines = decoded_lines(spark, files[0]["path"], encoding).where(f"{strip('value')} <> ''").limit(n).collect()
     return spark.createDataFrame([(i, r["value"]) for i, r in enumerate(lines)], "line_no bigint, value string")
 
 
@@ -145,6 +196,7 @@ def header_search(lines: DataFrame) -> DataFrame:
 def read_text(
     spark: SparkSession, path: str, header_row: int | str = 0, skip_footer: int = 0, locale: str = "US",
     type_hint: str = "auto", null_tokens: Sequence[str] = NULL_TOKENS, encoding: str | None = None, keep_empty: bool = False,
+    surplus: str = "fail", max_skip: int = MAX_SKIP,
 ) -> DataFrame:
     """Delimited text with title lines above the header and total lines below, in every file of the path.
 
@@ -154,10 +206,10 @@ def read_text(
     """
     if type_hint not in ("auto", "text", "numeric"):
         raise ValueError("type_hint is 'auto', 'text' or 'numeric'")
-    if not 0 <= skip_footer <= MAX_SKIP or (header_row != "search" and not 0 <= int(header_row) <= MAX_SKIP):
-        raise ValueError(f"header_row and skip_footer lie between 0 and {MAX_SKIP}")
+    if not 0 <= skip_footer <= max_skip or (header_row != "search" and not 0 <= int(header_row) <= max_skip):
+        raise ValueError(f"header_row and skip_footer lie between 0 and {max_skip}")
     encoding = encoding or encoding_of(spark, path)
-    top = _first_lines(spark, path, encoding)
+    top = _first_lines(spark, path, encoding, max_skip + 1)
     if header_row == "search":
         header_row = header_search(top).first()["header_row"]
     found = top.where(F.col("line_no") == int(header_row)).select("value").head(1)
@@ -168,8 +220,7 @@ def read_text(
     sep, fields = next(((d, f) for d, f in splits if len(f) > 1), splits[1])
     names = clean_names(fields)
     body = body_lines(spark, path, int(header_row) + 1, skip_footer, encoding)
-    parsed = F.from_csv(F.col("value"), _ddl(names), {"sep": sep, "escape": '"', "mode": "PERMISSIVE"})
-    rows = drop_null_tokens(body.select(parsed.alias("r")).select("r.*"), null_tokens)
+    rows = drop_null_tokens(table_of_lines(body, names, sep, surplus), null_tokens)
     return finish(_typed(rows, locale, type_hint), keep_empty)
 
 
