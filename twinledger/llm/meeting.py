@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import kept_table, partitions, small_side, text_of
+from .shared import kept_table, small_side, text_of
 
 #: Bytes of text whose fingerprints share a bucket, on average; and of the documents of one group.
-BUCKET_TEXT = 8 << 20
+BUCKET_TEXT = 4 << 20
 #: Documents up to which the list of concerned ids may be broadcast (8 bytes each).
 ID_LIST = 500_000
 TICKETS = "bucket int, hashes binary, checks binary, docs binary, places binary, groups binary, known binary"
@@ -26,8 +26,9 @@ MARKS = "g int, docs binary, places binary"
 
 
 def bucket_count(docs: DataFrame) -> int:
+    """Buckets, and groups of documents, by the bytes of text alone."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(2 * partitions(docs.sparkSession), -(-size // BUCKET_TEXT))
+    return max(1, -(-size // BUCKET_TEXT))
 
 
 def grouped_docs(docs: DataFrame, groups: int) -> DataFrame:
@@ -102,12 +103,11 @@ def meet(tickets: DataFrame) -> DataFrame:
 
 
 def marked_ids(marks: DataFrame) -> DataFrame:
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cell in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(cell.as_py(), "<i8")))], ["doc_id"])
+    """doc_id of every document with a mark; the marks of a group of documents meet first, so each id is made once."""
+    def ids(table: pa.Table) -> pa.Table:
+        return pa.table({"doc_id": np.unique(joined_cells(table, "docs", "<i8"))})
 
-    return marks.select("docs").mapInArrow(ids, "doc_id long").distinct()
+    return marks.select("g", "docs").groupBy("g").applyInArrow(ids, "doc_id long")
 
 
 def marked_docs(docs: DataFrame, marks: DataFrame) -> DataFrame:
