@@ -311,6 +311,20 @@ def header_line(spark, sf_dir):
     return delimited.header_search(fx.derived(spark, sf_dir, "titled_lines"))
 
 
+def fuzzy_best_match_table(spark, sf_dir):
+    """The same by signature joins, as for a long list of right names."""
+    a, b = fx.side_pair(spark, sf_dir, "supplier")
+    left, right = name_matching.names_of(a, "s_name", "s_suppkey"), name_matching.names_of(b, "name", "supp_id")
+    return name_matching.best_fuzzy_match(left, right, 60, small_list=0)
+
+
+def cosine_best_match_blocks(spark, sf_dir):
+    """The same in blocks, as for a large right side."""
+    a, b = fx.side_pair(spark, sf_dir, "embeddings")
+    best = vector_matching.best_cosine_match(a, b, "vec_id", "vec_id", "embedding", COSINE_THRESHOLD, small_elements=0, block_rows=128)
+    return best.withColumn("cosine", F.round("cosine", 4))
+
+
 def run_history_row(spark, sf_dir):
     """What the history records of a comparison, all fields but id and time; lists as text."""
     found = _compare(spark, sf_dir, "orders")
@@ -350,7 +364,7 @@ QUERIES: dict[str, Query] = {
         joined_key_count, key_counts, coverage_summary, match_score, weighted_score, column_scores, score_bands,
         clean_columns, mismatch_frequency, crosstab_candidates, crosstab_by_priority, column_profile, mixed_type_columns,
         preflight_uniqueness, preflight_sequence, preflight_row_counts, preflight_join_size, latest_per_key, first_n_rows,
-        review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
+        review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, fuzzy_best_match_table, cosine_best_match_blocks, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
         runs_retention, run_by_id,
     )
 }

@@ -47,17 +47,18 @@ def column_names(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(df.columns, range(len(df.columns)))), "name string, place int")
 
 
-def best_fuzzy_match(left: DataFrame, right: DataFrame, threshold: int = 60) -> DataFrame:
+def best_fuzzy_match(left: DataFrame, right: DataFrame, threshold: int = 60, small_list: int = SMALL_LIST) -> DataFrame:
     """``(left_name, right_name, score)``: the best right of each left, each right kept by its best left.
 
     ``left`` and ``right`` come from ``names_of`` or ``column_names``. Equal names score 100, equal but for
     case 99, others by similarity of their sorted words. A left whose best right goes to a better left stays
-    unmatched. Ties go to the earlier name.
+    unmatched. Ties go to the earlier name. ``small_list`` is the count of right names up to which they go to every task;
+    the result doesn't depend on it.
     """
-    return _one_left_per_right(best_right_per_left(left, right, min(FIRST_STAGE, threshold)), left)
+    return _one_left_per_right(best_right_per_left(left, right, min(FIRST_STAGE, threshold), small_list), left)
 
 
-def best_right_per_left(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+def best_right_per_left(left: DataFrame, right: DataFrame, threshold: int, small_list: int = SMALL_LIST) -> DataFrame:
     """The best right name of each left name with at least the threshold (1-100)."""
     if not 1 <= threshold <= 100:
         raise ValueError("threshold is between 1 and 100")
@@ -75,7 +76,7 @@ def best_right_per_left(left: DataFrame, right: DataFrame, threshold: int) -> Da
     wordings = right.groupBy(F.expr(f"{token_sorted('name')} AS words")).agg(
         F.min(F.struct("place", "name")).alias("first")
     ).select("words", F.col("first.name").alias("name"), F.col("first.place").alias("place")).where(F.col("words") != "")
-    fuzzy = _fuzzy(open_names, wordings, threshold)
+    fuzzy = _fuzzy(open_names, wordings, threshold, small_list)
     return exact.unionByName(same).unionByName(fuzzy)
 
 
@@ -86,9 +87,9 @@ def _one_left_per_right(best: DataFrame, left: DataFrame) -> DataFrame:
     return kept.select("kept.left_name", "right_name", "kept.score")
 
 
-def _fuzzy(open_names: DataFrame, wordings: DataFrame, threshold: int) -> DataFrame:
+def _fuzzy(open_names: DataFrame, wordings: DataFrame, threshold: int, small_list: int) -> DataFrame:
     size = wordings.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("words")).alias("longest")).first()
-    if size["n"] <= SMALL_LIST and (size["longest"] or 0) <= MAX_NAME:
+    if size["n"] <= small_list and (size["longest"] or 0) <= MAX_NAME:
         return _against_list(open_names, wordings, threshold)
     return _against_table(open_names, wordings, threshold)
 

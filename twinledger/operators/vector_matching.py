@@ -14,9 +14,10 @@ from ..functions.text import quoted
 
 # A right side up to this many vector elements goes to every task whole (16 MB of doubles), checked by a count.
 SMALL_ELEMENTS = 2_000_000
-# Rows of one block of either side in the blocked form, and the number of centres right vectors gather around.
+# Rows of one block of either side in the blocked form, and the least and largest number of centres right vectors gather around.
 BLOCK_ROWS = 4_096
 CENTRES = 256
+MOST_CENTRES = 8_192
 
 
 def best_cosine_match(
@@ -29,12 +30,12 @@ def best_cosine_match(
     lefts = left.select(quoted(left_id).alias("left_id"), quoted(vector).alias("vector")).where(F.size("vector") > 0)
     rights = right.select(quoted(right_id).alias("right_id"), quoted(vector).alias("vector")).where(F.size("vector") > 0)
     size = rights.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("elements")).first()
-    if size["n"] == 0:
-        return lefts.where(F.lit(False)).select("left_id", F.lit(None).alias("right_id"), F.lit(0.0).alias("cosine"))
     schema = _schema(lefts, rights)
+    if size["n"] == 0:
+        return lefts.sparkSession.createDataFrame([], schema)
     if size["elements"] <= small_elements:
         return _against_list(lefts, rights, schema, threshold)
-    return _in_blocks(lefts, rights, schema, threshold, block_rows)
+    return _in_blocks(lefts, rights, schema, threshold, block_rows, size["n"])
 
 
 def _schema(lefts: DataFrame, rights: DataFrame) -> str:
@@ -74,7 +75,12 @@ def _against_list(lefts: DataFrame, rights: DataFrame, schema: str, threshold: f
     return lefts.mapInPandas(best, schema)
 
 
-def _in_blocks(lefts: DataFrame, rights: DataFrame, schema: str, threshold: float, block_rows: int) -> DataFrame:
+def centre_count(rows: int, block_rows: int) -> int:
+    """Centres grow with the rows, a block each, within what the driver and every task can hold."""
+    return min(MOST_CENTRES, max(CENTRES, rows // block_rows))
+
+
+def _in_blocks(lefts: DataFrame, rights: DataFrame, schema: str, threshold: float, block_rows: int, count: int) -> DataFrame:
     """Right vectors gather around centres and are cut into blocks; a left vector visits the blocks it may match.
 
     Angles obey the triangle inequality: a right vector within angle ``acos(threshold)`` of a left one, and within
@@ -82,7 +88,7 @@ def _in_blocks(lefts: DataFrame, rights: DataFrame, schema: str, threshold: floa
     Blocks hold a bounded number of rows of either side, however many vectors lie around one centre.
     """
     spark = lefts.sparkSession
-    drawn = rights.orderBy(F.xxhash64("right_id"), "right_id").limit(CENTRES).collect()
+    drawn = rights.orderBy(F.xxhash64("right_id"), "right_id").limit(centre_count(count, block_rows)).collect()
     centres = spark.sparkContext.broadcast(_unit_rows(r["vector"] for r in drawn))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +117,8 @@ def _in_blocks(lefts: DataFrame, rights: DataFrame, schema: str, threshold: floa
     visiting = visiting.withColumn("left_part", F.pmod(F.xxhash64("left_id"), F.lit(left_parts)).cast("int"))
     visiting = visiting.withColumn("block", F.explode(F.sequence(F.lit(0), in_centre[F.col("centre")] - 1)))
     waiting = placed.drop("angle").withColumn("block", F.pmod(F.xxhash64("right_id"), in_centre[F.col("centre")]).cast("int"))
-    waiting = waiting.withColumn("left_part", F.explode(F.sequence(F.lit(0), F.lit(left_parts - 1))))
+    # A right vector is copied for the left parts that visit its centre, not for all.
+    waiting = waiting.join(visiting.select("centre", "left_part").distinct(), "centre")
 
     def compare(left_block: pd.DataFrame, right_block: pd.DataFrame) -> pd.DataFrame:
         if left_block.empty or right_block.empty:

@@ -373,3 +373,6 @@ ORDER BY md5(concat_ws('|', key_df1, key_df2, col_df1, col_df2, val_df1, val_df2
     "runs_retention": f"{with_sql('run_rows')} SELECT * FROM run_rows ORDER BY ts DESC, run_id DESC LIMIT 100",
     "run_by_id": f"{with_sql('run_rows')} SELECT * FROM run_rows WHERE run_id = '1997-01-15'",
 }
+# The same results by another plan.
+ORACLE["fuzzy_best_match_table"] = ORACLE["fuzzy_best_match"]
+ORACLE["cosine_best_match_blocks"] = ORACLE["cosine_best_match"]
