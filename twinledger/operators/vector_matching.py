@@ -118,7 +118,9 @@ def _in_blocks(lefts: DataFrame, rights: DataFrame, schema: str, threshold: floa
     visiting = visiting.withColumn("block", F.explode(F.sequence(F.lit(0), in_centre[F.col("centre")] - 1)))
     waiting = placed.drop("angle").withColumn("block", F.pmod(F.xxhash64("right_id"), in_centre[F.col("centre")]).cast("int"))
     # A right vector is copied for the left parts that visit its centre, not for all.
-    waiting = waiting.join(visiting.select("centre", "left_part").distinct(), "centre")
+    visited = visiting.select(F.col("centre").alias("visited"), F.col("left_part").alias("by")).distinct()
+    waiting = waiting.join(visited, F.col("centre") == F.col("visited")).withColumnRenamed("by", "left_part").drop("visited")
+    waiting = waiting.select(*[F.col(c).alias(c) for c in waiting.columns])
 
     def compare(left_block: pd.DataFrame, right_block: pd.DataFrame) -> pd.DataFrame:
         if left_block.empty or right_block.empty:
