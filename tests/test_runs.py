@@ -104,3 +104,12 @@ def test_presets(spark, sides, tmp_path):
     assert counts[("plain", "records")] == 2 and counts[("plain", "any_of")] == 3 and counts[("weighted", "any_of")] > 3
     assert spark.read.parquet(f"{results}/statistics").where("preset = 'plain'").count() == 8
     assert read_runs(spark, history).count() == 5
+    runs = read_runs(spark, history).collect()
+    for r in runs:
+        if r.approach == "records":
+            assert (r.total_keys, r.joined_count, r.missing_in_a, r.missing_in_b, r.mismatch_count, r.score) == (40, 39, 0, 1, 1, 95.0)
+        if r.approach == "statistics":
+            assert (r.total_keys, r.mismatch_count, r.score) == (None, None, None)
+    summary = spark.read.parquet(f"{results}/summary")
+    assert summary.count() == 4 and {"ts", "weighted_score"} <= set(summary.columns)
+    assert summary.where("preset = 'weighted' AND approach = 'records'").first().weighted_score is not None
