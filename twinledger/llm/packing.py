@@ -105,6 +105,7 @@ def _packer(path: str, end_id: int, window: int, part: int, block: int):
         place()
         if rows:
             yield out()
+        Encoder.at(path).forget()
 
     return pack
 

@@ -12,7 +12,7 @@ from array import array
 
 import numpy as np
 
-#: Chunks kept with their ids by each Python worker, twice at most (old and new generation).
+#: Chunks and pieces kept with their ids by a task, twice at most (old and new generation).
 KEPT_CHUNKS = 600_000
 DEFAULT_FILE = "byte_bpe_50k.json"
 
@@ -113,6 +113,12 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def forget(self) -> None:
+        """Drops what is kept. A task calls it at its end: Python workers stay alive, and other stages need the memory."""
+        for kept in (self.chunks.chunks, self.chunks.pieces):
+            kept.clear()
+            kept.old = {}
+
     def ids(self, text: str, cut: bool | None = None) -> bytes:
         if not (cut or not self.whole) or any(t in text for t in self.added):
             return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
