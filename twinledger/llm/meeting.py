@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import kept_table, small_side, text_of
+from .textscan import U64, give_back, mix
 
 #: Bytes of text whose fingerprints share a bucket, on average; and of the documents of one group.
 BUCKET_TEXT = 4 << 20
@@ -58,7 +59,7 @@ def one_array(column: pa.ChunkedArray) -> pa.Array:
 
 def ticket_rows(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray, groups: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Rows of TICKETS; what repeats within the arrays is known at once: one entry of it is sent to its bucket, and all of
-    them go back to their documents as rows with bucket -1."""
+    them go back to their documents as rows of a bucket under 0. Entries keep the order of the documents, which packs well."""
     order = np.lexsort((checks, hashes))
     h, c = hashes[order], checks[order]
     same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
@@ -68,17 +69,36 @@ def ticket_rows(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, places
     known[1:] |= same
     back = np.flatnonzero(known)
     pick = np.concatenate([np.flatnonzero(first), back])
-    to = np.concatenate([(c[first] % np.uint32(buckets)).astype(np.int32), np.full(len(back), -1, np.int32)])
+    home = -1 - (int(groups[0]) % buckets if len(groups) else 0)
+    to = np.concatenate([((mix(h[first]) + c[first]) % U64(buckets)).astype(np.int32), np.full(len(back), home, np.int32)])
+    placed = np.argsort(order[pick], kind="stable")
+    pick, to = pick[placed], to[placed]
     at = order[pick]
     return split_rows(to, "bucket", [("hashes", h[pick]), ("checks", c[pick]), ("docs", docs[at]), ("places", places[at]),
                                      ("groups", groups[at].astype(np.int32)), ("known", known[pick])])
 
 
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], buckets: int, entries: int = 150_000) -> Iterator[pa.RecordBatch]:
+    """Rows of TICKETS from many small parts (hashes, checks, docs, places, groups), about `entries` fingerprints at a time:
+    large blobs pack well, and more of what repeats is known at once."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= entries:
+            yield ticket_rows(*(np.concatenate(x) for x in zip(*held)), buckets)
+            held, n = [], 0
+    if n:
+        yield ticket_rows(*(np.concatenate(x) for x in zip(*held)), buckets)
+
+
 def meet(tickets: DataFrame) -> DataFrame:
     """Rows of MARKS: every entry whose fingerprint occurs more than once in the corpus, by group of documents."""
     def repeated(table: pa.Table) -> pa.Table:
         h, c, docs, places, groups, known = (joined_cells(table, n, k) for n, k in _TICKETS)
-        if len(h) > 1:
+        if table.column("bucket")[0].as_py() < 0:
+            pick = np.arange(len(h))
+        elif len(h) > 1:
             order = np.lexsort((c, h))
             h, c = h[order], c[order]
             same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
@@ -90,16 +110,12 @@ def meet(tickets: DataFrame) -> DataFrame:
             pick = pick[known[pick] == 0]
         else:
             pick = np.zeros(0, np.int64)
-        return pa.Table.from_batches([split_rows(groups[pick], "g", [("docs", docs[pick]), ("places", places[pick])])])
-
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            docs, places, groups = (joined_cells(t, n, k) for n, k in (_TICKETS[2], _TICKETS[3], _TICKETS[4]))
-            yield split_rows(groups, "g", [("docs", docs), ("places", places)])
+        rows = pa.Table.from_batches([split_rows(groups[pick], "g", [("docs", docs[pick]), ("places", places[pick])])])
+        del h, c, docs, places, groups, known
+        give_back()
+        return rows
 
-    met = tickets.filter("bucket >= 0").groupBy("bucket").applyInArrow(repeated, MARKS)
-    return met.union(tickets.filter("bucket < 0").select("bucket", "hashes", "checks", "docs", "places", "groups", "known").mapInArrow(back, MARKS))
+    return tickets.groupBy("bucket").applyInArrow(repeated, MARKS)
 
 
 def marked_ids(marks: DataFrame) -> DataFrame:

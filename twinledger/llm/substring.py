@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .meeting import MARKS, TICKETS, bucket_count, covered, grouped_docs, marked_docs, meet, one_array, places_by_doc, ticket_rows
+from .meeting import TICKETS, bucket_count, covered, gathered, grouped_docs, marked_docs, meet, one_array, places_by_doc, ticket_rows
 from .shared import kept_table, text_of
 from .textscan import slices, window_sums, word_hashes, words
 
@@ -46,7 +46,7 @@ def _anchor_tickets(docs: DataFrame, rule: Cover, buckets: int) -> DataFrame:
     on = np.zeros(rule.period, bool)
     on[list(rule.cover)] = True
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
             ids, groups = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for lo, hi, data, offs in slices(b.column(1)):
@@ -59,11 +59,10 @@ def _anchor_tickets(docs: DataFrame, rule: Cover, buckets: int) -> DataFrame:
                 # Texts shorter than a window hold none.
                 at = np.flatnonzero(on[place % rule.period] & (place + rule.anchor <= n[doc]) & (n[doc] >= rule.window))
                 hashes = runs[at]
-                checks = (hashes * np.uint64(0x2545F4914F6CDD1D) >> np.uint64(32)).astype(np.uint32)
                 if len(at):
-                    yield ticket_rows(hashes, checks, ids[lo + doc[at]], place[at].astype(np.int32), groups[lo + doc[at]], buckets)
+                    yield hashes, np.zeros(len(at), np.uint32), ids[lo + doc[at]], place[at].astype(np.int32), groups[lo + doc[at]]
 
-    return docs.select("doc_id", "text", "g").mapInArrow(scan, TICKETS)
+    return docs.select("doc_id", "text", "g").mapInArrow(lambda batches: gathered(parts(batches), buckets), TICKETS)
 
 
 def _window_tickets(found: DataFrame, marks: DataFrame, rule: Cover, buckets: int) -> DataFrame:

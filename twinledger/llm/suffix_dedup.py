@@ -22,10 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .meeting import bucket_count, grouped_docs, joined_cells, marked_docs, meet, one_array, places_by_doc, split_rows, ticket_rows, TICKETS
+from .meeting import TICKETS, bucket_count, gathered, grouped_docs, joined_cells, marked_docs, meet, one_array, places_by_doc, split_rows
 from .shared import kept_table, text_of
 from .suffix_groups import suffix_order
-from .textscan import U64, byte_windows, mix, slices, text_buffers
+from .textscan import U64, byte_windows, give_back, mix, slices, text_buffers
+
+
+#: Bytes that are fingerprinted at a time, at eight bytes and more for each.
+BYTE_SLICE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -72,17 +76,17 @@ def anchors(data: np.ndarray, offs: np.ndarray, rule: Repeats) -> tuple[np.ndarr
 
 
 def _anchor_tickets(docs: DataFrame, rule: Repeats, buckets: int) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
             ids, groups = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            for lo, hi, data, offs in slices(b.column(1)):
+            for lo, _, data, offs in slices(b.column(1), BYTE_SLICE):
                 at, hashes = anchors(data, offs, rule)
                 if len(at):
                     doc = np.searchsorted(offs, at, "right") - 1
-                    checks = (hashes * U64(0x2545F4914F6CDD1D) >> U64(32)).astype(np.uint32)
-                    yield ticket_rows(hashes, checks, ids[lo + doc], (at - offs[doc]).astype(np.int32), groups[lo + doc], buckets)
+                    yield hashes, np.zeros(len(at), np.uint32), ids[lo + doc], (at - offs[doc]).astype(np.int32), groups[lo + doc]
+        give_back()
 
-    return docs.select("doc_id", "text", "g").mapInArrow(scan, TICKETS)
+    return docs.select("doc_id", "text", "g").mapInArrow(lambda batches: gathered(parts(batches), buckets), TICKETS)
 
 
 _NEAR = ("hashes", "<u8"), ("docs", "<i8"), ("places", "<i4"), ("groups", "<i4"), ("lefts", "u1"), ("sizes", "u1")
@@ -92,7 +96,7 @@ SPANS = "g int, docs binary, starts binary, counts binary"
 
 def _surroundings(found: DataFrame, marks: DataFrame, rule: Repeats, buckets: int) -> DataFrame:
     """The surroundings of every repeated anchor by anchor (bucket >= 0); of equal ones in a group of documents the earliest, and for
-    the others the strings that repeat (bucket -1: docs, places of the first string, sizes the number of strings)."""
+    the others the strings that repeat (bucket < 0: docs, places of the first string, sizes the number of strings)."""
     if 2 * rule.length - rule.gram > 255:
         raise ValueError("surroundings must fit into 255 bytes")
 
@@ -141,8 +145,10 @@ def _surroundings(found: DataFrame, marks: DataFrame, rule: Repeats, buckets: in
         out = [rows]
         if spans:
             a = np.array(spans, np.int64)
-            cells = [[-1], [b""], [a[:, 0].tobytes()], [a[:, 1].astype("<i4").tobytes()], [np.full(len(a), group, "<i4").tobytes()], [b""], [a[:, 2].astype("u1").tobytes()], [b""]]
+            cells = [[-1 - group], [b""], [a[:, 0].tobytes()], [a[:, 1].astype("<i4").tobytes()], [np.full(len(a), group, "<i4").tobytes()], [b""], [a[:, 2].astype("u1").tobytes()], [b""]]
             out.append(pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cells[1:]]], rows.schema.names))
+        del first, keep, spans, data, by_doc
+        give_back()
         return pa.Table.from_batches(out)
 
     return found.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(scan, NEAR)
@@ -180,12 +186,27 @@ def repeated_starts(pieces: list[tuple[bytes, int, int]], length: int) -> list[t
     return found
 
 
+def _batches(groups: list[list[int]], sizes: np.ndarray, limit: int = BYTE_SLICE) -> Iterator[list[list[int]]]:
+    """Runs of whole groups with about `limit` bytes of text."""
+    held, size = [], 0
+    for g in groups:
+        held.append(g)
+        size += int(sizes[g].sum(dtype=np.int64))
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _decide(near: DataFrame, rule: Repeats) -> DataFrame:
     """Rows of SPANS: runs of strings (first start and count) that also start earlier."""
     length, gram = rule.length, rule.gram
 
     def decide(table: pa.Table) -> pa.Table:
         hashes, docs, places, groups, lefts, sizes = (joined_cells(table, n, k) for n, k in _NEAR)
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.Table.from_batches([split_rows(groups, "g", [("docs", docs), ("starts", places), ("counts", sizes)])])
         texts = b"".join(table.column("texts").to_pylist())
         ends = np.cumsum(sizes, dtype=np.int64)
         order = np.lexsort((places, docs, hashes))
@@ -206,57 +227,56 @@ def _decide(near: DataFrame, rule: Repeats) -> DataFrame:
             # One text whose anchor doesn't come twice in it has nothing to sort.
             if len(held) > 1 or any(t.find(t[left:left + gram]) != left or t.find(t[left:left + gram], left + 1) >= 0 for t, left in different):
                 open_groups.append(held)
-        if open_groups:
-            entries = np.array([e for g in open_groups for e in g])
-            number = np.repeat(np.arange(len(open_groups)), [len(g) for g in open_groups])
-            size = sizes[entries].astype(np.int64)
-            base = np.cumsum(size) - size
-            joined = np.frombuffer(b"".join([texts[ends[e] - sizes[e]:ends[e]] for e in entries.tolist()]), np.uint8)
-            strings = size - length + 1
-            at = np.arange(strings.sum()) + np.repeat(base - (np.cumsum(strings) - strings), strings)
-            whose = np.repeat(np.arange(len(entries)), strings)
-            print_of = mix(byte_windows(joined, length)[at] + number[whose].astype(U64) * U64(0x9E3779B97F4A7C15))
-            _, inverse, counts = np.unique(print_of, return_inverse=True, return_counts=True)
-            shared = np.flatnonzero(counts[inverse] > 1)
-            if len(shared):
-                breaks = np.flatnonzero((np.diff(at[shared]) != 1) | (np.diff(whose[shared]) != 0)) + 1
-                starts = np.concatenate([[0], breaks])
-                stops = np.concatenate([breaks, [len(shared)]])
-                raw, pieces = joined.tobytes(), {}
-                begin, finish, entry = at[shared[starts]], at[shared[stops - 1]] + length, whose[shared[starts]]
-                for b, f, w in zip(begin.tolist(), finish.tolist(), entry.tolist()):
-                    e = int(entries[w])
-                    pieces.setdefault(int(number[w]), []).append((raw[b:f], int(docs[e]), int(places[e]) - int(lefts[e]) + b - int(base[w]), e))
-                for some in pieces.values():
-                    some.sort(key=lambda x: x[1:3])
-                    different = {}
-                    for text, doc, start, e in some:
-                        if text not in different:
-                            different[text] = doc, start, e
-                        # An anchor that comes twice within reach shows the same place of a document twice.
-                        elif different[text][:2] != (doc, start):
-                            spans.append((e, doc, start, len(text) - length + 1))
-                    # All strings were seen twice: one text left means that it only repeats as a whole, or overlaps itself.
-                    if len(different) > 1 or any(t.find(t[:length], 1) >= 0 for t in different):
-                        by_place = {(doc, start): e for doc, start, e in different.values()}
-                        owners = {doc: e for (doc, _), e in by_place.items()}
-                        spans += [(owners[doc], doc, start, 1) for doc, start in repeated_starts([(t, *x[:2]) for t, x in different.items()], length)]
+        for some in _batches(open_groups, sizes):
+            compare(some, spans, docs, places, lefts, sizes, ends, texts)
+        del texts, ends, order
+        give_back()
         if not spans:
             return _span_table(np.zeros((0, 4), np.int64), groups)
         return _span_table(np.array(spans, np.int64), groups)
 
+    def compare(open_groups, spans, docs, places, lefts, sizes, ends, texts) -> None:
+        """Adds what repeats among the different surroundings of each group."""
+        entries = np.array([e for g in open_groups for e in g])
+        number = np.repeat(np.arange(len(open_groups)), [len(g) for g in open_groups])
+        size = sizes[entries].astype(np.int64)
+        base = np.cumsum(size) - size
+        joined = np.frombuffer(b"".join([texts[ends[e] - sizes[e]:ends[e]] for e in entries.tolist()]), np.uint8)
+        strings = size - length + 1
+        at = np.arange(strings.sum()) + np.repeat(base - (np.cumsum(strings) - strings), strings)
+        whose = np.repeat(np.arange(len(entries)), strings)
+        print_of = mix(byte_windows(joined, length)[at] + number[whose].astype(U64) * U64(0x9E3779B97F4A7C15))
+        _, inverse, counts = np.unique(print_of, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(counts[inverse] > 1)
+        if len(shared):
+            breaks = np.flatnonzero((np.diff(at[shared]) != 1) | (np.diff(whose[shared]) != 0)) + 1
+            starts = np.concatenate([[0], breaks])
+            stops = np.concatenate([breaks, [len(shared)]])
+            raw, pieces = joined.tobytes(), {}
+            begin, finish, entry = at[shared[starts]], at[shared[stops - 1]] + length, whose[shared[starts]]
+            for b, f, w in zip(begin.tolist(), finish.tolist(), entry.tolist()):
+                e = int(entries[w])
+                pieces.setdefault(int(number[w]), []).append((raw[b:f], int(docs[e]), int(places[e]) - int(lefts[e]) + b - int(base[w]), e))
+            for some in pieces.values():
+                some.sort(key=lambda x: x[1:3])
+                different = {}
+                for text, doc, start, e in some:
+                    if text not in different:
+                        different[text] = doc, start, e
+                    # An anchor that comes twice within reach shows the same place of a document twice.
+                    elif different[text][:2] != (doc, start):
+                        spans.append((e, doc, start, len(text) - length + 1))
+                # All strings were seen twice: one text left means that it only repeats as a whole, or overlaps itself.
+                if len(different) > 1 or any(t.find(t[:length], 1) >= 0 for t in different):
+                    by_place = {(doc, start): e for doc, start, e in different.values()}
+                    owners = {doc: e for (doc, _), e in by_place.items()}
+                    spans += [(owners[doc], doc, start, 1) for doc, start in repeated_starts([(t, *x[:2]) for t, x in different.items()], length)]
+
     def _span_table(a: np.ndarray, groups: np.ndarray) -> pa.Table:
         return pa.Table.from_batches([split_rows(groups[a[:, 0]], "g", [
             ("docs", a[:, 1]), ("starts", a[:, 2].astype(np.int32)), ("counts", a[:, 3].astype(np.uint8))])])
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            groups = joined_cells(t, "groups", "<i4")
-            yield split_rows(groups, "g", [("docs", joined_cells(t, "docs", "<i8")), ("starts", joined_cells(t, "places", "<i4")), ("counts", joined_cells(t, "sizes", "u1"))])
-
-    met = near.filter("bucket >= 0").groupBy("bucket").applyInArrow(decide, SPANS)
-    return met.union(near.filter("bucket < 0").mapInArrow(known, SPANS))
+    return near.groupBy("bucket").applyInArrow(decide, SPANS)
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -304,8 +324,7 @@ def remove_repeated_strings(docs: DataFrame, rule: Repeats = Repeats(), texts: b
     dealt = grouped_docs(docs, buckets)
     marks = kept_table(meet(_anchor_tickets(dealt, rule, buckets)), "anchors")
     found = marked_docs(dealt, marks)
-    near = kept_table(_surroundings(found, marks, rule, buckets), "surroundings")
-    spans = kept_table(_decide(near, rule), "spans")
+    spans = kept_table(_decide(_surroundings(found, marks, rule, buckets), rule), "spans")
     removed = _removals(found, spans, rule, texts)
     zero = F.lit(0).cast("long")
     result = _digests(text_of(docs)).join(removed, F.col("doc_id") == F.col("id"), "left").select(

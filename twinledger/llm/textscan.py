@@ -6,12 +6,14 @@ so memory follows the slice (or the longest single document), not the batch.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 U64 = np.uint64
 # The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
@@ -26,12 +28,19 @@ _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 _powers = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers stay alive, and the executor's other processes need it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
     got = _powers.get(base, np.ones(1, U64))
     while len(got) < n:
         got = np.concatenate([got, got * U64(pow(base, len(got), 2**64))])
-    if len(got) <= 1 << 23:
+    if len(got) <= 1 << 20:
         _powers[base] = got
     return got[:n]
 
