@@ -51,6 +51,19 @@ def test_near_duplicates_of_a_large_group(spark):
     assert found == near_groups(texts(rows))
 
 
+def test_near_duplicates_of_many_groups_in_a_large_region(spark):
+    """Pairs of near copies that share most of their text with all others, so that regions are far over their limit at any depth."""
+    common, rows = " ".join(f"common{i}" for i in range(500)), []
+    for k in range(40):
+        own = " ".join(f"own{k}x{i}" for i in range(15))
+        for j in range(2):
+            rows.append((len(rows) * 7 + 1, f"{common} {own} {' '.join(f'end{k}x{j}x{i}' for i in range(36))}", "en", "hot"))
+    want = near_groups(texts(rows))
+    assert len({c for _, c in want.values()}) == 40
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, rows), neardup.Forest(region=4)).collect()}
+    assert found == want
+
+
 def test_repeated_windows(spark, given):
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeated_windows(documents(spark, given)).collect()}
     assert found == window_removal(texts(given))

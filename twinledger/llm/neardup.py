@@ -5,11 +5,14 @@
    keys, documents with a long common prefix stand side by side. A region is a run with a common prefix: of `first_depth` values
    where that holds at most `region` documents, of more values where the order is denser (LEVELS), so the depth follows
    the density. Regions that stay larger at full depth are cut by hash, and each of their documents is
-   also compared with the region's least document.
+   also compared with the region's least document. That only gives components early; step 4 does the rest.
 3. Candidates are the pairs of a region whose signatures agree enough. First every document meets its most similar earlier
    neighbour; links are confirmed on the full sets, and components formed. Then *all* remaining candidate pairs between
    different components are confirmed too, so no link between a region's documents that would change a component is left out, and
    pairs inside a component, which change nothing, are not made.
+4. Documents of a region that was larger than `region` at first_depth, and holds several components by now, meet once more, whatever
+   deeper orders did to them: two signatures that agree enough share one of their rarest values (prefix filter), so the documents
+   of such a value meet, in blocks of bounded size, but for pairs inside its most frequent component.
 
 Tables in between are narrow (ids, prefixes, one byte per MinHash value); texts are fetched for candidates only.
 """
@@ -109,15 +112,18 @@ def _prefixes(classes: DataFrame, forest: Forest) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(cut, f"id long, {kinds}")
 
 
-def _regions(prefixes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
-    """(region, id) for the documents of every region with company, and (a, b) for those of regions too large at full depth."""
-    left, found, stars = prefixes, [], None
+def _regions(prefixes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(region, id) for the documents of every region with company, (a, b) for those of regions too large at full depth, and
+    (region, id) for those of regions too large at the first depth."""
+    left, found, stars, crowded = prefixes, [], None, None
     for level in range(len(forest.levels)):
         key, last = f"p{level}", level + 1 == len(forest.levels)
         sizes = left.groupBy(key).agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
         left = kept_table(left.join(sizes, key).select("id", *[f"p{i}" for i in range(level, len(forest.levels))], "size", "least"), "regions")
         found.append(left.filter(F.col("size") <= forest.region).select(F.col(key).alias("region"), "id"))
         large = left.filter(F.col("size") > forest.region)
+        if not level:
+            crowded = large.select(F.col(key).alias("region"), "id")
         if last:
             chunk = F.pmod(F.xxhash64(key, "id"), F.ceil(F.col("size") * 2 / forest.region))
             found.append(large.select(F.xxhash64(key, chunk).alias("region"), "id"))
@@ -126,7 +132,55 @@ def _regions(prefixes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)
-    return rows, stars
+    return rows, stars, crowded
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The regions of rows (region, label, ...) that hold different labels."""
+    return rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("region")
+
+
+def _rarest(classes: DataFrame, forest: Forest) -> DataFrame:
+    """(region, id): the rarest values of each signature, so many that two signatures which agree enough share one of them.
+
+    Any order of the values that all documents share will do; values of at most `region` documents are not counted apart.
+    """
+    n = forest.trees * forest.depth
+    place = mix(np.arange(1, n + 1, dtype=U64))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 1024):
+                part = b.slice(lo, 1024)
+                values = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, n).astype(U64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)), pa.array(mix(values * U64(31) + place).reshape(-1).view(np.int64))],
+                    ["id", "region"])
+
+    values = classes.select("id", "signature").mapInArrow(spread, "id long, region long")
+    frequent = kept_table(values.groupBy("region").agg(F.count("*").alias("held")).filter(F.col("held") > forest.region), "frequent")
+    ordered = values.join(small_side(frequent), "region", "left").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "region"))).alias("values"))
+    return ordered.select("id", F.explode(F.slice("values", 1, n - forest.least_agreement() + 1)).alias("v")).select("v.region", "id")
+
+
+def _blocks(rows: DataFrame, forest: Forest) -> DataFrame:
+    """(region, id, label) from rows (region, id, label): every two documents of a region with different labels meet in a new
+    region of about `region` documents. A large region is cut into chunks by hash, those of its most frequent label and those of the
+    others; chunks of the others meet all chunks, so the frequent label's documents aren't paired with each other."""
+    half = forest.region / 2
+    each = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("region").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    sized = kept_table(rows.join(sizes.select("region", "size", F.col("top.n").alias("most"), F.col("top.label").alias("main")), "region"), "sized")
+    small = sized.filter(F.col("size") <= forest.region).select("region", "id", "label")
+    large = sized.filter(F.col("size") > forest.region).withColumns({
+        "mains": F.ceil(F.col("most") / half), "others": F.ceil((F.col("size") - F.col("most")) / half), "is_main": F.col("label") == F.col("main")})
+    large = large.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
+    met = F.expr("""CASE WHEN is_main THEN transform(sequence(0L, others - 1), o -> struct(0 AS kind, chunk AS x, o AS y))
+      ELSE concat(transform(sequence(0L, mains - 1), m -> struct(0 AS kind, m AS x, chunk AS y)),
+                  transform(sequence(0L, others - 1), o -> struct(1 AS kind, least(chunk, o) AS x, greatest(chunk, o) AS y))) END""")
+    spread = large.select("region", "id", "label", F.explode(met).alias("m"))
+    return small.union(spread.select(F.xxhash64("region", "m.kind", "m.x", "m.y").alias("region"), "id", "label"))
 
 
 def _candidates(members: DataFrame, forest: Forest, labelled: bool) -> DataFrame:
@@ -221,7 +275,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     known = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = kept_table(
         known.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
-    regions, stars = _regions(_prefixes(classes, forest), forest)
+    regions, stars, crowded = _regions(_prefixes(classes, forest), forest)
     marks = _byte_marks(classes)
     members = kept_table(regions.join(marks, "id"), "members")
     stars = _agreeing(stars.distinct(), marks, forest)
@@ -230,10 +284,19 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     equal = known.join(classes.select("set_hash", "id"), "set_hash").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
     labels = components(links)
     second = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    open_regions = second.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("region")
-    rest = kept_table(_candidates(second.join(open_regions, "region", "left_semi"), forest, True).join(links, ["a", "b"], "left_anti"), "pairs")
+    rest = kept_table(_candidates(second.join(_several(second), "region", "left_semi"), forest, True).join(links, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.union(_confirmed(rest, docs, forest))
+        links = kept_table(links.union(_confirmed(rest, docs, forest)), "links")
+    if not crowded.isEmpty():
+        labels = components(links)
+        crowded = crowded.join(labels, "id", "left").select("region", "id", F.coalesce("component", "id").alias("label"))
+        ids = kept_table(crowded.join(_several(crowded), "region", "left_semi").select("id", "label").distinct(), "crowded")
+        if not ids.isEmpty():
+            met = _rarest(classes.join(ids, "id", "left_semi"), forest).join(ids, "id").select("region", "id", "label")
+            blocks = _blocks(kept_table(met, "rarest"), forest).join(marks, "id")
+            tried = rest.union(links)
+            last = kept_table(_candidates(blocks, forest, True).join(tried, ["a", "b"], "left_anti"), "pairs")
+            links = links.union(_confirmed(last, docs, forest))
     found = components(links.union(equal))
     return signed.join(found, signed["doc_id"] == found["id"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
