@@ -166,6 +166,13 @@ def test_page_text(spark):
     assert sitetree.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_names_of_wrappers_keep_articles():
+    for name in ("layout has-sidebar", "no-comments", "with-related", "social-enabled", "sidebar"):
+        page = f"<body class=menu><nav>N</nav><div class='{name}'><article><h1>Head</h1><p>Story of the day</p><div class=related>r</div></article></div><div class='ads'>a</div></body>"
+        assert sitetree.main_text(page) == "Head\nStory of the day", name
+    assert sitetree.main_text("<div class='widget'><p>All of the story is here</p><p>and more</p></div><div class='cookie-notice'>c</div>") == "All of the story is here\nand more"
+
+
 def test_repeated_branches_go(spark):
     rows = [(i, f"http://s.example/{i}", f"<body><div class=promoline>Follow us every day</div><div class=story>Story {i} tells {i * 7}</div></body>") for i in range(8)]
     found = sitetree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -8,6 +8,8 @@ between pages, how the styles of its children differ, and how much of its text i
 
 with entropies divided by the logarithm of the page count, so between 0 (the same everywhere, or all links) and 1. Branches under `least_importance`
 are cut from the pages of that host, and so are branches that say what they are (nav, aside, class="cookie-notice", ...).
+A listed word counts if a whole class, id or role consists of such words; it doesn't reach into an article or main element, and an element with
+blocks of its own that holds most of the page's text isn't cut by its words.
 A branch of an article or main element isn't cut for repeating itself: a page that was copied stays an article.
 
 Pages are read twice and moved once, joined with the few node names to cut in each; hosts are never gathered.
@@ -59,33 +61,43 @@ class StyleTree:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "part", "article", "content", "style", "chars", "links")
+    __slots__ = ("tag", "path", "above", "by_tag", "by_word", "article", "content", "style", "chars", "links")
 
-    def __init__(self, tag: str, path: str, part: bool, article: bool):
-        self.tag, self.path, self.part, self.article = tag, path, part, article
+    def __init__(self, tag: str, path: str, above: _Element | None, by_tag: bool, by_word: bool, article: bool):
+        self.tag, self.path, self.above, self.by_tag, self.by_word, self.article = tag, path, above, by_tag, by_word, article
         self.content = self.style = self.chars = self.links = 0
 
+    def part(self, total: int) -> bool:
+        """Whether the element is in a named part of a page of `total` characters; to be asked when the page has been read."""
+        e, words = self, True
+        while e:
+            # A wrapper of blocks with most of the page's text is no part, whatever its name says.
+            if (e.by_tag or (e.by_word and words)) and not (e.style and 2 * e.chars > total and (e.by_word or e.tag == "form")):
+                return True
+            words = words and e.tag not in ARTICLE_TAGS
+            e = e.above
+        return False
+
 
 def _element(tag: str, attrs: str, above: _Element | None) -> _Element:
-    style, words, names = tag, set(), _NAMES.findall(attrs) if "=" in attrs else ()
+    style, words, named, names = tag, set(), False, _NAMES.findall(attrs) if "=" in attrs else ()
     for name, *values in names:
         value = html.unescape(next((v for v in values if v), "")).lower()
         if name.lower() in ("class", "id") and style == tag and value.split():
             style = f"{tag}.{re.sub('[0-9]+', '#', value.split()[0])}"
         for one in value.split():
             words.update([one, *re.split("[-_:]+", one)])
+            named = named or all(w in PART_WORDS for w in re.split("[-_:]+", one))
     article = bool(above and above.article) or tag in ARTICLE_TAGS or bool(words & ARTICLE_WORDS)
-    part = bool(above and above.part)
-    if tag not in ("html", "body", "article", "main"):
-        # The heading part of an article belongs to it; a page's header doesn't.
-        part = part or (tag in PART_TAGS and not (tag == "header" and above and above.article)) or bool(words & PART_WORDS)
-    return _Element(tag, f"{above.path}/{style}" if above else style, part, article)
-
+    # The heading part of an article belongs to it; a page's header doesn't.
+    by_tag = tag in PART_TAGS and not (tag == "header" and above and above.article)
+    by_word = named and tag not in ("html", "body", "article", "main")
+    return _Element(tag, f"{above.path}/{style}" if above else style, above, by_tag, by_word, article)
 
 
 def blocks_of(page: str, closed=None) -> Iterator[tuple[str, _Element]]:
     """(text, innermost block element) in page order, white space folded and references decoded; calls closed(element) when an element ends."""
-    stack = [_Element("html", "html", False, False)]
+    stack = [_Element("html", "html", None, False, False, False)]
     pieces: list[str] = []
     link = [0, 0]  # open links; characters of the present block in links
 
@@ -167,7 +179,9 @@ def main_text(page: str, cut: frozenset[str] = frozenset()) -> str:
 
     If `cut` would leave nothing, the branches that merely repeat themselves stay: all pages of the host are alike then.
     """
-    blocks = [(text, e) for text, e in blocks_of(page) if not e.part]
+    blocks = list(blocks_of(page))
+    total = sum(len(text) for text, _ in blocks)
+    blocks = [(text, e) for text, e in blocks if not e.part(total)]
     left = blocks
     if cut:
         left = [(text, e) for text, e in blocks if e.article or not any(e.path == c or e.path.startswith(c + "/") for c in cut)]
@@ -190,16 +204,14 @@ def page_nodes(pages: DataFrame) -> DataFrame:
             rows = []
             for key, host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found: dict[str, list[int]] = {}
-
-                def closed(e: _Element) -> None:
-                    if not e.part and e.chars:
+                elements: list[_Element] = []
+                total = sum(len(text) for text, _ in blocks_of(page, elements.append))
+                for e in elements:
+                    if e.chars and not e.part(total):
                         n = found.setdefault(e.path, [0, 0, 0, 0])
                         n[0], n[1] = (n[0] * 31 + e.content) & MASK, (n[1] * 31 + e.style) & MASK
                         n[2] += e.chars
                         n[3] += e.links
-
-                for _ in blocks_of(page, closed):
-                    pass
                 rows += [(key, host, path, *n) for path, n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
