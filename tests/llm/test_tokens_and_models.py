@@ -181,6 +181,22 @@ def test_repeated_branches_go(spark):
     assert {r.text for r in sitetree.extract_main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"the same"}
 
 
+def test_repeated_branches_in_articles_go(spark):
+    """An unlisted notice inside article, or in an element around the whole page; two pages out of ten are no copies of the others.
+    A branch whose name is listed stays where it differs from page to page in all respects."""
+    def told(i):
+        return f"<p>Story {i} tells {i * 7}</p>"
+
+    rows = [(i, f"http://a.example/{i}", f"<article>{told(i)}<div class=follow-us>Follow us every day</div></article>") for i in range(8)]
+    rows += [(10 + i, f"http://b.example/{i}", f"<div id=main><div class=legal>All rights are ours</div><div class=story>{told(10 + i)}</div></div>") for i in range(8)]
+    rows += [(20 + i, f"http://c.example/{i}", f"<article>{told(20 if i < 8 else 20 + i)}</article>") for i in range(10)]
+    rows += [(30 + i, f"http://d.example/{i}", f"<aside>{told(30 + i)}{'<h2>x</h2>' * i}</aside><div class=b>{told(100 + i)}</div>") for i in range(8)]
+    found = {r.page_id: r.text for r in sitetree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: 20 if 20 <= i < 28 else i for i in found}
+    assert all(found[i].split("\n") == [f"Story {k} tells {k * 7}"] for i, k in want.items() if i < 30)
+    assert all(f"Story {i} tells {i * 7}" in found[i] for i in want if i >= 30) and len(found) == len(rows)
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.fit(secret_scan.example_findings(spark, 3000))

@@ -7,10 +7,11 @@ between pages, how the styles of its children differ, and how much of its text i
     (style_weight * H(styles) + (1 - style_weight) * H(contents)) * (1 - share of link text)
 
 with entropies divided by the logarithm of the page count, so between 0 (the same everywhere, or all links) and 1. Branches under `least_importance`
-are cut from the pages of that host, and so are branches that say what they are (nav, aside, class="cookie-notice", ...).
+are cut from the pages of that host. The names of branches (nav, aside, class="cookie-notice", ...) are what is believed beforehand: a named branch needs
+`named_importance` to stay, and is cut where the host has too few pages to tell.
 A listed word counts if a whole class, id or role consists of such words; it doesn't reach into an article or main element, and an element with
 blocks of its own that holds most of the page's text isn't cut by its words.
-A branch of an article or main element isn't cut for repeating itself: a page that was copied stays an article.
+Branches of an article or main element are cut as well, by counts in which articles of the same content are one: a page that was copied stays an article.
 
 Pages are read twice and moved once, joined with the few node names to cut in each; hosts are never gathered.
 """
@@ -56,6 +57,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 @dataclass(frozen=True)
 class StyleTree:
     least_importance: float = 0.2
+    named_importance: float = 0.9
     style_weight: float = 0.3
     least_pages: int = 5
 
@@ -67,12 +69,30 @@ class _Element:
         self.tag, self.path, self.above, self.by_tag, self.by_word, self.article = tag, path, above, by_tag, by_word, article
         self.content = self.style = self.chars = self.links = 0
 
-    def part(self, total: int) -> bool:
-        """Whether the element is in a named part of a page of `total` characters; to be asked when the page has been read."""
+    def root(self) -> _Element | None:
+        """The outermost article element around this one, or itself."""
+        e = self if self.article else None
+        while e and e.above and e.above.article:
+            e = e.above
+        return e
+
+    def cut(self, paths: frozenset[str]) -> bool:
+        """Whether a branch of `paths` holds the element; what lies around an article doesn't decide on it."""
+        e = self
+        while e:
+            if e.path in paths:
+                return True
+            if e.article and not (e.above and e.above.article):
+                return False
+            e = e.above
+        return False
+
+    def part(self, total: int, kept: frozenset[str] = frozenset()) -> bool:
+        """Whether the element is in a named part, not among `kept`, of a page of `total` characters; to be asked when the page has been read."""
         e, words = self, True
         while e:
             # A wrapper of blocks with most of the page's text is no part, whatever its name says.
-            if (e.by_tag or (e.by_word and words)) and not (e.style and 2 * e.chars > total and (e.by_word or e.tag == "form")):
+            if (e.by_tag or (e.by_word and words)) and e.path not in kept and not (e.style and 2 * e.chars > total and (e.by_word or e.tag == "form")):
                 return True
             words = words and e.tag not in ARTICLE_TAGS
             e = e.above
@@ -92,6 +112,7 @@ def _element(tag: str, attrs: str, above: _Element | None) -> _Element:
     # The heading part of an article belongs to it; a page's header doesn't.
     by_tag = tag in PART_TAGS and not (tag == "header" and above and above.article)
     by_word = named and tag not in ("html", "body", "article", "main")
+    style += "!" if by_tag or by_word else ""
     return _Element(tag, f"{above.path}/{style}" if above else style, above, by_tag, by_word, article)
 
 
@@ -174,17 +195,15 @@ def _marker(text: str) -> int:
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
 
-def main_text(page: str, cut: frozenset[str] = frozenset()) -> str:
-    """The blocks that are left when named parts and the branches in `cut` are gone, one a line.
+def main_text(page: str, cut: frozenset[str] = frozenset(), kept: frozenset[str] = frozenset()) -> str:
+    """The blocks that are left when named parts that aren't in `kept`, and the branches in `cut`, are gone, one a line.
 
     If `cut` would leave nothing, the branches that merely repeat themselves stay: all pages of the host are alike then.
     """
     blocks = list(blocks_of(page))
     total = sum(len(text) for text, _ in blocks)
-    blocks = [(text, e) for text, e in blocks if not e.part(total)]
-    left = blocks
-    if cut:
-        left = [(text, e) for text, e in blocks if e.article or not any(e.path == c or e.path.startswith(c + "/") for c in cut)]
+    blocks = [(text, e) for text, e in blocks if not e.part(total, kept)]
+    left = [(text, e) for text, e in blocks if not e.cut(cut)] if cut else blocks
     return "\n".join(text for text, _ in left or blocks)
 
 
@@ -196,8 +215,9 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """One row per page and node: key, host, path, content and styles (fingerprints), chars and links (characters)."""
-    kinds = [("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("content", pa.int64()), ("styles", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]
+    """One row per page and node: key, host, path, unit (the fingerprint of the article that the node is in, or else key), content and
+    styles (fingerprints), chars and links (characters)."""
+    kinds = [("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("unit", pa.int64()), ("content", pa.int64()), ("styles", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,22 +225,26 @@ def page_nodes(pages: DataFrame) -> DataFrame:
             for key, host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found: dict[str, list[int]] = {}
                 elements: list[_Element] = []
-                total = sum(len(text) for text, _ in blocks_of(page, elements.append))
+                for _ in blocks_of(page, elements.append):
+                    pass
                 for e in elements:
-                    if e.chars and not e.part(total):
-                        n = found.setdefault(e.path, [0, 0, 0, 0])
-                        n[0], n[1] = (n[0] * 31 + e.content) & MASK, (n[1] * 31 + e.style) & MASK
-                        n[2] += e.chars
-                        n[3] += e.links
+                    if e.chars:
+                        n = found.setdefault(e.path, [key if not e.article else 0, 0, 0, 0, 0])
+                        if e.article:
+                            n[0] = (n[0] * 31 + e.root().content) & MASK
+                        n[1], n[2] = (n[1] * 31 + e.content) & MASK, (n[2] * 31 + e.style) & MASK
+                        n[3] += e.chars
+                        n[4] += e.links
                 rows += [(key, host, path, *n) for path, n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
-    return pages.select("key", "host", "html").mapInArrow(nodes, "key long, host string, path string, content long, styles long, chars long, links long")
+    return pages.select("key", "host", "html").mapInArrow(nodes, "key long, host string, path string, unit long, content long, styles long, chars long, links long")
 
 
 def node_importance(nodes: DataFrame, tree: StyleTree = StyleTree()) -> DataFrame:
-    """(host, path, pages, importance) of nodes that occur in at least least_pages pages; counts meet, not pages."""
-    each = nodes.selectExpr("host", "path", "stack(2, 'content', content, 'styles', styles) AS (kind, mark)", "chars", "links")
+    """(host, path, pages, importance) of nodes that occur in at least least_pages pages; counts meet, not pages. Pages with the
+    same article are one page for what is in it."""
+    each = nodes.groupBy("host", "path", "unit", "content", "styles").agg(F.max("chars").alias("chars"), F.max("links").alias("links")).selectExpr("host", "path", "stack(2, 'content', content, 'styles', styles) AS (kind, mark)", "chars", "links")
     seen = each.groupBy("host", "path", "kind", "mark").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     w = tree.style_weight
     return (
@@ -241,13 +265,16 @@ def extract_main_text(pages: DataFrame, tree: StyleTree = StyleTree()) -> DataFr
     """
     keyed = _keyed(pages)
     nodes = kept_table(page_nodes(keyed), "nodes")
-    low = node_importance(nodes, tree).filter(F.col("importance") < tree.least_importance).select("host", "path")
-    cuts = nodes.select("key", "host", "path").distinct().join(low, ["host", "path"]).groupBy("key").agg(F.collect_set("path").alias("cut"))
-    joined = keyed.join(cuts, "key", "left").select("page_id", "url", "html", "cut")
+    low = F.col("importance") < tree.least_importance
+    told = node_importance(nodes, tree).filter(low | (F.col("path").endswith("!") & (F.col("importance") >= tree.named_importance)))
+    told = told.select("host", "path", low.alias("low"))
+    cuts = nodes.select("key", "host", "path").distinct().join(told, ["host", "path"]).groupBy("key").agg(
+        F.collect_set(F.when(F.col("low"), F.col("path"))).alias("cut"), F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("stay"))
+    joined = keyed.join(cuts, "key", "left").select("page_id", "url", "html", "cut", "stay")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(p, frozenset(c or ())) for p, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [main_text(p, frozenset(c or ()), frozenset(s or ())) for p, c, s in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(extract, "page_id long, url string, text string")
