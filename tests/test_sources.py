@@ -1,12 +1,9 @@
-import zipfile
-
 import pytest
 
 from twinledger.sources import hygiene
 from twinledger.sources.delimited import encoding_of, header_search, numbered_lines, read_csv, read_text, read_tsv
 from twinledger.sources.fixed_width import APPLICANT_LAYOUT, layout_from_text, layout_from_widths, read_fixed_width
 from twinledger.sources.structured import database_reader, read_json, read_parquet, read_sql
-from twinledger.sources.workbook import read_workbook, sheet_names, workbook_cells
 
 
 def put(tmp_path, name, content, encoding="utf-8"):
@@ -170,42 +167,6 @@ def test_hygiene(spark):
         hygiene.trim_names(spark.sql("SELECT 1 AS x, 2 AS `x `"))
 
 
-MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-
-
-def workbook(path, sheets):
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {MAIN} xmlns:r="{rel}"><sheets>' + "".join(
-            f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-                   + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
-        z.writestr("xl/sharedStrings.xml", f'<sst {MAIN}><si><t>id</t></si><si><r><t>na</t></r><r><t>me</t></r></si></sst>')
-        for i, body in enumerate(sheets.values(), 1):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {MAIN}><sheetData>{body}</sheetData></worksheet>")
-
-
-BODY = ('<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
-        '<row r="2"><c r="A2"><v>7</v></c><c r="B2" t="b"><v>1</v></c><c r="C2" t="inlineStr"><is><t>00x</t></is></c></row>'
-        '<row r="3"><c r="C3" t="str"><v>NULL</v></c></row>')
-
-
-def test_workbook(spark, tmp_path):
-    workbook(tmp_path / "one.xlsx", {"Data": BODY})
-    df = read_workbook(spark, str(tmp_path / "one.xlsx"))
-    assert df.columns == ["id", "Unnamed: 1", "name"]
-    assert rows(df) == [("7", "TRUE", "00x"), (None, None, None)]
-    folder = tmp_path / "many"
-    folder.mkdir()
-    workbook(folder / "a.xlsx", {"Data": BODY, "Other": BODY})
-    workbook(folder / "b.xlsx", {"Data": BODY})
-    assert workbook_cells(spark, str(folder)).count() == 9
-    assert {r.sheet for r in sheet_names(spark, str(folder)).collect()} == {"Data", "Other"}
-    assert read_workbook(spark, str(folder), "Data").count() == 4
-    with pytest.raises(ValueError):
-        read_workbook(spark, str(folder))
-
-
 def test_nothing_is_lost_unseen(spark, tmp_path):
     path = tmp_path / "surplus.csv"
     path.write_text("id,name\n1,ann,EXTRA\n2,bob\n3\n")
