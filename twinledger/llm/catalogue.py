@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, packing, quality, secret_scan, sitetree, substring, suffix_dedup, tokenstore
+from . import (
+    bpe_codec, decontam, langid, neardup, packing, periodic_runs, phrases, quality, secret_scan, sitetree, substring, suffix_dedup, tokenstore,
+)
 from .shared import scratch, table
 
 
@@ -53,8 +55,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(secret_scan.scan_documents(table(spark, sf_dir, "documents"), model))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip_digests(bpe_codec.decode_documents(bpe_codec.encode_documents(table(spark, sf_dir, "documents"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_periods))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_token_store, op3_benchmark_decontamination, op4_quality_rules, op5_near_duplicates, op6_site_tree, op7_packing,
-    op8_suffix_dedup, op9_substring_dedup, op10_secret_scan,
+    op8_suffix_dedup, op9_substring_dedup, op10_secret_scan, op11_bpe_round_trip, op12_periodic_runs, op13_collocations,
 )}
-ORACLE: dict[str, str] = {"op4_quality_rules": quality.duckdb_sql()}
+ORACLE: dict[str, str] = {"op4_quality_rules": quality.duckdb_sql(), "op13_collocations": phrases.duckdb_sql()}
