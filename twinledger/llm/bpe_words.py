@@ -13,9 +13,13 @@ import json
 
 import numpy as np
 
+from .tokenizing import _byte_letters
+
 DEFAULT_FILE = "word_bpe_49k.json"
 #: Code points between a letter inside a word and the same letter at its end.
 _LAST = 0x1000
+#: Pairs of tokens whose compatibility is kept.
+MOST_PAIRS = 1 << 20
 
 
 def default_path() -> str:
@@ -47,6 +51,24 @@ class Bounded(dict):
         return got
 
 
+class _Followers(dict):
+    """Which tokens may follow a token; found out when asked for."""
+
+    def __init__(self, merges: "Merges", token: int):
+        super().__init__()
+        self.merges, self.token = merges, token
+
+    def __missing__(self, token: int) -> bool:
+        merges = self.merges
+        if merges.n_pairs >= MOST_PAIRS:
+            merges.n_pairs = 0
+            for row in merges.followers:
+                row.clear()
+        merges.n_pairs += 1
+        self[token] = got = self.token < 0 or merges.undisturbed(self.token, token, len(merges.left))
+        return got
+
+
 class Merges:
     """The merge rules of a vocabulary. Symbols come first, in the order given, then one token per rule, so numbers are ranks."""
 
@@ -69,17 +91,18 @@ class Merges:
             self.right.append(y)
         self.spelt = list(number)
         self.length = [len(t) for t in self.spelt]
-        self.pairs: dict[tuple[int, int], bool] = {}
         # A token that merging its own text does not give is never in a result.
         whole = [True] * len(number)
         for t in range(self.n_symbols, len(number)):
             a, b = self.left[t], self.right[t]
-            whole[t] = whole[a] and whole[b] and self._undisturbed(a, b, t)
+            whole[t] = whole[a] and whole[b] and self.undisturbed(a, b, t)
         self.longest = ahocorasick.Automaton()
         for t, text in enumerate(self.spelt):
             if whole[t]:
                 self.longest.add_word(text[::-1], t)
         self.longest.make_automaton()
+        # One row per token, and one more for the start of a word, which has the number -1.
+        self.followers, self.n_pairs = [_Followers(self, t) for t in [*range(len(number)), -1]], 0
         # The longest shorter token that a token begins with, -1 if there is none.
         self.shorter = [-1] * len(number)
         self.whole = {text: t for t, text in enumerate(self.spelt) if whole[t]}
@@ -96,7 +119,7 @@ class Merges:
             return inner[:-1] + chr(ord(inner[-1]) + _LAST)
         return text
 
-    def _undisturbed(self, a: int, b: int, before: int) -> bool:
+    def undisturbed(self, a: int, b: int, before: int) -> bool:
         """Whether no merge of rank under `before` joins something across the border of a and b, both merged by themselves."""
         left, right, joined = self.left, self.right, self.joined
         while True:
@@ -113,14 +136,6 @@ class Merges:
                     return True
                 before, b = min(before, b + 1), left[b]
 
-    def compatible(self, a: int, b: int) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= 1 << 20:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self._undisturbed(a, b, len(self.left))
-        return got
-
     def encode(self, letters: str) -> list[int]:
         """The tokens of one word given by its letters."""
         n = len(letters)
@@ -130,31 +145,26 @@ class Merges:
         if text in self.whole:
             return [self.whole[text]]
         # Read backwards, the automaton ends at each place with the tokens that begin there, the longest first.
-        best = [-1] * n
-        for at, token in self.longest.iter(text[::-1]):
-            if best[~at] < 0:
-                best[~at] = token
-        length, shorter, compatible = self.length, self.shorter, self.compatible
+        best = dict(list(self.longest.iter(text[::-1]))[::-1])
+        length, shorter, followers = self.length, self.shorter, self.followers
         tokens: list[int] = []
-        place, token = 0, best[0]
-        dead = bytearray(n + 1)
+        place, last, token = 0, -1, best.get(n - 1, -1)
+        dead = set()
         while place < n:
-            last = tokens[-1] if tokens else -1
-            while token >= 0:
-                if not dead[place + length[token]] and (last < 0 or compatible(last, token)):
-                    break
+            allowed = followers[last]
+            while token >= 0 and (not allowed[token] or place + length[token] in dead):
                 token = shorter[token]
             if token >= 0:
                 tokens.append(token)
                 place += length[token]
-                token = best[place] if place < n else -1
+                last, token = token, best.get(n - 1 - place, -1)
             else:
                 if last < 0:
                     raise ValueError("a letter is not in the vocabulary")
-                dead[place] = 1
-                tokens.pop()
-                place -= length[last]
-                token = last
+                dead.add(place)
+                token = tokens.pop()
+                place -= length[token]
+                last = tokens[-1] if tokens else -1
         return tokens
 
 
@@ -181,7 +191,7 @@ class WordBpe:
         symbols = sorted((t for t in model["vocab"] if t not in made), key=model["vocab"].get)
         self.merges = Merges(symbols, rules, end)
         of_spelling = {self.merges.spell(t): i for t, i in model["vocab"].items()}
-        self.ids = np.array([of_spelling[s] for s in self.merges.spelt], "<u4")
+        self.ids = [of_spelling[s].to_bytes(4, "little") for s in self.merges.spelt]
         self.added = {t["content"]: t["id"] for t in added}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens with conditions are not supported")
@@ -193,7 +203,10 @@ class WordBpe:
         self.places = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.row = np.frombuffer(b"".join(spelt), np.uint8)
         self.stretches = Bounded(self._stretch, room // 2)
-        self.simple = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall if self._is_usual(given) else None
+        usual = self._is_usual(given)
+        self.plain = regex.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch if usual else None
+        self.simple = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+        self.letters = dict(enumerate(_byte_letters()))
 
     @classmethod
     def at(cls, path: str) -> "WordBpe":
@@ -203,30 +216,27 @@ class WordBpe:
 
     @staticmethod
     def _is_usual(given: dict) -> bool:
-        """Whether the file's own steps, on printable ASCII without blanks, are lower case and the pattern of `simple`."""
+        """Whether the file's own steps, on plain Latin text without blanks, are lower case and the pattern of `simple`: such text
+        holds no letter that composes with another or has a lower case of more than one letter."""
         steps = given["normalizer"].get("normalizers", []), given["pre_tokenizer"].get("pretokenizers", [])
         return [s["type"] for s in steps[0]] == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps[1]] == ["Split", "ByteLevel"] and (
             steps[0][1]["pattern"] == {"Regex": r"\s+"}
             and steps[1][0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
 
     def _word(self, letters: str) -> bytes:
-        return self.ids[self.merges.encode(letters)].tobytes()
+        return b"".join(map(self.ids.__getitem__, self.merges.encode(letters)))
 
     def _stretch(self, text: str) -> bytes:
         """The ids of text without an added token."""
         if not text:
             return b""
-        if self.simple is None or not (text.isascii() and text.isprintable()):
+        if self.plain is None or not self.plain(text):
             return b"".join([self._word(letters) for letters, _ in self.cut(self.normalize(text))])
         text = text.lower()
-        if text.isalpha():
-            return self._word(text)
         # Pieces are stretches themselves, and kept as such.
-        pieces = self.simple(text)
-        return self._word(text) if len(pieces) == 1 else b"".join([self.stretches.get(p) or self._piece(p) for p in pieces])
-
-    def _piece(self, letters: str) -> bytes:
-        return self.stretches[letters] if letters.isalpha() else self._word(letters)
+        if text.isalpha() or len(pieces := self.simple(text)) == 1:
+            return self._word(text if text.isascii() else text.encode().decode("latin-1").translate(self.letters))
+        return b"".join(map(self.stretches.__getitem__, pieces))
 
     def _plain(self, text: str) -> bytes:
         """No word holds a blank, so each stretch between blanks stands alone."""
