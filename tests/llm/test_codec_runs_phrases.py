@@ -247,6 +247,18 @@ def plain_collocations(rows, least=10, absorbed=50, top=2000):
     return sorted(found)
 
 
+def test_stretches_are_the_same_in_slices():
+    row = np.random.default_rng(4).integers(0, 4, 100)
+    whole = phrases._grams(row, len(row))
+    for size in (1, 2, 3, 7, 50, 99):
+        parts = np.concatenate([phrases._grams(row[at:at + size + 2], size) for at in range(0, len(row), size)])
+        assert Counter(map(tuple, parts.tolist())) == Counter(map(tuple, whole.tolist()))
+    text = row.tolist()
+    want = Counter((text[i], text[i + 1], 0) for i in range(99) if text[i] and text[i + 1])
+    want += Counter(tuple(text[i:i + 3]) for i in range(98) if all(text[i:i + 3]))
+    assert Counter(map(tuple, whole.tolist())) == want
+
+
 def test_collocations_equal_brute_force(spark):
     rng = random.Random(9)
     names = ["new york", "New York City", "é ü", "the", "of", "a", "in the", "\x1codd", "x　y", "…"]

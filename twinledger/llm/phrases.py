@@ -19,6 +19,8 @@ from .shared import kept_table
 from .textscan import give_back
 
 UNKNOWN = "und"
+#: Words whose n-grams a task makes at once.
+SLICE_WORDS = 1 << 17
 #: Upper-case letters to lower ones; whatever parts pieces to a full stop; tabs to blanks.
 _TURNED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 
@@ -33,8 +35,8 @@ class Phrases:
     top: int = 2000
     #: Words in a block, entries in a shard and entries that a task holds before it hands filters on; they bound memory, not results.
     block_words: int = 1 << 20
-    shard_entries: int = 1 << 21
-    held_entries: int = 1 << 21
+    shard_entries: int = 1 << 20
+    held_entries: int = 1 << 20
 
 
 class _Numbers(dict):
@@ -112,10 +114,11 @@ def frequent_words(blocks: DataFrame, least: int) -> DataFrame:
     return kept.join(F.broadcast(before), "part").select("lang", "word", "f", (F.col("before") + F.col("place") + 1).alias("id"))
 
 
-def _grams(row: np.ndarray) -> np.ndarray:
-    """All stretches of two and three ids without a 0, as rows of three ids; the third is 0 in stretches of two."""
-    two = (row[:-1] > 0) & (row[1:] > 0)
-    three = two[:-1] & (row[2:] > 0)
+def _grams(row: np.ndarray, first: int) -> np.ndarray:
+    """The stretches of two and three ids without a 0 that begin at the first places, as rows of three ids; the third is 0 in
+    stretches of two."""
+    two = ((row[:-1] > 0) & (row[1:] > 0))[:first]
+    three = two[:max(0, len(row) - 2)] & (row[2:first + 2] > 0)
     at2, at3 = np.flatnonzero(two), np.flatnonzero(three)
     out = np.zeros((len(at2) + len(at3), 3), np.int64)
     out[:len(at2), 0], out[:len(at2), 1] = row[at2], row[at2 + 1]
@@ -147,15 +150,17 @@ def _counter(layout: Layout, limit: int) -> Callable[[Iterator[pa.RecordBatch]],
                 row = np.frombuffer(numbers.as_py(), "<u4")
                 known = np.zeros(int(row.max(initial=0)) + 1, np.int64)
                 known[places.values.to_numpy(zero_copy_only=False) + 1] = ids.values.to_numpy(zero_copy_only=False)
-                high, low = layout.permuted(_grams(known[row]))
-                if not len(high):
-                    continue
-                held.append(added_up(high, low, np.ones(len(high), np.int64), layout.half))
-                if sum(len(h[0]) for h in held) >= limit:
-                    held[:] = [merged()]
-                    # What hardly shrank is handed on, else merging would begin to repeat itself.
-                    if len(held[0][0]) >= limit // 2:
-                        yield from out()
+                row = known[row]
+                for at in range(0, len(row), SLICE_WORDS):
+                    high, low = layout.permuted(_grams(row[at:at + SLICE_WORDS + 2], SLICE_WORDS))
+                    if not len(high):
+                        continue
+                    held.append(added_up(high, low, np.ones(len(high), np.int64), layout.half))
+                    if sum(len(h[0]) for h in held) >= limit:
+                        held[:] = [merged()]
+                        # What hardly shrank is handed on, else merging would begin to repeat itself.
+                        if len(held[0][0]) >= limit // 2:
+                            yield from out()
         if held:
             yield from out()
         give_back()

@@ -92,9 +92,12 @@ def built(layout: Layout, high: np.ndarray, low: np.ndarray, counts: np.ndarray)
     q = min(rest, max(0, int(np.ceil(np.log2(max(1, n) / LOAD)))))
     under = high & _mask(rest)
     quotient = (under >> U64(rest - q)).astype(np.int64)
-    wide = -(-(rest - q) // 8), -(-w // 8)
-    digit_bytes = wide[0] + wide[1]
-    remainder = np.concatenate([_bytes(under & _mask(rest - q), wide[0]), _bytes(low, wide[1])], axis=1)
+    wide = _widths(rest - q, w)
+    digit_bytes = sum(wide)
+    if wide[0]:
+        remainder = np.concatenate([_bytes(under & _mask(rest - q), wide[0]), _bytes(low, wide[1])], axis=1)
+    else:
+        remainder = _bytes(((under & _mask(rest - q)) << U64(w)) | low, wide[1])
     # Digits of the counters, in numbers of as many bytes as a remainder has.
     digits = np.zeros(n, np.int64)
     left = (counts - 1).astype(U64)
@@ -138,16 +141,18 @@ def entries(layout: Layout, held: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     used = np.flatnonzero(np.unpackbits(raw[at:at + quotients], count=1 << q))
     ends = np.flatnonzero(np.unpackbits(raw[at + quotients:at + quotients + slots], count=total))
     counter = np.unpackbits(raw[at + quotients + slots:at + quotients + 2 * slots], count=total).astype(bool)
-    wide = -(-(rest - q) // 8), -(-w // 8)
-    body = raw[at + quotients + 2 * slots:].reshape(total, wide[0] + wide[1])
+    wide = _widths(rest - q, w)
+    body = raw[at + quotients + 2 * slots:].reshape(total, sum(wide))
     begins = np.maximum(used, np.concatenate([[0], ends[:-1] + 1])) if len(used) else used
     lengths = ends - begins + 1
     taken = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths)])[:-1], lengths) + np.arange(int(lengths.sum()))
     quotient, digit = np.repeat(used, lengths), counter[taken]
     body, quotient = body[taken], quotient[~digit].astype(U64)
     own = body[~digit]
-    high = (U64(shard) << U64(rest)) | (quotient << U64(rest - q)) | _numbers(own[:, :wide[0]])
-    low = _numbers(own[:, wide[0]:])
+    upper, low = _numbers(own[:, :wide[0]]), _numbers(own[:, wide[0]:])
+    if not wide[0]:
+        upper, low = low >> U64(w), low & _mask(w)
+    high = (U64(shard) << U64(rest)) | (quotient << U64(rest - q)) | upper
     counts = np.ones(len(own), np.int64)
     if digit.any():
         entry = np.cumsum(~digit)[digit] - 1
@@ -157,6 +162,11 @@ def entries(layout: Layout, held: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     return high, low, counts
 
 
+def _widths(upper: int, lower: int) -> tuple[int, int]:
+    """Bytes of both parts of a remainder; where they fit into one number of under 64 bits, that is the second."""
+    return (0, -(-(upper + lower) // 8)) if upper + lower < 64 else (-(-upper // 8), -(-lower // 8))
+
+
 def _bytes(numbers: np.ndarray, wide: int) -> np.ndarray:
     """Each number's lowest bytes, little end first."""
     out = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)
