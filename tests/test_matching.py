@@ -3,8 +3,11 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from twinledger.functions.similarity import indel_percent
 from twinledger.operators import name_matching as nm
+from twinledger.operators import vector_matching as vm
 from twinledger.operators.vector_matching import best_cosine_match
 
 
@@ -100,6 +103,40 @@ def test_cosine_forms_against_brute_force(spark, threshold):
         assert got == pytest.approx(want)
 
 
+def test_own_bounds_leave_few_blocks_to_visit(spark):
+    """At threshold 0 a left used to visit half of the sphere; with the bound of its first block it visits what is near."""
+    rng = np.random.default_rng(7)
+    directions = rng.normal(size=(40, 16))
+    make = lambda n: [directions[i % 40] + rng.normal(scale=0.15, size=16) for i in range(n)]
+    left, right = [*enumerate(make(300))], [*enumerate(make(2000))]
+    a, b = (vectors(spark, rows, 16).withColumnRenamed("vec", "vector") for rows in (left, right))
+    lefts, rights = a.withColumnRenamed("id", "left_id").withColumn("bound", F.lit(0.0)), b.withColumnRenamed("id", "right_id")
+    around = vm.RightBlocks(rights, 2000, 20)
+    blocks = around.placed.groupBy("centre", "ring", "part").count()
+    assert around.rings["parts"].max() <= 3 and blocks.agg(F.sum("count")).first()[0] == 2000
+    first = around.first_visits(lefts).cache()
+    assert first.count() == 300
+    unbounded = around.further_visits(first).count()
+    near = {r.left_id: r.cosine for r in around.met(first, "left_id bigint, right_id bigint, cosine double").collect()}
+    bounds = spark.createDataFrame(list(near.items()), "left_id bigint, best double")
+    bounded = first.join(bounds, "left_id").withColumn("bound", F.col("best")).drop("best")
+    bounded = bounded.select(first.columns)
+    assert len(near) == 300 and around.further_visits(bounded).count() * 3 <= unbounded
+    got = {r.left_id: r.cosine for r in best_cosine_match(a, b, "id", "id", "vector", 0.0, small_elements=0, block_rows=20).collect()}
+    unit = lambda rows: np.array([v / np.linalg.norm(v) for _, v in rows])
+    want = (unit(left) @ unit(right).T).max(axis=1)
+    assert got == pytest.approx({i: want[i] for i in range(300) if want[i] > 0})
+
+
+def test_cosine_ties_and_repeated_ids_in_blocks(spark):
+    """Equal directions go to the lowest right id, whichever block holds it; rows that share a left id count as one."""
+    right = [(9, np.array([1.0, 0.0])), (4, np.array([2.0, 0.0])), *[(10 + i, np.array([3.0, 0.0])) for i in range(50)], (1, np.array([0.0, 1.0]))]
+    left = [(1, np.array([5.0, 0.0])), (2, np.array([0.0, 2.0])), (2, np.array([1.0, 1.0])), (3, np.array([-1.0, 0.0])), (4, np.array([0.0, 0.0]))]
+    a, b = vectors(spark, left, 2), vectors(spark, right, 2)
+    got = best_cosine_match(a, b, "id", "id", "vec", 0.5, small_elements=0, block_rows=4).collect()
+    assert sorted((r.left_id, r.right_id, round(r.cosine, 9)) for r in got) == [(1, 4, 1.0), (2, 1, 1.0)]
+
+
 def test_cosine_without_rights(spark):
     a = vectors(spark, [(1, np.ones(2))], 2)
     assert best_cosine_match(a, a.limit(0), "id", "id", "vec").isEmpty()

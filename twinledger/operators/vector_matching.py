@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted
+from .lineage import cut
 
 # A right side up to this many vector elements goes to every task whole (16 MB of doubles), checked by a count.
 SMALL_ELEMENTS = 2_000_000
-# Rows of one block of either side in the blocked form, and the least and largest number of centres right vectors gather around.
+# Rows of one block of either side in the blocked form, the least and largest number of centres right vectors gather around,
+# and the most rings around a centre; the table of rings is what the driver and every task hold (131,072 rows).
 BLOCK_ROWS = 4_096
 CENTRES = 256
 MOST_CENTRES = 8_192
+MOST_RINGS = 16
+
+# Numbers in a table of angles at once.
+TABLE = 2_000_000
+# Angles are known to about 1e-7.
+SLACK = 1e-6
 
 
 def best_cosine_match(
@@ -50,8 +57,9 @@ def _unit_rows(vectors) -> np.ndarray:
     return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
 
 
-def _best_in(left_ids, left_rows: np.ndarray, right_ids, right_rows: np.ndarray, threshold: float) -> pd.DataFrame:
-    """The best right of each left within one block; right rows are in the order that settles ties."""
+def _best_in(left_ids, left_rows: np.ndarray, right_ids, right_rows: np.ndarray, threshold) -> pd.DataFrame:
+    """The best right of each left within one block, if it reaches the threshold (one for all, or each left's own); right rows are
+    in the order that settles ties."""
     cosines = left_rows @ right_rows.T
     best = cosines.argmax(axis=1)
     top = cosines[np.arange(len(best)), best]
@@ -81,60 +89,138 @@ def centre_count(rows: int, block_rows: int) -> int:
 
 
 def _in_blocks(lefts: DataFrame, rights: DataFrame, schema: str, threshold: float, block_rows: int, count: int) -> DataFrame:
-    """Right vectors gather around centres and are cut into blocks; a left vector visits the blocks it may match.
+    """Two passes: a left vector first meets one block near it, then only the blocks that may hold something as good.
 
-    Angles obey the triangle inequality: a right vector within angle ``acos(threshold)`` of a left one, and within
-    ``radius`` of its centre, has its centre within the sum of both. Centres farther away are skipped without loss.
-    Blocks hold a bounded number of rows of either side, however many vectors lie around one centre.
+    The best cosine of the first block is the left's own bound from then on, so how much is visited follows from how
+    near the nearest vectors are, not from the threshold.
+    """
+    around = RightBlocks(rights, count, block_rows)
+    first = cut(around.first_visits(lefts.withColumn("bound", F.lit(float(threshold)))))
+    near = cut(around.met(first, schema))
+    known = near.select(F.col("left_id").alias("known_id"), F.col("cosine").alias("known"))
+    known = known.groupBy("known_id").agg(F.max("known").alias("known"))
+    bounded = first.join(known, F.col("left_id").eqNullSafe(F.col("known_id")), "left")
+    bounded = bounded.withColumn("bound", F.greatest("bound", F.coalesce("known", "bound"))).drop("known_id", "known")
+    met = near.unionByName(around.met(around.further_visits(bounded), schema))
+    best = F.min_by(F.struct("right_id", "cosine"), F.struct(-F.col("cosine"), F.col("right_id")))
+    return met.groupBy("left_id").agg(best.alias("best")).select("left_id", "best.right_id", "best.cosine")
+
+
+class RightBlocks:
+    """Right vectors around centres, those of a centre in rings by their angle to it, and large rings in parts by hash.
+
+    Angles obey the triangle inequality: a right vector within angle ``acos(bound)`` of a left one lies in a ring whose angles
+    differ from the left's own angle to the centre by no more than that. Other rings are skipped without loss. A block
+    (one part of a ring) holds about ``block_rows`` rows, however many vectors lie around one centre or in one direction.
     """
-    spark = lefts.sparkSession
-    drawn = rights.orderBy(F.xxhash64("right_id"), "right_id").limit(centre_count(count, block_rows)).collect()
-    centres = spark.sparkContext.broadcast(_unit_rows(r["vector"] for r in drawn))
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cosines = np.clip(_unit_rows(batch["vector"]) @ centres.value.T, -1.0, 1.0)
-            nearest = cosines.argmax(axis=1)
-            angle = np.arccos(cosines[np.arange(len(nearest)), nearest])
-            yield batch.assign(centre=nearest.astype("int32"), angle=angle)
-
-    placed = rights.mapInPandas(gather, _with(rights, "centre int, angle double"))
-    around = placed.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
-    blocks = {r.centre: math.ceil(r.n / block_rows) for r in around}
-    reach = np.full(len(drawn), -1.0)
-    for r in around:
-        reach[r.centre] = r.radius + math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
-    left_parts = max(1, math.ceil(lefts.count() / block_rows))
-    reachable = spark.sparkContext.broadcast(reach)
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            angles = np.arccos(np.clip(_unit_rows(batch["vector"]) @ centres.value.T, -1.0, 1.0))
-            yield batch.assign(centre=[np.flatnonzero(row <= reachable.value).astype("int32") for row in angles])
-
-    in_centre = F.create_map(*[F.lit(v) for c, n in blocks.items() for v in (c, n)])
-    visiting = lefts.mapInPandas(visits, _with(lefts, "centre array<int>")).withColumn("centre", F.explode("centre"))
-    visiting = visiting.withColumn("left_part", F.pmod(F.xxhash64("left_id"), F.lit(left_parts)).cast("int"))
-    visiting = visiting.withColumn("block", F.explode(F.sequence(F.lit(0), in_centre[F.col("centre")] - 1)))
-    waiting = placed.drop("angle").withColumn("block", F.pmod(F.xxhash64("right_id"), in_centre[F.col("centre")]).cast("int"))
-    # A right vector is copied for the left parts that visit its centre, not for all.
-    visited = visiting.select(F.col("centre").alias("visited"), F.col("left_part").alias("by")).distinct()
-    waiting = waiting.join(visited, F.col("centre") == F.col("visited")).withColumnRenamed("by", "left_part").drop("visited")
-    waiting = waiting.select(*[F.col(c).alias(c) for c in waiting.columns])
-
-    def compare(left_block: pd.DataFrame, right_block: pd.DataFrame) -> pd.DataFrame:
-        if left_block.empty or right_block.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "cosine": []})
-        right_block = right_block.sort_values("right_id")
-        return _best_in(
-            left_block["left_id"], _unit_rows(left_block["vector"]),
-            right_block["right_id"], _unit_rows(right_block["vector"]), threshold,
-        )
-
-    keys = ["centre", "block", "left_part"]
-    met = visiting.groupBy(*keys).cogroup(waiting.groupBy(*keys)).applyInPandas(compare, schema)
-    first = F.min_by(F.struct("right_id", "cosine"), F.struct(-F.col("cosine"), F.col("right_id")))
-    return met.groupBy("left_id").agg(first.alias("best")).select("left_id", "best.right_id", "best.cosine")
+    UNIT = ["centre", "ring", "part"]
+
+    def __init__(self, rights: DataFrame, count: int, block_rows: int):
+        self.block_rows, self.spark = block_rows, rights.sparkSession
+        drawn = rights.orderBy(F.xxhash64("right_id"), "right_id").limit(centre_count(count, block_rows)).collect()
+        self.centres = self.spark.sparkContext.broadcast(_unit_rows(r["vector"] for r in drawn))
+        gathered = cut(rights.mapInPandas(self._gathered(), _with(rights, "centre int, angle double")))
+        # Borders between rings: quantiles of the angles, as many as the centre's rows ask for.
+        steps = [i / MOST_RINGS for i in range(1, MOST_RINGS)]
+        angles = gathered.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("angle", steps).alias("at"))
+        rings = F.least(F.lit(MOST_RINGS), F.ceil(F.col("n") / block_rows))
+        chosen = F.transform(F.sequence(F.lit(1), rings - 1), lambda i: F.element_at("at", F.ceil(i * MOST_RINGS / rings).cast("int")))
+        borders = angles.select("centre", F.when(rings > 1, F.array_distinct(chosen)).otherwise(F.array().cast("array<double>")).alias("borders"))
+        ringed = gathered.join(F.broadcast(borders), "centre").withColumn(
+            "ring", F.size(F.filter("borders", lambda x: x < F.col("angle")))).drop("borders")
+        rows = ringed.groupBy("centre", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
+        rows = sorted((r["centre"], r["ring"], r["low"], r["high"], -(-r["n"] // block_rows)) for r in rows)
+        self.rings = pd.DataFrame(rows, columns=["centre", "ring", "low", "high", "parts"])
+        sizes = self.spark.createDataFrame([(c, k, p) for c, k, _, _, p in rows], "centre int, ring int, parts int")
+        self.placed = ringed.join(F.broadcast(sizes), ["centre", "ring"]).select(
+            "right_id", "vector", "centre", "ring", F.pmod(F.xxhash64("right_id"), F.col("parts")).cast("int").alias("part"))
+
+    def _gathered(self):
+        centres = self.centres
+
+        def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                cosines = np.clip(_unit_rows(batch["vector"]) @ centres.value.T, -1.0, 1.0)
+                nearest = cosines.argmax(axis=1)
+                angle = np.arccos(cosines[np.arange(len(nearest)), nearest])
+                yield batch.assign(centre=nearest.astype("int32"), angle=angle)
+
+        return gather
+
+    def _visits(self, lefts: DataFrame, pick) -> DataFrame:
+        """The lefts once per block that ``pick(angles to the rings' centres, bounds, rings)`` names, as rows of (left, ring)."""
+        centres, shared, columns = self.centres, self.spark.sparkContext.broadcast(self.rings), lefts.columns
+        schema = _with(lefts, "centre int, ring int, parts int")
+
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table = shared.value
+            of_centre = table["centre"].to_numpy()
+            for batch in batches:
+                unit = _unit_rows(batch["vector"])
+                has_length = (unit != 0).any(axis=1)
+                batch, unit = batch[has_length], unit[has_length]
+                step = max(1, TABLE // max(len(table), len(centres.value)))
+                for start in range(0, len(batch), step):
+                    part = batch.iloc[start:start + step]
+                    angles = np.arccos(np.clip(unit[start:start + step] @ centres.value.T, -1.0, 1.0))[:, of_centre]
+                    left, ring = pick(angles, part["bound"].to_numpy(), table)
+                    out = part[columns].iloc[left]
+                    yield out.assign(**{c: table[c].to_numpy()[ring].astype("int32") for c in ("centre", "ring", "parts")})
+
+        return lefts.mapInPandas(visit, schema)
+
+    def first_visits(self, lefts: DataFrame) -> DataFrame:
+        """Every left with one block: a part of the nearest centre's ring whose angles are nearest to its own."""
+
+        def pick(angles, bounds, table):
+            outside = np.maximum(0.0, np.maximum(table["low"].to_numpy() - angles, angles - table["high"].to_numpy()))
+            # The nearest centre counts first, then the ring.
+            nearest = angles.min(axis=1, keepdims=True)
+            return np.arange(len(angles)), np.where(angles <= nearest, outside, np.inf).argmin(axis=1)
+
+        return self._visits(lefts, pick).withColumn("part", F.pmod(F.xxhash64("left_id"), F.col("parts")).cast("int")).drop("parts")
+
+    def further_visits(self, first: DataFrame) -> DataFrame:
+        """Every left with each block that may hold a right vector within its bound, but for the block it has met."""
+
+        def pick(angles, bounds, table):
+            reach = np.arccos(np.clip(bounds, -1.0, 1.0))[:, None] + SLACK
+            return np.nonzero((angles <= table["high"].to_numpy() + reach) & (angles >= table["low"].to_numpy() - reach))
+
+        lefts = first.withColumnsRenamed({c: f"first_{c}" for c in self.UNIT})
+        names = [f"first_{c}" for c in self.UNIT]
+        shown = lefts.select("left_id", "vector", "bound", F.struct(*names).alias("met"))
+        visits = self._visits(shown, pick).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        was_met = F.struct(*[F.col(c).alias(f"first_{c}") for c in self.UNIT]) == F.col("met")
+        return visits.where(~was_met).select("left_id", "vector", "bound", *self.UNIT)
+
+    def met(self, visits: DataFrame, schema: str) -> DataFrame:
+        """The best right of each left in each block it visits, if it reaches the left's bound.
+
+        The lefts of a block are cut into parts of ``block_rows`` by their count, and the block is copied once for each part.
+        """
+        parts = visits.groupBy(*self.UNIT).agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("left_parts"))
+        lefts = visits.join(parts, self.UNIT).withColumn("left_part", F.pmod(F.xxhash64("left_id"), F.col("left_parts")).cast("int"))
+        rights = self.placed.join(parts, self.UNIT).withColumn("left_part", F.explode(F.sequence(F.lit(0), F.col("left_parts") - 1)))
+        # Both sides come from frames that are joined with themselves above; new names keep their columns apart.
+        lefts = lefts.select(*[F.col(c).alias(c) for c in ("left_id", "vector", "bound", *self.UNIT, "left_part")])
+        rights = rights.select(*[F.col(c).alias(c) for c in ("right_id", "vector", *self.UNIT, "left_part")])
+
+        def compare(left_block: pd.DataFrame, right_block: pd.DataFrame) -> pd.DataFrame:
+            if left_block.empty or right_block.empty:
+                return pd.DataFrame({"left_id": [], "right_id": [], "cosine": []})
+            right_block = right_block.sort_values("right_id")
+            rights = _unit_rows(right_block["vector"])
+            # A hash may leave a part larger than planned, so the table of cosines is cut as well.
+            step, found = max(1, 8 * TABLE // len(rights)), []
+            for start in range(0, len(left_block), step):
+                part = left_block.iloc[start:start + step]
+                found.append(_best_in(part["left_id"], _unit_rows(part["vector"]), right_block["right_id"], rights, part["bound"].to_numpy()))
+            return pd.concat(found)
+
+        keys = [*self.UNIT, "left_part"]
+        return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInPandas(compare, schema)
 
 
 def _with(df: DataFrame, extra: str) -> str:
