@@ -1,11 +1,13 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinledger.functions import similarity as similarity_module
 from twinledger.functions.numbers import as_number, is_identifier, locale_text, numbers_differ, parse_number, with_parsed
-from twinledger.functions.similarity import common_subsequence, cosine, indel_percent, token_sorted
+from twinledger.functions.similarity import common_subsequence, common_subsequences, cosine, indel_percent, indel_percents, reaches, token_sorted
 from twinledger.functions.text import drop_null_tokens, is_blank, is_missing, normal_text, present_text, render, strip
 
 TEXT, DOUBLE = T.StringType(), T.DoubleType()
@@ -115,3 +117,29 @@ def test_token_sorted(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [round(r[0], 6) for r in df.select(F.expr(cosine("a", "b"))).collect()] == [0.96, 0.0]
+
+
+def _pairs(n, longest, letters="abcd é😀"):
+    rng = random.Random(longest)
+    make = lambda: "".join(rng.choices(letters, k=rng.randint(0, longest)))
+    pairs = [(make(), make()) for _ in range(n)]
+    return pairs + [(a, "".join(c for c in a if rng.random() > 0.1)) for a, _ in pairs]
+
+
+@pytest.mark.parametrize("longest", [8, 64, 65, 200])
+def test_common_subsequences_of_many_pairs(longest, monkeypatch):
+    monkeypatch.setattr(similarity_module, "TABLE", 5_000)
+    pairs = _pairs(150, longest) + [("", ""), ("", "x"), ("x" * 64, "x" * 64), ("x" * 128, "x" * 300), ("ab" * 64, "ba" * 64)]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert common_subsequences(left, right).tolist() == [common_subsequence(a, b) for a, b in pairs]
+    assert indel_percents(left, right).tolist() == [indel_percent(a, b) for a, b in pairs]
+
+
+def test_edit_distance_settles_only_what_is_so(spark):
+    """Against the score itself, at every threshold; and most pairs are settled without it."""
+    pairs = _pairs(120, 14)
+    df = spark.createDataFrame([(a, b, t) for a, b in pairs for t in (1, 50, 67, 80, 85, 86, 93, 99)], "a string, b string, t int")
+    got = df.selectExpr("a", "b", "t", f"{reaches('a', 'b', 't')} AS reached").collect()
+    assert all(r.reached is None or r.reached == (indel_percent(r.a, r.b) >= r.t) for r in got)
+    assert sum(r.reached is None for r in got) < 0.35 * len(got)
+    assert {r.reached for r in got} == {True, False, None}

@@ -69,6 +69,26 @@ def test_table_form_finds_the_same_as_brute_force(spark, monkeypatch, threshold)
     assert got == brute_best(left, right, threshold)
 
 
+@pytest.mark.parametrize("pairs_in_task", [3, 1_000_000])
+def test_pairs_meet_once_at_their_first_common_signature(spark, pairs_in_task):
+    """No pair that reaches the level is missed, none comes twice, and few others come; heavy signatures may be cut anyhow."""
+    rng = random.Random(12)
+    syllables = ["ka", "lo", "mi", "ter", "son", "vel", "ra", "qu", "bo", "est", "in", "dor", "wy", "zh"]
+    base = ["".join(rng.choices(syllables, k=rng.randint(3, 7))) + " " + "".join(rng.choices(syllables, k=3)) for _ in range(150)]
+    change = lambda s: "".join(c for c in s if rng.random() > 0.06)
+    left, right = list(dict.fromkeys(map(words, base))), list(dict.fromkeys(words(change(s)) for s in base))
+    a = spark.createDataFrame([(w,) for w in left], "words string")
+    b = spark.createDataFrame([(w,) for w in right], "words string")
+    letters = nm._letter_ranks(a.unionByName(b))
+    ranked_a, ranked_b = nm._ranked_letters(a, letters), nm._ranked_letters(b, letters)
+    for level, share in ((94, 0.05), (85, 0.05), (72, 0.6)):
+        frame = nm._candidates(ranked_a, ranked_b, level, pairs_in_task)
+        got = [tuple(r) for r in frame.collect()]
+        reaching = {(x, y) for x in left for y in right if indel_percent(x, y) >= level}
+        assert len(got) == len(set(got)) and reaching <= set(got)
+        assert len(got) < share * len(left) * len(right)
+
+
 def test_hybrid(spark):
     left, right = ["alpha", "beta", "gamma", "delta"], ["Alpha", "x1", "x2"]
     cosines = spark.createDataFrame(

@@ -2,8 +2,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinledger import AnyOf, Pair
+from twinledger.functions.similarity import indel_percent, similarity, token_sorted
+from twinledger.operators import records
 from twinledger.operators.coercion import apply_overrides, convert_numeric_columns, numeric_pairs, pair_types
 from twinledger.operators.keys import KeyPlan, joined_key_count, key_overview, key_rows, latest_per_key, union_key_count
 from twinledger.operators.records import compare_any_of, compare_records, matched_rows, missing_rows
@@ -131,6 +134,22 @@ def test_any_of_with_numeric_and_text_targets(spark):
     assert found.mismatches.isEmpty()
 
 
+def test_few_cells_need_a_score(spark):
+    """Cells that the edit distance settles never reach Python."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefgh ", k=12)).strip() + "q" for _ in range(400)]
+    near = [n if i % 3 else n[:5] + "x" + n[6:] for i, n in enumerate(names)]
+    far = [n if i % 5 else "".join(rng.sample(n, len(n))) for i, n in enumerate(near)]
+    rows = spark.createDataFrame(list(zip(names, far)), "a string, b string").selectExpr(
+        f"named_struct('text_a', {token_sorted('a')}, 'text_b', {token_sorted('b')}, 'threshold', 85) AS cell").cache()
+    judged = records._Engine.open_cells(rows)
+    words = lambda x: " ".join(sorted(x.split()))
+    failing = sum(indel_percent(words(a), words(b)) < 85 for a, b in zip(names, far))
+    assert judged.where("reached IS NULL").count() < 0.2 * sum(a != b for a, b in zip(names, far))
+    kept = judged.withColumn("score", similarity(F.col("cell.text_a"), F.col("cell.text_b"))).where("score < cell.threshold").count()
+    assert kept == failing > 20
+
+
 def test_fuzzy_equality(spark):
     rows = [(1, "Smith, John", "john smith"), (2, "Acme Corporation", "Acme Corporatoin"), (3, "Alpha", "Omega"),
             (4, None, "x"), (5, None, " "), (6, "a", "a much longer text than that")]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +30,9 @@ SIGNATURE_SIZES = {
     72: ((24, 2), (8, 3), (2, 2), (1, 1)),
 }
 
+# Meetings of one signature in a task; signatures with more are cut into parts.
+PAIRS_IN_TASK = 1_000_000
+
 BEST = "left_name string, right_name string, score int"
 
 
@@ -156,43 +157,70 @@ def _ranked_letters(words: DataFrame, letters: DataFrame) -> DataFrame:
     return listed.select("words", F.length("words").alias("size"), F.col("ranked.letter").alias("ranked"))
 
 
-def _letters_in_common(needed: int, level: int) -> int:
-    """How many letters a signature has, from the number of common letters that a pair needs."""
-    return next(size for least, size in SIGNATURE_SIZES[min(LEVELS, key=lambda n: abs(n - level))] if needed >= least)
+def _letters_in_common(needed: str, level: int) -> str:
+    """SQL: how many letters a signature has, from the number of common letters that a pair needs."""
+    sizes = SIGNATURE_SIZES[min(LEVELS, key=lambda n: abs(n - level))]
+    return "CASE " + " ".join(f"WHEN {needed} >= {least} THEN {size}" for least, size in sizes) + " END"
 
 
 def _signatures(ranked: DataFrame, level: int) -> DataFrame:
-    """``(words, size, signature)``: sets of rare letters of which two texts reaching the level share at least one.
+    """``(words, size, ranked, l, prefix, signature)``: sets of rare letters of which two texts reaching the level share at least one.
 
     Reaching share t of ``2*LCS/(la+lb)`` needs at least ``t*la/(2-t)`` common characters, so common letters. Two texts
     that need k of them share l letters among the ``la - k + l`` rarest of each (prefix filtering), for any l up to k. A
     text does not know k, only its range, and gives the sets of every l that belongs to it.
     """
     t = (level - 0.5) / 100
+    need = f"greatest(1, CAST(ceil(size * {t!r}D / (2 - {t!r}D) - 1e-9D) AS INT))"
+    # All sets of l places, each set rising: one more place in every step.
+    sets = (
+        "aggregate(sequence(1, l), array(CAST(array() AS ARRAY<INT>)), (sets, step) -> flatten(transform(sets, s -> transform("
+        "sequence(if(step = 1, 1, element_at(s, -1) + 1), size(prefix) - l + step), i -> concat(s, array(i))))))"
+    )
+    sized = ranked.withColumn("need", F.expr(need)).where("need <= size")
+    kinds = sized.withColumn("l", F.explode(F.expr(f"array_distinct(transform(sequence(need, size), k -> {_letters_in_common('k', level)}))")))
+    prefixed = kinds.withColumn("prefix", F.expr("slice(ranked, 1, size - need + l)"))
+    chosen = prefixed.withColumn("chosen", F.explode(F.expr(sets)))
+    return chosen.select("words", "size", "ranked", "l", "prefix", F.expr(rf"array_join(transform(chosen, i -> prefix[i - 1]), '\x1f') AS signature"))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for words, size, letters in zip(batch["words"], batch["size"], batch["ranked"]):
-                need = max(1, math.ceil(size * t / (2 - t) - 1e-9))
-                for l in {_letters_in_common(k, level) for k in range(need, size + 1)}:
-                    rows += [(words, size, "\x1f".join(chosen)) for chosen in combinations(letters[:size - need + l], l)]
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=["words", "size", "signature"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["words", "size", "signature"])
 
-    return ranked.mapInPandas(sign, "words string, size int, signature string")
+def _candidates(lefts: DataFrame, rights: DataFrame, level: int, pairs_in_task: int = PAIRS_IN_TASK) -> DataFrame:
+    """``(words, other)``: every pair that may reach the level, exactly once.
+
+    Two texts that share one signature share many. A pair is emitted where the signature is its first: the l rarest letters that
+    both prefixes hold, with the l of the pair's own number of needed letters. The join also holds what the places of these letters
+    and all letters of both texts allow. Signatures with much work, by counts of both sides, are cut into parts.
+    """
+    t = (level - 0.5) / 100
+    left, right = _signatures(lefts, level), _signatures(rights, level)
+    right = right.select(*[F.col(c).alias(c if c == "signature" else f"other_{c}") for c in right.columns])
+    work = left.groupBy("signature", "l").agg(F.count(F.lit(1)).alias("n")).join(
+        right.groupBy("signature", F.col("other_l").alias("l")).agg(F.count(F.lit(1)).alias("m")), ["signature", "l"])
+    heavy = cut(work.where(F.col("n") * F.col("m") > pairs_in_task).select(
+        F.col("signature").alias("heavy"), F.col("l").alias("heavy_l"), F.least("n", F.ceil(F.col("n") * F.col("m") / pairs_in_task)).cast("int").alias("parts")))
+    one = F.coalesce("parts", F.lit(1))
+    left = left.join(heavy, (F.col("signature") == F.col("heavy")) & (F.col("l") == F.col("heavy_l")), "left").withColumn(
+        "part", F.pmod(F.xxhash64("words"), one).cast("int"))
+    right = right.join(heavy, (F.col("signature") == F.col("heavy")) & (F.col("other_l") == F.col("heavy_l")), "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), one - 1)))
+    left = left.select(*[F.col(c).alias(c) for c in ("words", "size", "ranked", "l", "prefix", "signature", "part")])
+    right = right.select(*[F.col(c).alias(c) for c in ("other_words", "other_size", "other_ranked", "other_l", "other_prefix", "signature", "part")])
+    needed = f"greatest(1, CAST(ceil((size + other_size) * {t!r}D / 2 - 1e-9D) AS INT))"
+    letter = "element_at(split(signature, '\\x1f'), -1)"
+    first_shared = "array_join(slice(array_intersect(prefix, other_prefix), 1, l), '\\x1f') = signature"
+    places = f"l + least(size - array_position(ranked, {letter}), other_size - array_position(other_ranked, {letter})) >= {needed}"
+    kept = (
+        (F.col("l") == F.col("other_l")) & F.expr(f"least(size, other_size) >= {needed}")
+        & F.expr(f"l = {_letters_in_common(needed, level)}") & F.expr(places) & F.expr(first_shared)
+        & F.expr(f"size(array_intersect(ranked, other_ranked)) >= {needed}")
+    )
+    met = left.join(right, ["signature", "part"])
+    return met.where(kept).select("words", F.col("other_words").alias("other"))
 
 
 def _reaching(lefts: DataFrame, ranked_right: DataFrame, rights: DataFrame, level: int) -> DataFrame:
     """The best right wording of each left wording among all that reach the level."""
-    sign_left = _signatures(lefts, level)
-    sign_right = _signatures(ranked_right, level).select(F.col("words").alias("other"), F.col("size").alias("other_size"), "signature")
-    bound = 200.0 * F.least("size", "other_size") / (F.col("size") + F.col("other_size"))
-    candidates = (
-        sign_left.join(sign_right, "signature").where(bound >= level - 0.5).select("words", "other").distinct()
-    )
+    candidates = _candidates(lefts, ranked_right, level)
     scored = candidates.withColumn("score", similarity(F.col("words"), F.col("other"))).where(F.col("score") >= level)
     named = scored.join(rights.select(F.col("words").alias("other"), "name", "place"), "other")
     first = F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("place"), F.col("name")))

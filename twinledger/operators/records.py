@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import ATOL, RTOL, as_number, numbers_differ, texts_differ, with_parsed
-from ..functions.similarity import similarity, similarity_bound, token_sorted
+from ..functions.similarity import reaches, similarity, similarity_bound, token_sorted
 from ..functions.text import ident, is_missing, is_numeric, literal, normal_text, quoted, render, stripped, type_of
 from ..spec import MISSING_KEY, MISSING_ROW, Rule, check_columns, key_pairs, rules_from
 from .coercion import Modes, column_pairs, pair_types
@@ -266,8 +266,17 @@ class _Engine:
     def _scored(self, rows: DataFrame) -> DataFrame:
         if not self._any_fuzzy():
             return rows
-        scored = rows.withColumn("score", similarity(F.col("cell.text_a"), F.col("cell.text_b")))
-        return scored.where("NOT coalesce(score >= cell.threshold, false)").drop("score")
+        open_cells = self.open_cells(rows)
+        text = lambda side: F.expr(f"if(reached IS NULL, cell.text_{side}, NULL)")
+        scored = open_cells.withColumn("score", similarity(text("a"), text("b")))
+        return scored.where("NOT coalesce(score >= cell.threshold, false)").drop("score", "reached")
+
+    @staticmethod
+    def open_cells(rows: DataFrame) -> DataFrame:
+        """The rows without the cells that pass by their edit distance; ``reached`` is null where only a score can tell."""
+        judged = rows.withColumn("reached", F.expr(
+            f"if(cell.text_a IS NULL OR cell.text_b IS NULL, false, {reaches('cell.text_a', 'cell.text_b', 'cell.threshold')})"))
+        return judged.where("reached IS NULL OR NOT reached")
 
     def _output(self) -> list[str]:
         return [f"cell.{n} AS {n}" for n in COLUMNS[2:]] + [f"cell.label AS {self.labels.column}"]
