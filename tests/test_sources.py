@@ -1,7 +1,11 @@
+import random
+
+import duckdb
 import pytest
 
 from twinledger.sources import hygiene
 from twinledger.sources.delimited import encoding_of, header_search, numbered_lines, read_csv, read_text, read_tsv
+from twinledger.sources.quoted_records import ends_inside, stays_inside
 from twinledger.sources.fixed_width import APPLICANT_LAYOUT, layout_from_text, layout_from_widths, read_fixed_width
 from twinledger.sources.structured import database_reader, read_json, read_parquet, read_sql
 
@@ -45,6 +49,91 @@ def test_csv_multi_line(spark, tmp_path):
     assert rows(read_csv(spark, path, multi_line=True)) == [("1", "a\nb")]
 
 
+class small_blocks:
+    """Files are read in blocks of a few hundred bytes."""
+
+    def __init__(self, spark, size):
+        self.conf, self.size = spark.conf, size
+
+    def __enter__(self):
+        self.old = {k: self.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        for k in self.old:
+            self.conf.set(k, str(self.size))
+
+    def __exit__(self, *_):
+        for k, v in self.old.items():
+            self.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", [150, 1 << 20])
+def test_multi_line_csv_in_many_blocks_equals_duckdb(spark, tmp_path, size):
+    """Values with line breaks, doubled quotes, delimiters and blank lines, some longer than several blocks, in two files."""
+    rng = random.Random(5)
+    bits = ["a", "bc", '""', ",", "\n", "\n\n", "é", " ", "x" * 30, "\n,\n", '"",""']
+    n = 0
+    for k in range(2):
+        text = "k,v,w\n"
+        for _ in range(80):
+            n += 1
+            values = ['"' + "".join(rng.choices(bits, k=rng.choice((0, 1, 5, 40)))) + '"' if rng.random() < 0.6 else rng.choice(["", "plain", '5"in', "x y"])
+                      for _ in range(2)]
+            text += f"id{n},{values[0]},{values[1]}\n"
+        put(tmp_path, f"part{k}.csv", text)
+    with small_blocks(spark, size):
+        df = read_csv(spark, str(tmp_path), multi_line=True, null_tokens=[], encoding="UTF-8")
+        got = {r.k: (r.v or "", r.w or "") for r in df.collect()}
+        assert df.count() == n
+    want = duckdb.sql(f"SELECT k, coalesce(v, ''), coalesce(w, '') FROM read_csv('{tmp_path}/*.csv', all_varchar=true, header=true, quote='\"', escape='\"', delim=',', strict_mode=false)").fetchall()
+    assert got == {k: (v, w) for k, v, w in want} and len(got) == n
+
+
+def test_line_functions_are_those_of_a_plain_reader(spark):
+    rng = random.Random(6)
+    lines = ["".join(rng.choices('ab",,"', k=rng.randint(0, 9))) for _ in range(1500)]
+
+    def plain(line, inside):
+        at_start, i = not inside, 0
+        while i < len(line):
+            if inside:
+                if line[i] == '"' and line[i + 1:i + 2] == '"':
+                    i += 1
+                elif line[i] == '"':
+                    inside = False
+                at_start = False
+            elif line[i] == '"' and at_start:
+                inside, at_start = True, False
+            else:
+                at_start = line[i] == ","
+            i += 1
+        return inside
+
+    df = spark.createDataFrame([(x,) for x in lines], "x string").selectExpr("x", f"{ends_inside('x', ',')} AS o", f"{stays_inside('x', ',')} AS i")
+    assert all((r.o, r.i) == (plain(r.x, False), plain(r.x, True)) for r in df.collect())
+    # A long line needs no deep recursion.
+    long = spark.createDataFrame([('"' + 'ab""' * 300_000 + '",x,"' + 'y""' * 300_000,), ("a," * 300_000 + '"b',)], "x string")
+    assert [r[0] for r in long.selectExpr(ends_inside("x", ",")).collect()] == [True, True]
+
+
+def test_files_with_other_headers_are_an_error(spark, tmp_path):
+    for folder, k, lines in (("c", 0, "id,name\n1,ann\n"), ("c", 1, "name,id\nbob,2\n"), ("t", 0, "title\nid|name\n1|ann\n"), ("t", 1, "title\nname|id\nbob|2\n")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        put(tmp_path / folder, f"part{k}.txt", lines)
+    for multi_line in (False, True):
+        with pytest.raises(ValueError, match="another header"):
+            read_csv(spark, str(tmp_path / "c"), multi_line=multi_line)
+    with pytest.raises(ValueError, match="another header"):
+        read_text(spark, str(tmp_path / "t"), header_row=1)
+
+
+def test_open_quotes_and_inch_marks(spark, tmp_path):
+    with pytest.raises(ValueError, match="leave a quote open"):
+        read_text(spark, put(tmp_path, "broken.txt", 'id|name\n1|"a\nb"\n'))
+    with pytest.raises(ValueError, match="end within quotes"):
+        read_csv(spark, put(tmp_path, "endless.csv", 'id,name\n1,"a\nb\n'), multi_line=True)
+    path = put(tmp_path, "inch.tsv", 'id\tpart\n1\t5" pipe\n2\t7" x 5"\n3\t"quoted ""pipe"""\n')
+    assert rows(read_tsv(spark, path)) == [("1", '5" pipe'), ("2", '7" x 5"'), ("3", 'quoted "pipe"')]
+
+
 def test_duplicate_header(spark, tmp_path):
     with pytest.raises(ValueError, match="duplicate"):
         read_csv(spark, put(tmp_path, "dup.csv", "a,a ,b\n1,2,3\n"))

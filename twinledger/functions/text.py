@@ -104,4 +104,6 @@ def drop_null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> Data
     """Turn missing-value tokens in every text column into NULL."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     listed = ", ".join(literal(t) for t in tokens)
+    if not listed:
+        return df
     return df.withColumns({n: F.expr(f"CASE WHEN {ident(n)} NOT IN ({listed}) THEN {ident(n)} END") for n in texts})

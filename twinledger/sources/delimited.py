@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.numbers import locale_text, with_parsed
 from ..functions.text import NULL_TOKENS, drop_null_tokens, ident, literal, quoted, strip
 from .hygiene import clean_names, finish
+from .quoted_records import ends_inside, records
 
 # The delimiters tried in turn, the lines looked at for a header, the most rows left out.
 DELIMITERS = ("\t", ",", "|")
@@ -42,40 +43,55 @@ def read_csv(
 ) -> DataFrame:
     """A CSV file or folder with a header line, all columns as text so that leading zeros survive.
 
-    ``multi_line`` allows line breaks within quotes, at the price of one task per file; without it a quote left open in
-    a line is an error, since its record would fall apart. All files of a folder need the same header. Rows with fewer
-    fields end in missing values; for rows with more see ``with_surplus``.
+    ``multi_line`` allows line breaks within quotes; they become ``\\n``. Such files are cut in parallel as others are, see
+    ``quoted_records``. Without it a quote left open in a line is an error, since its record would fall apart. A quote opens a value only
+    at the start of a field. All files of a folder need the same header, in one line. Rows with fewer fields end in missing
+    values; for rows with more see ``with_surplus``.
     """
     encoding = encoding or encoding_of(spark, path)
     header = _first_line(spark, path, encoding)
     names = clean_names(_split(header, sep))
-    _check_lines(spark, path, encoding, header, multi_line)
-    raw = (
-        spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", True)
-        .option("escape", '"').option("multiLine", multi_line).option("columnNameOfCorruptRecord", RAGGED).option("columnPruning", False)
-        .schema(_all_text([*names, RAGGED])).csv(path)
-    )
-    return finish(drop_null_tokens(with_surplus(raw, len(names), sep, surplus), null_tokens), keep_empty)
+    if _check_lines(spark, path, encoding, header, sep, multi_line):
+        found = records(decoded_lines(spark, path, encoding, *_PLACE), sep)
+        # The first record of a file is its header, which was compared above.
+        body = found.where(f"NOT (block = 0 AND n = 1 AND {_without_marks('value')} <=> {literal(header)})")
+        rows = table_of_lines(body, names, sep, surplus)
+    else:
+        raw = (
+            spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", True)
+            .option("escape", '"').option("columnNameOfCorruptRecord", RAGGED).option("columnPruning", False)
+            .schema(_all_text([*names, RAGGED])).csv(path)
+        )
+        rows = with_surplus(raw, len(names), sep, surplus)
+    return finish(drop_null_tokens(rows, null_tokens), keep_empty)
 
 
 # The column for lines that have more or fewer fields than the header, while a table is read.
 RAGGED = "__ragged_line"
 
 
-def _check_lines(spark: SparkSession, path: str, encoding: str, header: str, multi_line: bool) -> None:
-    """One aggregate over the lines: quotes left open, and files that start with another header."""
-    lines = decoded_lines(spark, path, encoding, "_metadata.file_path AS file", "_metadata.file_block_start AS block")
-    lines = lines.where(f"{strip('value')} <> ''").withColumn("at", F.monotonically_increasing_id())
+# Where a line comes from: its file, and its block's first byte.
+_PLACE = ("_metadata.file_path AS file", "_metadata.file_block_start AS block")
+
+
+def _without_marks(value: str) -> str:
+    return rf"regexp_replace(regexp_replace({value}, '^\ufeff', ''), '\r$', '')"
+
+
+def _check_lines(spark: SparkSession, path: str, encoding: str, header: str, sep: str, multi_line: bool) -> bool:
+    """Whether any line leaves a quote open. One aggregate over the lines; files that start with another header are an error."""
+    lines = decoded_lines(spark, path, encoding, *_PLACE).where(f"{strip('value')} <> ''").withColumn("at", F.monotonically_increasing_id())
     facts = lines.groupBy("file", "block").agg(
-        F.count_if(F.expr("regexp_count(value, '\"') % 2 = 1")).alias("open_quotes"), F.min_by("value", "at").alias("first"))
-    first = F.regexp_replace(F.regexp_replace("first", "^\ufeff", ""), "\r$", "")
+        F.count_if(F.expr(ends_inside("value", sep))).alias("open_quotes"), F.min_by("value", "at").alias("first"))
+    other = F.expr(f"{_without_marks('first')} <> {literal(header)}")
     found = facts.agg(
         F.coalesce(F.sum("open_quotes"), F.lit(0)).alias("open_quotes"),
-        F.coalesce(F.count_if((F.col("block") == 0) & (first != header)), F.lit(0)).alias("headers")).first()
+        F.coalesce(F.count_if((F.col("block") == 0) & other), F.lit(0)).alias("headers")).first()
+    if found["headers"]:
+        raise ValueError(f"{found['headers']} files of {path} start with another header than {header!r}")
     if found["open_quotes"] and not multi_line:
         raise ValueError(f"{found['open_quotes']} lines of {path} leave a quote open: read it with multi_line=True")
-    if found["headers"] and not multi_line:
-        raise ValueError(f"{found['headers']} files of {path} start with another header than {header!r}")
+    return bool(found["open_quotes"])
 
 
 def with_surplus(rows: DataFrame, n: int, sep: str, surplus: str = "fail") -> DataFrame:
@@ -220,10 +236,27 @@ def read_text(
     sep, fields = next(((d, f) for d, f in splits if len(f) > 1), splits[1])
     names = clean_names(fields)
     body = body_lines(spark, path, int(header_row) + 1, skip_footer, encoding)
+    _check_text(spark, path, encoding, int(header_row), header, body, sep)
     rows = drop_null_tokens(table_of_lines(body, names, sep, surplus), null_tokens)
     return finish(_typed(rows, locale, type_hint), keep_empty)
 
 
+def _check_text(spark: SparkSession, path: str, encoding: str, header_row: int, header: str, body: DataFrame, sep: str) -> None:
+    """Every file of the path has the same header in the same line, and no record goes over the end of a line."""
+    lines = _placed_lines(spark, path, encoding)
+    # The one block of each file that holds the header line.
+    blocks = _blocks(lines).where(F.expr(f"before <= {header_row} AND before + n > {header_row}")).select("file", "block", "first_at", "before")
+    if blocks.count() <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    headers = lines.join(blocks, ["file", "block"]).where(f"before + at - first_at = {header_row}")
+    others = headers.where(f"{_without_marks('value')} <> {literal(header)}").count()
+    if others:
+        raise ValueError(f"{others} files of {path} have another header in line {header_row} than {header!r}")
+    n_open = body.where(ends_inside("value", sep)).count()
+    if n_open:
+        raise ValueError(f"{n_open} lines of {path} leave a quote open")
+
+
 def _ddl(names: Sequence[str]) -> str:
     return ", ".join(f"{ident(n)} STRING" for n in names)
 
