@@ -11,10 +11,11 @@ from . import fixtures as fx
 from .functions.numbers import locale_text, with_parsed
 from .functions.similarity import cosine
 from .functions.text import drop_null_tokens, is_blank, normal_text, present_text, type_of
-from .operators import coercion, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
+from .operators import coercion, key_sketches, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
+from .operators.rows import side_by_side
 from .plans import reconcile
-from .sources import delimited, history, hygiene
+from .sources import delimited, history, hygiene, quoted_records
 from .sources.fixed_width import fixed_width_fields, layout_from_text
 from .spec import Pair
 
@@ -354,6 +355,34 @@ def run_by_id(spark, sf_dir):
     return history.run_by_id(fx.derived(spark, sf_dir, "run_rows"), "1997-01-15")
 
 
+def multi_line_records(spark, sf_dir):
+    """CSV lines of records whose values hold line breaks, some across blocks, back to columns."""
+    lines = fx.derived(spark, sf_dir, "order_record_lines")
+    lines = lines.repartitionByRange("block").sortWithinPartitions("block", "at").select("file", "block", "value")
+    return delimited.table_of_lines(quoted_records.records(lines, ","), ["o_orderkey", "note", "total"], ",", "keep")
+
+
+def sketched_key_counts(spark, sf_dir):
+    """Exact key counts, and whether the counts from merged sketches (A by day) are off by no more than their bounds."""
+    a, b = fx.side_pair(spark, sf_dir, "orders")
+    plan = _plan(a, b, "orders")
+    exact = keys.key_overview(keys.key_rows(a, b, plan)).selectExpr(
+        "total_keys", "joined_count AS in_both", "missing_in_b AS only_a", "missing_in_a AS only_b")
+    guessed = key_sketches.estimated_overview(
+        key_sketches.key_sketches(a, plan, "a", by=["o_orderdate"]), key_sketches.key_sketches(b, plan, "b"))
+    guessed = guessed.withColumnsRenamed({c: f"{c}_guess" for c in key_sketches.COUNTS})
+    both = side_by_side(exact, guessed)
+    return both.select(*key_sketches.COUNTS, *[
+        F.expr(f"abs({c} - {c}_guess) <= {c}_bound").alias(f"{c}_within") for c in key_sketches.COUNTS])
+
+
+def preflight_findings(spark, sf_dir):
+    """All checks at once, on keys that are far from unique."""
+    a, b = fx.side_pair(spark, sf_dir, "lineitem")
+    found = preflight.run_preflight(a, b, (["l_linenumber", "l_returnflag"], ["line_no", "flag"]))
+    return found.select("check", "severity", "subject", F.round("observed", 9).alias("observed"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         orders_record_mismatches, lineitem_composite_key_mismatches, lineitem_mismatches_counted, lineitem_mismatches_hot_keys,
@@ -365,6 +394,6 @@ QUERIES: dict[str, Query] = {
         clean_columns, mismatch_frequency, crosstab_candidates, crosstab_by_priority, column_profile, mixed_type_columns,
         preflight_uniqueness, preflight_sequence, preflight_row_counts, preflight_join_size, latest_per_key, first_n_rows,
         review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, fuzzy_best_match_table, cosine_best_match_blocks, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
-        runs_retention, run_by_id,
+        runs_retention, run_by_id, multi_line_records, sketched_key_counts, preflight_findings,
     )
 }

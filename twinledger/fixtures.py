@@ -59,6 +59,12 @@ FROM part WHERE p_partkey % 29 <> 0""",
 SELECT CASE WHEN o_orderkey % 50 = 0 THEN concat(CAST(o_orderkey AS STRING), ',x,1,EXTRA') WHEN o_orderkey % 60 = 7 THEN CAST(o_orderkey AS STRING)
   ELSE concat(CAST(o_orderkey AS STRING), ',', chr(34), o_orderpriority, ', ', chr(34), chr(34), o_orderstatus, chr(34), chr(34), chr(34), ',', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) END AS value
 FROM orders""",
+    "order_record_lines": """
+SELECT 'orders' AS file, o_orderkey * 4 + pos AS at, CAST(floor((o_orderkey * 4 + pos) / 1999) AS BIGINT) AS block, value
+FROM (SELECT o_orderkey, posexplode(split(CASE
+  WHEN o_orderkey % 3 = 0 THEN concat(CAST(o_orderkey AS STRING), ',', chr(34), o_orderpriority, chr(10), 'said ', chr(34), chr(34), o_orderstatus, ',', chr(34), chr(34),
+    chr(10), chr(10), 'end', chr(34), ',', CAST(o_custkey AS STRING))
+  ELSE concat(CAST(o_orderkey AS STRING), ',5', chr(34), ' ', o_orderstatus, ',', CAST(o_custkey AS STRING)) END, chr(10))) AS (pos, value) FROM orders)""",
     "customer_tsv_lines": """
 SELECT concat(CAST(c_custkey AS STRING), chr(9), c_name, chr(9), CASE WHEN c_custkey % 9 = 0 THEN concat(c_mktsegment, chr(9), 'more') ELSE c_mktsegment END) AS value
 FROM customer""",

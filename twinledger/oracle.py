@@ -293,6 +293,21 @@ ORACLE: dict[str, str] = {
   CASE WHEN o_orderkey % 50 = 0 THEN 'x' WHEN o_orderkey % 60 <> 7 THEN concat(o_orderpriority, ', "', o_orderstatus, '"') END AS note,
   CASE WHEN o_orderkey % 50 = 0 THEN '1' WHEN o_orderkey % 60 <> 7 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS total,
   CASE WHEN o_orderkey % 50 = 0 THEN concat(o_orderkey, ',x,1,EXTRA') END AS surplus_line FROM orders""",
+    "multi_line_records": """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat(o_orderpriority, chr(10), 'said "', o_orderstatus, ',"', chr(10), chr(10), 'end') ELSE concat('5" ', o_orderstatus) END AS note,
+  CAST(o_custkey AS VARCHAR) AS total, CAST(NULL AS VARCHAR) AS surplus_line FROM orders""",
+    "sketched_key_counts": """SELECT count(*) AS total_keys, count(*) FILTER (a AND b) AS in_both, count(*) FILTER (a AND NOT b) AS only_a,
+  count(*) FILTER (b AND NOT a) AS only_b, true AS total_keys_within, true AS in_both_within, true AS only_a_within, true AS only_b_within
+FROM (SELECT DISTINCT o_orderkey, o_orderkey % 31 <> 0 AS a, o_orderkey % 29 <> 0 AS b FROM orders) WHERE a OR b""",
+    "preflight_findings": f"""{with_sql("lineitem_a", "lineitem_b")},
+ka AS (SELECT l_linenumber AS n, upper(trim(l_returnflag)) AS f, count(*) AS m FROM lineitem_a GROUP BY ALL),
+kb AS (SELECT line_no AS n, upper(trim(flag)) AS f, count(*) AS m FROM lineitem_b GROUP BY ALL),
+t AS (SELECT (SELECT count(*) FROM lineitem_a) AS na, (SELECT count(*) FROM lineitem_b) AS nb, (SELECT count(*) FROM ka) AS da, (SELECT count(*) FROM kb) AS db,
+  (SELECT sum(CAST(ka.m AS DOUBLE) * kb.m) FROM ka JOIN kb ON ka.n = kb.n AND ka.f IS NOT DISTINCT FROM kb.f) AS joined)
+SELECT 'key_uniqueness' AS "check", 'error' AS severity, 'A l_linenumber|l_returnflag' AS subject, round(da / na, 9) AS observed FROM t WHERE da / na < 0.1
+UNION ALL SELECT 'key_uniqueness', 'error', 'B line_no|flag', round(db / nb, 9) FROM t WHERE db / nb < 0.1
+UNION ALL SELECT 'row_counts', 'warning', 'rows', CAST(na - nb AS DOUBLE) FROM t WHERE na <> nb
+UNION ALL SELECT 'join_size', 'error', 'l_linenumber|l_returnflag', joined FROM t WHERE (da / na < 0.9 OR db / nb < 0.9) AND CAST(na AS DOUBLE) * nb > 10000000""",
     "tsv_lines": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name AS name, c_mktsegment AS segment,
   CASE WHEN c_custkey % 9 = 0 THEN concat(c_custkey, chr(9), c_name, chr(9), c_mktsegment, chr(9), 'more') END AS surplus_line FROM customer""",
     "header_line": """WITH f AS (SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 2 WHEN n_nationkey = 3 THEN 3 ELSE 2 END AS fields FROM nation WHERE n_nationkey < 10)
