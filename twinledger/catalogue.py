@@ -11,7 +11,7 @@ from . import fixtures as fx
 from .functions.numbers import locale_text, with_parsed
 from .functions.similarity import cosine
 from .functions.text import drop_null_tokens, is_blank, normal_text, present_text, type_of
-from .operators import coercion, key_sketches, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
+from .operators import coercion, digest_tree, key_sketches, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
 from .operators.rows import side_by_side
 from .plans import reconcile
@@ -376,6 +376,18 @@ def sketched_key_counts(spark, sf_dir):
         F.expr(f"abs({c} - {c}_guess) <= {c}_bound").alias(f"{c}_within") for c in key_sketches.COUNTS])
 
 
+def orders_mismatches_by_digest(spark, sf_dir):
+    """The findings of ``orders_record_mismatches``, with only the buckets joined whose digests differ."""
+    a, b = fx.side_pair(spark, sf_dir, "orders")
+    return digest_tree.compare_changed(a, b, fx.KEYS["orders"], fx.COLUMNS["orders"]).mismatches
+
+
+def lineitem_mismatches_by_digest(spark, sf_dir):
+    """The same for a key with duplicates."""
+    a, b = fx.side_pair(spark, sf_dir, "lineitem")
+    return digest_tree.compare_changed(a, b, fx.KEYS["lineitem"], fx.COLUMNS["lineitem"]).mismatches
+
+
 def preflight_findings(spark, sf_dir):
     """All checks at once, on keys that are far from unique."""
     a, b = fx.side_pair(spark, sf_dir, "lineitem")
@@ -394,6 +406,7 @@ QUERIES: dict[str, Query] = {
         clean_columns, mismatch_frequency, crosstab_candidates, crosstab_by_priority, column_profile, mixed_type_columns,
         preflight_uniqueness, preflight_sequence, preflight_row_counts, preflight_join_size, latest_per_key, first_n_rows,
         review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, fuzzy_best_match_table, cosine_best_match_blocks, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
-        runs_retention, run_by_id, multi_line_records, sketched_key_counts, preflight_findings,
+        runs_retention, run_by_id, multi_line_records, sketched_key_counts, preflight_findings, orders_mismatches_by_digest,
+        lineitem_mismatches_by_digest,
     )
 }

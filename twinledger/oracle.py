@@ -391,3 +391,5 @@ ORDER BY md5(concat_ws('|', key_df1, key_df2, col_df1, col_df2, val_df1, val_df2
 # The same results by another plan.
 ORACLE["fuzzy_best_match_table"] = ORACLE["fuzzy_best_match"]
 ORACLE["cosine_best_match_blocks"] = ORACLE["cosine_best_match"]
+ORACLE["orders_mismatches_by_digest"] = ORACLE["orders_record_mismatches"]
+ORACLE["lineitem_mismatches_by_digest"] = ORACLE["lineitem_composite_key_mismatches"]
