@@ -6,7 +6,7 @@ import pytest
 from twinledger.sources import hygiene
 from twinledger.sources.delimited import encoding_of, header_search, numbered_lines, read_csv, read_text, read_tsv
 from twinledger.sources.quoted_records import ends_inside, stays_inside
-from twinledger.sources.fixed_width import APPLICANT_LAYOUT, layout_from_text, layout_from_widths, read_fixed_width
+from twinledger.sources.fixed_width import APPLICANT_LAYOUT, layout_from_text, read_fixed_width
 from twinledger.sources.structured import database_reader, read_json, read_parquet, read_sql
 
 
@@ -205,7 +205,8 @@ def test_fixed_width(spark, tmp_path):
 
 
 def test_applicant_layout(spark, tmp_path):
-    layout = layout_from_widths(APPLICANT_LAYOUT)
+    layout = APPLICANT_LAYOUT
+    assert len(layout) == 58 and layout[-1][2] == 203 and all(x[2] == y[1] for x, y in zip(layout, layout[1:]))
     assert len(layout) == 58 and layout[-1][2] == 203
     assert layout[2] == ("Identification Number", 3, 13) and layout[43] == ("Applicant Name", 78, 113)
     assert all(x[2] == y[1] for x, y in zip(layout, layout[1:]))

@@ -16,7 +16,7 @@ from .operators.keys import KeyPlan
 from .operators.rows import side_by_side
 from .plans import reconcile
 from .sources import delimited, history, hygiene, quoted_records
-from .sources.fixed_width import fixed_width_fields, layout_from_text
+from .sources.fixed_width import APPLICANT_LAYOUT, fixed_width_fields, layout_from_text
 from .spec import Pair
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,6 +388,11 @@ def lineitem_mismatches_by_digest(spark, sf_dir):
     return digest_tree.compare_changed(a, b, fx.KEYS["lineitem"], fx.COLUMNS["lineitem"]).mismatches
 
 
+def applicant_layout_fields(spark, sf_dir):
+    """Lines of 203 characters in the built-in layout, to its 58 columns."""
+    return fx.derived(spark, sf_dir, "applicant_lines").select("c_custkey", *fixed_width_fields("line", APPLICANT_LAYOUT))
+
+
 def preflight_findings(spark, sf_dir):
     """All checks at once, on keys that are far from unique."""
     a, b = fx.side_pair(spark, sf_dir, "lineitem")
@@ -407,6 +412,6 @@ QUERIES: dict[str, Query] = {
         preflight_uniqueness, preflight_sequence, preflight_row_counts, preflight_join_size, latest_per_key, first_n_rows,
         review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, fuzzy_best_match_table, cosine_best_match_blocks, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
         runs_retention, run_by_id, multi_line_records, sketched_key_counts, preflight_findings, orders_mismatches_by_digest,
-        lineitem_mismatches_by_digest,
+        lineitem_mismatches_by_digest, applicant_layout_fields,
     )
 }

@@ -59,6 +59,8 @@ FROM part WHERE p_partkey % 29 <> 0""",
 SELECT CASE WHEN o_orderkey % 50 = 0 THEN concat(CAST(o_orderkey AS STRING), ',x,1,EXTRA') WHEN o_orderkey % 60 = 7 THEN CAST(o_orderkey AS STRING)
   ELSE concat(CAST(o_orderkey AS STRING), ',', chr(34), o_orderpriority, ', ', chr(34), chr(34), o_orderstatus, chr(34), chr(34), chr(34), ',', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) END AS value
 FROM orders""",
+    "applicant_lines": """
+SELECT c_custkey, substring(repeat(concat(CAST(c_custkey AS STRING), '  ', lower(c_mktsegment), ' ', c_name, ' '), 8), 1, 203) AS line FROM customer""",
     "order_record_lines": """
 SELECT 'orders' AS file, o_orderkey * 4 + pos AS at, CAST(floor((o_orderkey * 4 + pos) / 1999) AS BIGINT) AS block, value
 FROM (SELECT o_orderkey, posexplode(split(CASE

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fixtures import with_sql
+from .sources.fixed_width import APPLICANT_LAYOUT
 
 COSINE_THRESHOLD = 0.35
 WEIGHTS = {"o_totalprice": 3.0, "o_orderstatus": 2.0}
@@ -293,6 +294,8 @@ ORACLE: dict[str, str] = {
   CASE WHEN o_orderkey % 50 = 0 THEN 'x' WHEN o_orderkey % 60 <> 7 THEN concat(o_orderpriority, ', "', o_orderstatus, '"') END AS note,
   CASE WHEN o_orderkey % 50 = 0 THEN '1' WHEN o_orderkey % 60 <> 7 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS total,
   CASE WHEN o_orderkey % 50 = 0 THEN concat(o_orderkey, ',x,1,EXTRA') END AS surplus_line FROM orders""",
+    "applicant_layout_fields": f"""{with_sql("applicant_lines")} SELECT c_custkey, {", ".join(
+        f'nullif(trim(substring(line, {s + 1}, {e - s})), {chr(39) * 2}) AS "{n}"' for n, s, e in APPLICANT_LAYOUT)} FROM applicant_lines""",
     "multi_line_records": """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
   CASE WHEN o_orderkey % 3 = 0 THEN concat(o_orderpriority, chr(10), 'said "', o_orderstatus, ',"', chr(10), chr(10), 'end') ELSE concat('5" ', o_orderstatus) END AS note,
   CAST(o_custkey AS VARCHAR) AS total, CAST(NULL AS VARCHAR) AS surplus_line FROM orders""",
