@@ -1,4 +1,6 @@
+import json
 import random
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -7,6 +9,7 @@ from twinledger.sources import hygiene
 from twinledger.sources.delimited import encoding_of, header_search, numbered_lines, read_csv, read_text, read_tsv
 from twinledger.sources.quoted_records import ends_inside, stays_inside
 from twinledger.sources.fixed_width import APPLICANT_LAYOUT, layout_from_text, read_fixed_width
+from twinledger.sources.json_arrays import json_pieces
 from twinledger.sources.structured import database_reader, read_json, read_parquet, read_sql
 
 
@@ -275,3 +278,41 @@ def test_nothing_is_lost_unseen(spark, tmp_path):
     (folder / "b.csv").write_text("name,id\nbob,2\n")
     with pytest.raises(ValueError, match="another header"):
         read_csv(spark, str(folder))
+
+
+def test_json_arrays_in_many_blocks(spark, tmp_path):
+    """One array, once in a single line and once spread over lines: more than one task, the records that the json module finds."""
+    rng = random.Random(5)
+    odd = ['plain', 'a"b', "}", "{[", "]", "\\", '\\"', "é", '", {"k": 1}', "line\nbreak"]
+    want = [{"k": i, "v": rng.choice(odd) + rng.choice(odd), "o": {"x": [i % 3, {"y": rng.choice(odd)}]}} for i in range(3000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        for name, text in (("line.json", json.dumps(want)), ("lines.json", json.dumps(want, indent=1) + "\n"), ("values.json", "\n".join(map(json.dumps, want)))):
+            path = put(tmp_path, name, text)
+            assert json_pieces(spark, path).rdd.getNumPartitions() > 10
+            found = read_json(spark, path).collect()
+            assert sorted((r.k, r.v, r.o.x[1]) for r in map(_with_text, found)) == sorted((w["k"], w["v"], json.dumps(w["o"]["x"][1])) for w in want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _with_text(row):
+    """Spark reads an array of mixed elements as texts."""
+    parsed = [json.loads(x) if i else x for i, x in enumerate(row.o.x)]
+    return SimpleNamespace(k=row.k, v=row.v, o=SimpleNamespace(x=[parsed[0], json.dumps(parsed[1])]))
+
+
+def test_json_arrays_that_are_broken_or_empty(spark, tmp_path):
+    for i, text in enumerate(('[{"k": 1}, {"k": 2}', '[{"k": 1}\n', '[{"k": "1}]', '[{"k": [1}]')):
+        with pytest.raises(ValueError, match="end within"):
+            read_json(spark, put(tmp_path, f"broken{i}.json", text))
+    with pytest.raises(Exception, match="no object"):
+        read_json(spark, put(tmp_path, "numbers.json", '[1, {"k": 2}]'))
+    for i, text in enumerate(("[]", "", " [ ]\n")):
+        assert read_json(spark, put(tmp_path, f"empty{i}.json", text)).count() == 0
+    folder = tmp_path / "several"
+    folder.mkdir()
+    (folder / "a.json").write_text('\ufeff[{"k": 1},\n{"k": 2}]', encoding="utf-8")
+    (folder / "b.json").write_text('{"k": 3}')
+    assert sorted(rows(read_json(spark, str(folder)))) == [(1,), (2,), (3,)]

@@ -15,7 +15,7 @@ from .operators import coercion, digest_tree, key_sketches, keys, name_matching,
 from .operators.keys import KeyPlan
 from .operators.rows import side_by_side
 from .plans import reconcile
-from .sources import delimited, history, hygiene, quoted_records
+from .sources import delimited, history, hygiene, json_arrays, quoted_records
 from .sources.fixed_width import APPLICANT_LAYOUT, fixed_width_fields, layout_from_text
 from .spec import Pair
 
@@ -362,6 +362,14 @@ def multi_line_records(spark, sf_dir):
     return delimited.table_of_lines(quoted_records.records(lines, ","), ["o_orderkey", "note", "total"], ",", "keep")
 
 
+def json_array_records(spark, sf_dir):
+    """The objects of a JSON array that many tasks hold in pieces, some across blocks, back to columns."""
+    pieces = fx.derived(spark, sf_dir, "order_json_pieces").repartitionByRange("block").sortWithinPartitions("block", "at")
+    found = json_arrays.json_records(pieces.select("file", "block", "value"))
+    record = F.from_json("value", "key bigint, note string, of struct<status: string, tags: array<bigint>>", {"mode": "FAILFAST"})
+    return found.select(record.alias("r")).select("r.key", "r.note", "r.of.status", F.element_at("r.of.tags", 1).alias("tag"))
+
+
 def sketched_key_counts(spark, sf_dir):
     """Exact key counts, and whether the counts from merged sketches (A by day) are off by no more than their bounds."""
     a, b = fx.side_pair(spark, sf_dir, "orders")
@@ -412,6 +420,6 @@ QUERIES: dict[str, Query] = {
         preflight_uniqueness, preflight_sequence, preflight_row_counts, preflight_join_size, latest_per_key, first_n_rows,
         review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, fuzzy_best_match_table, cosine_best_match_blocks, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
         runs_retention, run_by_id, multi_line_records, sketched_key_counts, preflight_findings, orders_mismatches_by_digest,
-        lineitem_mismatches_by_digest, applicant_layout_fields,
+        lineitem_mismatches_by_digest, applicant_layout_fields, json_array_records,
     )
 }

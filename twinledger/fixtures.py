@@ -99,6 +99,16 @@ SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 1""",
 SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS run_id, o_orderdate AS ts, 'record' AS approach,
   count(*) AS total_keys, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS mismatch_count
 FROM orders GROUP BY o_orderdate""",
+    # one JSON array over all orders, whose strings hold quotes, brackets and braces, in pieces that end at each brace; braces are doubled for the
+    # formatter of spark.sql
+    "order_json_pieces": """
+SELECT 'orders.json' AS file, (o_orderkey * 3 + pos) div 1000 AS block, o_orderkey * 3 + pos AS at, value FROM (
+  SELECT o_orderkey, posexplode(slice(split(concat(CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN '[' ELSE ',' END,
+    chr(10), ' {{"key": ', o_orderkey, ', "note": "', CASE WHEN o_orderkey % 7 = 0 THEN concat('a', chr(92), '"}}, {{', chr(92), '"b') WHEN o_orderkey % 7 = 1 THEN ']['
+      WHEN o_orderkey % 7 = 2 THEN concat('{{', chr(92), chr(92)) ELSE 'plain' END,
+    '", "of": {{"status": "', o_orderstatus, '", "tags": [', o_orderkey % 5, ', 1]', chr(10), '}}}}'), '[}}]'), 1, 3
+    + CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE -1 END)) AS (pos, value) FROM orders)
+UNION ALL SELECT 'orders.json', (max(o_orderkey) * 3 + 3) div 1000, max(o_orderkey) * 3 + 3, ']' FROM orders""",
     "customer_lines": """
 SELECT concat(lpad(CAST(c_custkey AS STRING), 8, '0'), rpad(CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_mktsegment END, 12, ' '),
   lpad(CASE WHEN c_custkey % 10 = 0 THEN 'NA' ELSE CAST(c_nationkey AS STRING) END, 4, ' ')) AS value

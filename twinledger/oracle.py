@@ -387,6 +387,8 @@ SELECT a.vec_id AS left_id, b.vec_id AS right_id,
 FROM embeddings_a a JOIN embeddings_b b ON b.vec_id = a.vec_id + 1""",
     "review_sample": f"""{ORDERS} SELECT * FROM mm WHERE col_df1 <> '<ROW MISSING>'
 ORDER BY md5(concat_ws('|', key_df1, key_df2, col_df1, col_df2, val_df1, val_df2, match_type, '42')) LIMIT 20""",
+    "json_array_records": """SELECT o_orderkey AS key, CASE o_orderkey % 7 WHEN 0 THEN 'a"}, {"b' WHEN 1 THEN '][' WHEN 2 THEN concat('{', chr(92))
+  ELSE 'plain' END AS note, o_orderstatus AS status, o_orderkey % 5 AS tag FROM orders""",
     "recent_runs": f"{with_sql('run_rows')} SELECT * FROM run_rows ORDER BY ts DESC, run_id DESC LIMIT 20",
     "runs_retention": f"{with_sql('run_rows')} SELECT * FROM run_rows ORDER BY ts DESC, run_id DESC LIMIT 100",
     "run_by_id": f"{with_sql('run_rows')} SELECT * FROM run_rows WHERE run_id = '1997-01-15'",

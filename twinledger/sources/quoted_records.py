@@ -118,6 +118,21 @@ def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def starting_states(functions: DataFrame) -> DataFrame:
+    """The ``(file, block, from_outside, from_inside)`` functions of blocks, which may have further columns, with ``starts_inside``, the state that
+    each begins in, and ``is_last``. One row per block."""
+    # The last block before it that forgets its state, and the turns since.
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.sum(F.expr("CAST(from_outside AND NOT from_inside AS INT)"))
+    known = functions.withColumn("turns", turns.over(order)).withColumn("forgets", F.expr("from_outside = from_inside"))
+    last = F.last(F.when(F.col("forgets"), F.struct("from_outside", "turns")), ignorenulls=True).over(before)
+    known = known.withColumn("last", last).withColumn("so_far", F.coalesce(F.lag("turns").over(order), F.lit(0)))
+    return known.selectExpr(
+        *functions.columns, "coalesce(last.from_outside, false) != (pmod(so_far - coalesce(last.turns, 0), 2) = 1) AS starts_inside",
+        "row_number() OVER (PARTITION BY file ORDER BY block DESC) = 1 AS is_last")
+
+
 def records(lines: DataFrame, sep: str) -> DataFrame:
     """``(file, block, n, value)``: the records of ``(file, block, value)`` lines, which come block by block in their order.
 
@@ -128,17 +143,7 @@ def records(lines: DataFrame, sep: str) -> DataFrame:
         "file", "block", "value", F.expr(ends_inside("value", sep)).alias("from_outside"), F.expr(stays_inside("value", sep)).alias("from_inside"))
     functions = cut(judged.select("file", "block", "from_outside", "from_inside").mapInArrow(
         _block_functions, "file string, block bigint, from_outside boolean, from_inside boolean"))
-    # A block's start: the last block before it that forgets its state, and the turns since. One row per block.
-    order = Window.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    turns = F.sum(F.expr("CAST(from_outside AND NOT from_inside AS INT)"))
-    known = functions.withColumn("turns", turns.over(order)).withColumn("forgets", F.expr("from_outside = from_inside"))
-    last = F.last(F.when(F.col("forgets"), F.struct("from_outside", "turns")), ignorenulls=True).over(before)
-    known = known.withColumn("last", last).withColumn("so_far", F.coalesce(F.lag("turns").over(order), F.lit(0)))
-    starts = known.selectExpr(
-        "file", "block", "coalesce(last.from_outside, false) != (pmod(so_far - coalesce(last.turns, 0), 2) = 1) AS starts_inside",
-        "from_outside", "from_inside", "row_number() OVER (PARTITION BY file ORDER BY block DESC) = 1 AS is_last")
-    starts = cut(starts)
+    starts = cut(starting_states(functions))
     open_files = starts.where("is_last AND if(starts_inside, from_inside, from_outside)").count()
     if open_files:
         raise ValueError(f"{open_files} files end within quotes")

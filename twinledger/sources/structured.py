@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 from .hygiene import finish
+from .json_arrays import read_arrays
 
 # Fixed value: seconds to wait for a database connection.
 LOGIN_TIMEOUT = 10
@@ -13,9 +14,9 @@ LOGIN_TIMEOUT = 10
 def read_json(spark: SparkSession, path: str, lines: bool = False, keep_empty: bool = False) -> DataFrame:
     """Records of JSON files: one array (or object) per file, or one object per line with ``lines``.
 
-    An array file is read by one task; files with a record per line are split.
+    Files of either form are cut in parallel, arrays by ``json_arrays``.
     """
-    return finish(spark.read.option("multiLine", not lines).json(path), keep_empty)
+    return finish(spark.read.json(path) if lines else read_arrays(spark, path), keep_empty)
 
 
 def read_parquet(spark: SparkSession, path: str, keep_empty: bool = True) -> DataFrame:
