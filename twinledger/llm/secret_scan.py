@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import small_side
+from .shared import kept_table, small_side
 
 MASKED = "<SECRET>"
 #: Words of which placeholders, file names and prose are made.
@@ -172,9 +172,10 @@ def fit(labelled: DataFrame, scan: Scan = Scan()) -> RandomForestClassificationM
     found = candidates(labelled, scan)
     longest = found.groupBy("doc_id").agg(F.max_by(F.struct("source", "place", "token", "before", "after"), F.struct(F.char_length("token"), "place")).alias("f"))
     rows = longest.select("doc_id", "f.*").join(labelled.select("doc_id", F.col("label").cast("double").alias("label")), "doc_id").filter("label IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64("doc_id")).limit(scan.fitted_on)
+    # Written once: the forest reads its rows several times, and each reading would plan and compile the search for candidates anew.
+    rows = kept_table(features(rows.orderBy(F.xxhash64("doc_id")).limit(scan.fitted_on)).select(*FEATURES, "label"), "findings")
     forest = RandomForestClassifier(numTrees=scan.trees, maxDepth=scan.depth, seed=scan.seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2)
-    return forest.fit(_assembled(rows).select("features", "label"))
+    return forest.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label"))
 
 
 def scan_documents(docs: DataFrame, model: RandomForestClassificationModel, scan: Scan = Scan(), more: tuple[str, ...] = ()) -> DataFrame:
