@@ -10,7 +10,7 @@ from twinledger.sources.delimited import encoding_of, header_search, numbered_li
 from twinledger.sources.quoted_records import ends_inside, stays_inside
 from twinledger.sources.fixed_width import APPLICANT_LAYOUT, layout_from_text, read_fixed_width
 from twinledger.sources.json_arrays import json_pieces
-from twinledger.sources.structured import database_reader, read_json, read_parquet, read_sql
+from twinledger.sources.structured import database_reader, read_json, read_parquet, read_sql, split_with_clause
 
 
 def put(tmp_path, name, content, encoding="utf-8"):
@@ -251,6 +251,15 @@ def test_database_options(spark, monkeypatch):
         database_reader(spark, "jdbc:x", table="t", split_column="id")
 
 
+def test_with_clauses_are_told_apart():
+    clause = "WITH t AS (SELECT ')' AS \"select (\" -- select (\n FROM x), u (a) AS (SELECT 1 /* ) select */)"
+    assert split_with_clause(f"  {clause}\nselect a FROM (SELECT * FROM u) v ") == (clause, "select a FROM (SELECT * FROM u) v")
+    assert split_with_clause("-- all\nwith t AS (SELECT 1) SELECT 'it''s (' FROM t") == ("-- all\nwith t AS (SELECT 1)", "SELECT 'it''s (' FROM t")
+    assert split_with_clause("SELECT * FROM without_it") == (None, "SELECT * FROM without_it")
+    with pytest.raises(ValueError):
+        split_with_clause("WITH t AS (SELECT 1)")
+
+
 def test_hygiene(spark):
     df = spark.createDataFrame([(1, None, float("nan"))], "` a` int, b string, c double")
     clean, dropped = hygiene.drop_empty_columns(hygiene.trim_names(df))

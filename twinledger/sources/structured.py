@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 from .hygiene import finish
@@ -24,6 +26,24 @@ def read_parquet(spark: SparkSession, path: str, keep_empty: bool = True) -> Dat
     return finish(spark.read.parquet(path), keep_empty)
 
 
+# What hides brackets and words in SQL: texts, quoted names and comments. Else brackets, and the word that starts the query proper.
+_SQL_TOKENS = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|\[[^\]]*\]|--[^\n]*|/\*.*?\*/|(?P<mark>[()]|\bSELECT\b)""", re.I | re.S)
+
+
+def split_with_clause(query: str) -> tuple[str | None, str]:
+    """A leading WITH clause (None without one) and the query after it: the first SELECT outside of brackets."""
+    if not re.match(r"(?is)(\s|--[^\n]*\n|/\*.*?\*/)*WITH\b", query):
+        return None, query
+    depth = 0
+    for found in _SQL_TOKENS.finditer(query):
+        mark = found["mark"]
+        if mark in ("(", ")"):
+            depth += 1 if mark == "(" else -1
+        elif mark and depth == 0:
+            return query[:found.start()].strip(), query[found.start():].strip()
+    raise ValueError("a WITH clause without a SELECT after it")
+
+
 def database_reader(
     spark: SparkSession, url: str, query: str | None = None, with_clause: str | None = None, table: str | None = None,
     split_column: str | None = None, lower: str | None = None, upper: str | None = None, splits: int | None = None,
@@ -31,13 +51,15 @@ def database_reader(
 ) -> DataFrameReader:
     """A JDBC reader for a query or a table, with login options passed through.
 
-    A query that starts with WITH gives that clause as ``with_clause`` and the rest as ``query``. A table is read
+    A leading WITH clause is told apart from its query, which stands in a subquery of its own; it may also be given as ``with_clause``. A table is read
     by many tasks if a numeric or date ``split_column`` with its bounds is named; one query is one task.
     """
     if (query is None) == (table is None):
         raise ValueError("give either a query or a table")
     options = {"url": url, "loginTimeout": str(LOGIN_TIMEOUT), "fetchsize": str(fetch_size), **login}
     if query is not None:
+        if with_clause is None:
+            with_clause, query = split_with_clause(query)
         options["query"] = query
         if with_clause:
             options["prepareQuery"] = with_clause
