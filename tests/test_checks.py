@@ -8,6 +8,7 @@ from twinledger.operators.profile import (
     crosstab, crosstab_candidates, first_rows, mixed_type_columns, profile_columns, profile_issues, review_sample,
 )
 from twinledger.operators.records import compare_records
+from twinledger.operators import statistics
 from twinledger.operators.statistics import compare_statistics, describe_numbers
 
 
@@ -102,13 +103,13 @@ def test_first_rows(spark):
     assert [r[0] for r in first_rows(spark.range(100).repartition(9), 3, ["id"]).collect()] == [0, 1, 2]
 
 
-@pytest.mark.parametrize("bracket", [100_000, 20])
-def test_statistics_against_pandas(spark, bracket):
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_statistics_against_pandas(spark, accuracy):
     rng = random.Random(4)
     values = {"u": [rng.gauss(0, 100) for _ in range(3001)], "dup": [float(rng.randint(0, 3)) for _ in range(3001)],
               "few": [1.5] + [None] * 3000, "none": [None] * 3001, "text": [str(i) if i % 50 else " " for i in range(3001)]}
     df = spark.createDataFrame(list(zip(*values.values())), "u double, dup double, few double, none double, text string").repartition(5)
-    got = describe_numbers(df, list(values), bracket)
+    got = describe_numbers(df, list(values), accuracy)
     for name, column in values.items():
         want = pd.to_numeric(pd.Series(column, dtype=object), errors="coerce").astype(float).describe()
         for value, expected in zip(got[name], want):
@@ -125,3 +126,49 @@ def test_compare_statistics(spark):
     assert rows[("t", "mean")] == (None, None, None, None) and len(rows) == 16
     with pytest.raises(KeyError):
         compare_statistics(a, b, {"n": "nope"})
+
+
+def test_statistics_whose_brackets_fail(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("double(id) AS u", "double(id % 7) AS w").repartition(6)
+    want = describe_numbers(df, ["u", "w"])
+    assert want["u"][4:7] == (249.75, 499.5, 749.25)
+    right = statistics._facts
+    passes = []
+
+    def wrong(values, width, accuracy):
+        facts = right(values, width, accuracy)
+        facts[0][0] = (*facts[0][0][:5], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
+        return facts
+
+    found = statistics._find
+    monkeypatch.setattr(statistics, "_facts", wrong)
+    monkeypatch.setattr(statistics, "_find", lambda values, ranks: passes.append(len(ranks)) or found(values, ranks))
+    assert describe_numbers(df, ["u", "w"]) == want
+    assert passes == [2, 1]
+
+
+def test_statistics_with_infinities(spark):
+    low, high = float("-inf"), float("inf")
+    df = spark.createDataFrame([(v,) for v in [low] * 6 + [1.0] * 8 + [high] * 7], "u double")
+    assert describe_numbers(df, ["u"])["u"][3:] == (low, low, 1.0, high, high)
+
+
+def test_brackets_that_touch_are_one():
+    nan = float("nan")
+    assert statistics._apart([(1.0, 2.0), (2.0, 3.0), (4.0, 5.0)]) == [(1.0, 3.0), (4.0, 5.0)]
+    assert [repr(x) for x in statistics._apart([(1.0, nan), (2.0, nan)])] == ["(1.0, nan)"]
+
+
+def test_statistics_reads_each_side_twice(spark, tmp_path):
+    for side in "ab":
+        spark.range(50_000).selectExpr("sqrt(id) AS x", "double(id % 10) AS y").repartition(4).write.parquet(f"{tmp_path}/{side}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{side}") for side in "ab")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("statistics", "")
+    try:
+        got = compare_statistics(a, b, {"x": "x", "y": "y"}).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.abs_diff for r in got} == {0.0}
+    # the last job is the collect of this test
+    assert 3 < len(tracker.getJobIdsForGroup("statistics")) - 1 <= 8

@@ -4,30 +4,34 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import rules_from
 from .coercion import column_pairs, with_values
+from .lineage import cut
 from .survey import modes_only
 
 METRICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Relative rank error of the sketch that brackets a quartile, and the values a bracket may hold when it is sorted.
+# The rank error of the sketch is at most 1/SKETCH_ACCURACY of the rows; brackets are taken twice as wide.
 SKETCH_ACCURACY = 10_000
-BRACKET_VALUES = 100_000
 
 STATISTICS = "column string, metric string, a double, b double, abs_diff double, rel_diff double"
 
 
 def compare_statistics(
-    a: DataFrame, b: DataFrame, columns, modes: Mapping | None = None, bracket_values: int = BRACKET_VALUES
+    a: DataFrame, b: DataFrame, columns, modes: Mapping | None = None, accuracy: int = SKETCH_ACCURACY
 ) -> DataFrame:
     """``(column, metric, a, b, abs_diff, rel_diff)``: differences A - B, and relative to B as a fraction.
 
-    Pairs that do not compare as numbers have NULLs. Each pass reads a side once for all pairs, and the driver
+    Pairs that do not compare as numbers have NULLs. Each pass reads both sides once for all pairs, and the driver
     gets single numbers only.
     """
     pairs = column_pairs(rules_from(columns))
@@ -35,8 +39,7 @@ def compare_statistics(
     open_pairs = [p for p in pairs if p not in (modes or {})]
     chosen = {**modes_only(a, b, None, open_pairs), **dict(modes or {})}
     numeric = [p for p in pairs if chosen[p] == "numeric"]
-    described_a = describe_numbers(a, [p for p, _ in numeric], bracket_values)
-    described_b = describe_numbers(b, [q for _, q in numeric], bracket_values)
+    described_a, described_b = _describe([(a, [p for p, _ in numeric]), (b, [q for _, q in numeric])], accuracy)
     rows = []
     for pair in pairs:
         values_a = described_a.get(pair[0]) if pair in numeric else None
@@ -48,113 +51,203 @@ def compare_statistics(
     return a.sparkSession.createDataFrame(rows, STATISTICS)
 
 
-def describe_numbers(df: DataFrame, names: Sequence[str], bracket_values: int = BRACKET_VALUES) -> dict[str, tuple]:
+def describe_numbers(df: DataFrame, names: Sequence[str], accuracy: int = SKETCH_ACCURACY) -> dict[str, tuple]:
     """The metrics of every column as numbers: sample deviation, exact quartiles with linear interpolation."""
-    names = list(dict.fromkeys(names))
-    if not names:
-        return {}
-    values = with_values(df, names).select(*[f"v{i}" for i in range(len(names))])
-    around = [p for q in QUARTILES for p in (max(0.0, q - 2 / SKETCH_ACCURACY), min(1.0, q + 2 / SKETCH_ACCURACY))]
-    forms = ("count({v})", "avg({v})", "stddev_samp({v})", "min({v})", "max({v})",
-             f"percentile_approx({{v}}, array({', '.join(map(str, around))}), {SKETCH_ACCURACY})")
-    found = values.agg(*[F.expr(form.format(v=f"v{i}")) for i in range(len(names)) for form in forms]).first()
-    facts = {i: found[i * len(forms):(i + 1) * len(forms)] for i in range(len(names))}
-    brackets = {}
-    for i, (n, _, _, low, high, near) in facts.items():
-        for k, q in enumerate(QUARTILES):
-            if n:
-                brackets[(i, k)] = _Bracket(i, (n - 1) * q, near[2 * k], near[2 * k + 1], low, high)
-    _settle(values, list(brackets.values()), bracket_values)
-    return {
-        name: (
-            float(facts[i][0]), facts[i][1], facts[i][2], facts[i][3],
-            *[brackets[(i, k)].value if (i, k) in brackets else None for k in range(len(QUARTILES))], facts[i][4],
-        )
-        for i, name in enumerate(names)
-    }
-
-
-class _Bracket:
-    """Where one quantile is looked for: values from ``low`` to ``high``; ``below`` and ``inside`` are row counts."""
-
-    def __init__(self, column: int, position: float, low: float, high: float, least: float, most: float):
-        self.column, self.low, self.high, self.least, self.most = column, low, high, least, most
-        self.first, self.second, self.share = math.floor(position), math.ceil(position), position - math.floor(position)
-        self.below = self.inside = 0
-        self.restarted = False
-        self.value: float | None = None
+    return _describe([(df, names)], accuracy)[0]
+
+
+@dataclass
+class _Ranks:
+    """One column of one side: its row count, the ranks wanted, and the stretches of values in which they are looked for.
+
+    The stretches part the values into regions, numbered from 0: those with odd numbers are the stretches. A region
+    has the slot ``first_slot`` plus its number.
+    """
+
+    side: int
+    column: int
+    n: int
+    stretches: list[tuple[float, float]]
+    first_slot: int = 0
+    values: dict[int, float] = field(default_factory=dict)
 
     @property
-    def within(self) -> str:
-        return f"v{self.column} BETWEEN double('{self.low!r}') AND double('{self.high!r}')"
+    def ranks(self) -> list[int]:
+        """The rows, numbered from 0 by value, between which the quartiles lie."""
+        return sorted({whole((self.n - 1) * q) for q in QUARTILES for whole in (math.floor, math.ceil)})
 
     @property
-    def holds(self) -> bool:
-        return self.below <= self.first and self.second < self.below + self.inside
+    def slots(self) -> int:
+        return 2 * len(self.stretches) + 1
+
+    def cell(self) -> str:
+        """A value's slot, and the value itself where it lies in a stretch; values in between are only counted."""
+        v, steps = f"v{self.column}", []
+        for k, (low, high) in enumerate(self.stretches):
+            steps.append(f"WHEN {v} < {_double(low)} THEN {self.first_slot + 2 * k}")
+            steps.append(f"WHEN {v} <= {_double(high)} THEN {self.first_slot + 2 * k + 1}")
+        slot = f"CASE WHEN {v} IS NULL THEN NULL {' '.join(steps)} ELSE {self.first_slot + 2 * len(self.stretches)} END"
+        inside = " OR ".join(f"{v} BETWEEN {_double(low)} AND {_double(high)}" for low, high in self.stretches)
+        return f"named_struct('slot', {slot}, 'v', CASE WHEN {inside} THEN {v} END)"
+
+    def quartile(self, q: float) -> float:
+        place = (self.n - 1) * q
+        lower, upper = self.values[math.floor(place)], self.values[math.ceil(place)]
+        # equal ends (infinities too) need no interpolation
+        return lower if lower == upper else lower + (upper - lower) * (place - math.floor(place))
 
 
-def _settle(values: DataFrame, brackets: list[_Bracket], bracket_values: int) -> None:
-    """Find the exact quantiles: sketches bracket them, counts prove the bracket, and only its values are sorted.
+def _describe(sides: Sequence[tuple[DataFrame, Sequence[str]]], accuracy: int) -> list[dict[str, tuple]]:
+    """The metrics of the columns of all sides, by two passes over them.
 
-    A bracket that is too wide is narrowed by a sketch of its own values. One that fails the proof starts again
-    from the whole range, which always holds. Each round is one pass for the brackets still open, and the rounds end when all are
-    proven and small, or hold values that no sketch parts (few different ones, which are counted and not sorted by row).
+    The first takes counts, moments and a quantile sketch, whose known rank error brackets every quartile. The second
+    counts the rows in each region that the brackets make and, inside the brackets, the rows of every value. Those
+    counts prove the brackets and hold the quartiles. A side whose brackets fail is counted once more by value.
     """
-    unsettled = list(brackets)
-    while unsettled:
-        _count(values, unsettled)
-        failed = [b for b in unsettled if not b.holds]
-        for b in failed:
-            b.low, b.high = b.least, b.most
-        _count(values, failed)
-        wide = [b for b in unsettled if b.inside > bracket_values and b.low < b.high]
-        unsettled = _narrow(values, wide) if wide else []
-    _pick(values, brackets)
-
-
-def _count(values: DataFrame, brackets: list[_Bracket]) -> None:
-    forms = [x for b in brackets for x in (f"count_if(v{b.column} < double('{b.low!r}'))", f"count_if({b.within})")]
-    if forms:
-        counts = values.agg(*[F.expr(x) for x in forms]).first()
-        for k, b in enumerate(brackets):
-            b.below, b.inside = counts[2 * k], counts[2 * k + 1]
-
-
-def _narrow(values: DataFrame, wide: list[_Bracket]) -> list[_Bracket]:
-    """Take the bracket of each quantile among the values inside; those that got smaller, whose counts are open again."""
-    forms = []
-    for b in wide:
-        low = max(0.0, (b.first - b.below) / b.inside - 2 / SKETCH_ACCURACY)
-        high = min(1.0, (b.second - b.below) / b.inside + 2 / SKETCH_ACCURACY)
-        forms.append(f"percentile_approx(CASE WHEN {b.within} THEN v{b.column} END, array({low!r}, {high!r}), {SKETCH_ACCURACY})")
-    smaller = []
-    for b, near in zip(wide, values.agg(*[F.expr(x) for x in forms]).first()):
-        # A proven bracket only ever shrinks; one that has been widened again isn't narrowed a second time.
-        if (near[0], near[1]) != (b.low, b.high) and not b.restarted:
-            b.restarted = (b.low, b.high) == (b.least, b.most)
-            b.low, b.high = near
-            smaller.append(b)
-    return smaller
-
-
-def _pick(values: DataFrame, brackets: list[_Bracket]) -> None:
-    """Sort the different values of each bracket with their counts and take those at the wanted places."""
-    if not brackets:
-        return
-    cells = [
-        f"named_struct('slot', {s}, 'v', CASE WHEN {b.within} THEN v{b.column} END, 'first', {b.first - b.below}L, 'second', {b.second - b.below}L)"
-        for s, b in enumerate(brackets)
-    ]
-    inside = values.selectExpr(f"inline(array({', '.join(cells)}))").where("v IS NOT NULL")
-    counts = inside.groupBy("slot", "v", "first", "second").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    picked = counts.withColumn("upto", upto).groupBy("slot").agg(
-        F.expr("min(CASE WHEN upto > first THEN v END) AS lower"), F.expr("min(CASE WHEN upto > second THEN v END) AS upper")
-    )
-    for row in picked.collect():
-        b = brackets[row["slot"]]
-        # equal ends (infinities too) need no interpolation
-        b.value = row["lower"] if row["lower"] == row["upper"] else row["lower"] + (row["upper"] - row["lower"]) * b.share
+    names = [list(dict.fromkeys(columns)) for _, columns in sides]
+    width = max(map(len, names))
+    if not width:
+        return [{} for _ in sides]
+    values = []
+    for (df, _), mine in zip(sides, names):
+        slim = with_values(df, mine).select(*[f"v{i}" for i in range(len(mine))]) if mine else df.select()
+        values.append(slim.withColumns({f"v{i}": F.lit(None).cast("double") for i in range(len(mine), width)}))
+    facts = _facts(values, width, accuracy)
+    looked_for = []
+    for side, mine in enumerate(names):
+        for i in range(len(mine)):
+            n, near = facts[side][i][0], facts[side][i][5]
+            if n:
+                looked_for.append(_Ranks(side, i, n, _apart(list(zip(near[::2], near[1::2])))))
+    missed = _find(values, looked_for)
+    for ranks in missed:
+        ranks.stretches = [facts[ranks.side][ranks.column][3:5]]
+    _find(values, missed)
+    found = {(r.side, r.column): r for r in looked_for}
+    out = []
+    for side, mine in enumerate(names):
+        described = {}
+        for i, name in enumerate(mine):
+            n, mean, deviation, low, high, _ = facts[side][i]
+            ranks = found.get((side, i))
+            described[name] = (float(n), mean, deviation, low, *[ranks.quartile(q) if ranks else None for q in QUARTILES], high)
+        out.append(described)
+    return out
+
+
+def _facts(values: list[DataFrame], width: int, accuracy: int) -> list[list[tuple]]:
+    """Per side and column: count, mean, deviation, least, most, and the sketch's values around every quartile."""
+    around = [p for q in QUARTILES for p in (max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy))]
+    forms = ("count({v})", "avg({v})", "stddev_samp({v})", "min({v})", "max({v})",
+             f"percentile_approx({{v}}, array({', '.join(map(str, around))}), {accuracy})")
+    sided = reduce(DataFrame.unionByName, [v.withColumn("side", F.lit(side)) for side, v in enumerate(values)])
+    totals = sided.groupBy("side").agg(*[F.expr(form.format(v=f"v{i}")) for i in range(width) for form in forms])
+    rows = {r["side"]: tuple(r)[1:] for r in totals.collect()}
+    nothing = (0, None, None, None, None, None) * width
+    return [[rows.get(side, nothing)[i * len(forms):(i + 1) * len(forms)] for i in range(width)] for side in range(len(values))]
+
+
+def _find(values: list[DataFrame], looked_for: list[_Ranks]) -> list[_Ranks]:
+    """Set the values at the wanted ranks; those columns of which a rank lies outside its stretches are returned."""
+    if not looked_for:
+        return []
+    slots = 0
+    for ranks in looked_for:
+        ranks.first_slot, slots = slots, slots + ranks.slots
+    counts = _counts(values, looked_for)
+    in_parts = sorted((r["slot"], r["part"], r["n"]) for r in counts.select("slot", "part", "n").mapInArrow(
+        _part_totals, "slot int, part int, n bigint").collect())
+    missed, places = [], {}
+    for ranks in looked_for:
+        wanted = {}
+        before, mine = 0, [p for p in in_parts if ranks.first_slot <= p[0] < ranks.first_slot + ranks.slots]
+        for slot, part, n in _summed(mine):
+            for rank in ranks.ranks:
+                if before <= rank < before + n:
+                    wanted[rank] = (slot, part, rank - before)
+            before += n
+        if all((slot - ranks.first_slot) % 2 for slot, _, _ in wanted.values()):
+            places.update({place: (ranks, rank) for rank, place in wanted.items()})
+        else:
+            missed.append(ranks)
+    if places:
+        parts = sorted({part for _, part, _ in places})
+        taken = counts.where(F.col("part").isin(parts)).mapInArrow(_taker(list(places)), "slot int, part int, place bigint, v double")
+        for row in taken.collect():
+            ranks, rank = places[(row["slot"], row["part"], row["place"])]
+            ranks.values[rank] = row["v"]
+    return missed
+
+
+def _counts(values: list[DataFrame], looked_for: list[_Ranks]) -> DataFrame:
+    """``(slot, v, n, part)``: the rows of every value in a stretch, and of every other region (v is NULL), counted before they
+    are shuffled and dealt by range of slot and value, so that a task holds some neighbouring values in their order."""
+    cells = []
+    for side, frame in enumerate(values):
+        mine = [r.cell() for r in looked_for if r.side == side]
+        if mine:
+            cells.append(frame.selectExpr(f"inline(array({', '.join(mine)}))"))
+    rows = reduce(DataFrame.unionByName, cells).where("slot IS NOT NULL")
+    counts = rows.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"))
+    dealt = counts.repartitionByRange("slot", "v").sortWithinPartitions("slot", "v")
+    return cut(dealt.withColumn("part", F.spark_partition_id()))
+
+
+def _part_totals(batches):
+    """Row counts per slot and part; a part that comes in several batches has several rows."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).group_by(["slot", "part"]).aggregate([("n", "sum")])
+        yield from table.rename_columns(["slot", "part", "n"]).to_batches()
+
+
+def _summed(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    totals: dict[tuple[int, int], int] = {}
+    for slot, part, n in counts:
+        totals[slot, part] = totals.get((slot, part), 0) + n
+    return [(slot, part, n) for (slot, part), n in totals.items()]
+
+
+def _taker(places: list[tuple[int, int, int]]):
+    """The values at places ``(slot, part, rows before it)`` of parts that come in their order."""
+
+    def take(batches):
+        passed: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            slots, parts, n = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("slot", "part", "n"))
+            v = batch.column(batch.schema.get_field_index("v"))
+            rows = []
+            for slot, part in {(s, p) for s, p, _ in places}:
+                here = np.flatnonzero((slots == slot) & (parts == part))
+                if not len(here):
+                    continue
+                before = passed.get((slot, part), 0)
+                upto = before + np.cumsum(n[here])
+                for place in (q for s, p, q in places if (s, p) == (slot, part)):
+                    if before <= place < upto[-1]:
+                        at = here[np.searchsorted(upto, place, side="right")]
+                        rows.append((slot, part, place, v[int(at)].as_py()))
+                passed[slot, part] = int(upto[-1])
+            columns = list(zip(*rows)) or [[], [], [], []]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["slot", "part", "place", "v"])
+
+    return take
+
+
+def _apart(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Brackets in rising order with those that touch made one; NaN is the greatest value, as in Spark."""
+    key = lambda x: (math.isnan(x), x if not math.isnan(x) else 0.0)
+    out = brackets[:1]
+    for low, high in brackets[1:]:
+        if key(low) <= key(out[-1][1]):
+            out[-1] = (out[-1][0], max(out[-1][1], high, key=key))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _double(x: float) -> str:
+    return f"double('{x!r}')"
 
 
 def _check(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> None:
