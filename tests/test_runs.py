@@ -4,6 +4,8 @@ from datetime import datetime, timezone
 import pytest
 
 from twinledger import AnyOf, Pair
+from twinledger.operators.records import RECORD_LABELS, compare_any_of, compare_records
+from twinledger.plans.preset_batch import compare_presets
 from twinledger.plans.reconcile import Outputs, PreflightError, reconcile, reconcile_statistics, run_presets
 from twinledger.sources.history import delete_old_runs, read_runs, recent_runs, run_by_id, save_run
 from twinledger.sources.presets import load_presets, preset_of, preset_table
@@ -113,3 +115,42 @@ def test_presets(spark, sides, tmp_path):
     summary = spark.read.parquet(f"{results}/summary")
     assert summary.count() == 4 and {"ts", "weighted_score"} <= set(summary.columns)
     assert summary.where("preset = 'weighted' AND approach = 'records'").first().weighted_score is not None
+
+
+def _table(frame):
+    return sorted(map(repr, map(tuple, frame.collect())))
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 2}, {"counted": True}, {"skew": "none"}])
+def test_presets_that_share_a_join_find_what_each_finds(spark, sides, options):
+    a, b = sides
+    a = a.unionByName(a.where("n < 6")).unionByName(a.where("n < 4"))
+    b = b.unionByName(b.where("n2 < '20'"))
+    one = preset_of("one", [("id", "key")], [Pair("n", "n2"), Pair("t", "t2", threshold=70), AnyOf("m", ("m1", "m2"))])
+    two = preset_of("two", [("id", "key")], [Pair("n", "n2", weight=4.0), Pair("m", "m1"), Pair("t", "t2")])
+    shared = compare_presets(a, b, [one, two], **options)
+    assert [(m.preset, m.approach) for m in shared.members] == [("one", "records"), ("one", "any_of"), ("two", "records")]
+    for member in shared.members:
+        compare = compare_records if member.approach == "records" else compare_any_of
+        alone = compare(a, b, ("id", "key"), list(member.rules), **options)
+        label = RECORD_LABELS.column if member.approach == "records" else "comparison_type"
+        wanted = alone.mismatches.withColumnRenamed(label, "kind")
+        got = shared.of(member).mismatches.select(wanted.columns)
+        assert _table(got) == _table(wanted) and not wanted.isEmpty()
+    if options.get("skew") == "none":
+        plan = shared.findings._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 1
+
+
+def test_preset_batch_says_what_it_left_out(spark, sides, tmp_path):
+    a, b = sides
+    folder = tmp_path / "presets"
+    folder.mkdir()
+    for preset in (preset_of("bad", [("t", "t2")], [Pair("n", "n2")]), preset_of("keys", [("id", "key")], [Pair("id", "key")]),
+                   preset_of("loose", [], [Pair("n", "n2")]), preset_of("text", [("id", "key")], [Pair("t", "t2")])):
+        (folder / f"{preset.name}.json").write_text(preset.to_json())
+    done = run_presets(spark, str(folder), a, b, str(tmp_path / "results"))
+    assert done == {"bad": [], "keys": [], "loose": [], "text": ["records"]}
+    notes = {(r.preset, r.part): r.note for r in spark.read.parquet(str(tmp_path / "results/notes")).collect()}
+    assert set(notes) == {("bad", "preflight"), ("keys", "comparison"), ("loose", "comparison"), ("text", "statistics")}
+    assert "key_uniqueness" in notes["bad", "preflight"]

@@ -14,10 +14,11 @@ from .functions.text import drop_null_tokens, is_blank, normal_text, present_tex
 from .operators import coercion, digest_tree, key_sketches, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
 from .operators.rows import side_by_side
-from .plans import reconcile
+from .plans import preset_batch, reconcile
 from .sources import delimited, history, hygiene, json_arrays, quoted_records
+from .sources.presets import Preset
 from .sources.fixed_width import APPLICANT_LAYOUT, fixed_width_fields, layout_from_text
-from .spec import Pair
+from .spec import AnyOf, Pair
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -408,6 +409,29 @@ def preflight_findings(spark, sf_dir):
     return found.select("check", "severity", "subject", F.round("observed", 9).alias("observed"))
 
 
+ORDER_PRESETS = (
+    Preset("amounts", (("o_orderkey", "order_id"),), (Pair("o_custkey", "customer"), Pair("o_totalprice", "total", weight=2.0)),
+           (AnyOf("o_orderstatus", ("status", "priority")),)),
+    Preset("states", (("o_orderkey", "order_id"),), (Pair("o_orderstatus", "status"), Pair("o_totalprice", "total")), ()),
+)
+
+
+def preset_batch_mismatches(spark, sf_dir):
+    """Two saved mappings with equal keys in one comparison, findings by mapping."""
+    found = preset_batch.compare_presets(*fx.side_pair(spark, sf_dir, "orders"), ORDER_PRESETS)
+    return found.findings.drop(keys.KEY_PARTS, keys.FOUND_IN)
+
+
+def preset_batch_summaries(spark, sf_dir):
+    """Their coverage, one row per mapping and kind of comparison."""
+    shared = preset_batch.compare_presets(*fx.side_pair(spark, sf_dir, "orders"), ORDER_PRESETS)
+    rows = [reconcile.run_summary(shared.of(m), m.approach).withColumn("preset", F.lit(m.preset)) for m in shared.members]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out.select("preset", "approach", "score", "weighted_score", "total_keys", "joined_count", "missing_in_a", "missing_in_b", "mismatch_count")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         orders_record_mismatches, lineitem_composite_key_mismatches, lineitem_mismatches_counted, lineitem_mismatches_hot_keys,
@@ -421,5 +445,6 @@ QUERIES: dict[str, Query] = {
         review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, fuzzy_best_match_table, cosine_best_match_blocks, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
         runs_retention, run_by_id, multi_line_records, sketched_key_counts, preflight_findings, orders_mismatches_by_digest,
         lineitem_mismatches_by_digest, applicant_layout_fields, json_array_records,
+        preset_batch_mismatches, preset_batch_summaries,
     )
 }

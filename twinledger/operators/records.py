@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.numbers import ATOL, RTOL, as_number, numbers_differ, texts_differ, with_parsed
 from ..functions.similarity import reaches, similarity, similarity_bound, token_sorted
 from ..functions.text import ident, is_missing, is_numeric, literal, normal_text, quoted, render, stripped, type_of
-from ..spec import MISSING_KEY, MISSING_ROW, Rule, check_columns, key_pairs, rules_from
+from ..spec import MISSING_KEY, MISSING_ROW, Pair, Rule, check_columns, key_pairs, rules_from
 from .coercion import Modes, column_pairs, pair_types
 from .keys import FOUND_IN, KEY_PARTS, KeyPlan, key_overview, key_rows
 from .survey import Survey, modes_only, take_survey
@@ -42,6 +42,9 @@ class Labels:
 
 RECORD_LABELS = Labels("match_type", "Missing in Source B", "Missing in Source A")
 ANY_OF_LABELS = Labels("comparison_type", "missing_key", "missing_key")
+# Rules of several mappings in one comparison: findings carry the rule's number (column RULE; -1 for rows without partner).
+SHARED_LABELS = Labels("kind", "Missing in Source B", "Missing in Source A")
+RULE, NO_RULE = "rule", -1
 
 
 @dataclass
@@ -117,9 +120,9 @@ def compare(
     """
     pairs_of_keys = key_pairs(keys)
     rules = rules_from(columns)
-    check_columns(a, b, pairs_of_keys, rules)
+    check_columns(a, b, pairs_of_keys, rules, once=labels is not SHARED_LABELS)
     plan = KeyPlan.of(a, b, pairs_of_keys, case_sensitive, null_keys)
-    pairs = column_pairs(rules)
+    pairs = list(dict.fromkeys(column_pairs(rules)))
     if skew == "auto":
         limits = {k: v for k, v in (("hot_rows", hot_rows), ("hot_pairs", hot_pairs)) if v is not None}
         survey = take_survey(a, b, plan, pairs, modes, **limits)
@@ -137,7 +140,7 @@ def compare(
     else:
         found = engine.with_hot_keys(survey.hot, counted)
     if counted:
-        shown = [KEY_PARTS, FOUND_IN, *COLUMNS, labels.column]
+        shown = [KEY_PARTS, FOUND_IN, *COLUMNS, labels.column, *([RULE] if labels is SHARED_LABELS else [])]
         found = found.groupBy(*shown).agg(F.sum("n_rows").cast(COUNT_TYPE).alias("n_rows"))
     return Comparison(found, rules, plan, survey, (a, b))
 
@@ -232,17 +235,24 @@ class _Engine:
     def _struct(self, i: int, j: int, shown_a: str, shown_b: str, missing: str, fuzzy: str) -> str:
         source, target = self.rules[i].a, self.rules[i].targets[j]
         label = literal(f"{source} vs {target}")
-        if self.labels is RECORD_LABELS:
+        if self.labels is RECORD_LABELS or self._shared and isinstance(self.rules[i], Pair):
             label = f"if({missing}, 'Missing Value', 'Value Mismatch')"
         return (
             f"named_struct('col_df1', {literal(source)}, 'col_df2', {literal(target)}, 'val_df1', {shown_a}, "
-            f"'val_df2', {shown_b}, 'label', {label}{fuzzy})"
+            f"'val_df2', {shown_b}, 'label', {label}{self._rule_field(i)}{fuzzy})"
         )
 
     def _absent_row(self, not_in_a: str) -> str:
         cells = ", ".join(f"'{n}', '{MISSING_ROW}'" for n in COLUMNS[2:])
         label = f"if({not_in_a}, '{self.labels.missing_in_a}', '{self.labels.missing_in_b}')"
-        return f"named_struct({cells}, 'label', {label}{self._no_scoring()})"
+        return f"named_struct({cells}, 'label', {label}{self._rule_field(NO_RULE)}{self._no_scoring()})"
+
+    @property
+    def _shared(self) -> bool:
+        return self.labels is SHARED_LABELS
+
+    def _rule_field(self, i: int) -> str:
+        return f", '{RULE}', {i}" if self._shared else ""
 
     # -- similar texts: only cells that differ and might still pass are scored -------------------
 
@@ -279,7 +289,8 @@ class _Engine:
         return judged.where("reached IS NULL OR NOT reached")
 
     def _output(self) -> list[str]:
-        return [f"cell.{n} AS {n}" for n in COLUMNS[2:]] + [f"cell.label AS {self.labels.column}"]
+        rule = [f"cell.{RULE} AS {RULE}"] if self._shared else []
+        return [f"cell.{n} AS {n}" for n in COLUMNS[2:]] + [f"cell.label AS {self.labels.column}", *rule]
 
     # -- plan 2: keys with very many rows apart --------------------------------------------------
 

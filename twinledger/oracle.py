@@ -398,3 +398,27 @@ ORACLE["fuzzy_best_match_table"] = ORACLE["fuzzy_best_match"]
 ORACLE["cosine_best_match_blocks"] = ORACLE["cosine_best_match"]
 ORACLE["orders_mismatches_by_digest"] = ORACLE["orders_record_mismatches"]
 ORACLE["lineitem_mismatches_by_digest"] = ORACLE["lineitem_composite_key_mismatches"]
+
+_BATCH = f"""{ORDERS},
+both_wrong AS (SELECT * FROM j WHERE ka = kb AND ({texts_differ("o_orderstatus", "status")}) AND ({texts_differ("o_orderstatus", "priority")})),
+batch AS (
+  SELECT 'amounts' AS preset, 'records' AS approach, * RENAME (match_type AS kind) FROM mm WHERE col_df1 IN ('<ROW MISSING>', 'o_custkey', 'o_totalprice')
+  UNION ALL SELECT 'states', 'records', * FROM mm WHERE col_df1 IN ('<ROW MISSING>', 'o_orderstatus', 'o_totalprice')
+  UNION ALL SELECT 'amounts', 'any_of', * REPLACE ('missing_key' AS match_type) FROM mm WHERE col_df1 = '<ROW MISSING>'
+  UNION ALL SELECT 'amounts', 'any_of', ka, kb, 'o_orderstatus', 'status', o_orderstatus, status, 'o_orderstatus vs status' FROM both_wrong
+  UNION ALL SELECT 'amounts', 'any_of', ka, kb, 'o_orderstatus', 'priority', o_orderstatus, priority, 'o_orderstatus vs priority' FROM both_wrong)"""
+ORACLE["preset_batch_mismatches"] = f"{_BATCH} SELECT * FROM batch"
+ORACLE["preset_batch_summaries"] = f"""{_BATCH},
+per_key AS (SELECT preset, approach, CASE WHEN key_df1 = '<MISSING>' THEN key_df2 ELSE key_df1 END AS k,
+  bool_or(col_df1 <> '<ROW MISSING>') AS cell, bool_or(key_df1 = '<MISSING>') AS lone_b, bool_or(key_df2 = '<MISSING>') AS lone_a
+  FROM batch GROUP BY ALL),
+counted AS (SELECT preset, approach, count(*) AS bad, count(*) FILTER (cell) AS mismatch_count, count(*) FILTER (lone_b) AS missing_in_a,
+  count(*) FILTER (lone_a) AS missing_in_b FROM per_key GROUP BY ALL),
+-- columns without a mismatch have no weight in the mean
+per_column AS (SELECT preset, approach, col_df1, count(DISTINCT key_df1) AS n, CASE WHEN col_df1 = 'o_totalprice' THEN 2.0 ELSE 1.0 END AS w
+  FROM batch WHERE col_df1 <> '<ROW MISSING>' AND preset = 'amounts' AND approach = 'records' GROUP BY ALL),
+weighed AS (SELECT preset, approach, sum(n * w) / greatest(1.0, sum(w) / count(*)) AS effective FROM per_column GROUP BY ALL)
+SELECT preset, approach, round((1 - CAST(bad AS DOUBLE) / total_keys) * 100, 1) AS score,
+  round((1 - CAST(effective AS DOUBLE) / total_keys) * 100, 1) AS weighted_score,
+  total_keys, joined_count, c.missing_in_a, c.missing_in_b, mismatch_count
+FROM counted c LEFT JOIN weighed USING (preset, approach) CROSS JOIN ov"""

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from ..operators.coercion import apply_overrides, convert_numeric_columns, numeric_pairs
 from ..operators.preflight import run_preflight
-from ..operators.records import ANY_OF_LABELS, RECORD_LABELS, Comparison, compare_any_of, compare_records
+from ..operators.keys import FOUND_IN, KEY_PARTS
+from ..operators.records import Comparison, compare_any_of, compare_records
 from ..operators.scores import column_scores, coverage_summary, rule_weights, weighted_score
-from ..operators.statistics import compare_statistics
+from ..operators.statistics import STATISTICS, compare_statistics
 from ..operators.rows import side_by_side
 from ..sources.history import RUN_FIELDS, save_run
-from ..sources.presets import load_presets
+from ..sources.presets import Preset, load_presets
 from ..sources.sinks import write_mismatches, write_report
-from ..spec import AnyOf, Pair, Rule, key_pairs, rules_from, without_keys
+from ..spec import AnyOf, Pair, key_pairs, rules_from, without_keys
+from .preset_batch import Member, SharedComparison, by_keys, compare_presets, members_of
 
 APPROACHES = ("statistics", "records", "any_of")
 
@@ -153,43 +155,94 @@ def reconcile_statistics(
     return RunResult(run_id, {"kept": len(kept), "skipped": len(skipped)}, statistics=statistics, skipped=skipped)
 
 
+NOTES = "preset string, part string, note string"
+
+
 def run_presets(
-    spark: SparkSession, presets: str, a: DataFrame, b: DataFrame, results: str, history: str | None = None, **options
+    spark: SparkSession, presets: str, a: DataFrame, b: DataFrame, results: str, history: str | None = None,
+    preflight: bool = True, **options,
 ) -> dict[str, list[str]]:
-    """Run every saved mapping of a folder on two sources and append findings and summaries to tables, by preset.
+    """Run every saved mapping of a folder on two sources and append findings, summaries, statistics and notes, by preset.
 
-    Returns the parts run per preset. Each preset is a comparison of its own, so their Spark jobs follow one another.
+    Returns the parts run per preset. Presets with equal keys are checked and joined once. What is left out has a row in
+    ``notes``: presets that preflight refuses or that have no rules, and pairs that the statistics skip.
     """
-    done: dict[str, list[str]] = {}
-    for preset in load_presets(spark, presets):
-        done[preset.name] = []
-        pairs: list[Rule] = without_keys(preset.pairs, list(preset.keys))
-        groups: list[Rule] = without_keys(preset.any_of, list(preset.keys))
-        outputs = Outputs(history=history)
-        for approach, rules in (("records", pairs), ("any_of", groups)):
-            if not rules:
-                continue
-            compare = compare_records if approach == "records" else compare_any_of
-            found = compare(a, b, list(preset.keys), rules, **options)
-            found.findings = found.findings.persist(StorageLevel.MEMORY_AND_DISK)
-            label = ANY_OF_LABELS.column if approach == "any_of" else RECORD_LABELS.column
-            found.mismatches.withColumnRenamed(label, "kind").withColumns(
-                {"preset": F.lit(preset.name), "approach": F.lit(approach)}
-            ).write.mode("append").partitionBy("preset", "approach").parquet(f"{results}/mismatches")
-            summary = run_summary(found, approach)
-            summary.withColumns({"preset": F.lit(preset.name), "ts": F.current_timestamp()}).write.mode("append").partitionBy(
-                "preset", "approach").parquet(f"{results}/summary")
+    loaded = load_presets(spark, presets)
+    done: dict[str, list[str]] = {p.name: [] for p in loaded}
+    notes: list[tuple[str, str, str]] = []
+    key_options = {k: v for k, v in options.items() if k in ("case_sensitive", "null_keys")}
+    accepted = []
+    for group in by_keys(loaded):
+        if not group[0].keys:
+            notes += [(p.name, "comparison", "no key columns") for p in group]
+            continue
+        errors = []
+        if preflight and members_of(group):
+            errors = run_preflight(a, b, list(group[0].keys), **key_options).where(F.col("severity") == "error").collect()
+        if errors:
+            notes += [(p.name, "preflight", str(PreflightError(errors))) for p in group]
+            continue
+        accepted += group
+        if members_of(group):
+            for member in _run_shared(compare_presets(a, b, group, **options), results, history):
+                done[member.preset].append(member.approach)
+    notes += [(p.name, "comparison", "no column pairs beside the keys") for p in accepted if not done[p.name]]
+    for preset, statistics, skipped in _preset_statistics(a, b, accepted):
+        notes += [(preset.name, "statistics", f"{x} = {y} is not numeric") for x, y in skipped]
+        if statistics is None:
+            continue
+        statistics.withColumn("preset", F.lit(preset.name)).write.mode("append").partitionBy("preset").parquet(f"{results}/statistics")
+        if history:
+            kept = [(p.a, p.b) for p in without_keys(preset.pairs, list(preset.keys)) if (p.a, p.b) not in skipped]
+            save_run(spark, history, "statistics", column_pairs=kept)
+        done[preset.name].append("statistics")
+    if notes:
+        spark.createDataFrame(notes, NOTES).write.mode("append").partitionBy("preset").parquet(f"{results}/notes")
+    return done
+
+
+def _run_shared(shared: SharedComparison, results: str, history: str | None) -> list[Member]:
+    """Write findings, summaries and history rows of all members; the findings are computed once."""
+    spark = shared.findings.sparkSession
+    shared.findings = shared.findings.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        shared.findings.drop(KEY_PARTS, FOUND_IN).write.mode("append").partitionBy("preset", "approach").parquet(f"{results}/mismatches")
+        for member in shared.members:
+            summary = run_summary(shared.of(member), member.approach)
             values = summary.first().asDict()
-            found.findings.unpersist()
-            done[preset.name].append(approach)
+            row = spark.createDataFrame([tuple(values.values())], summary.schema)
+            row.withColumns({"preset": F.lit(member.preset), "ts": F.current_timestamp()}).write.mode("append").partitionBy(
+                "preset", "approach").parquet(f"{results}/summary")
             if history:
-                save_run(spark, history, approach, results_path=f"{results}/mismatches", **_run_values(values, list(preset.keys), rules))
+                save_run(spark, history, member.approach, results_path=f"{results}/mismatches",
+                         **_run_values(values, list(shared.plan.keys), member.rules))
+    finally:
+        shared.findings.unpersist()
+    return shared.members
+
+
+def _preset_statistics(a: DataFrame, b: DataFrame, presets: list[Preset]):
+    """``(preset, statistics or None, skipped pairs)`` of each preset with column pairs.
+
+    Statistics of a pair don't depend on the preset, so each is computed once; pairs of one column of A with several of B take turns.
+    """
+    mine = {p.name: [(r.a, r.b) for r in without_keys(p.pairs, list(p.keys))] for p in presets}
+    turns: list[dict[str, str]] = []
+    for x, y in dict.fromkeys(pair for pairs in mine.values() for pair in pairs):
+        turn = next((t for t in turns if x not in t), None)
+        if turn is None:
+            turns.append(turn := {})
+        turn[x] = y
+    rows: dict[tuple[str, str], list] = {}
+    for turn in turns:
+        try:
+            found = reconcile_statistics(a, b, turn).statistics
+        except NoNumericPairs:
+            continue
+        for row in found.collect():
+            rows.setdefault((row["column"], turn[row["column"]]), []).append(tuple(row))
+    for preset in presets:
+        pairs = mine[preset.name]
+        kept = [row for pair in pairs for row in rows.get(pair, [])]
         if pairs:
-            try:
-                statistics = reconcile_statistics(a, b, pairs, outputs)
-            except NoNumericPairs:
-                continue
-            statistics.statistics.withColumn("preset", F.lit(preset.name)).write.mode("append").partitionBy(
-                "preset").parquet(f"{results}/statistics")
-            done[preset.name].append("statistics")
-    return done
+            yield preset, a.sparkSession.createDataFrame(kept, STATISTICS) if kept else None, [p for p in pairs if p not in rows]

@@ -73,8 +73,8 @@ def rules_from(mapping: dict | Iterable) -> list[Rule]:
     return [AnyOf(a, tuple(t)) if isinstance(t, (list, tuple)) else Pair(a, t) for a, t in mapping.items() if a and t]
 
 
-def check_columns(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], rules: Sequence[Rule]) -> None:
-    """Argument checks that need no data: unknown columns, compared keys, targets mapped twice."""
+def check_columns(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], rules: Sequence[Rule], once: bool = True) -> None:
+    """Argument checks that need no data: unknown columns, compared keys, with ``once`` columns mapped twice."""
     need_a = [k for k, _ in keys] + [r.a for r in rules]
     need_b = [k for _, k in keys] + [t for r in rules for t in r.targets]
     for side, frame, need in (("A", a, need_a), ("B", b, need_b)):
@@ -83,6 +83,8 @@ def check_columns(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], rules
             raise KeyError(f"source {side} has no columns {unknown}")
     if not keys:
         raise ValueError("at least one key column is needed on each side")
+    if not once:
+        return
     targets = [t for r in rules for t in r.targets]
     twice = sorted({t for t in targets if targets.count(t) > 1})
     if twice:
