@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from twinledger.sources import hygiene
+from twinledger.sources.file_dialects import read_text_folder
 from twinledger.sources.delimited import encoding_of, header_search, numbered_lines, read_csv, read_text, read_tsv
 from twinledger.sources.quoted_records import ends_inside, stays_inside
 from twinledger.sources.fixed_width import APPLICANT_LAYOUT, layout_from_text, read_fixed_width
@@ -325,3 +326,30 @@ def test_json_arrays_that_are_broken_or_empty(spark, tmp_path):
     (folder / "a.json").write_text('\ufeff[{"k": 1},\n{"k": 2}]', encoding="utf-8")
     (folder / "b.json").write_text('{"k": 3}')
     assert sorted(rows(read_json(spark, str(folder)))) == [(1,), (2,), (3,)]
+
+
+def test_every_file_has_its_own_dialect(spark, tmp_path):
+    put(tmp_path, "a.txt", 'Report\n\nid,"name, full",units\n1,"Doe, J",5\n2,X,\ntotal,2\n')
+    put(tmp_path, "b.txt", '\ufeffunits|id\n7|03\n|4\nend|1\n')
+    put(tmp_path, "c.txt", 'Title one, two\nnote\tid\n5" pipe\t9\nlast\n'.replace("Title one, two", "Title"))
+    df = read_text_folder(spark, str(tmp_path), skip_footer=1)
+    assert df.columns == ["id", "name, full", "units", "note"]
+    assert rows(df.withColumn("units", df.units.cast("int"))) == sorted([
+        ("1", "Doe, J", 5, None), ("2", "X", None, None), ("03", None, 7, None), ("4", None, None, None), ("9", None, None, '5" pipe')], key=str)
+    assert dict(df.dtypes)["id"] == "string"
+
+
+def test_dialects_that_cannot_be_read(spark, tmp_path):
+    for name, lines, message in (
+        ("twice", "a,a\n1,2\n", "duplicate"), ("quote", 'a,b\n1,"x\n', "quote open"), ("extra", "a,b\n1,2,3\n4,5\n", "more fields"),
+    ):
+        folder = tmp_path / name
+        folder.mkdir()
+        put(folder, "1.txt", lines)
+        put(folder, "2.txt", "c|d|e|f\n1|2|3|4\n")
+        with pytest.raises(ValueError, match=message):
+            read_text_folder(spark, str(folder), header_row=0)
+    kept = read_text_folder(spark, str(tmp_path / "extra"), header_row=0, surplus="keep", type_hint="text")
+    assert [r.surplus_line for r in kept.where("surplus_line IS NOT NULL").collect()] == ["1,2,3"] and kept.count() == 3
+    with pytest.raises(ValueError, match="no line 5"):
+        read_text_folder(spark, str(tmp_path / "twice"), header_row=5)

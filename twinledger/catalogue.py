@@ -15,7 +15,7 @@ from .operators import coercion, digest_tree, key_sketches, keys, name_matching,
 from .operators.keys import KeyPlan
 from .operators.rows import side_by_side
 from .plans import preset_batch, reconcile
-from .sources import delimited, history, hygiene, json_arrays, quoted_records
+from .sources import delimited, file_dialects, history, hygiene, json_arrays, quoted_records
 from .sources.presets import Preset
 from .sources.fixed_width import APPLICANT_LAYOUT, fixed_width_fields, layout_from_text
 from .spec import AnyOf, Pair
@@ -409,6 +409,13 @@ def preflight_findings(spark, sf_dir):
     return found.select("check", "severity", "subject", F.round("observed", 9).alias("observed"))
 
 
+def titled_files(spark, sf_dir):
+    """Lines of two files, each with its own titles, delimiter and columns, as one table by name."""
+    lines = fx.derived(spark, sf_dir, "customer_files").repartitionByRange("file", "block").sortWithinPartitions("file", "at")
+    found = file_dialects.table_of_files(lines, "search", skip_footer=1)
+    return found.withColumnRenamed("segment, nation", "segment")
+
+
 ORDER_PRESETS = (
     Preset("amounts", (("o_orderkey", "order_id"),), (Pair("o_custkey", "customer"), Pair("o_totalprice", "total", weight=2.0)),
            (AnyOf("o_orderstatus", ("status", "priority")),)),
@@ -445,6 +452,6 @@ QUERIES: dict[str, Query] = {
         review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, fuzzy_best_match_table, cosine_best_match_blocks, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
         runs_retention, run_by_id, multi_line_records, sketched_key_counts, preflight_findings, orders_mismatches_by_digest,
         lineitem_mismatches_by_digest, applicant_layout_fields, json_array_records,
-        preset_batch_mismatches, preset_batch_summaries,
+        preset_batch_mismatches, preset_batch_summaries, titled_files,
     )
 }

@@ -74,6 +74,20 @@ FROM customer""",
 SELECT CAST(n_nationkey AS BIGINT) AS line_no, CASE WHEN n_nationkey < 3 THEN 'A title, with a comma'
   WHEN n_nationkey = 3 THEN 'key|name|region|' ELSE concat(CAST(n_nationkey AS STRING), '|', n_name, '|') END AS value
 FROM nation""",
+    # two files of customers: other titles, delimiters and columns, both with a total line; keys count up from 0
+    "customer_files": """
+SELECT file, CAST(floor((at + 3) / 97) AS BIGINT) AS block, at, value FROM (
+  SELECT 'east' AS file, CAST(floor(c_custkey / 2) AS BIGINT) + 1 AS at,
+    concat(CAST(c_custkey AS STRING), ',', chr(34), c_mktsegment, ', ', CAST(c_nationkey AS STRING), chr(34), ',', c_name) AS value
+  FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'west', CAST(floor(c_custkey / 2) AS BIGINT) AS at,
+    concat(c_name, '|', CASE WHEN c_custkey % 9 = 1 THEN '' ELSE CAST(c_nationkey AS STRING) END, '|', CAST(c_custkey AS STRING))
+  FROM customer WHERE c_custkey % 2 = 1
+  UNION ALL SELECT 'west', CAST(count(*) AS BIGINT), concat('total|', CAST(count(*) AS STRING)) FROM customer WHERE c_custkey % 2 = 1
+  UNION ALL SELECT 'east', CAST(count(*) AS BIGINT) + 1, concat('total,', CAST(count(*) AS STRING)) FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'east', CAST(-2 AS BIGINT), 'Customers' UNION ALL SELECT 'east', CAST(-1 AS BIGINT), 'East, all'
+  UNION ALL SELECT 'east', CAST(0 AS BIGINT), 'key,"segment, nation",name'
+  UNION ALL SELECT 'west', CAST(-1 AS BIGINT), 'name| nation |key')""",
     "like_keys_a": """
 SELECT CASE WHEN p_partkey % 10 = 8 THEN NULL WHEN p_partkey % 10 = 9 THEN '<NULL>' WHEN p_partkey % 2 = 0 THEN concat(q, '|y') ELSE q END AS k1,
   CASE WHEN p_partkey % 10 >= 8 THEN q WHEN p_partkey % 2 = 0 THEN 'z' ELSE 'y|z' END AS k2, p_size AS size, p_partkey AS part

@@ -422,3 +422,7 @@ SELECT preset, approach, round((1 - CAST(bad AS DOUBLE) / total_keys) * 100, 1)
   round((1 - CAST(effective AS DOUBLE) / total_keys) * 100, 1) AS weighted_score,
   total_keys, joined_count, c.missing_in_a, c.missing_in_b, mismatch_count
 FROM counted c LEFT JOIN weighed USING (preset, approach) CROSS JOIN ov"""
+ORACLE["titled_files"] = """SELECT CAST(c_custkey AS VARCHAR) AS key, concat(c_mktsegment, ', ', c_nationkey) AS segment, c_name AS name, NULL::VARCHAR AS nation
+FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), NULL, c_name, CASE WHEN c_custkey % 9 <> 1 THEN CAST(c_nationkey AS VARCHAR) END
+FROM customer WHERE c_custkey % 2 = 1"""
