@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from .functions.similarity import cosine
 from .functions.text import drop_null_tokens, is_blank, normal_text, present_text, type_of
 from .operators import coercion, digest_tree, key_sketches, keys, name_matching, preflight, profile, records, scores, statistics, vector_matching
 from .operators.keys import KeyPlan
+from .operators.lineage import checkpoint_folder
 from .operators.rows import side_by_side
 from .plans import preset_batch, reconcile
-from .sources import delimited, file_dialects, history, hygiene, json_arrays, quoted_records
+from .sources import delimited, file_dialects, history, hygiene, json_arrays, quoted_records, sinks, structured
 from .sources.presets import Preset
 from .sources.fixed_width import APPLICANT_LAYOUT, fixed_width_fields, layout_from_text
 from .spec import AnyOf, Pair
@@ -123,7 +125,10 @@ def convert_numeric_columns(spark, sf_dir):
 def type_overrides(spark, sf_dir):
     a = fx.derived(spark, sf_dir, "orders_a").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     text = a.withColumns({"o_custkey": F.col("o_custkey").cast("string"), "o_orderdate": F.col("o_orderdate").cast("string")})
-    return coercion.apply_overrides(text, {"o_orderkey": "String", "o_custkey": "Integer", "o_orderdate": "Datetime"})
+    priced = text.withColumn("price", F.expr(
+        "CASE WHEN o_orderkey % 59 = 0 THEN 'N/A' ELSE concat(' ', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) END"))
+    return coercion.apply_overrides(
+        priced, {"o_orderkey": "String", "o_custkey": "Integer", "o_totalprice": "Integer", "o_orderdate": "Datetime", "price": "Numeric"})
 
 
 def normalise_text(spark, sf_dir):
@@ -416,6 +421,52 @@ def titled_files(spark, sf_dir):
     return found.withColumnRenamed("segment, nation", "segment")
 
 
+def hybrid_match(spark, sf_dir):
+    """Supplier names matched by text first, what is left over by the vectors of their numbers."""
+    a, b = fx.side_pair(spark, sf_dir, "supplier")
+    vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    lefts = a.join(vectors, a["s_suppkey"] == vectors["vec_id"])
+    rights = b.join(vectors, b["supp_id"] + 1 == vectors["vec_id"])
+    best = vector_matching.best_cosine_match(lefts, rights, "s_name", "supp_id", "embedding", HYBRID_THRESHOLD)
+    named = best.join(b, best["right_id"] == b["supp_id"]).select(F.col("left_id").alias("left_name"), F.col("name").alias("right_name"), "cosine")
+    found = name_matching.hybrid_match(name_matching.names_of(a, "s_name", "s_suppkey"), name_matching.names_of(b, "name", "supp_id"), named)
+    return found.withColumn("score", F.round("score", 4))
+
+
+def _written(spark: SparkSession, kind: str) -> str:
+    """A new folder on the storage that driver and executors share."""
+    return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def written_mismatches(spark, sf_dir):
+    """The mismatch table as the CSV that a run writes, read back."""
+    path = _written(spark, "mismatches")
+    sinks.write_mismatches(_compare(spark, sf_dir, "orders").mismatches, path)
+    return spark.read.options(header=True, escape='"').csv(path)
+
+
+def written_report(spark, sf_dir):
+    """The report of a run, read back: every pair with its mode and score, and the score of the run."""
+    found, path = _compare(spark, sf_dir, "orders"), _written(spark, "report")
+    summary = reconcile.run_summary(found, "records")
+    sinks.write_report(path, summary, scores.column_scores(found.findings, found.overview), found.coercion)
+    summary, per_column, coerced = (spark.read.json(f"{path}/{part}") for part in ("summary", "column_scores", "coercion"))
+    pairs = coerced.join(per_column, coerced["col_a"] == per_column["column"], "left")
+    run_score = summary.select("score").scalar()
+    return pairs.select("col_a", "col_b", "mode", "mismatches", F.round(per_column["score"], 6).alias("score"), run_score.alias("run_score"))
+
+
+def sql_with_clause(spark, sf_dir):
+    """A query with common table expressions and a subquery over given frames."""
+    return structured.read_sql(
+        spark, LATE_ORDERS, orders_in=fx.table(spark, sf_dir, "orders"), lines_in=fx.table(spark, sf_dir, "lineitem"))
+
+
+HYBRID_THRESHOLD = 0.2
+LATE_ORDERS = """WITH sizes AS (SELECT l_orderkey, count(*) AS n_lines FROM {lines_in} GROUP BY l_orderkey),
+large AS (SELECT o_orderkey, o_orderpriority, n_lines FROM {orders_in} JOIN sizes ON o_orderkey = l_orderkey WHERE o_totalprice > 100000)
+SELECT o_orderpriority, count(*) AS n_orders, sum(n_lines) AS n_lines FROM large
+WHERE o_orderkey IN (SELECT l_orderkey FROM {lines_in} WHERE l_quantity >= 40) GROUP BY o_orderpriority"""
 ORDER_PRESETS = (
     Preset("amounts", (("o_orderkey", "order_id"),), (Pair("o_custkey", "customer"), Pair("o_totalprice", "total", weight=2.0)),
            (AnyOf("o_orderstatus", ("status", "priority")),)),
@@ -452,6 +503,7 @@ QUERIES: dict[str, Query] = {
         review_sample, cosine_best_match, cosine_of_neighbours, fuzzy_record_mismatches, fuzzy_best_match, fuzzy_best_match_table, cosine_best_match_blocks, run_history_row, coverage_of_like_keys, csv_lines, tsv_lines, header_line, recent_runs,
         runs_retention, run_by_id, multi_line_records, sketched_key_counts, preflight_findings, orders_mismatches_by_digest,
         lineitem_mismatches_by_digest, applicant_layout_fields, json_array_records,
-        preset_batch_mismatches, preset_batch_summaries, titled_files,
+        preset_batch_mismatches, preset_batch_summaries, titled_files, hybrid_match, written_mismatches,
+        written_report, sql_with_clause,
     )
 }

@@ -267,10 +267,19 @@ ORACLE: dict[str, str] = {
     "orders_pair_types": f"{ORDERS}, matched AS (SELECT * FROM j WHERE ka = kb), {_ORDERS_TYPES} SELECT * FROM types",
     "numeric_pair_filter": f"{with_sql('customer_a', 'customer_b')} " + " UNION ALL ".join(
         whole_mode(c, n) for c, n in (("zip", False), ("balance", True), ("segment", False), ("nation", True))),
-    "convert_numeric_columns": f"{with_sql('customer_b')} SELECT cust_id, TRY_CAST(zip AS DOUBLE) AS zip, balance, "
-                               "TRY_CAST(nation AS DOUBLE) AS nation FROM customer_b",
-    "type_overrides": f"{with_sql('orders_a')} SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_custkey, o_totalprice, "
-                      "CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM orders_a",
+    # More than 80% of all rows that parse make a column numbers. A decision the other way would give another type, hence an error.
+    "convert_numeric_columns": f"""{with_sql('customer_b')},
+share AS (SELECT {", ".join(f"CAST(count({number(c)}) AS DOUBLE) / count(*) AS {c}" for c in ("zip", "balance", "nation"))} FROM customer_b)
+SELECT cust_id, {", ".join(
+    f"CASE WHEN (SELECT {c} {test} 0.8 FROM share) THEN {value} ELSE error('{c} is decided otherwise') END AS {c}"
+    for c, test, value in (("zip", ">", number("zip")), ("balance", "<=", "balance"), ("nation", ">", number("nation"))))} FROM customer_b""",
+    # Integer leaves a column alone that holds fractions.
+    "type_overrides": f"""{with_sql('orders_a')},
+whole AS (SELECT NOT bool_or(o_custkey <> floor(o_custkey)) AS o_custkey, bool_or(o_totalprice <> floor(o_totalprice)) AS o_totalprice FROM orders_a)
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN (SELECT o_custkey FROM whole) THEN o_custkey ELSE error('fractions') END AS o_custkey,
+  CASE WHEN (SELECT o_totalprice FROM whole) THEN o_totalprice ELSE error('no fractions') END AS o_totalprice,
+  CAST(o_orderdate AS TIMESTAMP) AS o_orderdate,
+  CASE WHEN o_orderkey % 59 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS price FROM orders_a""",
     "normalise_text": f"{with_sql('customer_b')} SELECT cust_id, coalesce(upper({text('segment')}), '') AS segment_text, "
                       f"{text('segment')} AS segment_shown FROM customer_b",
     "blank_values": f"{with_sql('orders_b')} SELECT " + ", ".join(
@@ -281,7 +290,12 @@ ORACLE: dict[str, str] = {
     "fixed_width_field_table": """SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS cust,
   CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS segment,
   CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer""",
-    "drop_empty_columns": f"{with_sql('customer_b')} SELECT cust_id, zip, balance, segment, nation FROM customer_b",
+    # Columns with a value stay; one that had none would have to go, hence an error.
+    "drop_empty_columns": f"""{with_sql('customer_b')},
+filled AS (SELECT {", ".join(f"count({c}) AS {c}" for c in ("cust_id", "zip", "balance", "segment", "nation", "empty_col"))} FROM customer_b)
+SELECT CASE WHEN (SELECT empty_col = 0 FROM filled) THEN cust_id ELSE error('empty_col has values') END AS cust_id, {", ".join(
+    f"CASE WHEN (SELECT {c} > 0 FROM filled) THEN {c} ELSE error('{c} is empty') END AS {c}" for c in ("zip", "balance", "segment", "nation"))}
+FROM customer_b""",
     "descriptive_stats_orders": statistics([
         ("o_custkey", "CAST(o_custkey AS DOUBLE)", number("customer")), ("o_orderstatus", None, None),
         ("o_totalprice", "o_totalprice", number("total")), ("o_orderpriority", None, None),
@@ -426,3 +440,25 @@ ORACLE["titled_files"] = """SELECT CAST(c_custkey AS VARCHAR) AS key, concat(c_m
 FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), NULL, c_name, CASE WHEN c_custkey % 9 <> 1 THEN CAST(c_nationkey AS VARCHAR) END
 FROM customer WHERE c_custkey % 2 = 1"""
+
+_NAMED = BEST_NAMES[:BEST_NAMES.index("SELECT left_name, right_name, score FROM b WHERE")]
+ORACLE["hybrid_match"] = f"""{_NAMED},
+named AS (SELECT left_name, right_name, score FROM b WHERE score >= 85
+  QUALIFY row_number() OVER (PARTITION BY right_name ORDER BY score DESC, left_place) = 1),
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT s_name AS left_name, s_suppkey AS place, supp_id, name AS right_name, list_cosine_similarity(x.v, y.v) AS cosine
+  FROM supplier_a JOIN e x ON x.vec_id = s_suppkey, supplier_b JOIN e y ON y.vec_id = supp_id + 1),
+nearest AS (SELECT * FROM near WHERE cosine >= 0.2 QUALIFY row_number() OVER (PARTITION BY left_name ORDER BY cosine DESC, supp_id) = 1),
+free AS (SELECT * FROM nearest WHERE left_name NOT IN (SELECT left_name FROM named) AND right_name NOT IN (SELECT right_name FROM named)
+  QUALIFY row_number() OVER (PARTITION BY right_name ORDER BY cosine DESC, place, left_name) = 1)
+SELECT left_name, right_name, CAST(score AS DOUBLE) AS score FROM named UNION ALL SELECT left_name, right_name, round(cosine, 4) FROM free"""
+ORACLE["written_mismatches"] = f"""{ORDERS} SELECT key_df1, key_df2, col_df1, col_df2, nullif(val_df1, '') AS val_df1, nullif(val_df2, '') AS val_df2, match_type FROM mm"""
+ORACLE["written_report"] = f"""{ORDERS}, matched AS (SELECT * FROM j WHERE ka = kb), {_ORDERS_TYPES},
+bad AS (SELECT col_df1, count(DISTINCT key_df1) AS n FROM mm WHERE col_df1 <> '<ROW MISSING>' GROUP BY col_df1),
+wrong AS (SELECT count(DISTINCT CASE WHEN key_df1 = '<MISSING>' THEN key_df2 ELSE key_df1 END) AS n FROM mm)
+SELECT col_a, col_b, mode, n AS mismatches, round((1.0 - CAST(n AS DOUBLE) / (SELECT joined_count FROM ov)) * 100.0, 6) AS score,
+  (SELECT round((1.0 - CAST(n AS DOUBLE) / total_keys) * 100.0, 1) FROM wrong, ov) AS run_score
+FROM types LEFT JOIN bad ON col_a = col_df1"""
+ORACLE["sql_with_clause"] = """SELECT o_orderpriority, count(*) AS n_orders, CAST(sum(n_lines) AS BIGINT) AS n_lines
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n_lines, max(l_quantity) AS most FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey
+WHERE o_totalprice > 100000 AND most >= 40 GROUP BY o_orderpriority"""

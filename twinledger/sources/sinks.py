@@ -14,7 +14,8 @@ def write_mismatches(mismatches: DataFrame, path: str, format: str = "csv", mode
         return False
     writer = mismatches.write.mode(mode)
     if format == "csv":
-        writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        # White space around a value may be what differs.
+        writer.options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         writer.format(format).save(path)
     return True
