@@ -422,15 +422,14 @@ def titled_files(spark, sf_dir):
 
 
 def hybrid_match(spark, sf_dir):
-    """Supplier names matched by text first, what is left over by the vectors of their numbers."""
+    """Supplier names matched by text first, what is left over by the vectors of their numbers; cosines of copies tie at four digits."""
     a, b = fx.side_pair(spark, sf_dir, "supplier")
     vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     lefts = a.join(vectors, a["s_suppkey"] == vectors["vec_id"])
     rights = b.join(vectors, b["supp_id"] + 1 == vectors["vec_id"])
     best = vector_matching.best_cosine_match(lefts, rights, "s_name", "supp_id", "embedding", HYBRID_THRESHOLD)
-    named = best.join(b, best["right_id"] == b["supp_id"]).select(F.col("left_id").alias("left_name"), F.col("name").alias("right_name"), "cosine")
-    found = name_matching.hybrid_match(name_matching.names_of(a, "s_name", "s_suppkey"), name_matching.names_of(b, "name", "supp_id"), named)
-    return found.withColumn("score", F.round("score", 4))
+    named = best.join(b, best["right_id"] == b["supp_id"]).select(F.col("left_id").alias("left_name"), F.col("name").alias("right_name"), F.round("cosine", 4).alias("cosine"))
+    return name_matching.hybrid_match(name_matching.names_of(a, "s_name", "s_suppkey"), name_matching.names_of(b, "name", "supp_id"), named)
 
 
 def _written(spark: SparkSession, kind: str) -> str:

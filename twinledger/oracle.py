@@ -450,7 +450,7 @@ near AS (SELECT s_name AS left_name, s_suppkey AS place, supp_id, name AS right_
   FROM supplier_a JOIN e x ON x.vec_id = s_suppkey, supplier_b JOIN e y ON y.vec_id = supp_id + 1),
 nearest AS (SELECT * FROM near WHERE cosine >= 0.2 QUALIFY row_number() OVER (PARTITION BY left_name ORDER BY cosine DESC, supp_id) = 1),
 free AS (SELECT * FROM nearest WHERE left_name NOT IN (SELECT left_name FROM named) AND right_name NOT IN (SELECT right_name FROM named)
-  QUALIFY row_number() OVER (PARTITION BY right_name ORDER BY cosine DESC, place, left_name) = 1)
+  QUALIFY row_number() OVER (PARTITION BY right_name ORDER BY round(cosine, 4) DESC, place, left_name) = 1)
 SELECT left_name, right_name, CAST(score AS DOUBLE) AS score FROM named UNION ALL SELECT left_name, right_name, round(cosine, 4) FROM free"""
 ORACLE["written_mismatches"] = f"""{ORDERS} SELECT key_df1, key_df2, col_df1, col_df2, nullif(val_df1, '') AS val_df1, nullif(val_df2, '') AS val_df2, match_type FROM mm"""
 ORACLE["written_report"] = f"""{ORDERS}, matched AS (SELECT * FROM j WHERE ka = kb), {_ORDERS_TYPES},
