@@ -33,6 +33,18 @@ def test_suffix_order_is_the_sorted_order():
         assert suffix_order(symbols) == sorted(range(len(symbols)), key=lambda i: symbols[i:])
 
 
+def test_suffix_order_holds_little_for_each_symbol():
+    import tracemalloc
+
+    rng = random.Random(5)
+    symbols = [rng.randint(2, 60) for _ in range(60_000)] + [0]
+    tracemalloc.start()
+    suffix_order(symbols)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160 * len(symbols)
+
+
 def test_near_duplicates(spark, given):
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, given)).collect()}
     assert found == near_groups(texts(given))
@@ -80,6 +92,28 @@ def test_repeated_strings_that_overlap(spark):
     assert found == byte_removal(texts(rows))
 
 
+def test_repeated_strings_around_a_very_frequent_passage(spark):
+    """The passage holds its anchor twice within a string and stands in many different surroundings, some of which repeat in part."""
+    rng = random.Random(6)
+    passage, parts = "the same few words stand here, " * 3, [f"{i:05d}" + "".join(rng.choices("abcdefgh ", k=rng.choice((20, 45, 80)))) for i in range(60)]
+    rows = []
+    for d in range(1500):
+        one = "".join(rng.choices("stuvwxyz ", k=90)) if d % 3 else rng.choice(parts)
+        two = "".join(rng.choices("stuvwxyz ", k=90)) if d % 4 else rng.choice(parts)
+        rows.append((d, f"{one}{passage[d % 7:]}{two}", "en", "s"))
+    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeated_strings(documents(spark, rows)).collect()}
+    assert found == byte_removal(texts(rows))
+
+
+def test_the_surroundings_of_a_frequent_anchor_are_told_apart():
+    """Equal strings come into one part; surroundings that share no string don't."""
+    rule = suffix_dedup.Repeats(length=12, gram=4)
+    entries = [(b"aaaaaaaa" + b"ANCH" + b"bbbbbbbb", 8), (b"aaaaaaaa" + b"ANCH" + b"cccccccc", 8), (b"dddddddd" + b"ANCH" + b"eeeeeeee", 8)]
+    lefts = [left for _, left in entries]
+    parts = suffix_dedup._narrowed([(e, 0, 9) for e in range(3)], lambda e: entries[e][0], lefts, rule)
+    assert parts == [[(0, 0, 5), (1, 0, 5)]]
+
+
 def test_kept_texts_come_back(spark):
     rows = [(1, " ".join(f"w{i}" for i in range(40)), "en", "s"), (2, "go " + " ".join(f"w{i}" for i in range(40)) + " on", "en", "s")]
     assert {r.doc_id: r.kept for r in substring.remove_repeated_windows(documents(spark, rows), texts=True).collect()} == {1: "", 2: "go on"}

@@ -5,16 +5,18 @@ place: two equal strings of that length hold the same anchor, the string of `gra
 (winnowing), so suffixes only have to be sorted among the surroundings of equal anchors.
 
 1. Anchors meet by fingerprint (meeting.py); those that occur once are done with. Only documents with a repeated anchor go on.
-2. The surroundings of each repeated anchor, which hold every string of `length` bytes around it, meet by anchor. Equal
+2. The surroundings of each repeated anchor, which hold every string of `length` bytes that it is the anchor of, meet by anchor. Equal
    surroundings are one text with its earliest place; the later places repeat it whole.
-3. Different surroundings of an anchor are cut to what can repeat (strings whose fingerprint occurs twice among them); equal pieces are one again. Their
-   suffixes are sorted (suffix_groups.py), strings of equal first `length` bytes stand side by side, and all but the earliest repeat.
+3. Different surroundings of an anchor, without the places that an earlier one of the same document shows already, are cut to what can repeat
+   (strings whose fingerprint occurs twice among them); equal pieces are one again. An anchor with very many surroundings is first told
+   apart by what stands on its longer side within a string (_narrowed), so memory follows what is really alike. Their suffixes are sorted (suffix_groups.py), strings of equal first `length` bytes stand side by side, and all but the earliest repeat.
 4. The repeated strings go back to their documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .meeting import TICKETS, bucket_count, gathered, grouped_docs, joined_cells, marked_docs, meet, one_array, places_by_doc, split_rows
+from .meeting import ID_LIST, TICKETS, bucket_count, gathered, grouped_docs, joined_cells, marked_docs, marked_ids, meet, one_array, places_by_doc, split_rows
 from .shared import kept_table, text_of
 from .suffix_groups import suffix_order
 from .textscan import U64, byte_windows, give_back, mix, slices, text_buffers
@@ -75,6 +77,20 @@ def anchors(data: np.ndarray, offs: np.ndarray, rule: Repeats) -> tuple[np.ndarr
     return at, grams[at]
 
 
+def _own_strings(whole: np.ndarray, at: np.ndarray, rule: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor place of one document the first string that has its least gram there, the number of such strings (side by side), and the fingerprint.
+
+    Which gram is least depends on a string alone, so equal strings are found at equal anchors."""
+    grams = byte_windows(whole, rule.gram)
+    hashes = grams[at]
+    if len(grams) < rule.reach:
+        return at, np.zeros(len(at), np.int64), hashes
+    least = _sliding(grams, rule.reach, np.minimum)
+    string = at[:, None] + np.arange(1 - rule.reach, 1)
+    own = (string >= 0) & (string < len(least)) & (least[np.clip(string, 0, len(least) - 1)] == hashes[:, None])
+    return at + 1 - rule.reach + own.argmax(axis=1), own.sum(axis=1), hashes
+
+
 def _anchor_tickets(docs: DataFrame, rule: Repeats, buckets: int) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
@@ -119,11 +135,12 @@ def _surroundings(found: DataFrame, marks: DataFrame, rule: Repeats, buckets: in
             at = at[at <= len(whole) - rule.gram]
             if not len(at):
                 continue
-            hashes, raw, n = byte_windows(whole, rule.gram)[at].tolist(), whole.tobytes(), len(whole)
-            for p, h in zip(at.tolist(), hashes):
-                lo, hi = max(0, p - rule.reach + 1), min(n, p + rule.length)
-                if hi - lo < rule.length:
+            first_string, strings, hashes = _own_strings(whole, at, rule)
+            raw = whole.tobytes()
+            for p, h, lo, k in zip(at.tolist(), hashes.tolist(), first_string.tolist(), strings.tolist()):
+                if not k:
                     continue
+                hi = lo + k - 1 + rule.length
                 near = raw[lo:hi], p - lo
                 if near in first:
                     spans.append((doc, lo, hi - lo - rule.length + 1))
@@ -156,42 +173,59 @@ def _surroundings(found: DataFrame, marks: DataFrame, rule: Repeats, buckets: in
 
 def repeated_starts(pieces: list[tuple[bytes, int, int]], length: int) -> list[tuple[int, int]]:
     """(doc, start) of every string of `length` bytes in the pieces (text, doc, start of the text) that also starts earlier."""
-    symbols: list[int] = []
-    owner: list[tuple[int, int, int]] = []
-    for text, doc, start in pieces:
-        owner.append((len(symbols), doc, start))
-        symbols += [c + 2 for c in text]
-        symbols.append(1)
-    symbols.append(0)
     raw = b"\0".join(t for t, _, _ in pieces) + b"\0"
-    place: dict[int, tuple[int, int]] = {}
-    for (base, doc, start), (text, _, _) in zip(owner, pieces):
-        for i in range(len(text) - length + 1):
-            place[base + i] = doc, start + i
+    symbols = np.frombuffer(raw, np.uint8).astype(np.int32) + 2
+    # Of every symbol, its document and place, if a whole string starts there.
+    doc_of, place_of, at = np.zeros(len(raw), np.int64), np.full(len(raw), -1), 0
+    for text, doc, start in pieces:
+        n = len(text) - length + 1
+        doc_of[at:at + n], place_of[at:at + n] = doc, np.arange(start, start + n)
+        at += len(text) + 1
+        symbols[at - 1] = 1
+    symbols = [*symbols.tolist(), 0]
+    doc_of, place_of = array("q", doc_of.tobytes()), array("q", [*place_of.tolist(), -1])
     found: list[tuple[int, int]] = []
     run: list[tuple[int, int]] = []
     before = None
     for s in suffix_order(symbols):
-        if s not in place:
+        if place_of[s] < 0:
             continue
         head = raw[s:s + length]
         if head == before:
-            run.append(place[s])
+            run.append((doc_of[s], place_of[s]))
         else:
             if len(run) > 1:
                 found += sorted(set(run))[1:]
-            run, before = [place[s]], head
+            run, before = [(doc_of[s], place_of[s])], head
     if len(run) > 1:
         found += sorted(set(run))[1:]
     return found
 
 
-def _batches(groups: list[list[int]], sizes: np.ndarray, limit: int = BYTE_SLICE) -> Iterator[list[list[int]]]:
+#: Some strings of an entry: the entry, its first string and the one after the last.
+Strings = tuple[int, int, int]
+
+
+def _narrowed(group: list[Strings], text_at, lefts: np.ndarray, rule: Repeats) -> list[list[Strings]]:
+    """The group in parts so that equal strings are in one part. A string holds `half` bytes next to its anchor on at least one side, and equal
+    strings hold the same ones: every string goes by those on the left if it holds them, else by those on the right."""
+    half, parts = (rule.length - rule.gram) // 2, {}
+    for e, lo, hi in group:
+        text, left = text_at(e), int(lefts[e])
+        middle = min(hi, max(lo, left - half + 1))
+        if lo < middle:
+            parts.setdefault((0, text[left - half:left]), []).append((e, lo, middle))
+        if middle < hi:
+            parts.setdefault((1, text[left + rule.gram:left + rule.gram + half]), []).append((e, middle, hi))
+    return [g for g in parts.values() if len(g) > 1]
+
+
+def _batches(groups: list[list[Strings]], length: int, limit: int = BYTE_SLICE) -> Iterator[list[list[Strings]]]:
     """Runs of whole groups with about `limit` bytes of text."""
     held, size = [], 0
     for g in groups:
         held.append(g)
-        size += int(sizes[g].sum(dtype=np.int64))
+        size += sum(hi - lo + length - 1 for _, lo, hi in g)
         if size >= limit:
             yield held
             held, size = [], 0
@@ -213,36 +247,48 @@ def _decide(near: DataFrame, rule: Repeats) -> DataFrame:
         cuts = np.flatnonzero(np.diff(hashes[order])) + 1
         bounds = [0, *cuts.tolist(), len(order)]
         spans: list[tuple[int, int, int, int]] = []  # entry, doc, start, count
-        open_groups: list[list[int]] = []
+        open_groups: list[list[Strings]] = []
+
+        def text_at(e: int) -> bytes:
+            return texts[ends[e] - sizes[e]:ends[e]]
+
         for lo, hi in zip(bounds, bounds[1:]):
             different: dict[tuple[bytes, int], int] = {}
+            held: list[Strings] = []
+            last, shown = None, 0
             for e in order[lo:hi].tolist():
-                left, size = int(lefts[e]), int(sizes[e])
-                text = texts[ends[e] - size:ends[e]]
+                doc, left, strings = int(docs[e]), int(lefts[e]), int(sizes[e]) - length + 1
+                text, begin = text_at(e), int(places[e]) - left
+                # Where an anchor comes twice within reach, its first place stands for the strings that hold both: equal strings then stand alike to their anchors.
+                new = max(0, shown - begin) if doc == last else 0
+                last, shown = doc, max(shown, begin + strings) if doc == last else begin + strings
                 if (text, left) in different:
-                    spans.append((e, int(docs[e]), int(places[e]) - left, size - length + 1))
+                    spans.append((e, doc, begin, strings))
                 else:
                     different[text, left] = e
-            held = list(different.values())
-            # One text whose anchor doesn't come twice in it has nothing to sort.
-            if len(held) > 1 or any(t.find(t[left:left + gram]) != left or t.find(t[left:left + gram], left + 1) >= 0 for t, left in different):
-                open_groups.append(held)
-        for some in _batches(open_groups, sizes):
-            compare(some, spans, docs, places, lefts, sizes, ends, texts)
+                    if new < strings:
+                        held.append((e, new, strings))
+            if len(held) < 2:
+                continue
+            size = sum(last - first + length - 1 for _, first, last in held)
+            open_groups += [held] if size <= BYTE_SLICE else _narrowed(held, text_at, lefts, rule)
+        for some in _batches(open_groups, length):
+            compare(some, spans, docs, places, lefts, text_at)
         del texts, ends, order
         give_back()
         if not spans:
             return _span_table(np.zeros((0, 4), np.int64), groups)
         return _span_table(np.array(spans, np.int64), groups)
 
-    def compare(open_groups, spans, docs, places, lefts, sizes, ends, texts) -> None:
+    def compare(open_groups, spans, docs, places, lefts, text_at) -> None:
         """Adds what repeats among the different surroundings of each group."""
-        entries = np.array([e for g in open_groups for e in g])
+        chosen = [x for g in open_groups for x in g]
+        entries, first, stop = (np.array(x, np.int64) for x in zip(*chosen))
         number = np.repeat(np.arange(len(open_groups)), [len(g) for g in open_groups])
-        size = sizes[entries].astype(np.int64)
+        strings = stop - first
+        size = strings + length - 1
         base = np.cumsum(size) - size
-        joined = np.frombuffer(b"".join([texts[ends[e] - sizes[e]:ends[e]] for e in entries.tolist()]), np.uint8)
-        strings = size - length + 1
+        joined = np.frombuffer(b"".join([text_at(e)[lo:hi + length - 1] for e, lo, hi in chosen]), np.uint8)
         at = np.arange(strings.sum()) + np.repeat(base - (np.cumsum(strings) - strings), strings)
         whose = np.repeat(np.arange(len(entries)), strings)
         print_of = mix(byte_windows(joined, length)[at] + number[whose].astype(U64) * U64(0x9E3779B97F4A7C15))
@@ -256,7 +302,7 @@ def _decide(near: DataFrame, rule: Repeats) -> DataFrame:
             begin, finish, entry = at[shared[starts]], at[shared[stops - 1]] + length, whose[shared[starts]]
             for b, f, w in zip(begin.tolist(), finish.tolist(), entry.tolist()):
                 e = int(entries[w])
-                pieces.setdefault(int(number[w]), []).append((raw[b:f], int(docs[e]), int(places[e]) - int(lefts[e]) + b - int(base[w]), e))
+                pieces.setdefault(int(number[w]), []).append((raw[b:f], int(docs[e]), int(places[e]) - int(lefts[e]) + int(first[w]) + b - int(base[w]), e))
             for some in pieces.values():
                 some.sort(key=lambda x: x[1:3])
                 different = {}
@@ -325,6 +371,10 @@ def remove_repeated_strings(docs: DataFrame, rule: Repeats = Repeats(), texts: b
     marks = kept_table(meet(_anchor_tickets(dealt, rule, buckets)), "anchors")
     found = marked_docs(dealt, marks)
     spans = kept_table(_decide(_surroundings(found, marks, rule, buckets), rule), "spans")
+    # Only texts that lose something are moved once more, where the list of their ids is small enough to send around.
+    ids = kept_table(marked_ids(spans), "ids")
+    if ids.limit(ID_LIST + 1).count() <= ID_LIST:
+        found = found.join(F.broadcast(ids), "doc_id", "left_semi")
     removed = _removals(found, spans, rule, texts)
     zero = F.lit(0).cast("long")
     result = _digests(text_of(docs)).join(removed, F.col("doc_id") == F.col("id"), "left").select(

@@ -12,9 +12,14 @@ the suffix before each settled one, and its previous ones in turn, take the next
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 
+def _numbers(n: int) -> array:
+    return array("i", bytes(4 * n))
+
+
 def suffix_order(symbols: Sequence[int]) -> list[int]:
     """Starts of all suffixes in ascending order. The last symbol has to be the only one of the least value."""
     n = len(symbols)
@@ -24,21 +29,22 @@ def suffix_order(symbols: Sequence[int]) -> list[int]:
     for i, c in enumerate(symbols):
         by_symbol.setdefault(c, []).append(i)
     # A group is named by its first place in the final order; it fills size[group] places from there.
-    group, size, members = [0] * n, [0] * n, [[] for _ in range(n)]
+    # Only groups that haven't been taken keep a list of members.
+    group, size, members = _numbers(n), _numbers(n), {}
     # begin[e]: the group whose last place is just before e.
-    begin, at = [0] * (n + 1), 0
+    begin, at = _numbers(n + 1), 0
     for c in sorted(by_symbol):
-        held = by_symbol[c]
+        held = by_symbol.pop(c)
         for i in held:
             group[i] = at
         size[at], members[at] = len(held), held
         begin[at + len(held)] = at
         at += len(held)
-    prev = [-1] * n
+    prev = array("i", [-1]) * n
     end = n
     while end > 0:
         g = begin[end]
-        taken = [i for i in members[g] if group[i] == g]
+        taken = [i for i in members.pop(g) if group[i] == g]
         taken.sort()
         counts: dict[int, int] = {}
         for i in taken:
@@ -69,16 +75,16 @@ def suffix_order(symbols: Sequence[int]) -> list[int]:
     return _emit(n, group, prev)
 
 
-def _emit(n: int, group: list[int], prev: list[int]) -> list[int]:
-    order, free, settled = [-1] * n, list(range(n)), [False] * n
+def _emit(n: int, group: array, prev: array) -> list[int]:
+    order, free, settled = array("i", [-1]) * n, array("i", range(n)), bytearray(n)
     order[0] = n - 1
-    settled[n - 1] = True
+    settled[n - 1] = 1
     for i in range(n):
         j = order[i] - 1
         while j >= 0 and not settled[j]:
             g = group[j]
             order[free[g]] = j
             free[g] += 1
-            settled[j] = True
+            settled[j] = 1
             j = prev[j]
-    return order
+    return order.tolist()
