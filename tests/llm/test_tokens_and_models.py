@@ -300,3 +300,15 @@ def test_pipeline(spark):
     want = {d: tokenizer.encode(t, add_special_tokens=False).ids + [0] for d, t in after.items()}
     check_packing(corpus_pipeline.packing(spark, docs, SF_DIR).collect(), want)
     assert 0 < counts[-1] < 200
+
+
+def test_words_with_a_closing_mark_need_no_pattern():
+    from twinledger.llm.tokenizing import Encoder, _Chunks, default_path
+
+    encoder = Encoder.at(default_path())
+    text = "go on, naïve. Straße! ½) ª; élan: a×, can't, don. ñandú (so?) word"
+    assert encoder.ids(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    chunks = _Chunks(encoder.tokenizer)
+    chunks.split = None
+    for word in ("word", "word,", "naïve", "Straße!"):
+        assert chunks.of_chunk(word) == np.array(encoder.tokenizer.encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes()

@@ -14,6 +14,8 @@ import numpy as np
 
 #: Chunks and pieces kept with their ids by a task, twice at most (old and new generation).
 KEPT_CHUNKS = 600_000
+#: Marks that make a piece of their own at the end of a word.
+CLOSING = frozenset(".,;:!?)")
 DEFAULT_FILE = "byte_bpe_50k.json"
 
 
@@ -70,8 +72,12 @@ class _Chunks:
 
     def of_chunk(self, chunk: str) -> bytes:
         """The ids of a blank and the chunk."""
-        if chunk.isalpha() and chunk.isascii():
-            return self.of_piece(" " + chunk)
+        if chunk.isascii() or self.plain(chunk):
+            # Letters alone, or with one closing mark, are the most frequent chunks; what pieces they are needs no pattern.
+            if chunk.isalpha():
+                return self.of_piece(" " + chunk)
+            if chunk[-1:] in CLOSING and chunk[:-1].isalpha():
+                return self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
         if not chunk or chunk[0].isspace():
             raise _Odd
         if self.plain(chunk):
