@@ -312,3 +312,15 @@ def test_words_with_a_closing_mark_need_no_pattern():
     chunks.split = None
     for word in ("word", "word,", "naïve", "Straße!"):
         assert chunks.of_chunk(word) == np.array(encoder.tokenizer.encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_pages_stay_where_they_are_if_few_names_are_cut(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 2}/{i}", f"<div class='top'>Same line h{i % 2}</div><article><h1>T{i}</h1><p>Story {i * 7}</p><p class='box'>About us</p></article>") for i in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sitetree.extract_main_text(pages)
+    assert "hashpartitioning(key" not in found._jdf.queryExecution().toString()
+    want = {r.page_id: r.text for r in found.collect()}
+    assert want[3] == "T3\nStory 21"
+    monkeypatch.setattr(sitetree, "TOLD_ROWS", -1)
+    moved = sitetree.extract_main_text(pages)
+    assert {r.page_id: r.text for r in moved.collect()} == want

@@ -13,7 +13,8 @@ A listed word counts if a whole class, id or role consists of such words; it doe
 blocks of its own that holds most of the page's text isn't cut by its words.
 Branches of an article or main element are cut as well, by counts in which articles of the same content are one: a page that was copied stays an article.
 
-Pages are read twice and moved once, joined with the few node names to cut in each; hosts are never gathered.
+Pages are read twice. Where the node names to cut are proven few, in all and for each host, they are sent to the pages, which aren't moved; else pages
+are moved once, joined with the node names to cut in each. Hosts are never gathered.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import kept_table
 
 MASK = (1 << 63) - 1
+#: Node names to cut, in all and of one host, up to which they may be broadcast.
+TOLD_ROWS, HOST_ROWS = 200_000, 200
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -257,6 +260,12 @@ def node_importance(nodes: DataFrame, tree: StyleTree = StyleTree()) -> DataFram
     )
 
 
+def _few(told: DataFrame) -> bool:
+    """Whether the node names to cut are proven few enough to be sent around by host."""
+    total, most = told.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
+    return (total or 0) <= TOLD_ROWS and (most or 0) <= HOST_ROWS
+
+
 def extract_main_text(pages: DataFrame, tree: StyleTree = StyleTree()) -> DataFrame:
     """One row per page: page_id, url, text (empty if there is none).
 
@@ -267,10 +276,13 @@ def extract_main_text(pages: DataFrame, tree: StyleTree = StyleTree()) -> DataFr
     nodes = kept_table(page_nodes(keyed), "nodes")
     low = F.col("importance") < tree.least_importance
     told = node_importance(nodes, tree).filter(low | (F.col("path").endswith("!") & (F.col("importance") >= tree.named_importance)))
-    told = told.select("host", "path", low.alias("low"))
-    cuts = nodes.select("key", "host", "path").distinct().join(told, ["host", "path"]).groupBy("key").agg(
+    told = kept_table(told.select("host", "path", low.alias("low")), "told")
+    by = "host" if _few(told) else "key"
+    if by == "key":
+        told = nodes.select("key", "host", "path").distinct().join(told, ["host", "path"])
+    cuts = told.groupBy(by).agg(
         F.collect_set(F.when(F.col("low"), F.col("path"))).alias("cut"), F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("stay"))
-    joined = keyed.join(cuts, "key", "left").select("page_id", "url", "html", "cut", "stay")
+    joined = keyed.join(F.broadcast(cuts) if by == "host" else cuts, by, "left").select("page_id", "url", "html", "cut", "stay")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
