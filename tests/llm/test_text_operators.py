@@ -4,6 +4,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 
 from small import AWKWARD, byte_removal, documents, near_groups, window_removal
@@ -76,6 +77,39 @@ def test_near_duplicates_of_many_groups_in_a_large_region(spark):
     assert found == want
 
 
+def test_near_duplicates_write_no_pairs_of_a_group_that_is_almost_linked(spark, monkeypatch):
+    """300 documents, nearly all pairs of which are a little under the wanted similarity: 44,850 pairs, all to be tried."""
+    rng, rows, written = random.Random(3), [], []
+    for d in range(300):
+        w = [f"w{i}" for i in range(300)]
+        for i in rng.sample(range(300), 6):
+            w[i] = f"v{d}x{i}"
+        rows.append((d, rows[-1][1] + " end" if d % 50 == 49 else " ".join(w), "en", "s"))
+    kept = neardup.kept_table
+
+    def counted(frame, kind):
+        out = kept(frame, kind)
+        written.append((out.count(), kind))
+        return out
+
+    monkeypatch.setattr(neardup, "kept_table", counted)
+    want = near_groups(texts(rows))
+    assert 100 < len({c for _, c in want.values()}) < 300
+    found = neardup.near_duplicates(documents(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert max(n for n, kind in written if kind in ("pairs", "links", "undecided")) < 40 * len(rows), written
+
+
+def test_intersections_and_joining_links():
+    rng = random.Random(6)
+    sets = [np.array(sorted(rng.sample(range(9000), rng.choice((1, 40, 6000)))), np.uint64) for _ in range(20)]
+    both = neardup._intersections(sets)
+    assert both.tolist() == [[len(np.intersect1d(a, b)) if i != j else both[i, i] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    linked = np.ones((6, 6), bool)
+    linked[4:, :4] = linked[:4, 4:] = False
+    assert neardup._joining(np.array([7, 7, 8, 9, 10, 10]), linked) == [(0, 2), (0, 3)]
+
+
 def test_repeated_windows(spark, given):
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeated_windows(documents(spark, given)).collect()}
     assert found == window_removal(texts(given))

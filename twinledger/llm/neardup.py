@@ -8,13 +8,15 @@
    also compared with the region's least document. That only gives components early; step 4 does the rest.
 3. Candidates are the pairs of a region whose signatures agree enough. First every document meets its most similar earlier
    neighbour; links are confirmed on the full sets, and components formed. Then *all* remaining candidate pairs between
-   different components are confirmed too, so no link between a region's documents that would change a component is left out, and
-   pairs inside a component, which change nothing, are not made.
+   different components are tried too, so no link between a region's documents that would change a component is left out. They
+   aren't written: documents that are in such a pair take their full sets to the region, whose task finds the sizes of all
+   intersections at once and gives as few links as join what the region's links join.
 4. Documents of a region that was larger than `region` at first_depth, and holds several components by now, meet once more, whatever
    deeper orders did to them: two signatures that agree enough share one of their rarest values (prefix filter), so the documents
-   of such a value meet, in blocks of bounded size, but for pairs inside its most frequent component.
+   of such a value meet, in blocks of bounded size, but for pairs inside its most frequent component. A pair counts in the block
+   of the first value that both share, and is tried there as in step 3.
 
-Tables in between are narrow (ids, prefixes, one byte per MinHash value); texts are fetched for candidates only.
+Tables in between are narrow (ids, prefixes, one byte per MinHash value); texts are read for candidates only.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .shared import keep_ids, kept_table, small_side, text_of
-from .textscan import LOWER, U64, mix, slices, window_sums, word_hashes, words
+from .textscan import LOWER, U64, give_back, mix, slices, window_sums, word_hashes, words
+
+#: Slots by which values of signatures are counted, and how many shingles a task marks at a time.
+SLOTS, COLUMNS = 1 << 18, 4096
 
 
 @dataclass(frozen=True)
@@ -141,86 +146,73 @@ def _several(rows: DataFrame) -> DataFrame:
 
 
 def _rarest(classes: DataFrame, forest: Forest) -> DataFrame:
-    """(region, id): the rarest values of each signature, so many that two signatures which agree enough share one of them.
+    """(id, n, marks, rarest): the rarest values of each signature in ascending order, so many that two signatures which agree enough
+    share one of them; marks as in _byte_marks.
 
-    Any order of the values that all documents share will do; values of at most `region` documents are not counted apart.
+    Any order of the values that all documents share will do. Values are counted by slot (their low bits), so the counts that
+    go to the tasks are of fixed size; slots of at most `region` documents are not counted apart.
     """
     n = forest.trees * forest.depth
     place = mix(np.arange(1, n + 1, dtype=U64))
+    slots = U64(SLOTS - 1)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, len(b), 1024):
-                part = b.slice(lo, 1024)
-                values = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, n).astype(U64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)), pa.array(mix(values * U64(31) + place).reshape(-1).view(np.int64))],
-                    ["id", "region"])
+    def values_of(part: pa.RecordBatch) -> np.ndarray:
+        return mix(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, n).astype(U64) * U64(31) + place)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.slice(lo, 1024) for b in batches for lo in range(0, len(b), 1024))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for part in parts(batches):
+            held += np.bincount((values_of(part) & slots).astype(np.int64).reshape(-1), minlength=SLOTS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["slot", "n"])
+
+    signed = classes.select("id", "signature", "n")
+    held = np.zeros(SLOTS, np.uint32)
+    # At most SLOTS rows, whatever the input.
+    for slot, times in signed.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > forest.region).collect():
+        held[slot] = min(times, 0xFFFFFFFF)
+    wanted = n - forest.least_agreement() + 1
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            values = values_of(part)
+            order = np.lexsort((values, held[(values & slots).astype(np.int64)]))[:, :wanted]
+            chosen = np.take_along_axis(values, order, 1).view(np.int64)
+            offsets = pa.array(np.arange(0, chosen.size + 1, chosen.shape[1]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), _thin(part.column(1)), pa.ListArray.from_arrays(offsets, pa.array(chosen.reshape(-1)))],
+                ["id", "n", "marks", "rarest"])
 
-    values = classes.select("id", "signature").mapInArrow(spread, "id long, region long")
-    frequent = kept_table(values.groupBy("region").agg(F.count("*").alias("held")).filter(F.col("held") > forest.region), "frequent")
-    ordered = values.join(small_side(frequent), "region", "left").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "region"))).alias("values"))
-    return ordered.select("id", F.explode(F.slice("values", 1, n - forest.least_agreement() + 1)).alias("v")).select("v.region", "id")
+    return signed.mapInArrow(choose, "id long, n long, marks binary, rarest array<long>")
 
 
 def _blocks(rows: DataFrame, forest: Forest) -> DataFrame:
-    """(region, id, label) from rows (region, id, label): every two documents of a region with different labels meet in a new
-    region of about `region` documents. A large region is cut into chunks by hash, those of its most frequent label and those of the
-    others; chunks of the others meet all chunks, so the frequent label's documents aren't paired with each other."""
-    half = forest.region / 2
+    """(region, id, label, value, side) from rows (region, id, label): every two documents of a region with different labels meet once in
+    a new region, `value` being the old one. A large region is cut into chunks by hash, those of its most frequent label and those of
+    the others; chunks of the others meet all chunks, so the frequent label's documents aren't paired with each other.
+    Documents of a new region meet if their sides differ or are -1."""
+    half = 4 * forest.region
     each = rows.groupBy("region", "label").agg(F.count("*").alias("n"))
     sizes = each.groupBy("region").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     sized = kept_table(rows.join(sizes.select("region", "size", F.col("top.n").alias("most"), F.col("top.label").alias("main")), "region"), "sized")
-    small = sized.filter(F.col("size") <= forest.region).select("region", "id", "label")
-    large = sized.filter(F.col("size") > forest.region).withColumns({
+    small = sized.filter(F.col("size") <= 2 * half).select("region", "id", "label", F.col("region").alias("value"), F.lit(-1).alias("side"))
+    large = sized.filter(F.col("size") > 2 * half).withColumns({
         "mains": F.ceil(F.col("most") / half), "others": F.ceil((F.col("size") - F.col("most")) / half), "is_main": F.col("label") == F.col("main")})
     large = large.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
-    met = F.expr("""CASE WHEN is_main THEN transform(sequence(0L, others - 1), o -> struct(0 AS kind, chunk AS x, o AS y))
-      ELSE concat(transform(sequence(0L, mains - 1), m -> struct(0 AS kind, m AS x, chunk AS y)),
-                  transform(sequence(0L, others - 1), o -> struct(1 AS kind, least(chunk, o) AS x, greatest(chunk, o) AS y))) END""")
+    met = F.expr("""CASE WHEN is_main THEN transform(sequence(0L, others - 1), o -> struct(0 AS kind, chunk AS x, o AS y, 0 AS side))
+      ELSE concat(transform(sequence(0L, mains - 1), m -> struct(0 AS kind, m AS x, chunk AS y, 1 AS side)),
+                  transform(sequence(0L, others - 1), o -> struct(1 AS kind, least(chunk, o) AS x, greatest(chunk, o) AS y,
+                                                                  CASE WHEN chunk < o THEN 0 WHEN chunk > o THEN 1 ELSE -1 END AS side))) END""")
     spread = large.select("region", "id", "label", F.explode(met).alias("m"))
-    return small.union(spread.select(F.xxhash64("region", "m.kind", "m.x", "m.y").alias("region"), "id", "label"))
+    return small.union(spread.select(F.xxhash64("region", "m.kind", "m.x", "m.y").alias("region"), "id", "label", F.col("region").alias("value"), "m.side"))
 
 
-def _candidates(members: DataFrame, forest: Forest, labelled: bool) -> DataFrame:
-    """(a, b), a < b, from rows (region, id, n, marks[, label]): without labels each document's most similar earlier neighbour,
-    with labels every pair of different labels; only pairs whose signatures and sizes allow the wanted similarity."""
-    least, percent = forest.least_agreement(), forest.percent
-
-    def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        region = t.column("region").to_numpy()
-        ids, size = t.column("id").to_numpy(), t.column("n").to_numpy()
-        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
-        label = t.column("label").to_numpy() if labelled else None
-        best, whom = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
-        one, two = [], []
-        lag = 1
-        while lag < len(ids):
-            i = np.flatnonzero(region[lag:] == region[:-lag])
-            if not len(i):
-                break
-            fits = 100 * np.minimum(size[i], size[i + lag]) >= percent * np.maximum(size[i], size[i + lag])
-            if labelled:
-                fits &= label[i] != label[i + lag]
-            i = i[fits & (ids[i] != ids[i + lag])]
-            if len(i):
-                agree = (marks[i] == marks[i + lag]).sum(1)
-                i, agree = i[agree >= least], agree[agree >= least]
-                if labelled:
-                    one.append(ids[i])
-                    two.append(ids[i + lag])
-                else:
-                    better = agree > best[i + lag]
-                    best[i[better] + lag], whom[i[better] + lag] = agree[better], i[better]
-            lag += 1
-        if not labelled:
-            two = [ids[whom >= 0]]
-            one = [ids[whom[whom >= 0]]]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_region(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(table) of tables that hold whole regions, in order of id. A region is bounded, and no key is hot."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -228,13 +220,165 @@ def _candidates(members: DataFrame, forest: Forest, labelled: bool) -> DataFrame
             region = t.column("region").to_numpy()
             whole = int(np.searchsorted(region, region[-1])) if len(region) else 0
             if whole:
-                yield pairs_of(t.slice(0, whole))
+                yield work(t.slice(0, whole))
             held = t.slice(whole)
         if held is not None and len(held):
-            yield pairs_of(held)
+            yield work(held)
+        held = None
+        give_back()
 
-    # The rows of a region lie together, in order of id: a region is bounded, and no key is hot.
-    return members.repartition("region").sortWithinPartitions("region", "id").mapInArrow(pair, "a long, b long").distinct()
+    return rows.repartition("region").sortWithinPartitions("region", "id").mapInArrow(run, schema)
+
+
+def _alike(t: pa.Table, forest: Forest, fits=None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(i, agree, lag): the rows i that meet row i + lag of their region, which fit, whose signatures and sizes allow the wanted
+    similarity, and in how many values they agree; by ascending lag."""
+    least, percent = forest.least_agreement(), forest.percent
+    region, ids, size = (t.column(c).to_numpy() for c in ("region", "id", "n"))
+    marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+    lag, at = 1, np.arange(len(ids))
+    while True:
+        # A row that meets nothing at this distance meets nothing further on.
+        at = at[at + lag < len(ids)]
+        at = at[region[at] == region[at + lag]]
+        if not len(at):
+            return
+        i = at[(ids[at] != ids[at + lag]) & (100 * np.minimum(size[at], size[at + lag]) >= percent * np.maximum(size[at], size[at + lag]))]
+        if fits is not None:
+            i = i[fits(i, i + lag)]
+        if len(i):
+            agree = (marks[i] == marks[i + lag]).sum(1)
+            if (agree >= least).any():
+                yield i[agree >= least], agree[agree >= least], lag
+        lag += 1
+
+
+def _nearest(members: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b), a < b, possibly repeated, from rows (region, id, n, marks): each document's most similar earlier neighbour in a region."""
+    def pair(t: pa.Table) -> pa.RecordBatch:
+        ids = t.column("id").to_numpy()
+        best, whom = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+        for i, agree, lag in _alike(t, forest):
+            better = agree > best[i + lag]
+            best[i[better] + lag], whom[i[better] + lag] = agree[better], i[better]
+        two, one = ids[whom >= 0], ids[whom[whom >= 0]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+    return _by_region(members, pair, "a long, b long")
+
+
+def _undecided(members: DataFrame, forest: Forest) -> DataFrame:
+    """The (region, id, label) of members (region, id, label, n, marks) that are in a pair of different labels whose signatures and
+    sizes allow the wanted similarity. With columns value, side and rarest, as in step 4: a pair counts where value is the first
+    of the rarest values that both share, if its sides differ or are -1."""
+    blocks = "value" in members.columns
+
+    def take(t: pa.Table) -> pa.RecordBatch:
+        label = t.column("label").to_numpy()
+        side = t.column("side").to_numpy() if blocks else None
+        wanted = np.zeros(len(label), bool)
+
+        def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            apart = label[i] != label[j]
+            return apart & ((side[i] < 0) | (side[i] != side[j])) if blocks else apart
+
+        if blocks:
+            value = t.column("value").to_numpy()
+            rarest = t.column("rarest").combine_chunks().flatten().to_numpy().reshape(len(label), -1)
+        for i, _, lag in _alike(t, forest, fits):
+            if blocks:
+                i = i[~(wanted[i] & wanted[i + lag])]
+                for lo in range(0, len(i), 2048):
+                    k = i[lo:lo + 2048]
+                    # Both are in one order of all values, so the first value of one that the other has is the first that both share.
+                    shared = (rarest[k][:, :, None] == rarest[k + lag][:, None, :]).any(2)
+                    first = rarest[k, shared.argmax(1)]
+                    k = k[first == value[k]]
+                    wanted[k] = wanted[k + lag] = True
+            else:
+                wanted[i] = wanted[i + lag] = True
+        rows = np.flatnonzero(wanted)
+        region, ids = t.column("region").to_numpy()[rows], t.column("id").to_numpy()[rows]
+        # A doc_id with several sets has several rows.
+        new = np.concatenate([[True], (region[1:] != region[:-1]) | (ids[1:] != ids[:-1])])[:len(rows)]
+        return pa.RecordBatch.from_arrays([pa.array(region[new]), pa.array(ids[new]), pa.array(label[rows][new])], ["region", "id", "label"])
+
+    return _by_region(members, take, "region long, id long, label long")
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two of the sets share; COLUMNS of the elements that several sets hold at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    elements = np.concatenate(sets)
+    order = np.argsort(elements, kind="stable")
+    owner, elements = owner[order], elements[order]
+    column = np.cumsum(np.concatenate([[False], elements[1:] != elements[:-1]])) if len(elements) else np.zeros(0, np.int64)
+    several = np.bincount(column) > 1
+    kept = several[column]
+    owner, column = owner[kept], (np.cumsum(several) - 1)[column[kept]]
+    both = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(several.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[owner[a:b], column[a:b] - lo] = 1
+        both += grid @ grid.T
+    return both
+
+
+def _joining(labels: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the linked pairs (a matrix) as join the same labels."""
+    parent = {x: x for x in labels.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1) & (labels[:, None] != labels)))):
+        a, b = root(labels[i].item()), root(labels[j].item())
+        if a != b:
+            parent[b] = a
+            kept.append((i, j))
+    return kept
+
+
+def _links_of_regions(rows: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b), possibly repeated, from rows (region, id, label): pairs whose whole sets reach the similarity, so many that labels which the links within a
+    region join are joined. All pairs of a region are tried; texts are read once, and the sets go to the regions."""
+    wanted = kept_table(rows.select(F.col("id").alias("doc_id")).distinct(), "ids")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offs in slices(b.column(1)):
+                sets = [s.tobytes() for s in shingle_sets(data, offs, forest.shingle)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "shingles"])
+        give_back()
+
+    sets = kept_table(docs.join(small_side(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingle, "id long, shingles binary").filter("octet_length(shingles) > 0"), "sets")
+    percent = forest.percent
+
+    def link(t: pa.Table) -> pa.RecordBatch:
+        region, ids, label = (t.column(c).to_numpy() for c in ("region", "id", "label"))
+        shingles = t.column("shingles")
+        edges = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+        one, two = [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            # Rows that repeat a doc_id and its text are one.
+            first = {x: k for k, x in reversed(list(enumerate(zip(ids[lo:hi].tolist(), shingles.slice(lo, hi - lo).to_pylist()), lo)))}
+            at = np.array(sorted(first.values()))
+            if len(at) < 2:
+                continue
+            held = [np.frombuffer(shingles[k].as_py(), U64) for k in at.tolist()]
+            both, size = _intersections(held), np.array([len(x) for x in held], np.int64)
+            linked = (both > 0) & (100 * both >= percent * (size[:, None] + size - both))
+            for i, j in _joining(label[at], linked):
+                one.append(ids[at[i]])
+                two.append(ids[at[j]])
+        a, b = np.array(one, np.int64), np.array(two, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return _by_region(rows.join(sets, "id"), link, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
@@ -279,36 +423,43 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     marks = _byte_marks(classes)
     members = kept_table(regions.join(marks, "id"), "members")
     stars = _agreeing(stars.distinct(), marks, forest)
-    links = kept_table(_confirmed(kept_table(_candidates(members, forest, False).union(stars).distinct(), "pairs"), docs, forest), "links")
+    links = kept_table(_confirmed(kept_table(_nearest(members, forest).union(stars).distinct(), "pairs"), docs, forest), "links")
     # Ids of equal sets and repeated doc_ids with several sets count as links too.
     equal = known.join(classes.select("set_hash", "id"), "set_hash").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
     labels = components(links)
     second = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    rest = kept_table(_candidates(second.join(_several(second), "region", "left_semi"), forest, True).join(links, ["a", "b"], "left_anti"), "pairs")
+    rest = kept_table(_undecided(second.join(_several(second), "region", "left_semi"), forest), "undecided")
+    # Labels hold what the links before them join, so the next components begin from these.
+    links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
     if not rest.isEmpty():
-        links = kept_table(links.union(_confirmed(rest, docs, forest)), "links")
+        links = links.union(kept_table(_links_of_regions(rest, docs, forest), "links"))
     if not crowded.isEmpty():
         labels = components(links)
+        links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
         crowded = crowded.join(labels, "id", "left").select("region", "id", F.coalesce("component", "id").alias("label"))
         ids = kept_table(crowded.join(_several(crowded), "region", "left_semi").select("id", "label").distinct(), "crowded")
         if not ids.isEmpty():
-            met = _rarest(classes.join(ids, "id", "left_semi"), forest).join(ids, "id").select("region", "id", "label")
-            blocks = _blocks(kept_table(met, "rarest"), forest).join(marks, "id")
-            tried = rest.union(links)
-            last = kept_table(_candidates(blocks, forest, True).join(tried, ["a", "b"], "left_anti"), "pairs")
-            links = links.union(_confirmed(last, docs, forest))
+            rarest = kept_table(_rarest(classes.join(ids, "id", "left_semi"), forest), "rarest")
+            met = rarest.join(ids, "id").select(F.explode("rarest").alias("region"), "id", "label")
+            rest = kept_table(_undecided(_blocks(met, forest).join(rarest, "id"), forest), "undecided")
+            links = links.union(_links_of_regions(rest, docs, forest))
     found = components(links.union(equal))
     return signed.join(found, signed["doc_id"] == found["id"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
+def _thin(signatures: pa.Array) -> pa.Array:
+    """One byte of each value."""
+    values = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(len(signatures), -1)[:, ::4]
+    return pa.array([x.tobytes() for x in values], pa.binary())
+
+
 def _byte_marks(classes: DataFrame) -> DataFrame:
     """id, n and one byte of each signature value."""
     def thin(batches):
         for b in batches:
-            values = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(b), -1)[:, ::4]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in values], pa.binary())], ["id", "n", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _thin(b.column(2))], ["id", "n", "marks"])
 
     return kept_table(classes.select("id", "n", "signature").mapInArrow(thin, "id long, n long, marks binary"), "marks")
 
