@@ -271,6 +271,18 @@ def _plain_features(token, before, after, source):
             bool(re.search(secret_scan.PLACEHOLDER, token, re.I)), bool(re.search("^(AKIA|ASIA|gh[opsu]_|github_pat_|glpat-|[rs]k_live_|sk-|xox[abprs]-|AIza|npm_|hf_|SG[.])", token))]
 
 
+def test_plans_of_the_forest_and_of_masking_stay_small(spark, forest, monkeypatch):
+    """What makes the examples isn't put into the search for candidates (the code for it was too large to compile), and masking searches once."""
+    written, keep = [], secret_scan.kept_table
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(secret_scan, "kept_table", lambda frame, kind: (written.append(plan(frame)), keep(frame, kind))[1])
+    secret_scan.fit(secret_scan.example_findings(spark, 400))
+    assert max(map(len, written)) < 20_000
+    written.clear()
+    masked = secret_scan.masked_documents(documents(spark, AWKWARD), forest)
+    assert "posexplode" not in plan(masked) and sum("posexplode" in p for p in written) == 1
+
+
 def test_features_by_plain_python(spark):
     found = secret_scan.candidates(secret_scan.example_findings(spark, 400))
     rows = secret_scan.features(found).collect()

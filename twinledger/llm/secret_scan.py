@@ -142,7 +142,8 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     around = ("", "the ", "we found ", "export ", "then he said ", "commit ", "it is: ", "use ")
 
     def pick(options: tuple[str, ...], by: str, literal: bool = False) -> str:
-        return f"CASE pmod({by}, {len(options)}) " + " ".join(f"WHEN {i} THEN {repr(o) if literal else o}" for i, o in enumerate(options)) + " END"
+        # One node for each option; as cases, each would repeat the test, and all of that is planned on the driver.
+        return f"elt(cast(pmod({by}, {len(options)}) AS int) + 1, {', '.join(repr(o) if literal else o for o in options)})"
 
     inside = ("concat('{\"api_key\":\"', {key}, '\",\"n\":', x, '}')", "concat('https://www.example.org/get?token=', {key}, '&page=', x)",
               "concat('{\"user\":\"reader\",\"password\":\"', {key}, '\"}')", "concat('curl?access_token=', {key})")
@@ -169,9 +170,11 @@ def _assembled(found: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, scan: Scan = Scan()) -> RandomForestClassificationModel:
     """A forest from labelled texts (doc_id, text, source, label 0 or 1); a text's label holds for its longest finding."""
+    # Written first: what makes the texts would else be put into every expression that reads them, in code too large to compile, on the driver.
+    labelled = kept_table(labelled.select("doc_id", "text", "source", F.col("label").cast("double").alias("label")), "labelled")
     found = candidates(labelled, scan)
     longest = found.groupBy("doc_id").agg(F.max_by(F.struct("source", "place", "token", "before", "after"), F.struct(F.char_length("token"), "place")).alias("f"))
-    rows = longest.select("doc_id", "f.*").join(labelled.select("doc_id", F.col("label").cast("double").alias("label")), "doc_id").filter("label IS NOT NULL")
+    rows = longest.select("doc_id", "f.*").join(labelled.select("doc_id", "label"), "doc_id").filter("label IS NOT NULL")
     # Written once: the forest reads its rows several times, and each reading would plan and compile the search for candidates anew.
     rows = kept_table(features(rows.orderBy(F.xxhash64("doc_id")).limit(scan.fitted_on)).select(*FEATURES, "label"), "findings")
     forest = RandomForestClassifier(numTrees=scan.trees, maxDepth=scan.depth, seed=scan.seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2)
@@ -197,8 +200,9 @@ def masked_documents(docs: DataFrame, model: RandomForestClassificationModel, sc
     """
     digest = F.sha2(F.col("text").cast("string").cast("binary"), 256)
     keyed = docs.select("doc_id", "source", "text", digest.alias("_text_digest"))
-    secrets = scan_documents(keyed, model, scan, ("_text_digest",)).filter("is_secret").groupBy("_text_digest").agg(
-        F.array_sort(F.collect_set("token")).alias("found"))
+    # Written once: counting the texts with secrets and joining them would search all texts twice.
+    secrets = kept_table(scan_documents(keyed, model, scan, ("_text_digest",)).filter("is_secret").groupBy("_text_digest").agg(
+        F.array_sort(F.collect_set("token")).alias("found")), "secrets")
     # The longest first, so that a secret that holds another goes whole.
     ordered = small_side(secrets.selectExpr("_text_digest AS of_text", "array_sort(found, (a, b) -> char_length(b) - char_length(a)) AS found"))
     joined = docs.join(ordered, F.sha2(docs["text"].cast("string").cast("binary"), 256) == ordered["of_text"], "left")
