@@ -326,6 +326,17 @@ def test_words_with_a_closing_mark_need_no_pattern():
         assert chunks.of_chunk(word) == np.array(encoder.tokenizer.encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_a_word_is_encoded_once_whatever_ends_it(tokenizer):
+    encoder = Encoder(default_path())
+    for text in ("one two.\nThree, four's !! five!! don't\nx%%% 3rd naïve.\nÉté a\n b", "a× ×a ÷ ǅx Ɂ,\n\nx", "x.\n", "it's 'tis o'clock's\n's 5's", "a \nb", "end. ",
+                 "a\nb", "a\n\nb", "a.\n\n b", "a\r\nb", "жa.ж", "a\u0301.b", "x\0.y", "\0", "a.\t\nb", "a1b2 c_d", "日a.\n日b\nc", "don't've\n'll", "a!\x1cb.\x85\nc"):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    made, tokenize = [], encoder.chunks.tokenize
+    encoder.chunks.tokenize = lambda piece: made.append(piece) or tokenize(piece)
+    encoder.ids("a walkway.\nThen walkway; walkway!! walkway%%%")
+    assert made.count("Ġwalkway") == 1 and [c for c in encoder.chunks.chunks if "walkway" in c] == ["walkway"]
+
+
 def test_pages_stay_where_they_are_if_few_names_are_cut(spark, monkeypatch):
     rows = [(i, f"http://h{i % 2}/{i}", f"<div class='top'>Same line h{i % 2}</div><article><h1>T{i}</h1><p>Story {i * 7}</p><p class='box'>About us</p></article>") for i in range(24)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

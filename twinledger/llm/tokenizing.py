@@ -1,21 +1,21 @@
 """Token ids of whole texts with a public byte-level BPE, fast enough for a corpus. Helpers for tasks; no Spark here.
 
 Byte-level BPE splits a text into pieces before it merges bytes, and a blank followed by visible text always begins a new
-piece. So a text falls apart at such blanks, and each part ("chunk") has the same ids wherever it stands. Chunks are kept
+piece. So a text falls apart at such blanks, and each part ("chunk") has the same ids wherever it stands. A piece also ends
+between a letter and a mark or digit, and between a line break and a letter: what ends a word is a chunk without blank. Chunks are kept
 with their ids, in two generations so that memory stays bounded; what is new goes through the library. Texts with
 runs of blanks, and chunks beyond plain Latin text, go through the library's own encoder whole.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import numpy as np
 
 #: Chunks and pieces kept with their ids by a task, twice at most (old and new generation).
 KEPT_CHUNKS = 600_000
-#: Marks that make a piece of their own at the end of a word.
-CLOSING = frozenset(".,;:!?)")
 DEFAULT_FILE = "byte_bpe_50k.json"
 
 
@@ -25,6 +25,18 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
+#: Letters of plain Latin text. A chunk that begins with BARE has no blank before it.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+BARE = "\0"
+_after_letter = re.compile(f"[\n!-@[-`{{-~×÷](?<=[{LATIN}].)", re.DOTALL).sub
+_after_line = re.compile(f"\n(?<=[{BARE}!-~À-ɏ]\n)(?=[{LATIN}])").sub
+
+
+def apart(text: str) -> list[str]:
+    """The chunks of a text without BARE; the first one has no blank before it either."""
+    return _after_line(f"\n {BARE}", _after_letter(rf" {BARE}\g<0>", text)).split(" ")
+
+
 class _Odd(Exception):
     """The text can't be cut at its blanks."""
 
@@ -66,24 +78,38 @@ class _Chunks:
 
         self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.plain = regex.compile("[\n!-~À-ɏ]+").fullmatch
+        self.plain = re.compile("[\n!-~À-ɏ]+").fullmatch
+        # The letters that a plain text begins with, and the rest.
+        self.halves = re.compile(f"([{LATIN}]*)([\n!-~À-ɏ]*)").fullmatch
         self.letters = dict(enumerate(_byte_letters()))
-        self.pieces, self.chunks = _Kept(self.of_piece), _Kept(self.of_chunk)
+        self.pieces, self.chunks, self.ends = _Kept(self.of_piece), _Kept(self.of_chunk), _Kept(self.of_end)
 
     def of_chunk(self, chunk: str) -> bytes:
-        """The ids of a blank and the chunk."""
-        if chunk.isascii() or self.plain(chunk):
-            # Letters alone, or with one closing mark, are the most frequent chunks; what pieces they are needs no pattern.
-            if chunk.isalpha():
-                return self.of_piece(" " + chunk)
-            if chunk[-1:] in CLOSING and chunk[:-1].isalpha():
-                return self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
-        if not chunk or chunk[0].isspace():
-            raise _Odd
-        if self.plain(chunk):
+        """The ids of a blank and the chunk, or of what follows BARE."""
+        if chunk[:1] == BARE:
+            end = chunk[1:]
+            return self.of_end(end) if self.plain(end) else _bytes(self.tokenizer.encode(end, add_special_tokens=False).ids)
+        halves = self.halves(chunk)
+        if halves:
+            # Letters are one piece whatever follows, and nothing in the pattern looks back: words and what ends them are kept apart.
+            word, end = halves.groups()
+            if not end:
+                if not word:
+                    raise _Odd
+                return self.of_piece(" " + word)
+            if word:
+                return self.chunks[word] + self.ends[end]
+            if end[0] == "\n":
+                raise _Odd
             return self.of(" " + chunk)
+        if chunk[0].isspace():
+            raise _Odd
         return _bytes(self.tokenizer.encode(" " + chunk, add_special_tokens=False).ids)
 
+    def of_end(self, end: str) -> bytes:
+        """The ids of what ends a word: a single mark is a piece."""
+        return self.pieces[end] if len(end) == 1 else self.of(end)
+
     def of(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
@@ -121,14 +147,14 @@ class Encoder:
 
     def forget(self) -> None:
         """Drops what is kept. A task calls it at its end: Python workers stay alive, and other stages need the memory."""
-        for kept in (self.chunks.chunks, self.chunks.pieces):
+        for kept in (self.chunks.chunks, self.chunks.pieces, self.chunks.ends):
             kept.clear()
             kept.old = {}
 
     def ids(self, text: str, cut: bool | None = None) -> bytes:
-        if not (cut or not self.whole) or any(t in text for t in self.added):
+        if not (cut or not self.whole) or BARE in text or any(t in text for t in self.added):
             return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        head, *chunks = text.split(" ")
+        head, *chunks = apart(text)
         try:
             rest = b"".join(map(self.chunks.chunks.__getitem__, chunks))
         except _Odd:
