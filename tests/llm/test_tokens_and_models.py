@@ -5,12 +5,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from small import AWKWARD, documents
-from twinledger.llm import decontam, langid, packing, secret_scan, sitetree, tokenstore
+from twinledger.llm import decontam, langid, packing, secret_scan, sitetree, tokenizing, tokenstore
 from twinledger.llm.shared import scratch
 from twinledger.llm.tokenizing import Encoder, default_path
 
@@ -337,6 +338,37 @@ def test_a_word_is_encoded_once_whatever_ends_it(tokenizer):
     assert made.count("Ġwalkway") == 1 and [c for c in encoder.chunks.chunks if "walkway" in c] == ["walkway"]
 
 
+@pytest.mark.parametrize("slice_bytes, known_bytes, joined", [(1 << 20, 1 << 20, 1000), (60, 1000, 3), (1, 0, 2)])
+def test_a_column_of_texts_has_the_library_s_ids(tokenizer, monkeypatch, slice_bytes, known_bytes, joined):
+    monkeypatch.setattr(tokenizing, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(tokenizing, "KNOWN_BYTES", known_bytes)
+    monkeypatch.setattr(tokenizing, "JOINED_CHUNKS", joined)
+    texts = ["left out", *ODD_TEXTS, *[t or "" for _, t, *_ in AWKWARD], "ends in a blank ", "", "\nBegins", "x.\nÉté É\nb", "“a” “b” –  \u2003c", "a.\n\nb  c", ""]
+    for kind in (pa.string(), pa.large_string()):
+        got = Encoder(default_path()).column(pa.array(texts, kind).slice(1))
+        assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[1:]]
+
+
+def test_new_words_of_a_column_go_through_the_library_together():
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.calls = tokenizer, []
+
+        def __getattr__(self, name):
+            self.calls.append(name)
+            return getattr(self.tokenizer, name)
+
+    encoder = Encoder(default_path())
+    encoder.tokenizer = encoder.chunks.tokenizer = counting = Counting(encoder.tokenizer)
+    made, tokenize = [], encoder.chunks.tokenize
+    encoder.chunks.tokenize = lambda piece: made.append(piece) or tokenize(piece)
+    column = pa.array(["one walkway. two walkways, three; walkway! naïve Straße"] * 500)
+    first, second = list(encoder.column(column)), list(encoder.column(column))
+    assert len(first) == 500 and all(np.array_equal(first[0], ids) for ids in first + second)
+    # Heads and marks stand alone, all else is one call, and nothing is asked twice.
+    assert counting.calls == ["encode_batch_fast"] and made.count("one") == 1 and set(made) <= {"one", *".,;!"}
+
+
 def test_pages_stay_where_they_are_if_few_names_are_cut(spark, monkeypatch):
     rows = [(i, f"http://h{i % 2}/{i}", f"<div class='top'>Same line h{i % 2}</div><article><h1>T{i}</h1><p>Story {i * 7}</p><p class='box'>About us</p></article>") for i in range(24)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

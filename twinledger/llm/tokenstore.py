@@ -59,9 +59,9 @@ def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
     kind = f"<u{width}"
 
     def encode(batches):
-        ids = Encoder.at(path).ids
+        column = Encoder.at(path).column
         for b in batches:
-            got = [np.frombuffer(ids(t.as_py()), "<u4")[:SAMPLE_IDS].astype(kind).tobytes() for t in b.column(0)]
+            got = [ids[:SAMPLE_IDS].astype(kind).tobytes() for ids in column(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["ids"])
 
     samples = sorted(bytes(r[0]) for r in chosen.mapInArrow(encode, "ids binary").collect() if r[0])
@@ -78,13 +78,12 @@ def _encoder(path: str, end_id: int, dictionary: bytes, width: int, level: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        ids, end = Encoder.at(path).ids, np.array([end_id], "<u4").tobytes()
+        column = Encoder.at(path).column
         press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_content_size=True).compress
         for b in batches:
-            docs, texts, rows = b.column(0), b.column(1), []
-            for i in range(len(texts)):
-                one = np.frombuffer(ids(texts[i].as_py()) + end, "<u4")
-                rows.append((docs[i].as_py(), len(one), press(one.astype(kind).tobytes())))
+            rows = []
+            for doc, ids in zip(b.column(0).to_pylist(), column(b.column(1))):
+                rows.append((doc, len(ids) + 1, press(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())))
                 if len(rows) >= 2048:
                     yield _arrow(columns, rows)
                     rows = []
