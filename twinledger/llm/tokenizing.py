@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 #: Chunks and pieces kept with their ids by a task, twice at most (old and new generation).
 KEPT_CHUNKS = 600_000
 #: Texts of a column are taken in slices of about so many bytes, or one text.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Where a column's chunks and their ids take more, those that the slice does not hold are forgotten.
 KNOWN_BYTES = 32 << 20
 #: New chunks that go through the library at once.
