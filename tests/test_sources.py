@@ -10,7 +10,7 @@ from twinledger.sources.file_dialects import read_text_folder
 from twinledger.sources.delimited import encoding_of, header_search, numbered_lines, read_csv, read_text, read_tsv
 from twinledger.sources.quoted_records import ends_inside, stays_inside
 from twinledger.sources.fixed_width import APPLICANT_LAYOUT, layout_from_text, read_fixed_width
-from twinledger.sources.json_arrays import json_pieces
+from twinledger.sources.json_arrays import json_pieces, json_records
 from twinledger.sources.structured import database_reader, read_json, read_parquet, read_sql, split_with_clause
 
 
@@ -313,6 +313,17 @@ def _with_text(row):
     return SimpleNamespace(k=row.k, v=row.v, o=SimpleNamespace(x=[parsed[0], json.dumps(parsed[1])]))
 
 
+def test_json_pieces_that_were_sorted_into_order(spark):
+    """Pieces of a block that come from many tasks keep the order they were sorted into."""
+    want = [{"k": i, "v": ['plain', '}{', '][', 'a"}, {"b'][i % 4], "o": {"x": [i]}} for i in range(3000)]
+    pieces = [("f", at // 70, at, value) for at, value in enumerate(json.dumps(want, indent=1).split("}"))]
+    random.Random(2).shuffle(pieces)
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(pieces, 16), "file string, block bigint, at bigint, value string")
+    ordered = dealt.repartitionByRange("block").sortWithinPartitions("block", "at").select("file", "block", "value")
+    found = [json.loads(r.value) for r in json_records(ordered).select("value").collect()]
+    assert sorted(found, key=lambda r: r["k"]) == want
+
+
 def test_json_arrays_that_are_broken_or_empty(spark, tmp_path):
     for i, text in enumerate(('[{"k": 1}, {"k": 2}', '[{"k": 1}\n', '[{"k": "1}]', '[{"k": [1}]')):
         with pytest.raises(ValueError, match="end within"):

@@ -88,7 +88,7 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ``open`` marks the last one if it goes on in the next block."""
     key, held, out = None, [], []
     for batch in batches:
-        for file, block, value, o_inside, o_deeper, i_inside, i_deeper, starts_inside, starts_depth, base in _rows_of(batch):
+        for file, block, value, o_inside, o_deeper, i_inside, i_deeper, starts_inside, starts_depth, base, _ in _rows_of(batch):
             if (file, block) != key:
                 if held:
                     out.append((*key, n, True, "".join(held)))
@@ -130,12 +130,13 @@ def json_records(pieces: DataFrame) -> DataFrame:
     if n_broken:
         raise ValueError(f"{n_broken} JSON texts end within a string or within brackets")
     known = starts.select("file", "block", "starts_inside", "depth", "base")
+    # Spark drops a sort below a join unless something like this number, which is read to the end, stands between them.
+    placed = judged.withColumn("at", F.monotonically_increasing_id())
     if known.count() <= BROADCAST_BLOCKS:
-        told = judged.join(F.broadcast(known), ["file", "block"])
+        told = placed.join(F.broadcast(known), ["file", "block"])
     else:
-        told = judged.withColumn("at", F.monotonically_increasing_id()).join(known, ["file", "block"])
-        told = told.repartition("file", "block").sortWithinPartitions("file", "block", "at")
-    told = told.select("file", "block", "value", "from_outside", "outside_deeper", "from_inside", "inside_deeper", "starts_inside", "depth", "base")
+        told = placed.join(known, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "at")
+    told = told.select("file", "block", "value", "from_outside", "outside_deeper", "from_inside", "inside_deeper", "starts_inside", "depth", "base", "at")
     found = told.mapInArrow(_cut_pieces, CUT)
     whole = found.where("n > 0 AND NOT open").selectExpr("file", "block", "n", "piece AS value")
     parts = found.where("n = 0 OR open")
