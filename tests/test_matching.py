@@ -89,6 +89,16 @@ def test_pairs_meet_once_at_their_first_common_signature(spark, pairs_in_task):
         assert len(got) < share * len(left) * len(right)
 
 
+def test_signatures_are_never_sent_to_every_task(spark):
+    """Spark takes the signatures of a small list for small, so it sent them all through the driver."""
+    listed = spark.sql("SELECT * FROM VALUES ('0001 supplier'), ('0002 supplier'), ('0003 ltd supplier') AS t(words)")
+    ranked = nm._ranked_letters(listed, nm._letter_ranks(listed))
+    frame = nm._candidates(ranked, ranked, 60)
+    assert {("0001 supplier", "0002 supplier"), ("0002 supplier", "0003 ltd supplier")} <= {tuple(r) for r in frame.collect()}
+    joins = [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "other_ranked" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+
 def test_hybrid(spark):
     left, right = ["alpha", "beta", "gamma", "delta"], ["Alpha", "x1", "x2"]
     cosines = spark.createDataFrame(

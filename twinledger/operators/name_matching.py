@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel_percent, similarity, token_sorted
+from ..functions.similarity import indel_percent, indel_percents, token_sorted
 from ..functions.text import quoted
 from .lineage import cut
 
@@ -144,17 +144,17 @@ def _letters(words: Column) -> Column:
 
 
 def _letter_ranks(words: DataFrame) -> DataFrame:
+    """``(letter, rank)``: the rarest has the lowest number. Different letters are few, however many texts there are."""
     seen = words.select(F.explode(_letters(F.col("words"))).alias("letter"))
-    return seen.groupBy("letter").agg(F.count(F.lit(1)).alias("uses"))
+    uses = seen.groupBy("letter").agg(F.count(F.lit(1)).alias("uses"))
+    return uses.select("letter", F.row_number().over(Window.orderBy("uses", "letter")).alias("rank"))
 
 
 def _ranked_letters(words: DataFrame, letters: DataFrame) -> DataFrame:
-    """``(words, size, ranked)``: the letters of each text, rarest first. A list is as long as its text."""
+    """``(words, size, ranked)``: the ranks of each text's letters, rarest first. A list is as long as its text."""
     each = words.select("words", F.explode(_letters(F.col("words"))).alias("letter"))
-    listed = each.join(letters, "letter").groupBy("words").agg(
-        F.array_sort(F.collect_list(F.struct("uses", "letter"))).alias("ranked")
-    )
-    return listed.select("words", F.length("words").alias("size"), F.col("ranked.letter").alias("ranked"))
+    listed = each.join(letters, "letter").groupBy("words").agg(F.array_sort(F.collect_list("rank")).alias("ranked"))
+    return listed.select("words", F.length("words").alias("size"), "ranked")
 
 
 def _letters_in_common(needed: str, level: int) -> str:
@@ -164,7 +164,7 @@ def _letters_in_common(needed: str, level: int) -> str:
 
 
 def _signatures(ranked: DataFrame, level: int) -> DataFrame:
-    """``(words, size, ranked, l, prefix, signature)``: sets of rare letters of which two texts reaching the level share at least one.
+    """``(words, size, ranked, l, prefix_size, signature)``: sets of rare letters of which two texts reaching the level share at least one.
 
     Reaching share t of ``2*LCS/(la+lb)`` needs at least ``t*la/(2-t)`` common characters, so common letters. Two texts
     that need k of them share l letters among the ``la - k + l`` rarest of each (prefix filtering), for any l up to k. A
@@ -175,13 +175,12 @@ def _signatures(ranked: DataFrame, level: int) -> DataFrame:
     # All sets of l places, each set rising: one more place in every step.
     sets = (
         "aggregate(sequence(1, l), array(CAST(array() AS ARRAY<INT>)), (sets, step) -> flatten(transform(sets, s -> transform("
-        "sequence(if(step = 1, 1, element_at(s, -1) + 1), size(prefix) - l + step), i -> concat(s, array(i))))))"
+        "sequence(if(step = 1, 1, element_at(s, -1) + 1), prefix_size - l + step), i -> concat(s, array(i))))))"
     )
     sized = ranked.withColumn("need", F.expr(need)).where("need <= size")
     kinds = sized.withColumn("l", F.explode(F.expr(f"array_distinct(transform(sequence(need, size), k -> {_letters_in_common('k', level)}))")))
-    prefixed = kinds.withColumn("prefix", F.expr("slice(ranked, 1, size - need + l)"))
-    chosen = prefixed.withColumn("chosen", F.explode(F.expr(sets)))
-    return chosen.select("words", "size", "ranked", "l", "prefix", F.expr(rf"array_join(transform(chosen, i -> prefix[i - 1]), '\x1f') AS signature"))
+    chosen = kinds.withColumn("prefix_size", F.expr("size - need + l")).withColumn("chosen", F.explode(F.expr(sets)))
+    return chosen.select("words", "size", "ranked", "l", "prefix_size", F.expr("transform(chosen, i -> ranked[i - 1]) AS signature"))
 
 
 def _candidates(lefts: DataFrame, rights: DataFrame, level: int, pairs_in_task: int = PAIRS_IN_TASK) -> DataFrame:
@@ -189,13 +188,14 @@ def _candidates(lefts: DataFrame, rights: DataFrame, level: int, pairs_in_task:
 
     Two texts that share one signature share many. A pair is emitted where the signature is its first: the l rarest letters that
     both prefixes hold, with the l of the pair's own number of needed letters. The join also holds what the places of these letters
-    and all letters of both texts allow. Signatures with much work, by counts of both sides, are cut into parts.
+    and all letters of both texts allow. Signatures with much work, by counts of both sides, are cut into parts. A text has many
+    signatures, which Spark's estimates don't know, so these joins are never made by sending one side to all tasks.
     """
     t = (level - 0.5) / 100
     left, right = _signatures(lefts, level), _signatures(rights, level)
     right = right.select(*[F.col(c).alias(c if c == "signature" else f"other_{c}") for c in right.columns])
     work = left.groupBy("signature", "l").agg(F.count(F.lit(1)).alias("n")).join(
-        right.groupBy("signature", F.col("other_l").alias("l")).agg(F.count(F.lit(1)).alias("m")), ["signature", "l"])
+        right.groupBy("signature", F.col("other_l").alias("l")).agg(F.count(F.lit(1)).alias("m")).hint("merge"), ["signature", "l"])
     heavy = cut(work.where(F.col("n") * F.col("m") > pairs_in_task).select(
         F.col("signature").alias("heavy"), F.col("l").alias("heavy_l"), F.least("n", F.ceil(F.col("n") * F.col("m") / pairs_in_task)).cast("int").alias("parts")))
     one = F.coalesce("parts", F.lit(1))
@@ -203,25 +203,29 @@ def _candidates(lefts: DataFrame, rights: DataFrame, level: int, pairs_in_task:
         "part", F.pmod(F.xxhash64("words"), one).cast("int"))
     right = right.join(heavy, (F.col("signature") == F.col("heavy")) & (F.col("other_l") == F.col("heavy_l")), "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0), one - 1)))
-    left = left.select(*[F.col(c).alias(c) for c in ("words", "size", "ranked", "l", "prefix", "signature", "part")])
-    right = right.select(*[F.col(c).alias(c) for c in ("other_words", "other_size", "other_ranked", "other_l", "other_prefix", "signature", "part")])
+    left = left.select(*[F.col(c).alias(c) for c in ("words", "size", "ranked", "l", "prefix_size", "signature", "part")])
+    right = right.select(*[F.col(c).alias(c) for c in ("other_words", "other_size", "other_ranked", "other_l", "other_prefix_size", "signature", "part")])
     needed = f"greatest(1, CAST(ceil((size + other_size) * {t!r}D / 2 - 1e-9D) AS INT))"
-    letter = "element_at(split(signature, '\\x1f'), -1)"
-    first_shared = "array_join(slice(array_intersect(prefix, other_prefix), 1, l), '\\x1f') = signature"
+    letter = "element_at(signature, -1)"
+    first_shared = "slice(array_intersect(slice(ranked, 1, prefix_size), slice(other_ranked, 1, other_prefix_size)), 1, l) = signature"
     places = f"l + least(size - array_position(ranked, {letter}), other_size - array_position(other_ranked, {letter})) >= {needed}"
     kept = (
         (F.col("l") == F.col("other_l")) & F.expr(f"least(size, other_size) >= {needed}")
         & F.expr(f"l = {_letters_in_common(needed, level)}") & F.expr(places) & F.expr(first_shared)
         & F.expr(f"size(array_intersect(ranked, other_ranked)) >= {needed}")
     )
-    met = left.join(right, ["signature", "part"])
+    met = left.join(right.hint("merge"), ["signature", "part"])
     return met.where(kept).select("words", F.col("other_words").alias("other"))
 
 
 def _reaching(lefts: DataFrame, ranked_right: DataFrame, rights: DataFrame, level: int) -> DataFrame:
     """The best right wording of each left wording among all that reach the level."""
-    candidates = _candidates(lefts, ranked_right, level)
-    scored = candidates.withColumn("score", similarity(F.col("words"), F.col("other"))).where(F.col("score") >= level)
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            score = indel_percents(list(batch["words"]), list(batch["other"]))
+            yield batch.assign(score=score)[score >= level]
+
+    scored = _candidates(lefts, ranked_right, level).mapInPandas(scores, "words string, other string, score int")
     named = scored.join(rights.select(F.col("words").alias("other"), "name", "place"), "other")
     first = F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("place"), F.col("name")))
     return named.groupBy("words").agg(first.alias("best")).select(
