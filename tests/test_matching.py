@@ -99,6 +99,14 @@ def test_signatures_are_never_sent_to_every_task(spark):
     assert joins and not any("Broadcast" in line for line in joins)
 
 
+def test_no_level_is_searched_when_nothing_is_open(spark, monkeypatch):
+    levels, candidates = [], nm._candidates
+    monkeypatch.setattr(nm, "_candidates", lambda a, b, level: levels.append(level) or candidates(a, b, level))
+    left, right = ["Supplier#0001", "Supplier#0002"], ["0001 SUPPLIER", "0002 SUPPLIER", "Supplier#0001 Ltd"]
+    got = {tuple(r) for r in nm.best_right_per_left(names(spark, left), names(spark, right), 60, small_list=0).collect()}
+    assert got == {("Supplier#0001", "0001 SUPPLIER", 100), ("Supplier#0002", "0002 SUPPLIER", 100)} and not levels
+
+
 def test_hybrid(spark):
     left, right = ["alpha", "beta", "gamma", "delta"], ["Alpha", "x1", "x2"]
     cosines = spark.createDataFrame(

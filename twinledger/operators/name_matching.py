@@ -123,7 +123,8 @@ def _against_list(open_names: DataFrame, wordings: DataFrame, threshold: int) ->
 def _against_table(open_names: DataFrame, wordings: DataFrame, threshold: int) -> DataFrame:
     """Level by level from the most similar down; names found at a level need no further search.
 
-    A level finds every pair that reaches it, so the best pair found there is the best of all.
+    A level finds every pair that reaches it, so the best pair found there is the best of all. Where nothing is left over, the
+    signatures of the right side aren't made for the levels below.
     """
     rights = cut(wordings)
     lefts = cut(open_names.select("words").distinct())
@@ -133,6 +134,8 @@ def _against_table(open_names: DataFrame, wordings: DataFrame, threshold: int) -
     found = cut(equal)
     for level in [n for n in LEVELS if n > threshold] + [threshold]:
         still_open = ranked_left.join(found, "words", "left_anti")
+        if still_open.isEmpty():
+            break
         found = found.unionByName(cut(_reaching(still_open, ranked_right, rights, level)))
     return open_names.join(found, "words").select(F.col("name").alias("left_name"), "right_name", "score")
 
