@@ -166,6 +166,21 @@ def test_own_bounds_leave_few_blocks_to_visit(spark):
     assert got == pytest.approx({i: want[i] for i in range(300) if want[i] > 0})
 
 
+def test_vectors_are_sent_for_groups_of_lefts(spark, monkeypatch):
+    """Evenly spread vectors open most blocks to every left; a vector used to be sent once for each of them."""
+    rng = np.random.default_rng(11)
+    a, b = (vectors(spark, [*enumerate(rng.normal(size=(n, 16)))], 16).withColumnRenamed("vec", "vector").cache() for n in (900, 1200))
+    monkeypatch.setattr(vm, "LEFTS_SENT", 200)
+    monkeypatch.setattr(vm, "RIGHTS_SENT", 500)
+    monkeypatch.setattr(vm.RightBlocks, "further_visits", lambda *_: pytest.fail("one row for each left and block"))
+    assert sorted(vm._near_order(np.eye(7))) == list(range(7))
+    got = {r.left_id: (r.right_id, r.cosine) for r in best_cosine_match(a, b, "id", "id", "vector", 0.0, small_elements=0, block_rows=10).collect()}
+    unit = lambda df: np.array([np.array(r.vector) / np.linalg.norm(r.vector) for r in df.orderBy("id").collect()])
+    cosines = unit(a) @ unit(b).T
+    assert {i: j for i, (j, _) in got.items()} == dict(enumerate(cosines.argmax(axis=1)))
+    assert [got[i][1] for i in range(900)] == pytest.approx(list(cosines.max(axis=1)))
+
+
 def test_cosine_ties_and_repeated_ids_in_blocks(spark):
     """Equal directions go to the lowest right id, whichever block holds it; rows that share a left id count as one."""
     right = [(9, np.array([1.0, 0.0])), (4, np.array([2.0, 0.0])), *[(10 + i, np.array([3.0, 0.0])) for i in range(50)], (1, np.array([0.0, 1.0]))]

@@ -20,6 +20,10 @@ BLOCK_ROWS = 4_096
 CENTRES = 256
 MOST_CENTRES = 8_192
 MOST_RINGS = 16
+# Left and right rows that meet in one task of the second pass: a row is sent once for as many rows of the other side as meet there,
+# however small the blocks are.
+LEFTS_SENT = 4_096
+RIGHTS_SENT = 16_384
 
 # Numbers in a table of angles at once.
 TABLE = 2_000_000
@@ -92,7 +96,7 @@ def _in_blocks(lefts: DataFrame, rights: DataFrame, schema: str, threshold: floa
     """Two passes: a left vector first meets one block near it, then only the blocks that may hold something as good.
 
     The best cosine of the first block is the left's own bound from then on, so how much is visited follows from how
-    near the nearest vectors are, not from the threshold.
+    near the nearest vectors are, not from the threshold. Vectors are sent for groups of lefts, not for every visit.
     """
     around = RightBlocks(rights, count, block_rows)
     first = cut(around.first_visits(lefts.withColumn("bound", F.lit(float(threshold)))))
@@ -101,7 +105,7 @@ def _in_blocks(lefts: DataFrame, rights: DataFrame, schema: str, threshold: floa
     known = known.groupBy("known_id").agg(F.max("known").alias("known"))
     bounded = first.join(known, F.col("left_id").eqNullSafe(F.col("known_id")), "left")
     bounded = bounded.withColumn("bound", F.greatest("bound", F.coalesce("known", "bound"))).drop("known_id", "known")
-    met = near.unionByName(around.met(around.further_visits(bounded), schema))
+    met = near.unionByName(around.further_met(bounded, schema))
     best = F.min_by(F.struct("right_id", "cosine"), F.struct(-F.col("cosine"), F.col("right_id")))
     return met.groupBy("left_id").agg(best.alias("best")).select("left_id", "best.right_id", "best.cosine")
 
@@ -130,9 +134,9 @@ class RightBlocks:
         ringed = gathered.join(F.broadcast(borders), "centre").withColumn(
             "ring", F.size(F.filter("borders", lambda x: x < F.col("angle")))).drop("borders")
         rows = ringed.groupBy("centre", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
-        rows = sorted((r["centre"], r["ring"], r["low"], r["high"], -(-r["n"] // block_rows)) for r in rows)
-        self.rings = pd.DataFrame(rows, columns=["centre", "ring", "low", "high", "parts"])
-        sizes = self.spark.createDataFrame([(c, k, p) for c, k, _, _, p in rows], "centre int, ring int, parts int")
+        rows = sorted((r["centre"], r["ring"], r["low"], r["high"], -(-r["n"] // block_rows), r["n"]) for r in rows)
+        self.rings = pd.DataFrame(rows, columns=["centre", "ring", "low", "high", "parts", "n"])
+        sizes = self.spark.createDataFrame([(c, k, p) for c, k, _, _, p, _ in rows], "centre int, ring int, parts int")
         self.placed = ringed.join(F.broadcast(sizes), ["centre", "ring"]).select(
             "right_id", "vector", "centre", "ring", F.pmod(F.xxhash64("right_id"), F.col("parts")).cast("int").alias("part"))
 
@@ -185,8 +189,7 @@ class RightBlocks:
         """Every left with each block that may hold a right vector within its bound, but for the block it has met."""
 
         def pick(angles, bounds, table):
-            reach = np.arccos(np.clip(bounds, -1.0, 1.0))[:, None] + SLACK
-            return np.nonzero((angles <= table["high"].to_numpy() + reach) & (angles >= table["low"].to_numpy() - reach))
+            return np.nonzero(_open(angles, bounds, table["low"].to_numpy(), table["high"].to_numpy()))
 
         lefts = first.withColumnsRenamed({c: f"first_{c}" for c in self.UNIT})
         names = [f"first_{c}" for c in self.UNIT]
@@ -195,6 +198,93 @@ class RightBlocks:
         was_met = F.struct(*[F.col(c).alias(f"first_{c}") for c in self.UNIT]) == F.col("met")
         return visits.where(~was_met).select("left_id", "vector", "bound", *self.UNIT)
 
+    def further_met(self, first: DataFrame, schema: str) -> DataFrame:
+        """The best right of each left in all blocks that ``further_visits`` names, if it reaches the left's bound.
+
+        Lefts that first visited near centres form groups, and the blocks of near centres form chunks. A group meets each chunk that holds a
+        block for one of its lefts, and there every left the rings that its own bound leaves open.
+        """
+        rank = np.empty(len(self.centres.value), dtype=np.int64)
+        rank[_near_order(self.centres.value)] = np.arange(len(rank))
+        counts = first.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = sorted(((r["centre"], r["n"]) for r in counts), key=lambda r: rank[r[0]])
+        groups, number, held = [], 0, 0
+        for centre, n in counts:
+            if held and held + n > LEFTS_SENT:
+                number, held = number + 1, 0
+            groups.append((centre, number, -(-n // LEFTS_SENT)))
+            held += n
+        groups = self.spark.createDataFrame(groups, "centre int, left_group int, group_parts int")
+        lefts = first.select("left_id", "vector", "bound", "centre").join(F.broadcast(groups), "centre").select(
+            "left_id", "vector", "bound", "left_group", F.pmod(F.xxhash64("left_id", "vector"), "group_parts").cast("int").alias("left_part"))
+        blocks = self.rings.assign(rank=rank[self.rings["centre"]]).sort_values(["rank", "ring"])
+        blocks = blocks.loc[blocks.index.repeat(blocks["parts"])]
+        part = blocks.groupby(["centre", "ring"]).cumcount()
+        chunk = (blocks["n"] / blocks["parts"]).cumsum() // RIGHTS_SENT
+        chunks = self.spark.createDataFrame(
+            list(zip(*(c.astype(int).tolist() for c in (blocks["centre"], blocks["ring"], part, chunk)))), "centre int, ring int, part int, chunk int")
+        visits = cut(lefts.mapInPandas(self._group_visits(), "left_group int, left_part int, centre int, ring int").distinct())
+        meetings = visits.join(F.broadcast(chunks), ["centre", "ring"]).select("left_group", "left_part", "chunk").distinct()
+        rights = self.placed.join(F.broadcast(chunks), self.UNIT).select("right_id", "vector", "centre", "ring", "chunk").join(visits, ["centre", "ring"])
+        lefts = lefts.join(meetings, ["left_group", "left_part"])
+        # As in met, new names keep the columns of both sides apart.
+        keys = ["left_group", "left_part", "chunk"]
+        lefts = lefts.select(*[F.col(c).alias(c) for c in ("left_id", "vector", "bound", *keys)])
+        rights = rights.select(*[F.col(c).alias(c) for c in ("right_id", "vector", "centre", "ring", *keys)])
+        centres = self.centres
+
+        def compare(left_block: pd.DataFrame, right_block: pd.DataFrame) -> pd.DataFrame:
+            if left_block.empty or right_block.empty:
+                return pd.DataFrame({"left_id": [], "right_id": [], "cosine": []})
+            right_block = right_block.sort_values("right_id")
+            lefts, rights = _unit_rows(left_block["vector"]), _unit_rows(right_block["vector"])
+            bounds = left_block["bound"].to_numpy()
+            top, at = bounds.copy(), np.full(len(lefts), -1)
+            for (centre, _), rows in right_block.groupby(["centre", "ring"]).indices.items():
+                # The rows come in rising order, so the first of equal cosines has the lowest id.
+                rows, middle = np.sort(rows), centres.value[centre]
+                own = np.arccos(np.clip(rights[rows] @ middle, -1.0, 1.0))
+                angles = np.arccos(np.clip(lefts @ middle, -1.0, 1.0))[:, None]
+                near = np.flatnonzero(_open(angles, bounds, own.min(), own.max()))
+                step = max(1, 8 * TABLE // len(rows))
+                for start in range(0, len(near), step):
+                    some = near[start:start + step]
+                    cosines = lefts[some] @ rights[rows].T
+                    best = cosines.argmax(axis=1)
+                    value, place = cosines[np.arange(len(some)), best], rows[best]
+                    better = (value > 0) & ((value > top[some]) | (value == top[some]) & ((at[some] < 0) | (place < at[some])))
+                    top[some[better]], at[some[better]] = value[better], place[better]
+            found = at >= 0
+            return pd.DataFrame({
+                "left_id": left_block["left_id"].to_numpy()[found], "right_id": right_block["right_id"].to_numpy()[at[found]], "cosine": top[found]})
+
+        return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInPandas(compare, schema)
+
+    def _group_visits(self):
+        """The rings that the bounds of a batch leave open, once for each group of its lefts."""
+        centres, shared = self.centres, self.spark.sparkContext.broadcast(self.rings)
+
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table = shared.value
+            of_centre, ring, low, high = (table[c].to_numpy() for c in ("centre", "ring", "low", "high"))
+            step = max(1, TABLE // max(len(table), len(centres.value)))
+            for batch in batches:
+                batch = batch.sort_values(["left_group", "left_part"])
+                for start in range(0, len(batch), step):
+                    some = batch.iloc[start:start + step]
+                    unit = _unit_rows(some["vector"])
+                    angles = np.arccos(np.clip(unit @ centres.value.T, -1.0, 1.0))[:, of_centre]
+                    # Vectors without length match nothing.
+                    meets = _open(angles, some["bound"].to_numpy(), low, high) & (unit != 0).any(axis=1)[:, None]
+                    begins = np.flatnonzero(~some.duplicated(["left_group", "left_part"]).to_numpy())
+                    group, which = np.nonzero(np.logical_or.reduceat(meets, begins, axis=0))
+                    names = some.iloc[begins[group]]
+                    yield pd.DataFrame({
+                        "left_group": names["left_group"].to_numpy(), "left_part": names["left_part"].to_numpy(),
+                        "centre": of_centre[which].astype("int32"), "ring": ring[which].astype("int32")})
+
+        return visit
+
     def met(self, visits: DataFrame, schema: str) -> DataFrame:
         """The best right of each left in each block it visits, if it reaches the left's bound.
 
@@ -223,5 +313,29 @@ class RightBlocks:
         return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInPandas(compare, schema)
 
 
+def _open(angles: np.ndarray, bounds: np.ndarray, low, high) -> np.ndarray:
+    """Whether rings of angles from low to high may hold a vector within each left's bound, by the lefts' angles to the rings' centres."""
+    reach = np.arccos(np.clip(bounds, -1.0, 1.0))[:, None] + SLACK
+    return (angles <= high + reach) & (angles >= low - reach)
+
+
+def _near_order(centres: np.ndarray) -> np.ndarray:
+    """The centres in an order that has near ones side by side: halved again and again along the direction in which they differ most."""
+    order, open_parts = [], [np.arange(len(centres))]
+    while open_parts:
+        part = open_parts.pop()
+        if len(part) <= 2:
+            order.extend(part)
+            continue
+        rows = centres[part] - centres[part].mean(axis=0)
+        along = rows[np.abs(rows).sum(axis=1).argmax()]
+        for _ in range(8):
+            along = rows.T @ (rows @ along)
+            along = along / max(np.linalg.norm(along), 1e-300)
+        part = part[np.argsort(rows @ along, kind="stable")]
+        open_parts += [part[len(part) // 2:], part[:len(part) // 2]]
+    return np.array(order, dtype=np.int64)
+
+
 def _with(df: DataFrame, extra: str) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + extra
