@@ -181,6 +181,24 @@ def test_vectors_are_sent_for_groups_of_lefts(spark, monkeypatch):
     assert [got[i][1] for i in range(900)] == pytest.approx(list(cosines.max(axis=1)))
 
 
+def test_groups_of_lefts_find_what_single_visits_find(spark, monkeypatch):
+    """Small blocks whose lefts meet in groups, crowded ones among them: what the visits of single lefts find."""
+    rng = np.random.default_rng(5)
+    right = [*enumerate(rng.normal(size=(300, 6))), *[(1000 + i, np.ones(6) * (i + 1)) for i in range(80)], (2000, np.zeros(6))]
+    left = [*enumerate(rng.normal(size=(150, 6))), (500, np.ones(6)), (501, np.zeros(6))]
+    lefts = vectors(spark, left, 6).toDF("left_id", "vector").withColumn("bound", F.lit(0.3))
+    around = vm.RightBlocks(vectors(spark, right, 6).toDF("right_id", "vector"), len(right), 7)
+    first = around.first_visits(lefts).cache()
+    schema = "left_id bigint, right_id bigint, cosine double"
+    best = lambda met: {r.left_id: round(r.cosine, 9) for r in met.groupBy("left_id").agg(F.max("cosine").alias("cosine")).collect()}
+    near = around.met(first, schema)
+    want = best(near.unionByName(around.met(around.further_visits(first), schema)))
+    for lefts_sent, rights_sent in ((4096, 16384), (20, 30)):
+        monkeypatch.setattr(vm, "LEFTS_SENT", lefts_sent)
+        monkeypatch.setattr(vm, "RIGHTS_SENT", rights_sent)
+        assert best(around.further_met(first, schema)) == want and 500 in want and 501 not in want
+
+
 def test_cosine_ties_and_repeated_ids_in_blocks(spark):
     """Equal directions go to the lowest right id, whichever block holds it; rows that share a left id count as one."""
     right = [(9, np.array([1.0, 0.0])), (4, np.array([2.0, 0.0])), *[(10 + i, np.array([3.0, 0.0])) for i in range(50)], (1, np.array([0.0, 1.0]))]
